@@ -1,6 +1,7 @@
 """All registered queries. Importing the query modules fills ``QUERIES`` and ``ORACLE``."""
 
 from tessera.plans import queries as _corpus  # noqa: F401
+from tessera.plans import queries_windows as _windows  # noqa: F401
 from tessera.plans.queries import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
