@@ -27,6 +27,14 @@ def default_buckets(df: DataFrame) -> int:
     return max(1, 4 * parts)
 
 
+def _as_double(df: DataFrame, col: str) -> Column:
+    """Monotone numeric view of an order column (timestamps as microseconds)."""
+    dt = df.schema[col].dataType.typeName()
+    if dt.startswith("timestamp") or dt == "date":
+        return F.unix_micros(F.col(col).cast("timestamp")).cast("double")
+    return F.col(col).cast("double")
+
+
 def with_bucket(df: DataFrame, order_col: str, n_buckets: int | None = None) -> DataFrame:
     """Add ``_bkt``: a quantile bucket of ``order_col`` (monotone in the order)."""
     n = n_buckets or default_buckets(df)
@@ -34,7 +42,7 @@ def with_bucket(df: DataFrame, order_col: str, n_buckets: int | None = None) ->
         return df.withColumn(_BKT, F.lit(0.0))
     probs = [i / n for i in range(1, n)]
     tmp = "_bkt_in"
-    src = df.withColumn(tmp, F.col(order_col).cast("double"))
+    src = df.withColumn(tmp, _as_double(df, order_col))
     qs = src.approxQuantile(tmp, probs, 1.0 / (4 * n))
     cuts = sorted(set(q for q in qs if q is not None))
     splits = [float("-inf")] + cuts + [float("inf")]
@@ -46,7 +54,7 @@ def with_bucket(df: DataFrame, order_col: str, n_buckets: int | None = None) ->
 
 def with_running_sums(df: DataFrame, order_cols: list[str], values: dict[str, Column],
                       partition_by: list[str] | None = None, exclusive: bool = False,
-                      n_buckets: int | None = None) -> DataFrame:
+                      n_buckets: int | None = None, dtype: str = "bigint") -> DataFrame:
     """Add one running-sum column per entry of ``values`` (name -> numeric Column).
 
     ``order_cols`` must be a unique order within each ``partition_by`` group; the first one is
@@ -54,8 +62,7 @@ def with_running_sums(df: DataFrame, order_cols: list[str], values: dict[str, Co
     """
     part = list(partition_by or [])
     keys = part + [_BKT]
-    vals = {f"_v_{k}": v.cast("bigint") if not isinstance(v, str) else F.col(v).cast("bigint")
-            for k, v in values.items()}
+    vals = {f"_v_{k}": (F.col(v) if isinstance(v, str) else v).cast(dtype) for k, v in values.items()}
     b = with_bucket(df, order_cols[0], n_buckets).withColumns(vals)
     w_in = (Window.partitionBy(*keys).orderBy(*order_cols)
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -80,3 +87,34 @@ def with_ordinal(df: DataFrame, order_cols: list[str], name: str = "ord",
     """1-based dense row number in the given order (per ``partition_by`` group)."""
     return with_running_sums(df, order_cols, {name: F.lit(1)}, partition_by=partition_by,
                              n_buckets=n_buckets)
+
+
+def with_running_extreme(df: DataFrame, order_cols: list[str], name: str, value: Column,
+                         how: str = "min", partition_by: list[str] | None = None,
+                         n_buckets: int | None = None) -> DataFrame:
+    """Running min/max (inclusive) in order, with the same bucketed plan as the sums."""
+    part = list(partition_by or [])
+    keys = part + [_BKT]
+    fn = F.min if how == "min" else F.max
+    pick = F.least if how == "min" else F.greatest
+    b = with_bucket(df, order_cols[0], n_buckets).withColumn("_v", value)
+    w_in = (Window.partitionBy(*keys).orderBy(*order_cols)
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    inner = b.withColumn("_r", fn("_v").over(w_in))
+    totals = b.groupBy(*keys).agg(fn("_v").alias("_t"))
+    w_off = Window.partitionBy(*part).orderBy(_BKT).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*keys, fn("_t").over(w_off).alias("_o"))
+    out = inner.join(offsets, on=keys, how="inner")
+    run = F.when(F.col("_o").isNull(), F.col("_r")).otherwise(pick(F.col("_o"), F.col("_r")))
+    return out.withColumn(name, run).drop(_BKT, "_v", "_r", "_o")
+
+
+def with_lag(df: DataFrame, order_cols: list[str], cols: dict[str, str], offset: int = 1,
+             partition_by: list[str] | None = None, n_buckets: int | None = None) -> DataFrame:
+    """``lag(col, offset)`` per group without a per-group window: number the rows (bucketed),
+    then an equi-join on ``(group, row number - offset)`` — keys are unique, so no hot key."""
+    part = list(partition_by or [])
+    numbered = with_ordinal(df, order_cols, "_rn", partition_by=part, n_buckets=n_buckets)
+    prev = numbered.select(*part, (F.col("_rn") + offset).alias("_rn"),
+                           *[F.col(src).alias(dst) for dst, src in cols.items()])
+    return numbered.join(prev, part + ["_rn"], "left").drop("_rn")

@@ -2,6 +2,7 @@
 
 from tessera.plans import queries as _corpus  # noqa: F401
 from tessera.plans import queries_windows as _windows  # noqa: F401
+from tessera.plans import queries_apps as _apps  # noqa: F401
 from tessera.plans.queries import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
