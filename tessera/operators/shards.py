@@ -18,6 +18,13 @@ CHUNK_SIZE = 4096
 DTYPE = "int32"
 
 
+def _safe_slice(arr, start, length):
+    """``slice`` with start >= 1 and length >= 0 by construction: Catalyst may evaluate a projection
+    before the filter that guards it (pushed/combined predicates), and ANSI mode rejects bad args."""
+    a = F.col(arr) if isinstance(arr, str) else arr
+    return F.slice(a, F.greatest(F.lit(1), start).cast("int"), F.greatest(F.lit(0), length).cast("int"))
+
+
 def pack_offsets(doc_tokens: DataFrame, shard_col: str = "shard", ord_col: str = "ord",
                  ids_col: str = "ids", n_buckets: int | None = None) -> DataFrame:
     """``start`` = tokens of all earlier documents of the same shard (exclusive running sum)."""
@@ -43,7 +50,7 @@ def to_chunks(pieces: DataFrame, chunk_size: int = CHUNK_SIZE, shard_col: str =
     lo = F.greatest(F.col("_s"), F.col("chunk_id") * C)
     hi = F.least(F.col("_e"), (F.col("chunk_id") + 1) * C)
     p = p.select("shard", "chunk_id", lo.alias("_lo"),
-                 F.slice("_ids", (lo - F.col("_s") + 1).cast("int"), (hi - lo).cast("int")).alias("_p"))
+                 _safe_slice("_ids", lo - F.col("_s") + 1, hi - lo).alias("_p"))
     g = p.groupBy("shard", "chunk_id").agg(
         F.array_sort(F.collect_list(F.struct("_lo", "_p"))).alias("_ps"))
     return g.select("shard", "chunk_id", (F.col("chunk_id") * C).alias("start"),
@@ -84,12 +91,11 @@ def split_chunks(chunks: DataFrame, counts: DataFrame, val_suffix: str = "_val",
     end = F.col("start") + F.size("ids")
     k = F.col("train_tokens")
     train = c.where(F.col("start") < k).select(
-        "shard", "start", F.slice("ids", 1, (F.least(end, k) - F.col("start")).cast("int"))
-        .alias("ids"))
+        "shard", "start", _safe_slice("ids", F.lit(1), F.least(end, k) - F.col("start")).alias("ids"))
     cut = F.greatest(F.col("start"), k)
     val = c.where(end > k).select(
         F.concat(F.col("shard"), F.lit(val_suffix)).alias("shard"), (cut - k).alias("start"),
-        F.slice("ids", (cut - F.col("start") + 1).cast("int"), (end - cut).cast("int")).alias("ids"))
+        _safe_slice("ids", cut - F.col("start") + 1, end - cut).alias("ids"))
     return to_chunks(train.unionByName(val), chunk_size)
 
 

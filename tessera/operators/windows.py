@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import filters
+from tessera.operators.shards import _safe_slice
 
 
 def n_eval_windows(n: Column, context: int) -> Column:
@@ -37,7 +38,7 @@ def eval_windows(chunks: DataFrame, meta: DataFrame, context: int) -> DataFrame:
     plo = F.greatest(s, ws)
     phi = F.least(e, ws + ctx + 1)
     pieces = c.select("shard", "window_id", plo.alias("_lo"),
-                      F.slice("ids", (plo - s + 1).cast("int"), (phi - plo).cast("int")).alias("_p"))
+                      _safe_slice("ids", plo - s + 1, phi - plo).alias("_p"))
     g = pieces.groupBy("shard", "window_id").agg(
         F.array_sort(F.collect_list(F.struct("_lo", "_p"))).alias("_ps"))
     return g.select("shard", "window_id", (F.col("window_id") * ctx).alias("start"),
@@ -57,7 +58,7 @@ def fetch(windows: DataFrame, chunks: DataFrame, width: int, chunk_size: int,
     lo = F.greatest(F.col("start"), F.col("_cs"))
     hi = F.least(F.col("start") + width, F.col("_cs") + F.size("ids"))
     pieces = j.select(key, "shard", "start", lo.alias("_lo"),
-                      F.slice("ids", (lo - F.col("_cs") + 1).cast("int"), (hi - lo).cast("int")).alias("_p"))
+                      _safe_slice("ids", lo - F.col("_cs") + 1, hi - lo).alias("_p"))
     g = pieces.groupBy(key, "shard", "start").agg(
         F.array_sort(F.collect_list(F.struct("_lo", "_p"))).alias("_ps"))
     return g.select(key, "shard", "start", F.flatten(F.transform("_ps", lambda x: x["_p"])).alias("w"))

@@ -13,10 +13,6 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 
-_MODES = {"error": "errorifexists", "errorifexists": "errorifexists", "overwrite": "overwrite",
-          "ignore": "ignore", "append": "append"}
-
-
 def save_mode(force: bool = False, skip_existing: bool = False) -> str:
     """Refuse (default) / overwrite (force) / skip-if-exists."""
     if skip_existing:
@@ -25,16 +21,17 @@ def save_mode(force: bool = False, skip_existing: bool = False) -> str:
 
 
 def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """S3: ``(src_rank, file_path, ord, text)``; ``ord`` is unique and follows file order.
+    """S3: ``(src_rank, file_path, ord, text)``; ``ord`` is a unique bigint in concatenation order.
 
-    ``paths`` order is the concatenation order (``src_rank``). Within a file, lines are ordered by
-    split start and then by their position inside the split (``monotonically_increasing_id`` is
-    increasing inside one partition). The window below is partitioned by file split, so it runs
-    in parallel.
+    ``paths`` order is the concatenation order. Inside a file, a line's key is
+    ``split start byte + line number inside the split``: every line holds at least one byte, so keys
+    of one split stay below the next split's start. Files get ranks from the (small) file listing;
+    ``ord = file_rank * 2^40 + key`` (files below 1 TiB). The line-number window is partitioned by
+    split, so it runs in parallel.
     """
     frames = []
     for rank, p in enumerate(paths):
-        df = (spark.read.option("lineSep", None).text(p)
+        df = (spark.read.text(p)
               .select(F.lit(rank).alias("src_rank"),
                       F.col("_metadata.file_path").alias("file_path"),
                       F.col("_metadata.file_block_start").alias("block"),
@@ -45,8 +42,13 @@ def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     for f in frames[1:]:
         out = out.unionByName(f)
     w = Window.partitionBy("src_rank", "file_path", "block").orderBy("_mid")
-    out = out.withColumn("line_in_block", F.row_number().over(w))
-    return out.drop("_mid")
+    out = out.withColumn("_line", F.row_number().over(w))
+    files = out.select("src_rank", "file_path").distinct()
+    files = files.withColumn("_frank", F.row_number().over(
+        Window.partitionBy(F.lit(1)).orderBy("src_rank", "file_path")))   # one row per file
+    out = out.join(files, ["src_rank", "file_path"])      # AQE broadcasts the listing when small
+    ord_col = F.col("_frank") * F.lit(1 << 40) + F.col("block") + F.col("_line")
+    return out.select("src_rank", "file_path", ord_col.alias("ord"), "text")
 
 
 def manifest_counts(lines: DataFrame, col: str = "line") -> DataFrame:
@@ -68,11 +70,13 @@ def write_docs(docs: DataFrame, out_dir: str, text_col: str = "text", ord_col: s
     from pyspark.sql import Observation
     obs = Observation("text_sink")
     lines = docs.select(F.col(ord_col), T.normalize_doc(text_col).alias("line"))
-    observed = lines.observe(obs, F.count(F.when(F.col("line") != "", F.lit(1))).alias("lines"),
-                             F.count(F.when(F.col("line") == "", F.lit(1))).alias("empty_skipped"),
-                             F.coalesce(F.sum(F.when(F.col("line") != "", F.octet_length("line") + 1)),
-                                        F.lit(0)).alias("bytes"))
-    (observed.where(F.col("line") != "").repartitionByRange(ord_col).sortWithinPartitions(ord_col)
+    # observe above the range exchange: the exchange's sampling job must not count rows twice
+    ranged = lines.repartitionByRange(ord_col)
+    observed = ranged.observe(obs, F.count(F.when(F.col("line") != "", F.lit(1))).alias("lines"),
+                              F.count(F.when(F.col("line") == "", F.lit(1))).alias("empty_skipped"),
+                              F.coalesce(F.sum(F.when(F.col("line") != "", F.octet_length("line") + 1)),
+                                         F.lit(0)).alias("bytes"))
+    (observed.where(F.col("line") != "").sortWithinPartitions(ord_col)
      .select("line").write.mode(save_mode(force)).text(out_dir))
     spark = docs.sparkSession
     m = obs.get
