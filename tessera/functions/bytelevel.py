@@ -52,8 +52,7 @@ def _c(c: Column | str) -> Column:
 
 def to_byte_level(c: Column | str) -> Column:
     """UTF-8 bytes of ``c`` rendered as byte-level characters (one char per byte)."""
-    latin = F.decode(F.encode(_c(c), "UTF-8"), "ISO-8859-1")
-    return F.translate(latin, LATIN1, BYTE_CHARS)
+    return F.translate(latin1_view(c), LATIN1, BYTE_CHARS)
 
 
 def from_byte_level(c: Column | str) -> Column:
@@ -62,10 +61,14 @@ def from_byte_level(c: Column | str) -> Column:
     return F.decode(F.encode(latin, "ISO-8859-1"), "UTF-8")
 
 
+def latin1_view(c: Column | str) -> Column:
+    """The UTF-8 bytes of ``c`` as a string with one character (code point 0-255) per byte."""
+    return F.decode(F.encode(_c(c), "UTF-8"), "ISO-8859-1")
+
+
 def byte_values(c: Column | str) -> Column:
-    """array<int> of the UTF-8 bytes of ``c``."""
-    pairs = F.regexp_extract_all(F.hex(F.encode(_c(c), "UTF-8")), F.lit("(..)"), 1)
-    return F.transform(pairs, lambda h: F.conv(h, 16, 10).cast("int"))
+    """array<int> of the UTF-8 bytes of ``c`` (``ascii`` of each character of the Latin-1 view)."""
+    return F.transform(F.split(latin1_view(c), ""), lambda ch: F.ascii(ch))
 
 
 def base_ids(c: Column | str) -> Column:

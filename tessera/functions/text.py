@@ -17,6 +17,9 @@ CONTROL_CLASS = "[\\x{0}-\\x{8}\\x{B}\\x{C}\\x{E}-\\x{1F}\\x{7F}-\\x{9F}]+"
 # tab, LF, CR, space, U+00A0, U+1680, U+2000-U+200A, U+2028, U+2029, U+202F, U+205F, U+3000.
 CLEAN_WS_CLASS = ("[\\t\\n\\r \\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}"
                   "\\x{202F}\\x{205F}\\x{3000}]+")
+# Controls that str.split() does not treat as whitespace (the control class minus
+# U+000B, U+000C, U+001C-U+001F, U+0085): deleted outright by the combined normaliser.
+NONWS_CONTROL_CLASS = "[\\x{0}-\\x{8}\\x{E}-\\x{1B}\\x{7F}-\\x{84}\\x{86}-\\x{9F}]+"
 # Whitespace of Python's str.split(): the set above plus U+000B, U+000C, U+001C-U+001F, U+0085.
 SPLIT_WS_CLASS = ("[\\t\\n\\x{B}\\x{C}\\r\\x{1C}-\\x{1F} \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}"
                   "\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+")
@@ -44,8 +47,12 @@ def normalize_doc(c: Column | str) -> Column:
 
 
 def canonical_text(c: Column | str) -> Column:
-    """Ingest normaliser followed by the clean pass (the order files go through)."""
-    return clean_line(normalize_doc(c))
+    """``clean_line(normalize_doc(c))`` — the ingest normaliser then the clean pass — in two regex
+    passes: delete the controls that are not whitespace, then turn every whitespace run (including
+    whitespace controls) into one space and strip. Same result: after the ingest pass the only
+    whitespace left is single spaces, and deleting controls between them only merges runs."""
+    x = F.regexp_replace(F.coalesce(_c(c), F.lit("")), NONWS_CONTROL_CLASS, "")
+    return F.trim(F.regexp_replace(x, SPLIT_WS_CLASS, " "))
 
 
 def digest(c: Column | str) -> Column:

@@ -234,10 +234,19 @@ def q_pack_offsets(spark, d):
     return shards.pack_offsets(_byte_docs(spark, d)).select("shard", "doc_id", "start", "n_tokens")
 
 
+_CHUNK_TABLES: dict[tuple, DataFrame] = {}
+
+
 def _chunks(spark, d):
+    """The byte-level shards of the corpus (one per language), written once per session and input
+    to the shared folder and read back by later queries — as the reference writes its shard files
+    once and every later step reads them."""
     from tessera.operators.materialize import materialize
-    packed = shards.pack_offsets(_byte_docs(spark, d))
-    return materialize(shards.to_chunks(packed, CHUNK), "token_chunks")
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _CHUNK_TABLES:
+        packed = shards.pack_offsets(_byte_docs(spark, d))
+        _CHUNK_TABLES[key] = materialize(shards.to_chunks(packed, CHUNK), "token_chunks")
+    return _CHUNK_TABLES[key]
 
 
 @query("shard_meta", _BYTE_DOCS_SQL + """

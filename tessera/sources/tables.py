@@ -12,9 +12,23 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give row-wise work at least one partition per core.
+
+    A scan yields one task per file split (Parquet: row group). A table stored as a few large row
+    groups would run every per-row expression (regexes, byte maps, n-grams) in a few tasks, so
+    when the scan has fewer partitions than the cluster's parallelism the rows are dealt out
+    round-robin first. Large inputs already have many splits and are left alone (no shuffle).
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return df.select(*cols) if cols else df
+    return spread(df.select(*cols) if cols else df)
 
 
 def corpus_scan(df: DataFrame, text_field: str = "text", *keep: str) -> DataFrame:

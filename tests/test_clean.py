@@ -44,3 +44,20 @@ def test_text_sink_refuses_overwrite(spark, tmpdir_path):
     with pytest.raises(Exception):
         textfiles.write_docs(df, out)
     textfiles.write_docs(df, out, force=True)
+
+
+def test_canonical_equals_reference_composition(spark):
+    import regex as re
+    ctrl = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]+")
+    ws = re.compile(r"\s+")
+
+    def ref(t):
+        t = " ".join(t.split())
+        return ws.sub(" ", ctrl.sub("", t)).strip() if t else ""
+
+    chars = [chr(i) for i in range(0x3100) if not 0xD800 <= i <= 0xDFFF]
+    samples = ["".join(chars[i:i + 37]) for i in range(0, len(chars), 11)]
+    samples += ["a \x00 b", "\x1c\x85x\x0b\x00 \ty", " \x01 ", " z　"]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(samples)], "i int, t string")
+    got = {r.i: r.c for r in df.select("i", T.canonical_text("t").alias("c")).collect()}
+    assert all(got[i] == ref(s) for i, s in enumerate(samples))
