@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,11 +47,11 @@ def symbol_words(wc: DataFrame) -> DataFrame:
 
 
 def _pairs(sy: Column) -> Column:
+    """Adjacent symbol pairs as ``array<struct<left, right>>`` (two shifted slices zipped; no
+    lambda refers back to the whole array, which would re-split it per element)."""
     arr = F.split(sy, " ")
-    n = F.size(arr)
-    return F.transform(F.sequence(F.lit(1), n - 1),
-                       lambda i: F.struct(F.element_at(arr, i).alias("left"),
-                                          F.element_at(arr, i + 1).alias("right")))
+    n = F.greatest(F.size(arr) - 1, F.lit(0))
+    return F.arrays_zip(F.slice(arr, 1, n).alias("left"), F.slice(arr, 2, n).alias("right"))
 
 
 def pair_counts(words: DataFrame, sy: str = "sy", cnt: str = "cnt") -> DataFrame:
@@ -207,7 +208,6 @@ def encode_unseen(unseen_words: DataFrame, model: BpeModel) -> DataFrame:
     bl_map = {i: BL.BYTE_CHARS[i] for i in range(256)}
 
     def run(batches):
-        import pandas as pd
         for pdf in batches:
             out = []
             for w in pdf["word"]:
@@ -226,6 +226,18 @@ def encode_unseen(unseen_words: DataFrame, model: BpeModel) -> DataFrame:
     return unseen_words.mapInPandas(run, "word string, wids array<int>")
 
 
+def encode_with(docs: DataFrame, encode_fn, key: str = "doc_id", text_col: str = "text",
+                eos_id: int | None = None) -> DataFrame:
+    """A pluggable batch encoder ``encode_fn(list[str]) -> list[list[int]]`` run as an
+    Arrow-batched pandas UDF (Series -> Series); EOS appended when given."""
+    @F.pandas_udf("array<int>")
+    def _enc(texts: pd.Series) -> pd.Series:
+        return pd.Series(list(encode_fn(texts.tolist())))
+
+    ids = _enc(F.col(text_col))
+    return docs.select(key, BL.with_eos(ids, eos_id).alias("ids") if eos_id is not None else ids.alias("ids"))
+
+
 def decode(doc_ids: DataFrame, vocab: DataFrame, key: str = "doc_id", ids_col: str = "ids",
            skip_special: bool = True) -> DataFrame:
     """Ids -> text. Tokens are looked up in the broadcast vocabulary, concatenated in order and

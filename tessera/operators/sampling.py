@@ -117,3 +117,30 @@ def mixture_samples(spark: SparkSession, weights: DataFrame, context: int, seed:
     sub = (F.lit(seed) + F.col("shard_rank") * SUBSEED_STEP)
     start = sample_starts(F.col("tokens"), context, sub, F.col("shard"))
     return j.select("i", "shard", start.alias("start"))
+
+
+def loader_samples(spark: SparkSession, meta_row: dict, context: int, batch_size: int, seed: int,
+                   epochs: int = 1) -> DataFrame:
+    """M4: the loader over one shard for ``epochs`` passes: sample ``i`` of the run belongs to
+    ``epoch = i div epoch_len``; batches of ``batch_size`` inside an epoch, last partial batch
+    dropped (``drop_last``). Draws are keyed by the run-wide index, so epochs differ.
+    ``(epoch, batch_id, i, shard, start)``."""
+    filters.check_positive("batch_size", batch_size)
+    filters.check_positive("epochs", epochs)
+    n = int(meta_row["tokens"])
+    if n < context + 1:
+        raise ValueError(f"shard has {n} tokens; need at least {context + 1} "
+                         f"for context_length={context}")
+    per_epoch = max(1, n // (context + 1))
+    full = (per_epoch // batch_size) * batch_size
+    if full == 0:
+        raise ValueError("epoch shorter than one batch")
+    idx = index_rows(spark, per_epoch * epochs)
+    j = F.pmod(F.col("i"), F.lit(per_epoch))
+    out = idx.where(j < full).select(
+        (F.floor(F.col("i") / per_epoch)).cast("bigint").alias("epoch"),
+        (F.floor(F.col("i") / per_epoch) * (full // batch_size) + F.floor(j / batch_size)).cast("bigint")
+        .alias("batch_id"),
+        "i", F.lit(meta_row["shard"]).alias("shard"),
+        sample_starts(F.lit(n), context, F.lit(seed), F.lit(meta_row["shard"])).alias("start"))
+    return out

@@ -1,9 +1,11 @@
-"""Next-token distributions stored as one ``array<float>`` of logits per row.
-
-Everything is an array expression on the row (JVM-side, no explode, no shuffle), and every step is
-linear in the vocabulary: sorts happen once, cumulative quantities are single ``aggregate`` folds,
-and masks compare against one threshold key instead of searching lists. Multi-step filters add
-intermediate columns so no expression is inlined twice. Token id = 0-based array position.
+"""Next-token distributions stored as one ``array<float>`` of logits per row.
+
+Everything is an array expression on the row (JVM-side, no explode, no shuffle), linear in the
+vocabulary. Rule followed throughout: a lambda never refers to a row-level value computed from an
+array (max, sum, threshold, another array). Catalyst inlines such values into the lambda, which
+re-evaluates them per element (quadratic or worse). Row-level values enter as
+``array_repeat(value, n)`` zipped with the array (``zip_with`` / ``arrays_zip``), so each is
+evaluated once per row. Token id = 0-based array position.
 """
 
 from __future__ import annotations
@@ -24,12 +26,16 @@ def _sum(arr: Column) -> Column:
     return F.aggregate(arr, F.lit(0.0), lambda a, v: a + F.coalesce(v, F.lit(0.0)))
 
 
+def _with_scalar(arr: Column, scalar: Column, fn) -> Column:
+    """``[fn(a_i, s) for a_i in arr]`` with ``s`` evaluated once for the row."""
+    return F.zip_with(arr, F.array_repeat(scalar, F.size(arr)), fn)
+
+
 def softmax(logits: Column) -> Column:
     """Max-shifted softmax (nulls stay null and carry no mass)."""
     x = _d(logits)
-    m = F.array_max(x)
-    e = F.transform(x, lambda v: F.exp(v - m))
-    return F.transform(e, lambda v: v / _sum(e))
+    e = _with_scalar(x, F.array_max(x), lambda v, m: F.exp(v - m))
+    return _with_scalar(e, _sum(e), lambda v, z: v / z)
 
 
 def entropy(logits: Column) -> Column:
@@ -51,8 +57,8 @@ def top_k_threshold(logits: Column, k: int) -> Column:
 
 def top_k_mask(logits: Column, k: int) -> Column:
     """W10 mask: keep every token whose logit is >= the k-th largest (ties are kept)."""
-    thr = top_k_threshold(logits, k)
-    return F.transform(_d(logits), lambda v: v >= thr)
+    x = _d(logits)
+    return _with_scalar(x, top_k_threshold(x, k), lambda v, t: v >= t)
 
 
 def argmax(logits: Column) -> Column:
@@ -68,25 +74,28 @@ def with_filtered_probs(df: DataFrame, logits: str, out: str, temperature: float
 
     Nucleus: in descending probability order a token is kept while the probability mass *before*
     it is <= top_p (the first is always kept). The kept prefix length comes from one fold over the
-    sorted list; membership is a comparison with the last kept ``(−p, id)`` key.
+    sorted list; membership is a comparison with the last kept ``(-p, id)`` key.
     """
-    df = df.withColumn("_x", F.transform(_d(F.col(logits)), lambda v: v / F.lit(float(temperature))))
+    x = F.transform(_d(F.col(logits)), lambda v: v / F.lit(float(temperature)))
     if top_k is not None and top_k > 0:
-        df = df.withColumn("_thr", top_k_threshold(F.col("_x"), top_k)) \
-            .withColumn("_x", F.transform("_x", lambda v: F.when(v >= F.col("_thr"), v))).drop("_thr")
+        x = _with_scalar(x, top_k_threshold(x, top_k), lambda v, t: F.when(v >= t, v))
+    df = df.withColumn("_x", x)
     if top_p is not None and 0.0 < top_p < 1.0:
-        df = df.withColumn("_p", softmax(F.col("_x")))
-        df = df.withColumn("_r", F.array_sort(F.filter(F.transform("_p", lambda v, i: F.struct(
-            (-v).alias("neg"), i.alias("id"), v.alias("p"))), lambda s: s["p"].isNotNull())))
-        fold = F.aggregate("_r", F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n")),
+        p = softmax(F.col("_x"))
+        r = F.array_sort(F.filter(F.transform(p, lambda v, i: F.struct(
+            (-v).alias("neg"), i.alias("id"), v.alias("p"))), lambda s: s["p"].isNotNull()))
+        fold = F.aggregate(r, F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n")),
                            lambda acc, t: F.struct((acc["s"] + t["p"]).alias("s"),
                                                    (acc["n"] + F.when(acc["s"] <= F.lit(top_p), 1).otherwise(0))
                                                    .alias("n")))
-        df = df.withColumn("_last", F.element_at("_r", F.greatest(fold["n"], F.lit(1))))
-        keep = lambda v, i: F.struct((-v).alias("neg"), i.alias("id")) <= F.struct(
-            F.col("_last")["neg"].alias("neg"), F.col("_last")["id"].alias("id"))
-        df = df.withColumn("_x", F.transform("_x", lambda v, i: F.when(v.isNotNull() & keep(
-            F.element_at(F.col("_p"), i + 1), i), v))).drop("_p", "_r", "_last")
+        last = F.element_at(r, F.greatest(fold["n"], F.lit(1)))
+        n = F.size("_x")
+        z = F.arrays_zip(F.col("_x").alias("x"), p.alias("p"), F.array_repeat(last, n).alias("k"),
+                         F.sequence(F.lit(0), n - 1).alias("i"))
+        kept = F.transform(z, lambda t: F.when(
+            t["x"].isNotNull() & (F.struct((-t["p"]).alias("neg"), t["i"].alias("id"))
+                                  <= F.struct(t["k"]["neg"].alias("neg"), t["k"]["id"].alias("id"))), t["x"]))
+        df = df.withColumn("_x", kept)
     return df.withColumn(out, softmax(F.col("_x"))).drop("_x")
 
 
@@ -96,15 +105,32 @@ def n_kept(probs: Column) -> Column:
 
 def draw(probs: Column, *seed_parts: Column) -> Column:
     """M6: inverse-CDF draw in token-id order: the first token whose cumulative probability
-    exceeds a per-row uniform (one fold). Rounding leftovers fall to the last kept token."""
-    u = uniform(*seed_parts)
+    exceeds a per-row uniform (one fold; the uniform rides in the fold's initial state).
+    Rounding leftovers fall to the last kept token."""
+    init = F.struct(F.lit(0.0).alias("s"), F.lit(-1).alias("pick"), F.lit(0).alias("i"),
+                    F.lit(-1).alias("last"), uniform(*seed_parts).alias("u"))
     fold = F.aggregate(
-        probs, F.struct(F.lit(0.0).alias("s"), F.lit(-1).alias("pick"), F.lit(0).alias("i"),
-                        F.lit(-1).alias("last")),
+        probs, init,
         lambda acc, v: F.struct(
             (acc["s"] + F.coalesce(v, F.lit(0.0))).alias("s"),
-            F.when((acc["pick"] < 0) & v.isNotNull() & (acc["s"] + v > u), acc["i"])
+            F.when((acc["pick"] < 0) & v.isNotNull() & (acc["s"] + v > acc["u"]), acc["i"])
              .otherwise(acc["pick"]).alias("pick"),
             (acc["i"] + 1).alias("i"),
-            F.when(F.coalesce(v, F.lit(0.0)) > 0, acc["i"]).otherwise(acc["last"]).alias("last")))
+            F.when(F.coalesce(v, F.lit(0.0)) > 0, acc["i"]).otherwise(acc["last"]).alias("last"),
+            acc["u"].alias("u")))
     return F.when(fold["pick"] >= 0, fold["pick"]).otherwise(fold["last"]).cast("int")
+
+
+def top_list(logits: Column, k: int = 5) -> Column:
+    """Top-k ``(id, p)`` by probability of the untempered softmax, id breaking ties."""
+    p = softmax(logits)
+    r = F.array_sort(F.transform(p, lambda v, i: F.struct((-v).alias("neg"), i.alias("id"), v.alias("p"))))
+    return F.transform(F.slice(r, 1, k), lambda s: F.struct(s["id"].alias("id"), s["p"].alias("p")))
+
+
+def trace(df: DataFrame, key: str, logits: str, token: Column | None = None) -> DataFrame:
+    """The per-token observation record ``(key, token_id, entropy, top5)``; the token defaults
+    to the greedy pick."""
+    tok = token if token is not None else argmax(F.col(logits))
+    return df.select(key, tok.alias("token_id"), entropy(F.col(logits)).alias("entropy"),
+                     top_list(F.col(logits), 5).alias("top5"))

@@ -22,10 +22,14 @@ def ngram_repeats(seqs: DataFrame, key: str, tokens: str, n: int = 3, repeat_win
     ``repeat_window`` tokens ending at the current token). Window partitions are
     ``(sequence, n-gram)``, bounded by the sequence length.
     """
-    ex = seqs.select(key, F.posexplode(tokens).alias("pos", "tok"), F.col(tokens).alias("_t"))
-    ex = ex.where(F.col("pos") + n <= F.size("_t"))
-    ng = ex.select(key, "pos", F.array_join(F.slice("_t", F.col("pos") + 1, n).cast("array<string>"),
-                                            NGRAM_SEP).alias("ng"))
+    # n shifted slices zipped: every n-gram is built in one linear pass over the array (an
+    # exploded row never carries the whole sequence, and no lambda refers back to it)
+    t = F.col(tokens).cast("array<string>")
+    m = F.greatest(F.size(t) - (n - 1), F.lit(0))
+    shifted = [F.slice(t, k + 1, m).alias(f"g{k}") for k in range(n)]
+    grams = F.transform(F.arrays_zip(*shifted),
+                        lambda z: F.array_join(F.array(*[z[f"g{k}"] for k in range(n)]), NGRAM_SEP))
+    ng = seqs.select(key, F.posexplode(grams).alias("pos", "ng"))
     w = Window.partitionBy(key, "ng").orderBy("pos")
     prev = F.lag("pos").over(w)
     return ng.select(key, "pos", F.coalesce(F.col("pos") - prev <= repeat_window - n, F.lit(False))

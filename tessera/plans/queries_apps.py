@@ -384,3 +384,51 @@ SELECT run, step::BIGINT AS step, val_loss,
 def q_trajectory(spark, d):
     ev = R.every_nth(_metrics(spark, d), EVAL_EVERY)
     return R.trajectory(ev).select("run", "step", "val_loss", "delta")
+
+
+# --- X3 P19 W10: per-token trace records (greedy token, entropy, top-5) ---------------------------
+@query("token_trace", _SOFTMAX_SQL + f""",
+t AS (SELECT vec_id, unnest(p) AS pv, generate_subscripts(p, 1) - 1 AS id FROM p),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY pv DESC, id) AS rn FROM t),
+top AS (SELECT vec_id, string_agg(id::VARCHAR, ',' ORDER BY rn) AS top5_ids,
+               string_agg(round(pv, 6)::VARCHAR, ',' ORDER BY rn) AS top5_p FROM r WHERE rn <= 5 GROUP BY vec_id),
+am AS (SELECT vec_id, min(id) FILTER (WHERE rn = 1) AS token_id FROM r GROUP BY vec_id)
+SELECT p.vec_id, am.token_id::INTEGER AS token_id,
+       round(-list_sum(list_transform(p.p, lambda v: v * ln(v + {SC.EPS}))), 6) AS entropy,
+       top.top5_ids, top.top5_p
+FROM p JOIN am USING (vec_id) JOIN top USING (vec_id)""")
+def q_token_trace(spark, d):
+    t = SC.trace(_emb(spark, d), "vec_id", "embedding")
+    return t.select("vec_id", "token_id", F.round("entropy", 6).alias("entropy"),
+                    F.array_join(F.transform("top5", lambda s: s["id"].cast("string")), ",").alias("top5_ids"),
+                    F.array_join(F.transform("top5", lambda s: F.round(s["p"], 6).cast("string")), ",")
+                    .alias("top5_p"))
+
+
+# --- P11: fit a context to the model window (byte tokens as the tokenizer stand-in) ----------------
+MAX_CTX = 1024
+MAX_NEW = 128
+
+
+@query("context_fit", f"""
+WITH ids AS (SELECT DISTINCT conv_id FROM conversations),
+s AS (SELECT conv_id, arg_min(text, turn) AS system FROM conversations WHERE role = 'system' GROUP BY conv_id),
+h AS (SELECT conv_id, string_agg({_SQL_MARK} || ' ' || coalesce(text, ''), chr(10) ORDER BY turn) AS body
+      FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id),
+c AS (SELECT ids.conv_id, concat_ws(chr(10), 'System: ' || coalesce(s.system, '{C.SYSTEM_DEFAULT}'), h.body,
+                                     'Assistant:') AS context
+      FROM ids LEFT JOIN s USING (conv_id) LEFT JOIN h USING (conv_id)),
+n AS (SELECT conv_id, octet_length(encode(context)) AS n FROM c)
+SELECT conv_id, n::INTEGER AS n_prompt, (CASE WHEN n >= {MAX_CTX} THEN {MAX_CTX - 1} ELSE n END)::INTEGER AS n_kept,
+       least({MAX_NEW}, {MAX_CTX} - (CASE WHEN n >= {MAX_CTX} THEN {MAX_CTX - 1} ELSE n END))::INTEGER AS budget,
+       (CASE WHEN n >= {MAX_CTX} THEN list_sum({S.base_ids('context')}[n - {MAX_CTX - 2}:])
+             ELSE list_sum({S.base_ids('context')}) END)::BIGINT AS sum_kept
+FROM n JOIN c USING (conv_id)""")
+def q_context_fit(spark, d):
+    from tessera.functions import bytelevel as BL
+    ctx = C.repl_context(_conv(spark, d))
+    ids = ctx.select("conv_id", BL.base_ids("context").alias("ids"))
+    kept, budget = C.fit_context(F.col("ids"), MAX_CTX, MAX_NEW)
+    return ids.select("conv_id", F.size("ids").alias("n_prompt"), F.size(kept).alias("n_kept"),
+                      budget.cast("int").alias("budget"),
+                      F.aggregate(kept, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("sum_kept"))

@@ -222,3 +222,21 @@ def q_bigram_eval(spark, d):
 @query("eval_capped", _bigram_sql(EVAL_MAX_BATCHES))
 def q_eval_capped(spark, d):
     return _bigram(spark, d, EVAL_MAX_BATCHES)
+
+
+# --- M4: loader over one shard, two epochs, drop-last batches ------------------------------------
+LOADER_EPOCHS = 2
+
+
+@query("loader_batches", _TOK_SQL + f""",
+one AS (SELECT n, greatest(1, n // {SAMPLE_CTX + 1}) AS per FROM m WHERE shard = 'en'),
+lim AS (SELECT n, per, (per // {EVAL_BATCH}) * {EVAL_BATCH} AS nfull FROM one),
+idx AS (SELECT range AS i FROM lim, range(0, lim.per * {LOADER_EPOCHS}))
+SELECT (i // per)::BIGINT AS epoch, ((i // per) * (nfull // {EVAL_BATCH}) + (i % per) // {EVAL_BATCH})::BIGINT AS batch_id,
+       i::BIGINT AS i, 'en' AS shard,
+       ((({S.md5_int(f"'{SEED}:en:' || i::VARCHAR")}) % (n - {SAMPLE_CTX})) + i * {SM.STRIDE}) % (n - {SAMPLE_CTX}) AS start
+FROM idx, lim WHERE i % per < nfull""")
+def q_loader_batches(spark, d):
+    _, meta = _meta(spark, d)
+    row = meta.where(F.col("shard") == "en").first().asDict()
+    return SM.loader_samples(spark, row, SAMPLE_CTX, EVAL_BATCH, SEED, LOADER_EPOCHS)
