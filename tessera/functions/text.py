@@ -23,6 +23,9 @@ NONWS_CONTROL_CLASS = "[\\x{0}-\\x{8}\\x{E}-\\x{1B}\\x{7F}-\\x{84}\\x{86}-\\x{9F
 # Whitespace of Python's str.split(): the set above plus U+000B, U+000C, U+001C-U+001F, U+0085.
 SPLIT_WS_CLASS = ("[\\t\\n\\x{B}\\x{C}\\r\\x{1C}-\\x{1F} \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}"
                   "\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+")
+# A character that survives both normalisers (neither a control nor whitespace of either class).
+CONTENT_CHAR = ("[^\\x{0}-\\x{20}\\x{7F}-\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}"
+                "\\x{202F}\\x{205F}\\x{3000}]")
 # Byte-level BPE pre-tokeniser pattern (contractions, letters, digits, other, whitespace).
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # Length gate and language-probe prefix.
@@ -55,6 +58,13 @@ def canonical_text(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(x, SPLIT_WS_CLASS, " "))
 
 
+def has_content(c: Column | str) -> Column:
+    """True iff ``canonical_text(c)`` (equally ``clean_line(c)``) is non-empty — one regex find on
+    the raw text. Filter with this, not with the cleaned value: Catalyst pushes filters below the
+    projection that computes the cleaned text and would evaluate the normaliser twice."""
+    return F.coalesce(_c(c), F.lit("")).rlike(CONTENT_CHAR)
+
+
 def digest(c: Column | str) -> Column:
     """SHA-1 hex of the UTF-8 bytes."""
     return F.sha1(F.encode(_c(c), "UTF-8"))

@@ -24,14 +24,25 @@ def clean(docs: DataFrame, text_col: str = "text", normalise_first: bool = True)
 
 
 def first_per_digest(cleaned: DataFrame, ord_col: str = "ord", key: str = "sha1") -> DataFrame:
-    """The earliest row (by ``ord_col``) of every non-empty digest, all columns kept."""
+    """The earliest row (by ``ord_col``) of every non-empty digest, all columns kept.
+
+    No filter before the aggregate (Catalyst would push it below the cleaning projection and
+    evaluate the normaliser twice): empty rows share the null key and get a null ordering, so
+    their group yields null and is dropped after the aggregate."""
     cols = cleaned.columns
-    return (cleaned.where(F.col(key).isNotNull())
-            .groupBy(key)
-            .agg(F.min_by(F.struct(*cols), F.col(ord_col)).alias("_s"))
+    order = F.when(F.col(key).isNotNull(), F.col(ord_col))
+    return (cleaned.groupBy(key)
+            .agg(F.min_by(F.struct(*cols), order).alias("_s"))
+            .where(F.col("_s").isNotNull())
             .select("_s.*"))
 
 
+def clean_nonempty(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Canonical text of the documents whose canonical text is not empty (F1), filtered on the
+    raw text with a single regex find so the normaliser runs once."""
+    return docs.where(T.has_content(text_col)).withColumn(text_col, T.canonical_text(text_col))
+
+
 def dedupe_stats(cleaned: DataFrame, text_col: str = "text", key: str = "sha1") -> DataFrame:
     """Input, empty, duplicates, kept, dedupe_ratio, bytes (kept text + newline) in one row."""
     per_key = cleaned.groupBy(key).agg(

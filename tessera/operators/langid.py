@@ -31,8 +31,21 @@ def trigrams(text: Column) -> Column:
     return F.regexp_extract_all(t, F.lit("(?s)(?=(.{%d}))" % GRAM), 1)
 
 
-def profiles(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """A10: ``(lang, gram, cnt)`` trigram counts per language."""
+def doc_grams(docs: DataFrame, key: str = "doc_id", text_col: str = "text",
+              lang_col: str | None = None) -> DataFrame:
+    """Trigram counts per document ``(key, [lang,] gram, k)`` — the one explode both the profiles
+    and the scoring are derived from."""
+    extra = [F.col(lang_col).alias("lang")] if lang_col else []
+    g = docs.select(key, *extra, F.explode(trigrams(F.col(text_col))).alias("gram"))
+    return g.groupBy(key, *(["lang"] if lang_col else []), "gram").agg(F.count(F.lit(1)).alias("k"))
+
+
+def profiles(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang",
+             grams: DataFrame | None = None) -> DataFrame:
+    """A10: ``(lang, gram, cnt)`` trigram counts per language (from per-document counts when
+    given, so a corpus is exploded once for training and scoring)."""
+    if grams is not None:
+        return grams.groupBy("lang", "gram").agg(F.sum("k").cast("bigint").alias("cnt"))
     g = labelled.select(F.col(lang_col).alias("lang"), F.explode(trigrams(F.col(text_col))).alias("gram"))
     return g.groupBy("lang", "gram").agg(F.count(F.lit(1)).cast("bigint").alias("cnt"))
 
@@ -40,7 +53,8 @@ def profiles(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang"
 MAX_LANGS = 1000
 
 
-def scores(docs: DataFrame, prof: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scores(docs: DataFrame, prof: DataFrame, key: str = "doc_id", text_col: str = "text",
+           grams: DataFrame | None = None) -> DataFrame:
     """Per document: ``(key, n_doc, score_<lang>...)`` log-likelihood scores.
 
     The language list and per-language constants (at most ``MAX_LANGS`` rows) come to the driver;
@@ -52,8 +66,7 @@ def scores(docs: DataFrame, prof: DataFrame, key: str = "doc_id", text_col: str
     if len(langs) > MAX_LANGS:
         raise ValueError(f"{len(langs)} languages above the bound {MAX_LANGS}")
     names = [lg for lg, _ in langs]
-    dg = docs.select(key, F.explode(trigrams(F.col(text_col))).alias("gram")) \
-        .groupBy(key, "gram").agg(F.count(F.lit(1)).alias("k"))
+    dg = grams.select(key, "gram", "k") if grams is not None else doc_grams(docs, key, text_col)
     nd = dg.groupBy(key).agg(F.sum("k").alias("n_doc"))
     seen = (dg.join(prof, "gram").groupBy(key).pivot("lang", names)
             .agg(F.sum(F.col("k") * F.log(F.col("cnt") + 1))))
@@ -77,9 +90,9 @@ def posterior(sc: DataFrame, key: str = "doc_id", target: str = "en") -> DataFra
 
 
 def english(docs: DataFrame, prof: DataFrame, key: str = "doc_id", text_col: str = "text",
-            min_score: float = LANG_MIN_SCORE) -> DataFrame:
+            min_score: float = LANG_MIN_SCORE, grams: DataFrame | None = None) -> DataFrame:
     """``(key, pred_lang, p_en, is_english)`` for every document (no trigram -> False)."""
-    post = posterior(scores(docs, prof, key, text_col), key)
+    post = posterior(scores(docs, prof, key, text_col, grams), key)
     out = docs.select(key).join(post, key, "left")
     return out.select(key, "pred_lang", "p_en",
                       F.coalesce(F.col("p_en") >= min_score, F.lit(False)).alias("is_english"))

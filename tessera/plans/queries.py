@@ -207,8 +207,8 @@ b AS (SELECT doc_id, lang AS shard, list_append({S.base_ids('text')}, {BL.EOS_ID
 
 def _byte_docs(spark, d):
     docs = tables.documents(spark, d, "doc_id", "lang", "text")
-    c = docs.select("doc_id", F.col("lang").alias("shard"), T.canonical_text("text").alias("text"))
-    c = c.where(filters.non_empty("text"))
+    c = docs.where(T.has_content("text")).select(
+        "doc_id", F.col("lang").alias("shard"), T.canonical_text("text").alias("text"))
     return c.select("doc_id", "shard", F.col("doc_id").alias("ord"),
                     BL.with_eos(BL.base_ids("text")).alias("ids"))
 

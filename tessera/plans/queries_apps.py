@@ -248,7 +248,7 @@ SELECT doc_id, count(*)::BIGINT AS n_ngrams,
        count(*) FILTER (WHERE d <= {REPEAT_WINDOW - NGRAM})::BIGINT AS n_repeats FROM l GROUP BY doc_id""")
 def q_ngram_repeats(spark, d):
     docs = tables.documents(spark, d, "doc_id", "text")
-    c = docs.select("doc_id", T.canonical_text("text").alias("text")).where(F.col("text") != "")
+    c = docs.where(T.has_content("text")).select("doc_id", T.canonical_text("text").alias("text"))
     r = SQ.ngram_repeats(c.select("doc_id", T.words("text").alias("ws")), "doc_id", "ws", NGRAM, REPEAT_WINDOW)
     return r.groupBy("doc_id").agg(F.count(F.lit(1)).cast("bigint").alias("n_ngrams"),
                                    F.count(F.when(F.col("repeated"), F.lit(1))).cast("bigint").alias("n_repeats"))

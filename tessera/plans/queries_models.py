@@ -39,7 +39,7 @@ def q_bpe_vocab(spark, d):
 # --- P8 -----------------------------------------------------------------------------------------------
 def _clean_docs(spark, d):
     docs = tables.documents(spark, d, "doc_id", "source", "text")
-    return docs.select("doc_id", "source", T.canonical_text("text").alias("text")).where(F.col("text") != "")
+    return docs.where(T.has_content("text")).select("doc_id", "source", T.canonical_text("text").alias("text"))
 
 
 @query("bpe_encode_lengths")
@@ -95,8 +95,9 @@ out AS (SELECT d.doc_id, po.pred_lang, pe.p_en, coalesce(pe.p_en >= {langid.LANG
 
 def _gate(spark, d):
     docs = tables.table(spark, d, "documents", "doc_id", "lang", "text")
-    prof = materialize(langid.profiles(docs), "lang_profiles")
-    return docs, langid.english(docs.select("doc_id", "text"), prof)
+    grams = materialize(langid.doc_grams(docs, lang_col="lang"), "doc_grams")
+    prof = materialize(langid.profiles(docs, grams=grams), "lang_profiles")
+    return docs, langid.english(docs.select("doc_id", "text"), prof, grams=grams)
 
 
 @query("english_gate", _GATE_SQL + "\nSELECT doc_id, pred_lang, round(p_en, 6) AS p_en, is_english FROM out")

@@ -24,7 +24,7 @@ from tessera.operators.ratelimit import WINDOW_SECONDS
 # ---------------------------------------------------------------------------
 def online_dedupe(stream: DataFrame, text_col: str = "text", ord_col: str = "ord") -> DataFrame:
     cols = [c for c in stream.columns if c != text_col]
-    s = stream.select(*cols, T.canonical_text(text_col).alias(text_col)).where(F.col(text_col) != "")
+    s = stream.where(T.has_content(text_col)).select(*cols, T.canonical_text(text_col).alias(text_col))
     s = s.withColumn("sha1", T.digest(text_col))
     out_schema = s.schema
 
