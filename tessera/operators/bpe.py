@@ -268,3 +268,14 @@ def roundtrip(lines: DataFrame, model: BpeModel, n_samples: int = 1000, ord_col:
         .withColumn("roundtrip_rate",
                     F.when(F.col("roundtrip_checked") > 0,
                            F.col("roundtrip_exact") / F.col("roundtrip_checked")))
+
+
+def check_roundtrip(stats: DataFrame, min_rate: float = 0.95) -> dict:
+    """fail the job when nothing was checked or the round-trip rate is below ``min_rate``."""
+    r = stats.first().asDict()
+    if not r["roundtrip_checked"]:
+        raise RuntimeError("no sample lines for round-trip check")
+    if r["roundtrip_rate"] < min_rate:
+        raise RuntimeError(f"BPE round-trip match rate too low: {r['roundtrip_rate']:.3f} "
+                           f"({r['roundtrip_exact']}/{r['roundtrip_checked']})")
+    return r

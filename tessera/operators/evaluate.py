@@ -64,9 +64,8 @@ def window_nll(val_windows: DataFrame, pc: DataFrame, cc: DataFrame, vocab_size:
 
 
 def summarize(nll: DataFrame, batch_size: int = 4, max_batches: int | None = None) -> DataFrame:
-    """A11 + W6/W7: token-weighted mean loss over (capped) batches, ppl, tokens; one row per shard.
-
-    Fails (F6) when no token is evaluated."""
+    """A11 + W6/W7 from per-window losses: token-weighted mean loss over (capped) batches, ppl,
+    tokens; one row per shard (``check_tokens`` enforces F6)."""
     b = W.batches(nll, batch_size, max_batches)
     agg = b.groupBy("shard").agg(F.sum("nll").alias("_s"), F.sum("tokens").alias("val_tokens"),
                                  F.countDistinct("batch_id").cast("bigint").alias("n_batches"))
@@ -78,10 +77,33 @@ def summarize(nll: DataFrame, batch_size: int = 4, max_batches: int | None = Non
 def evaluate(train_chunks: DataFrame, val_chunks: DataFrame, val_meta: DataFrame, context: int,
              vocab_size: int, batch_size: int = 4, max_batches: int | None = None,
              alpha: float = 1.0) -> DataFrame:
-    """Bigram fit on ``train_chunks``, sequential windows of ``val_chunks``, summary per shard."""
+    """Bigram fit on ``train_chunks``, sequential windows of ``val_chunks`` (capped to
+    ``max_batches`` before any token is cut), summary per shard.
+
+    The summary needs only totals, so the scored pairs of all kept windows are counted per
+    ``(prev, next)`` first (partial aggregate) and joined with the model at pair level: the join
+    never sees one row per token, and a frequent pair is one row."""
     pc, cc = bigram_counts(train_chunks)
     wins = W.eval_windows(val_chunks, val_meta, context)
     if max_batches is not None:
         wins = wins.where(F.col("window_id") < max_batches * batch_size)
     wins = W.with_shift(wins, context)
-    return summarize(window_nll(wins, pc, cc, vocab_size, alpha), batch_size, max_batches)
+    pairs = wins.select("shard", F.explode(F.arrays_zip(
+        F.col("input_ids").alias("prev"), F.col("labels").alias("next"))).alias("p")) \
+        .groupBy("shard", F.col("p.prev").cast("int").alias("prev"), F.col("p.next").cast("int").alias("next")) \
+        .agg(F.count(F.lit(1)).alias("n"))
+    j = pairs.join(pc, ["prev", "next"], "left").join(cc, "prev", "left")
+    p = (F.coalesce(F.col("c"), F.lit(0)) + alpha) / (F.coalesce(F.col("cp"), F.lit(0)) + alpha * vocab_size)
+    tot = j.groupBy("shard").agg(F.sum(F.col("n") * -F.log(p)).alias("_s"), F.sum("n").alias("_t"))
+    nb = wins.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / batch_size).cast("bigint").alias("n_batches"))
+    loss = F.col("_s") / F.col("_t")
+    return tot.join(nb, "shard").select("shard", loss.alias("val_loss"), perplexity(loss).alias("val_ppl"),
+                                        F.col("_t").cast("double").alias("val_tokens"), "n_batches")
+
+
+def check_tokens(summary: DataFrame) -> list[dict]:
+    """fail when an evaluated shard produced zero tokens (one row per shard comes back)."""
+    rows = [r.asDict() for r in summary.collect()]
+    if not rows or any(not r["val_tokens"] for r in rows):
+        raise RuntimeError("evaluation produced zero tokens")
+    return rows

@@ -62,7 +62,7 @@ def scores(docs: DataFrame, prof: DataFrame, key: str = "doc_id", text_col: str
     """
     lang_tot = prof.groupBy("lang").agg(F.sum("cnt").alias("n_lang"))
     vcount = int(prof.select("gram").distinct().count())
-    langs = sorted((r["lang"], float(r["n_lang"])) for r in lang_tot.collect())
+    langs = sorted((r["lang"], float(r["n_lang"])) for r in lang_tot.limit(MAX_LANGS + 1).collect())
     if len(langs) > MAX_LANGS:
         raise ValueError(f"{len(langs)} languages above the bound {MAX_LANGS}")
     names = [lg for lg, _ in langs]

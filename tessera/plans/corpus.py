@@ -1,16 +1,17 @@
 """L1/L2/L3: the corpus build as a chain of table-to-table jobs.
 
-Steps (each writes tables under ``root`` and is skipped when its output exists, unless forced):
+Steps (any subset, in this order; each yields tables and a small metrics dict):
 
-  ingest        documents -> normalised one-line docs per source (S1, P2, S4 counters)
   clean_dedupe  P1 + sha1 + first-occurrence dedupe across sources (D1, D2)
-  bpe           word counts of the deduplicated corpus -> vocab, merges, word symbols (A4-A6, S15)
+  bpe           word counts of the deduplicated corpus -> vocab, merges, word symbols (A4-A6),
+                round-trip gate on the first 1000 lines (A7, F6)
   tokenize      cleaned, *non-deduplicated* docs per source -> BPE ids + EOS -> packed chunks (L2)
   split         95/5 token split of the chosen shards (W4) and manifest upsert (J5)
   stream_cap    language/length-gated docs, token-capped prefix appended as its own shard (W2)
   verify        one smoke batch with the shift check (M5, P18)
 
-Only one-row metrics and the (bounded) vocabulary pass through the driver.
+Only one-row metrics and the (bounded) vocabulary pass through the driver. Writing the tables
+out (with refuse / overwrite / skip rules) is ``sources.artifacts``.
 """
 
 from __future__ import annotations
@@ -80,7 +81,9 @@ def build(spark: SparkSession, sf_dir: str, vocab_size: int = 300, split_shards:
         model = bpe_model(spark, sf_dir, vocab_size)
         out.tables["vocab"] = model.vocab
         out.tables["merges"] = model.merges
-        out.stats["bpe"] = {"vocab_size": model.vocab_size, "rounds": model.rounds}
+        sample = dedupe.first_per_digest(dedupe.clean(docs)).select("ord", "text")
+        rt = bpe.check_roundtrip(bpe.roundtrip(sample, model, 1000))
+        out.stats["bpe"] = {"vocab_size": model.vocab_size, "rounds": model.rounds, **rt}
     chunks = None
     if "tokenize" in steps and model is not None:
         chunks = materialize(tokenize_sources(docs, model), "token_chunks")
