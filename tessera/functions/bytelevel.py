@@ -97,3 +97,22 @@ def duckdb_byte_char_list() -> str:
 
 def duckdb_base_id_list() -> str:
     return "[" + ",".join(str(i) for i in BASE_IDS) + "]"
+
+
+def text_pieces(c: Column | str, piece_chars: int = 65536) -> Column:
+    """A text cut into consecutive pieces of at most ``piece_chars`` code points (one linear regex
+    pass), so byte ids are built per piece rather than per whole document."""
+    return F.regexp_extract_all(_c(c), F.lit("(?s).{1,%d}" % piece_chars), 0)
+
+
+def byte_pieces(docs, shard_col: str = "shard", ord_col: str = "ord", text_col: str = "text",
+                piece_chars: int = 65536, eos_id: int | None = EOS_ID, eos_piece: int = 2 ** 31 - 1):
+    """``(shard, ord, piece, ids)``: base ids of each text piece, plus one EOS piece per document."""
+    p = docs.select(F.col(shard_col).alias("shard"), F.col(ord_col).alias("ord"),
+                    F.posexplode(text_pieces(text_col, piece_chars)).alias("piece", "_t"))
+    p = p.select("shard", "ord", "piece", base_ids("_t").alias("ids"))
+    if eos_id is None:
+        return p
+    e = docs.select(F.col(shard_col).alias("shard"), F.col(ord_col).alias("ord"),
+                    F.lit(eos_piece).alias("piece"), F.array(F.lit(eos_id)).alias("ids"))
+    return p.unionByName(e)

@@ -184,11 +184,8 @@ def encode(docs: DataFrame, model: BpeModel, key: str = "doc_id", text_col: str
     Words never seen in training are encoded by replaying the merges on the distinct unseen words
     (``encode_unseen``); the word join is a shuffle join (AQE splits hot words).
     """
-    wi = word_ids(model.words, model.vocab)
     ex = docs.select(key, F.posexplode(T.words(text_col)).alias("pos", "word"))
-    unseen = ex.select("word").join(wi.select("word"), "word", "left_anti").distinct()
-    wi = wi.unionByName(encode_unseen(unseen, model))
-    j = ex.join(wi, "word", "left")
+    j = ex.join(word_table(model, ex), "word", "left")
     out = j.groupBy(key).agg(
         F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "wids"))),
                               lambda x: x["wids"])).alias("ids"))
@@ -200,6 +197,28 @@ def encode(docs: DataFrame, model: BpeModel, key: str = "doc_id", text_col: str
     return out
 
 
+def word_table(model: BpeModel, occurrences: DataFrame) -> DataFrame:
+    """``(word, wids)`` for every distinct word of ``occurrences(word)``: training words from the
+    model's table, the rest by replaying merges on the distinct unseen words only."""
+    wi = word_ids(model.words, model.vocab)
+    unseen = occurrences.select("word").join(wi.select("word"), "word", "left_anti").distinct()
+    return wi.unionByName(encode_unseen(unseen, model))
+
+
+def encode_pieces(docs: DataFrame, model: BpeModel, shard_col: str = "shard", ord_col: str = "ord",
+                  text_col: str = "text", eos_id: int | None = BL.EOS_ID) -> DataFrame:
+    """P8/P10 at word level: ``(shard, ord, piece, ids)`` — one row per word occurrence (ids of
+    the word) plus one EOS row per document; no per-document array is ever built."""
+    ex = docs.select(F.col(shard_col).alias("shard"), F.col(ord_col).alias("ord"),
+                     F.posexplode(T.words(text_col)).alias("piece", "word"))
+    t = ex.join(word_table(model, ex), "word", "left").select("shard", "ord", "piece", F.col("wids").alias("ids"))
+    if eos_id is None:
+        return t
+    e = docs.select(F.col(shard_col).alias("shard"), F.col(ord_col).alias("ord"),
+                    F.lit(2 ** 31 - 1).alias("piece"), F.array(F.lit(eos_id)).alias("ids"))
+    return t.unionByName(e)
+
+
 def encode_unseen(unseen_words: DataFrame, model: BpeModel) -> DataFrame:
     """Encode words outside the training table by replaying merges (pandas, per distinct word)."""
     merges = [(r["left"], r["right"], r["rank"]) for r in model.merges.orderBy("rank").collect()]

@@ -35,14 +35,16 @@ def _as_double(df: DataFrame, col: str) -> Column:
     return F.col(col).cast("double")
 
 
-def with_bucket(df: DataFrame, order_col: str, n_buckets: int | None = None) -> DataFrame:
-    """Add ``_bkt``: a quantile bucket of ``order_col`` (monotone in the order)."""
+def with_bucket(df: DataFrame, order_col: str, n_buckets: int | None = None,
+                bucket_key: Column | None = None) -> DataFrame:
+    """Add ``_bkt``: a quantile bucket of ``order_col`` (or of ``bucket_key``, any double that is
+    monotone non-decreasing in the full order), so bucket order = global order."""
     n = n_buckets or default_buckets(df)
     if n <= 1:
         return df.withColumn(_BKT, F.lit(0.0))
     probs = [i / n for i in range(1, n)]
     tmp = "_bkt_in"
-    src = df.withColumn(tmp, _as_double(df, order_col))
+    src = df.withColumn(tmp, bucket_key if bucket_key is not None else _as_double(df, order_col))
     qs = src.approxQuantile(tmp, probs, 1.0 / (4 * n))
     cuts = sorted(set(q for q in qs if q is not None))
     splits = [float("-inf")] + cuts + [float("inf")]
@@ -54,16 +56,18 @@ def with_bucket(df: DataFrame, order_col: str, n_buckets: int | None = None) ->
 
 def with_running_sums(df: DataFrame, order_cols: list[str], values: dict[str, Column],
                       partition_by: list[str] | None = None, exclusive: bool = False,
-                      n_buckets: int | None = None, dtype: str = "bigint") -> DataFrame:
+                      n_buckets: int | None = None, dtype: str = "bigint",
+                      bucket_key: Column | None = None) -> DataFrame:
     """Add one running-sum column per entry of ``values`` (name -> numeric Column).
 
     ``order_cols`` must be a unique order within each ``partition_by`` group; the first one is
-    bucketed. ``exclusive`` gives sums of the rows strictly before each row.
+    bucketed unless ``bucket_key`` (see :func:`composite_key`) covers several order columns.
+    ``exclusive`` gives sums of the rows strictly before each row.
     """
     part = list(partition_by or [])
     keys = part + [_BKT]
     vals = {f"_v_{k}": (F.col(v) if isinstance(v, str) else v).cast(dtype) for k, v in values.items()}
-    b = with_bucket(df, order_cols[0], n_buckets).withColumns(vals)
+    b = with_bucket(df, order_cols[0], n_buckets, bucket_key).withColumns(vals)
     w_in = (Window.partitionBy(*keys).orderBy(*order_cols)
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     inner = b.withColumns({f"_r_{k}": F.sum(f"_v_{k}").over(w_in) for k in values})
@@ -82,6 +86,14 @@ def with_running_sums(df: DataFrame, order_cols: list[str], values: dict[str, Co
     return out.drop(*drop)
 
 
+def composite_key(major: str, minor: str, minor_bits: int = 32) -> Column:
+    """Double bucket key for the order ``(major, minor)`` with ``0 <= minor < 2**minor_bits``:
+    ``major * 2**bits + minor`` in double arithmetic. Rounding is monotone, so the key never
+    decreases along the order (ties only merge neighbours into one bucket), and a single ``major``
+    value with many ``minor`` rows (one huge document) still spreads over many buckets."""
+    return F.col(major).cast("double") * F.lit(float(2 ** minor_bits)) + F.col(minor).cast("double")
+
+
 def with_ordinal(df: DataFrame, order_cols: list[str], name: str = "ord",
                  partition_by: list[str] | None = None, n_buckets: int | None = None) -> DataFrame:
     """1-based dense row number in the given order (per ``partition_by`` group)."""

@@ -47,14 +47,11 @@ def bpe_model(spark: SparkSession, sf_dir: str, vocab_size: int, min_frequency:
 
 def tokenize_sources(docs: DataFrame, model: bpe.BpeModel, shard_col: str = "source",
                      chunk_size: int = shards.CHUNK_SIZE) -> DataFrame:
-    """Clean (no dedupe), drop empty, BPE-encode with EOS, pack per shard into chunks.
-    Fails when no token is produced (F6)."""
+    """Clean (no dedupe), drop empty, BPE-encode with EOS, pack per shard into chunks —
+    word by word, so no document is ever one array or one group."""
     c = docs.where(T.has_content("text")).select(
-        "doc_id", F.col(shard_col).alias("shard"), F.col("doc_id").alias("ord"),
-        T.canonical_text("text").alias("text"))
-    enc = bpe.encode(c.select("doc_id", "text"), model, eos=True)
-    dt = c.select("doc_id", "shard", "ord").join(enc, "doc_id")
-    return shards.to_chunks(shards.pack_offsets(dt), chunk_size)
+        F.col(shard_col).alias("shard"), F.col("doc_id").alias("ord"), T.canonical_text("text").alias("text"))
+    return shards.pack_pieces(bpe.encode_pieces(c, model), chunk_size)
 
 
 @dataclass

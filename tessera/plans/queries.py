@@ -231,7 +231,13 @@ pk AS (SELECT shard, doc_id, len(ids)::BIGINT AS n_tokens,
 
 @query("pack_offsets", _PACK_SQL + "\nSELECT shard, doc_id, start, n_tokens FROM pk")
 def q_pack_offsets(spark, d):
-    return shards.pack_offsets(_byte_docs(spark, d)).select("shard", "doc_id", "start", "n_tokens")
+    # per-document offsets need only each document's token count (bytes + EOS), not its ids
+    from tessera.operators.order import with_running_sums
+    docs = tables.documents(spark, d, "doc_id", "lang", "text")
+    c = docs.where(T.has_content("text")).select(
+        "doc_id", F.col("lang").alias("shard"), (F.octet_length(T.canonical_text("text")) + 1).alias("n_tokens"))
+    return with_running_sums(c, ["doc_id"], {"start": F.col("n_tokens")}, partition_by=["shard"],
+                             exclusive=True).select("shard", "doc_id", "start", F.col("n_tokens").cast("bigint"))
 
 
 _CHUNK_TABLES: dict[tuple, DataFrame] = {}
@@ -244,8 +250,11 @@ def _chunks(spark, d):
     from tessera.operators.materialize import materialize
     key = (spark.sparkContext.applicationId, d)
     if key not in _CHUNK_TABLES:
-        packed = shards.pack_offsets(_byte_docs(spark, d))
-        _CHUNK_TABLES[key] = materialize(shards.to_chunks(packed, CHUNK), "token_chunks")
+        docs = tables.documents(spark, d, "doc_id", "lang", "text")
+        c = docs.where(T.has_content("text")).select(
+            F.col("lang").alias("shard"), F.col("doc_id").alias("ord"), T.canonical_text("text").alias("text"))
+        pieces = BL.byte_pieces(c, piece_chars=shards.PIECE_CHARS, eos_piece=shards.EOS_PIECE)
+        _CHUNK_TABLES[key] = materialize(shards.pack_pieces(pieces, CHUNK), "token_chunks")
     return _CHUNK_TABLES[key]
 
 

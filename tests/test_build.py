@@ -50,3 +50,28 @@ def test_vocab_usage(spark):
     p = spark.createDataFrame([("s", 0, [5, 5, 7, 9])], "shard string, start bigint, ids array<int>")
     u = shards.vocab_usage(shards.to_chunks(p, 2), 100).first()
     assert (u.unique_ids, u.coverage_pct, u.min_id, u.max_id) == (3, 3.0, 5, 9)
+
+
+def test_piece_packing_spreads_one_huge_document(spark):
+    from pyspark.sql import functions as F
+    big = [("s", 1, p, list(range(p * 10, p * 10 + 10))) for p in range(200)]      # one dominant doc
+    small = [("s", 0, 0, [9000, 9001]), ("s", 2, 0, [9100])]
+    pieces = spark.createDataFrame(big + small, "shard string, ord long, piece long, ids array<int>")
+    ch = shards.pack_pieces(pieces, chunk_size=64, n_buckets=16)
+    flat = [x for r in ch.orderBy("chunk_id").collect() for x in r.ids]
+    assert flat == [9000, 9001] + list(range(2000)) + [9100]
+    # the dominant document really is cut into several buckets
+    from tessera.operators.order import composite_key, with_bucket
+    b = with_bucket(pieces, "ord", 16, composite_key("ord", "piece")).where(F.col("ord") == 1)
+    assert b.select("_bkt").distinct().count() > 4
+
+
+def test_word_level_tokenisation_equals_document_encode(spark):
+    from tessera.functions import text as T
+    docs = tables.documents(spark, SF, "doc_id", "source", "text")
+    model = corpus.bpe_model(spark, SF, 270)
+    meta = {r.shard: r.tokens for r in shards.shard_meta(corpus.tokenize_sources(docs, model)).collect()}
+    c = docs.where(T.has_content("text")).select("doc_id", "source", T.canonical_text("text").alias("text"))
+    enc = bpe.encode(c.select("doc_id", "text"), model, eos=True).join(c.select("doc_id", "source"), "doc_id")
+    exp = {r.source: r.n for r in enc.groupBy("source").agg(F.sum(F.size("ids")).alias("n")).collect()}
+    assert meta == exp
