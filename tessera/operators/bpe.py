@@ -140,9 +140,14 @@ def train(words: DataFrame, vocab_size: int, min_frequency: int = 2, max_merges:
         if not accepted:
             break
         rounds += 1
+        prev = state
         state = state.withColumn("sy", apply_merges(F.col("sy"), accepted))
         if rounds % checkpoint_every == 0:
-            state = materialize(state, "bpe_words")
+            state = materialize(state, "bpe_words")      # lineage cut in the shared folder
+        else:
+            state = state.persist()                      # next round reads it, no recompute
+        if prev.storageLevel.useMemory or prev.storageLevel.useDisk:
+            prev.unpersist()
     state = materialize(state, "bpe_words")
     vocab = _vocab_df(spark, tokens)
     mdf = spark.createDataFrame(merges, "rank int, left string, right string, id int")
