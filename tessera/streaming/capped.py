@@ -3,9 +3,10 @@
 Each micro-batch (``foreachBatch``) continues the batch-mode W2 rule with carried counters:
 kept documents get global ranks ``kept_so_far + local rank``, running token totals start at
 ``tokens_so_far``; once the cap is reached the stop batch is fixed, and the query stops as soon
-as that batch of ``batch_docs`` kept documents is complete. Token pieces are appended with their
-shard offsets (``doc_tokens``); aligning them into chunks is a batch job afterwards.
-The final counters are written as a one-line JSON table next to the checkpoint.
+as that batch of ``batch_docs`` kept documents is complete. Token pieces are written with their
+shard offsets (``doc_tokens``) into a folder per epoch, overwritten if the epoch is replayed after
+a failure (idempotent); aligning them into chunks is a batch job afterwards. The counters are
+saved per epoch next to the checkpoint and restored when the query restarts from it.
 Progress (seen / kept / dropped / tokens) is published through ``observe`` (T3).
 """
 
@@ -42,11 +43,23 @@ class ProgressLog:
         self.rows.append({"epoch": epoch, **metrics})
 
 
+def _load_state(spark, state_dir: str) -> CapState:
+    try:
+        rows = spark.read.schema("epoch long, state string").json(state_dir) \
+            .orderBy(F.desc("epoch")).limit(1).collect()
+    except Exception:  # noqa: BLE001 - no saved state yet
+        rows = []
+    return CapState(**json.loads(rows[0]["state"])) if rows else CapState()
+
+
 def stream_capped(stream: DataFrame, ord_col: str, passed: Column, ids: Column, token_cap: int,
-                  batch_docs: int, shard: str, name: str = "capped") -> tuple[str, CapState, ProgressLog]:
+                  batch_docs: int, shard: str, name: str = "capped",
+                  checkpoint: str | None = None) -> tuple[str, CapState, ProgressLog]:
     spark = stream.sparkSession
-    out_dir = shared_dir(spark, f"{name}-doc_tokens")
-    state = CapState()
+    ckpt = checkpoint or shared_dir(spark, f"ckpt-{name}-stream")
+    out_dir = f"{ckpt}/doc_tokens"
+    state_dir = f"{ckpt}/cap_state"
+    state = _load_state(spark, state_dir)
     progress = ProgressLog()
     B = batch_docs
     src = stream.select(F.col(ord_col).alias("ord"), passed.alias("_pass"), ids.alias("ids"))
@@ -73,7 +86,7 @@ def stream_capped(stream: DataFrame, ord_col: str, passed: Column, ids: Column,
                                                                             F.lit(token_cap) - before)))
         emit = emit.select(F.lit(shard).alias("shard"), "ord", "rank", before.alias("start"),
                            F.slice("ids", 1, F.col("tokens_kept").cast("int")).alias("ids"))
-        emit.write.mode("append").parquet(out_dir)
+        emit.write.mode("overwrite").parquet(f"{out_dir}/epoch={epoch}")
         stats = emit.agg(F.count(F.lit(1)).alias("n"), F.max("rank").alias("last"),
                          F.coalesce(F.sum(F.size("ids")), F.lit(0)).alias("t")).first()
         m = obs.get
@@ -89,13 +102,13 @@ def stream_capped(stream: DataFrame, ord_col: str, passed: Column, ids: Column,
         state.dropped = state.seen - state.kept
         state.tokens += int(stats["t"])
         k.unpersist()
+        spark.createDataFrame([(epoch, json.dumps(asdict(state)))], "epoch long, state string") \
+            .write.mode("overwrite").json(f"{state_dir}/e={epoch}")
         progress.add(epoch, {"seen": state.seen, "kept": state.kept, "dropped": state.dropped,
                              "tokens": state.tokens, "cap": token_cap})
 
     w = src.writeStream.foreachBatch(on_batch)
-    _, ckpt = run_available(w, f"{name}-stream", spark)
-    spark.createDataFrame([(json.dumps(asdict(state)),)], "state string") \
-        .write.mode("overwrite").text(f"{ckpt}/cap_state")
+    run_available(w, f"{name}-stream", spark, ckpt)
     return out_dir, state, progress
 
 

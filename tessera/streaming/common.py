@@ -21,9 +21,10 @@ def table_stream(spark: SparkSession, path: str, max_files_per_trigger: int | No
     return r.parquet(path)
 
 
-def run_available(writer, name: str, spark: SparkSession) -> tuple[StreamingQuery, str]:
-    """Start with an ``availableNow`` trigger and a checkpoint under the shared folder; wait."""
-    ckpt = shared_dir(spark, f"ckpt-{name}")
+def run_available(writer, name: str, spark: SparkSession, ckpt: str | None = None) -> tuple[StreamingQuery, str]:
+    """Start with an ``availableNow`` trigger and a checkpoint (given, or new under the shared
+    folder); wait. Re-running with the same checkpoint resumes where the last run stopped."""
+    ckpt = ckpt or shared_dir(spark, f"ckpt-{name}")
     q = writer.option("checkpointLocation", ckpt).trigger(availableNow=True).start()
     q.awaitTermination()
     if q.exception() is not None:

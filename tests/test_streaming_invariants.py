@@ -89,3 +89,26 @@ def test_entry_contract(spark):
     assert df.columns == ["doc_id", "source", "sha1", "text"] and df.count() > 0
     qs, orc = E.queries(), E.oracle_sql()
     assert set(orc) <= set(qs)
+
+
+def test_capped_stream_resumes_from_checkpoint(spark, tmpdir_path):
+    import shutil
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    staged = _split_files(spark, docs, os.path.join(tmpdir_path, "staged"), 4)
+    live = os.path.join(tmpdir_path, "live")
+    os.makedirs(live)
+    passed = F.col("lang") == "en"
+    n_tok = F.octet_length("text") + 1
+    cap = int(docs.where(passed).agg(F.sum(n_tok)).first()[0]) * 3 // 4
+    batch = capping.capped_prefix(docs, "doc_id", passed, n_tok, cap, 4).stats.first()
+    ids = F.when(passed, BL.with_eos(BL.base_ids(F.col("text"))))
+    ckpt = os.path.join(tmpdir_path, "ckpt")
+    for part in ("f000", "f001"):
+        shutil.copytree(os.path.join(staged, part), os.path.join(live, part))
+    capped.stream_capped(_stream_dir(spark, live), "doc_id", passed, ids, cap, 4, "en", checkpoint=ckpt)
+    for part in ("f002", "f003"):
+        shutil.copytree(os.path.join(staged, part), os.path.join(live, part))
+    out, state, _ = capped.stream_capped(_stream_dir(spark, live), "doc_id", passed, ids, cap, 4, "en",
+                                         checkpoint=ckpt)
+    assert (state.seen, state.kept, state.tokens) == (batch.docs_seen, batch.docs_kept, batch.tokens)
+    assert spark.read.parquet(out).agg(F.sum(F.size("ids"))).first()[0] == batch.tokens
