@@ -31,7 +31,8 @@ def _as_double(df: DataFrame, col: str) -> Column:
     """Monotone numeric view of an order column (timestamps as microseconds)."""
     dt = df.schema[col].dataType.typeName()
     if dt.startswith("timestamp") or dt == "date":
-        return F.unix_micros(F.col(col).cast("timestamp")).cast("double")
+        from tessera.functions.timecols import epoch_micros
+        return epoch_micros(df, col).cast("double")
     return F.col(col).cast("double")
 
 

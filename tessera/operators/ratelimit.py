@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.timecols import epoch_seconds
 from tessera.operators.order import with_lag, with_ordinal, with_running_sums
 
 WINDOW_SECONDS = 60.0
@@ -70,7 +71,7 @@ def sliding_window(events: DataFrame, key: str, ts_col: str, id_col: str, rate:
     are hash-partitioned by (key, segment), sorted inside partitions and scanned by one pandas call
     per partition (not per group), so many small keys cost one pass."""
     from pyspark.sql import Window
-    e = events.withColumn("_t", F.unix_micros(F.col(ts_col).cast("timestamp")) / F.lit(1e6))
+    e = events.withColumn("_t", epoch_seconds(events, ts_col))
     seg = _segments(e, key, "_t", ["_t", id_col])
     seg = seg.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(key, "segment")))
     easy = seg.where(F.col("_n") < rate).select(F.col(id_col).alias("_eid"), F.lit(True).alias("accepted"))

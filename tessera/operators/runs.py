@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.timecols import epoch_micros
 from tessera.operators.filters import finite
 from tessera.operators.order import with_lag, with_ordinal, with_running_extreme
 
@@ -73,12 +74,12 @@ def latest_status(metrics: DataFrame, run: str = "run", step: str = "step", loss
 def throughput(metrics: DataFrame, tokens_per_step: int, run: str = "run", step: str = "step",
                ts: str = "ts") -> DataFrame:
     """``tokens_per_step / max(dt, 1e-9)`` with ``dt`` the time since the previous step."""
-    lagged = with_lag(metrics, [step], {"_prev_ts": ts}, partition_by=[run])
-    dt = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("_prev_ts").cast("timestamp"))
-    secs = dt / F.lit(1e6)
-    return lagged.withColumn("tok_s", F.when(F.col("_prev_ts").isNotNull(),
+    m = metrics.withColumn("_us", epoch_micros(metrics, ts))
+    lagged = with_lag(m, [step], {"_prev_us": "_us"}, partition_by=[run])
+    secs = (F.col("_us") - F.col("_prev_us")) / F.lit(1e6)
+    return lagged.withColumn("tok_s", F.when(F.col("_prev_us").isNotNull(),
                                              F.lit(float(tokens_per_step)) / F.greatest(secs, F.lit(1e-9)))) \
-        .drop("_prev_ts")
+        .drop("_prev_us", "_us")
 
 
 def tokens_per_step(batch: int, accum: int, context: int) -> int:

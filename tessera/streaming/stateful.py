@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from tessera.functions import text as T
+from tessera.functions.timecols import epoch_seconds
 from tessera.operators.ratelimit import WINDOW_SECONDS
 
 
@@ -48,7 +49,7 @@ def online_dedupe(stream: DataFrame, text_col: str = "text", ord_col: str = "ord
 # T5: fixed quota per key; T4: sliding-window admission per key
 # ---------------------------------------------------------------------------
 def _with_seconds(stream: DataFrame, ts_col: str) -> DataFrame:
-    return stream.withColumn("_t", F.unix_micros(F.col(ts_col).cast("timestamp")) / F.lit(1e6))
+    return stream.withColumn("_t", epoch_seconds(stream, ts_col))
 
 
 def quota(stream: DataFrame, key: str, ts_col: str, id_col: str, max_req: int = 60) -> DataFrame:
