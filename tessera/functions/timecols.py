@@ -10,14 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_EPOCH_NTZ = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-
 
 def epoch_micros(df: DataFrame, col: str) -> Column:
     """Microseconds since 1970-01-01 (UTC for ``timestamp``, wall clock for ``timestamp_ntz``)."""
     t = df.schema[col].dataType.typeName()
     if t == "timestamp_ntz":
-        return F.timestamp_diff("MICROSECOND", _EPOCH_NTZ, F.col(col))
+        epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+        return F.timestamp_diff("MICROSECOND", epoch, F.col(col))
     if t in ("timestamp", "date"):
         return F.unix_micros(F.col(col).cast("timestamp"))
     return F.col(col).cast("bigint")
