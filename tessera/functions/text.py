@@ -94,8 +94,3 @@ def word_count(c: Column | str) -> Column:
 def tokens_from_bytes(c: Column | str) -> Column:
     """Token count of a flat int32 file of ``c`` bytes."""
     return F.floor(_c(c) / F.lit(4)).cast("bigint")
-
-
-def utf8_bytes(c: Column | str) -> Column:
-    """UTF-8 byte length of a string."""
-    return F.octet_length(_c(c))

@@ -37,11 +37,6 @@ def first_per_digest(cleaned: DataFrame, ord_col: str = "ord", key: str = "sha1"
             .select("_s.*"))
 
 
-def clean_nonempty(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Canonical text of the documents whose canonical text is not empty (F1), filtered on the
-    raw text with a single regex find so the normaliser runs once."""
-    return docs.where(T.has_content(text_col)).withColumn(text_col, T.canonical_text(text_col))
-
 
 def dedupe_stats(cleaned: DataFrame, text_col: str = "text", key: str = "sha1") -> DataFrame:
     """Input, empty, duplicates, kept, dedupe_ratio, bytes (kept text + newline) in one row."""

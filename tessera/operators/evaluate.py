@@ -63,16 +63,6 @@ def window_nll(val_windows: DataFrame, pc: DataFrame, cc: DataFrame, vocab_size:
                                                F.count(F.lit(1)).cast("bigint").alias("tokens"))
 
 
-def summarize(nll: DataFrame, batch_size: int = 4, max_batches: int | None = None) -> DataFrame:
-    """A11 + W6/W7 from per-window losses: token-weighted mean loss over (capped) batches, ppl,
-    tokens; one row per shard (``check_tokens`` enforces F6)."""
-    b = W.batches(nll, batch_size, max_batches)
-    agg = b.groupBy("shard").agg(F.sum("nll").alias("_s"), F.sum("tokens").alias("val_tokens"),
-                                 F.countDistinct("batch_id").cast("bigint").alias("n_batches"))
-    loss = F.col("_s") / F.col("val_tokens")
-    return agg.select("shard", loss.alias("val_loss"), perplexity(loss).alias("val_ppl"),
-                      F.col("val_tokens").cast("double").alias("val_tokens"), "n_batches")
-
 
 def evaluate(train_chunks: DataFrame, val_chunks: DataFrame, val_meta: DataFrame, context: int,
              vocab_size: int, batch_size: int = 4, max_batches: int | None = None,

@@ -53,17 +53,3 @@ def rolling_mean(df: DataFrame, key: str, order_cols: list[str], value: str, wid
     cnt = F.least(F.col("_rn"), F.lit(width))
     return j.withColumn(out, (total / cnt).cast("double")).drop("_rn", "_vd", "_S", "_Sb")
 
-
-def rolling_mean_stream_equivalent(values: list[float], width: int = 20) -> list[float]:
-    """Plain-Python reference of :func:`rolling_mean` for tests."""
-    out = []
-    for i in range(len(values)):
-        w = values[max(0, i - width + 1): i + 1]
-        out.append(sum(w) / len(w))
-    return out
-
-
-def entropy_trace(rows: DataFrame, key: str, pos: str, entropy: Column, width: int = 20) -> DataFrame:
-    """Per-token trace with the rolling mean of the last ``width`` entropies (T6 batch twin)."""
-    t = rows.withColumn("entropy", entropy)
-    return rolling_mean(t, key, [pos], "entropy", width, out="avg_entropy")

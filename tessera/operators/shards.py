@@ -127,12 +127,6 @@ def vocab_usage(chunks: DataFrame, vocab_size: int) -> DataFrame:
         F.min("id").alias("min_id"), F.max("id").alias("max_id"))
 
 
-def shard_ranked(meta: DataFrame, order: list[str]) -> DataFrame:
-    """Attach the position of each shard in a configured shard list (handful of rows)."""
-    spark = meta.sparkSession
-    lst = spark.createDataFrame([(i, s) for i, s in enumerate(order)], "shard_rank int, shard string")
-    return lst.join(meta, "shard")
-
 
 def epoch_len(meta: DataFrame, context: int) -> DataFrame:
     """``max(1, n // (ctx+1))`` windows per epoch for each shard."""

@@ -3,8 +3,9 @@
 Reader: a Python ``DataSource`` whose input partitions are byte ranges of whole chunks, so a large
 file is read by many tasks in parallel; each task memory-maps its range and emits
 ``(shard, chunk_id, start, ids)`` rows aligned on ``chunk_size`` tokens.
-Writer: each task writes its chunks as one part file named by the first token offset (zero
-padded), so concatenating part files in name order gives the flat file (``concat_parts``).
+Writer: each task writes its chunks straight into the one target file at byte offset
+``start * 4`` (positional writes), so the file is assembled in parallel, nothing passes through the
+driver, and a retried task rewrites the same bytes (idempotent).
 Files must be on a filesystem every executor can open (shared mount).
 """
 
@@ -19,6 +20,8 @@ from pyspark.sql.datasource import (DataSource, DataSourceReader, DataSourceWrit
                                     WriterCommitMessage)
 from pyspark.sql.types import StructType
 
+from tessera.functions import text as T
+
 SCHEMA = "shard string, chunk_id bigint, start bigint, ids array<int>"
 DEFAULT_CHUNK = 4096
 CHUNKS_PER_PARTITION = 256
@@ -54,39 +57,35 @@ class _Reader(DataSourceReader):
 
 
 class _Commit(WriterCommitMessage):
-    def __init__(self, files: list[str]):
-        self.files = files
+    def __init__(self, tokens: int):
+        self.tokens = tokens
 
 
 class _Writer(DataSourceWriter):
     def __init__(self, options: dict, overwrite: bool):
-        self.out = options["path"]
-        self.overwrite = overwrite
+        self.target = options["path"]
 
     def write(self, rows) -> _Commit:
         import numpy as np
-        from pyspark import TaskContext
-        os.makedirs(self.out, exist_ok=True)
-        pieces = sorted(((r["start"], r["ids"]) for r in rows), key=lambda x: x[0])
-        if not pieces:
-            return _Commit([])
-        tid = TaskContext.get().taskAttemptId()
-        name = os.path.join(self.out, f"part-{pieces[0][0]:020d}-{tid}.bin")
-        tmp = name + ".tmp"
-        with open(tmp, "wb") as f:
-            for _, ids in pieces:
-                np.asarray(ids, dtype="<i4").tofile(f)
-        os.replace(tmp, name)
-        return _Commit([name])
+        d = os.path.dirname(self.target)
+        if d:
+            os.makedirs(d, exist_ok=True)
+        fd = os.open(self.target, os.O_WRONLY | os.O_CREAT, 0o644)
+        n = 0
+        try:
+            for r in rows:
+                buf = np.asarray(r["ids"], dtype="<i4").tobytes()
+                os.pwrite(fd, buf, int(r["start"]) * 4)
+                n += len(buf) // 4
+        finally:
+            os.close(fd)
+        return _Commit(n)
 
     def commit(self, messages) -> None:
         return None
 
     def abort(self, messages) -> None:
-        for m in messages:
-            for p in (m.files if m else []):
-                if os.path.exists(p):
-                    os.remove(p)
+        return None
 
 
 class TokenBinSource(DataSource):
@@ -119,27 +118,13 @@ def read_bin(spark: SparkSession, path: str, shard: str | None = None, chunk_siz
     return r.load()
 
 
-def write_bin(chunks: DataFrame, out_dir: str, partitions: int | None = None) -> None:
-    """Part files of one shard's chunks; range-partitioned on ``start`` so every part file is
-    one contiguous range and part names sort in offset order."""
+def write_bin(chunks: DataFrame, target: str) -> None:
+    """One shard's chunks as a flat little-endian int32 file (size = 4 x tokens).
+    Refuses an existing target (write guard); chunks may arrive in any partitioning."""
+    if os.path.exists(target):
+        raise FileExistsError(f"{target} already exists")
     register(chunks.sparkSession)
-    df = chunks.select("start", "ids")
-    df = df.repartitionByRange(partitions, "start") if partitions else df.repartitionByRange("start")
-    df.sortWithinPartitions("start").write.format("tokenbin").mode("append").option("path", out_dir).save()
-
-
-def concat_parts(out_dir: str, target: str) -> int:
-    """Concatenate part files in name (= offset) order into ``target``; returns tokens written."""
-    parts = sorted(p for p in os.listdir(out_dir) if p.startswith("part-") and p.endswith(".bin"))
-    n = 0
-    with open(target + ".tmp", "wb") as out:
-        for p in parts:
-            with open(os.path.join(out_dir, p), "rb") as f:
-                b = f.read()
-                n += len(b) // 4
-                out.write(b)
-    os.replace(target + ".tmp", target)
-    return n
+    chunks.select("start", "ids").write.format("tokenbin").mode("append").option("path", target).save()
 
 
 def meta_from_files(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
@@ -154,5 +139,5 @@ def meta_from_files(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     names = spark.createDataFrame(rows, "shard string, path string")
     files = (spark.read.format("binaryFile").load([p for _, p in rows]).select("path", "length")
              .withColumn("path", F.regexp_replace("path", "^file:", "")))
-    return names.join(files, "path").select("shard", F.floor(F.col("length") / 4).cast("bigint").alias("tokens"),
+    return names.join(files, "path").select("shard", T.tokens_from_bytes("length").alias("tokens"),
                                             F.lit("int32").alias("dtype"))

@@ -116,11 +116,11 @@ def test_eval_windows_count(spark):
 
 def test_bin_roundtrip(spark, tmpdir_path):
     ch = _stream(spark, "s", list(range(1000)), chunk=64)
-    out = os.path.join(tmpdir_path, "bin")
-    tokenbin.write_bin(ch, out, partitions=3)
     target = os.path.join(tmpdir_path, "s.bin")
-    assert tokenbin.concat_parts(out, target) == 1000
+    tokenbin.write_bin(ch.repartition(3), target)
     assert os.path.getsize(target) == 4000
+    with pytest.raises(FileExistsError):
+        tokenbin.write_bin(ch, target)
     back = tokenbin.read_bin(spark, target, chunk_size=64)
     assert _flat(back, "s") == list(range(1000))
     m = tokenbin.meta_from_files(spark, {"s": target, "missing": target + ".nope"}).collect()
