@@ -39,3 +39,36 @@ def to_parquet(df: DataFrame, name: str, mode: str = "append") -> str:
     w = df.writeStream.format("parquet").option("path", out).outputMode(mode)
     run_available(w, name, spark)
     return out
+
+
+class ProgressListener:
+    """Collects the observed metrics (``DataFrame.observe`` on a stream) of every trigger
+    through a ``StreamingQueryListener``. One small row per trigger."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        from pyspark.sql.streaming import StreamingQueryListener
+
+        self.rows: list[dict] = []
+        outer = self
+
+        class _L(StreamingQueryListener):
+            def onQueryStarted(self, event):
+                pass
+
+            def onQueryProgress(self, event):
+                m = event.progress.observedMetrics.get(name)
+                if m is not None:
+                    outer.rows.append({"batch": event.progress.batchId, **m.asDict()})
+
+            def onQueryIdle(self, event):
+                pass
+
+            def onQueryTerminated(self, event):
+                pass
+
+        self._listener = _L()
+        self._spark = spark
+        spark.streams.addListener(self._listener)
+
+    def close(self) -> None:
+        self._spark.streams.removeListener(self._listener)

@@ -112,3 +112,20 @@ def test_capped_stream_resumes_from_checkpoint(spark, tmpdir_path):
                                          checkpoint=ckpt)
     assert (state.seen, state.kept, state.tokens) == (batch.docs_seen, batch.docs_kept, batch.tokens)
     assert spark.read.parquet(out).agg(F.sum(F.size("ids"))).first()[0] == batch.tokens
+
+
+def test_progress_listener_sees_observed_metrics(spark, tmpdir_path):
+    from tessera.streaming.common import ProgressListener
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    folder = _split_files(spark, docs, os.path.join(tmpdir_path, "obs"), 3)
+    s = _stream_dir(spark, folder).observe(
+        "progress", F.count(F.lit(1)).alias("seen"), F.count(F.when(F.col("lang") == "en", 1)).alias("kept"))
+    lst = ProgressListener(spark, "progress")
+    try:
+        to_parquet(s.select("doc_id"), "t_obs")
+        import time
+        time.sleep(2)   # listener events are delivered asynchronously
+    finally:
+        lst.close()
+    assert sum(r["seen"] for r in lst.rows) == docs.count()
+    assert sum(r["kept"] for r in lst.rows) == docs.where(F.col("lang") == "en").count()
