@@ -33,7 +33,7 @@ def test_matches_library(spark, model, tmpdir_path):
     tok.train(files=[p], vocab_size=500, min_frequency=2, special_tokens=BL.SPECIAL_TOKENS, show_progress=False)
     tok.save_model(tmpdir_path)
     ref = [tuple(x.split(" ")) for x in open(os.path.join(tmpdir_path, "merges.txt")).read().splitlines()
-           if x and not x.startswith("#")]
+           if x and not x.startswith("#version")]
     ours = [(r.left, r.right) for r in model.merges.orderBy("rank").collect()]
     assert ours == ref
     vocab = json.load(open(os.path.join(tmpdir_path, "vocab.json")))
@@ -70,3 +70,22 @@ def test_apply_merges_self_pair(spark):
     df = spark.createDataFrame([("a a a",), ("a a a a",), ("b a a",)], "sy string")
     got = [r.s for r in df.select(bpe.apply_merges(F.col("sy"), [("a", "a")]).alias("s")).collect()]
     assert got == ["aa a", "aa aa", "b aa"]
+
+
+def test_matches_library_on_documents(spark, tmpdir_path):
+    """Real multilingual text: deduplicated documents of the smallest test scale, 100 merges."""
+    tokenizers = pytest.importorskip("tokenizers")
+    from tessera.operators import dedupe
+    from tessera.sources import tables
+    docs = tables.documents(spark, "/root/testdata/sf0.001", "doc_id", "text", "ord")
+    kept = dedupe.first_per_digest(dedupe.clean(docs)).orderBy("ord").select("text").collect()
+    p = os.path.join(tmpdir_path, "docs.txt")
+    with open(p, "w", encoding="utf-8") as f:
+        f.write("\n".join(r.text for r in kept) + "\n")
+    tok = tokenizers.ByteLevelBPETokenizer()
+    tok.train(files=[p], vocab_size=360, min_frequency=2, special_tokens=BL.SPECIAL_TOKENS, show_progress=False)
+    tok.save_model(tmpdir_path)
+    ref = [tuple(x.split(" ")) for x in open(os.path.join(tmpdir_path, "merges.txt"), encoding="utf-8").read().splitlines()
+           if x and not x.startswith("#version")]
+    m = bpe.train(bpe.word_counts(spark.createDataFrame([(r.text,) for r in kept], "text string")), vocab_size=360)
+    assert [(r.left, r.right) for r in m.merges.orderBy("rank").collect()] == ref
