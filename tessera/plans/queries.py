@@ -336,8 +336,11 @@ new AS (SELECT shard, (sum(len(ids)) * 2)::BIGINT AS tokens FROM b WHERE shard I
 SELECT shard, tokens, 'int32' AS dtype FROM old WHERE shard NOT IN (SELECT shard FROM new)
 UNION ALL SELECT shard, tokens, 'int32' AS dtype FROM new""")
 def q_manifest_upsert(spark, d):
-    b = _byte_docs(spark, d)
-    agg = lambda df: df.groupBy("shard").agg(F.sum(F.size("ids")).cast("bigint").alias("tokens"))
+    # token totals need only byte counts (+1 EOS per document), not the id arrays
+    docs = tables.documents(spark, d, "doc_id", "lang", "text")
+    b = docs.where(T.has_content("text")).select(
+        F.col("lang").alias("shard"), (F.octet_length(T.canonical_text("text")) + 1).alias("n"))
+    agg = lambda df: df.groupBy("shard").agg(F.sum("n").cast("bigint").alias("tokens"))
     old = agg(b.where(F.col("shard").isin("en", "de"))).withColumn("dtype", F.lit(shards.DTYPE))
     new = (agg(b.where(F.col("shard").isin("de", "fr", "es")))
            .withColumn("tokens", F.col("tokens") * 2).withColumn("dtype", F.lit(shards.DTYPE)))
