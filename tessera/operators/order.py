@@ -42,7 +42,7 @@ def with_bucket(df: DataFrame, order_col: str, n_buckets: int | None = None,
     monotone non-decreasing in the full order), so bucket order = global order."""
     n = n_buckets or default_buckets(df)
     if n <= 1:
-        return df.withColumn(_BKT, F.lit(0.0))
+        return df.withColumn(_BKT, F.lit(0))
     probs = [i / n for i in range(1, n)]
     tmp = "_bkt_in"
     src = df.withColumn(tmp, bucket_key if bucket_key is not None else _as_double(df, order_col))
@@ -50,9 +50,9 @@ def with_bucket(df: DataFrame, order_col: str, n_buckets: int | None = None,
     cuts = sorted(set(q for q in qs if q is not None))
     splits = [float("-inf")] + cuts + [float("inf")]
     if len(splits) < 3:
-        return df.withColumn(_BKT, F.lit(0.0))
-    b = Bucketizer(splits=splits, inputCol=tmp, outputCol=_BKT, handleInvalid="keep")
-    return b.transform(src).drop(tmp)
+        return df.withColumn(_BKT, F.lit(0))
+    b = Bucketizer(splits=splits, inputCol=tmp, outputCol="_bkt_d", handleInvalid="keep")
+    return b.transform(src).withColumn(_BKT, F.col("_bkt_d").cast("int")).drop(tmp, "_bkt_d")
 
 
 def with_running_sums(df: DataFrame, order_cols: list[str], values: dict[str, Column],
@@ -72,7 +72,8 @@ def with_running_sums(df: DataFrame, order_cols: list[str], values: dict[str, Co
     w_in = (Window.partitionBy(*keys).orderBy(*order_cols)
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     inner = b.withColumns({f"_r_{k}": F.sum(f"_v_{k}").over(w_in) for k in values})
-    totals = b.groupBy(*keys).agg(*[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in values])
+    # totals come from the window's output: same exchange (reused), so the input is computed once
+    totals = inner.groupBy(*keys).agg(*[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in values])
     w_off = (Window.partitionBy(*part).orderBy(_BKT)
              .rowsBetween(Window.unboundedPreceding, -1))
     offsets = totals.select(*keys, *[
@@ -114,7 +115,7 @@ def with_running_extreme(df: DataFrame, order_cols: list[str], name: str, value:
     w_in = (Window.partitionBy(*keys).orderBy(*order_cols)
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     inner = b.withColumn("_r", fn("_v").over(w_in))
-    totals = b.groupBy(*keys).agg(fn("_v").alias("_t"))
+    totals = inner.groupBy(*keys).agg(fn("_v").alias("_t"))
     w_off = Window.partitionBy(*part).orderBy(_BKT).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, fn("_t").over(w_off).alias("_o"))
     out = inner.join(offsets, on=keys, how="inner")
