@@ -44,10 +44,13 @@ def _clean_docs(spark, d):
 
 @query("bpe_encode_lengths")
 def q_bpe_encode_lengths(spark, d):
+    # per-document totals from word-level pieces (partial aggregates): no document's id list is built
     m = _model(spark, d)
-    enc = bpe.encode(_clean_docs(spark, d).select("doc_id", "text"), m, eos=True)
-    return enc.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
-                      F.aggregate("ids", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("sum_ids"))
+    c = _clean_docs(spark, d).select(F.col("source").alias("shard"), F.col("doc_id").alias("ord"), "text")
+    p = bpe.encode_pieces(c, m)
+    return p.groupBy(F.col("ord").alias("doc_id")).agg(
+        F.sum(F.size("ids")).cast("bigint").alias("n_tokens"),
+        F.sum(F.aggregate("ids", F.lit(0).cast("bigint"), lambda a, x: a + x)).cast("bigint").alias("sum_ids"))
 
 
 # --- A7 W9 P9 -----------------------------------------------------------------------------------------
