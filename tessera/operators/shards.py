@@ -107,13 +107,15 @@ def split_chunks(chunks: DataFrame, counts: DataFrame, val_suffix: str = "_val",
     c = chunks.join(counts.select("shard", "train_tokens"), "shard")
     end = F.col("start") + F.size("ids")
     k = F.col("train_tokens")
+    # the train prefix keeps its alignment: chunks stay where they are, the boundary one is cut
+    # (a narrow step); only the validation suffix is shifted to offset 0 and regrouped
     train = c.where(F.col("start") < k).select(
-        "shard", "start", _safe_slice("ids", F.lit(1), F.least(end, k) - F.col("start")).alias("ids"))
+        "shard", "chunk_id", "start", _safe_slice("ids", F.lit(1), F.least(end, k) - F.col("start")).alias("ids"))
     cut = F.greatest(F.col("start"), k)
     val = c.where(end > k).select(
         F.concat(F.col("shard"), F.lit(val_suffix)).alias("shard"), (cut - k).alias("start"),
         _safe_slice("ids", cut - F.col("start") + 1, end - cut).alias("ids"))
-    return to_chunks(train.unionByName(val), chunk_size)
+    return train.unionByName(to_chunks(val, chunk_size))
 
 
 def vocab_usage(chunks: DataFrame, vocab_size: int) -> DataFrame:
