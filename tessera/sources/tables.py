@@ -19,8 +19,12 @@ def spread(df: DataFrame) -> DataFrame:
     groups would run every per-row expression (regexes, byte maps, n-grams) in a few tasks, so
     when the scan has fewer partitions than the cluster's parallelism the rows are dealt out
     round-robin first. Large inputs already have many splits and are left alone (no shuffle).
+    Set ``spark.tessera.spreadScans=false`` to never add this exchange.
     """
-    target = df.sparkSession.sparkContext.defaultParallelism
+    spark = df.sparkSession
+    if spark.conf.get("spark.tessera.spreadScans", "true").lower() != "true":
+        return df
+    target = spark.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target)
     return df
