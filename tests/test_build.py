@@ -75,3 +75,11 @@ def test_word_level_tokenisation_equals_document_encode(spark):
     enc = bpe.encode(c.select("doc_id", "text"), model, eos=True).join(c.select("doc_id", "source"), "doc_id")
     exp = {r.source: r.n for r in enc.groupBy("source").agg(F.sum(F.size("ids")).alias("n")).collect()}
     assert meta == exp
+
+
+def test_encode_lengths_query_equals_document_encode(spark):
+    from tessera.plans import registry
+    from tessera.plans.queries_models import _clean_docs, _model
+    got = {r.doc_id: (r.n_tokens, r.sum_ids) for r in registry.QUERIES["bpe_encode_lengths"](spark, SF).collect()}
+    enc = bpe.encode(_clean_docs(spark, SF).select("doc_id", "text"), _model(spark, SF), eos=True)
+    assert got == {r.doc_id: (len(r.ids), sum(r.ids)) for r in enc.collect()}

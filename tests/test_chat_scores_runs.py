@@ -107,3 +107,11 @@ def test_sliding_window_matches_python(spark):
         ev = [(e, t) for e, u, t in rows if u == user]
         exp = RL.sliding_window_reference([t for _, t in ev], 3)
         assert [got[e] for e, _ in ev] == exp
+
+
+def test_fit_context_keeps_tail_and_budget(spark):
+    df = spark.createDataFrame([(list(range(10)),), (list(range(3)),)], "ids array<int>")
+    kept, budget = C.fit_context(F.col("ids"), 5, 4)
+    rows = df.select(kept.alias("k"), budget.alias("b")).collect()
+    assert list(rows[0].k) == [6, 7, 8, 9] and rows[0].b == 1
+    assert list(rows[1].k) == [0, 1, 2] and rows[1].b == 2
