@@ -187,7 +187,7 @@ def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # ranges of ids: cut points are one number per range
     ids = docs.select(F.col(id_col).cast("double").alias("_key")).where("_key is not null")
     n = 4 * parts
-    cuts = sorted(set(ids.approxQuantile("_key", [k / n for k in range(1, n)], 1 / (4 * n))))
+    cuts = sorted(set(ids.approxQuantile("_key", [k / n for k in range(1, n)], 1 / (4 * n)))) or [0.0]
     place = (Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="_key", outputCol="_range", handleInvalid="keep")
              .transform(base.withColumn("_key", F.coalesce(F.col("_id").cast("double"), F.lit(-math.inf)))))
     ordered = (place.select("_range", "_id", "_text").repartition(parts, "_range")

@@ -103,7 +103,7 @@ def restore_token(token: str, logp: np.ndarray) -> str:
     """A token of lower-case text, restored if it looks disguised."""
     core = token.strip(".,;:?\"'()[]#*%&<>")
     bare = core.rstrip("$!|+") or core
-    if (_INSIDE.search(bare) and sum(map(len, _LETTER.findall(bare))) * 2 >= len(bare)) or _TRIPLE.search(core):
+    if (_INSIDE.search(bare) and sum(map(len, _LETTER.findall(bare))) * 3 >= len(bare)) or _TRIPLE.search(core):
         return decode(bare, logp)
     return token
 
