@@ -80,7 +80,7 @@ def decode(token: str, logp: np.ndarray, separators: str = "") -> str:
             if ch in _CODE or ch not in LEET:
                 options.append((ch, math.log(0.9)))
             else:
-                options.append((ch, math.log(0.02)))
+                options.append((ch, math.log(0.0005)))  # one of many characters that share code 0
             for letter in LEET.get(ch, ""):
                 options.append((letter, math.log(0.4)))
             if k and token[k - 1] == ch:
