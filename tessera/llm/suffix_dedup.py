@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import materialize, prepare
+from tessera.llm.rolling import between, prefix_sums, stir
 from tessera.llm.suffix_groups import suffix_array
 
 WINDOW, GRAM = 200, 32
@@ -39,39 +40,6 @@ MAX_KINDS = 4096
 #: Bytes of one sorted block, and window starts of one pass over a long text.
 BLOCK, PASS = 1 << 18, 1 << 20
 _U = np.uint64
-_random = np.random.default_rng(8)
-_TABLE = _random.integers(0, 1 << 63, 256, dtype=np.uint64)
-_BASE = 0x5851F42D4C957F2D
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, modulo 2^64."""
-    have = _POWERS.get("up")
-    if have is None or len(have) < n:
-        size = 1 << max(16, n.bit_length())
-        for name, b in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            p = np.full(size, _U(b))
-            p[0] = 1
-            _POWERS[name] = np.cumprod(p)
-    return _POWERS["up"], _POWERS["down"]
-
-
-def _stir(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> _U(29))) * _U(0x9E3779B97F4A7C15)
-    return h ^ (h >> _U(32))
-
-
-def _prefix(data: np.ndarray) -> np.ndarray:
-    """Prefix sums whose differences hash the strings between two places."""
-    up, _ = _powers(len(data) + 1)
-    out = np.zeros(len(data) + 1, _U)
-    np.cumsum(_TABLE[data] * up[:len(data)], out=out[1:])
-    return out
-
-
-def _between(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return _stir((prefix[end] - prefix[start]) * _powers(len(prefix))[1][start])
 
 
 def _least(h: np.ndarray, width: int) -> np.ndarray:
@@ -93,9 +61,9 @@ def snippets(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     whole = np.frombuffer(data, np.uint8)
     for begin in range(0, len(data) - WINDOW + 1, PASS):
         piece = whole[begin:begin + PASS + WINDOW - 1]
-        prefix = _prefix(piece)
+        prefix = prefix_sums(piece)
         at = np.arange(len(piece) - GRAM + 1)
-        h = _between(prefix, at, at + GRAM)
+        h = between(prefix, at, at + GRAM)
         # hash above, place below: equal hashes fall to the leftmost
         packed = (h & ~_U((1 << 21) - 1)) | at.astype(_U)
         best = (_least(packed, width) & _U((1 << 21) - 1)).astype(np.int64)
@@ -136,32 +104,52 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          names=["_text_key", "_anchor", "_snippet", "_start", "_count", "_offset"])
 
 
+def _common(data: bytes, goal: float) -> list[int]:
+    """Bytes that make up about ``goal`` of the data, none of them more than that alone."""
+    share = np.bincount(np.frombuffer(data, np.uint8), minlength=256) / len(data)
+    chosen, total = [], 0.0
+    for b in np.argsort(-share, kind="stable").tolist():
+        if total < goal and 0 < share[b] <= 0.6 * goal:
+            chosen.append(b)
+            total += share[b]
+    return chosen
+
+
 def _strings(texts: list[bytes]) -> list[list[bytes]]:
-    """Each text cut after every separator byte. Separators are common enough for short strings
-    (18 bytes on average, 100 at most), or all bytes are separators."""
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    share = np.bincount(data, minlength=256) / len(data)
-    by_share = np.argsort(-share, kind="stable")
-    for goal in (1 / 18, 1 / 9, 1 / 4):
-        chosen, total = [], 0.0
-        for b in by_share:
-            if total < goal and 0 < share[b] <= goal:
-                chosen.append(int(b))
-                total += share[b]
-        if not chosen:
-            continue
-        kind = b"".join(re.escape(bytes([b])) for b in chosen)
-        cut = re.compile(b"[^" + kind + b"]*[" + kind + b"]|[^" + kind + b"]+", re.S)
-        out = [cut.findall(t) for t in texts]
-        if max(len(s) for strings in out for s in strings) <= 100:
-            return out
-    return [[t[k:k + 1] for k in range(len(t))] for t in texts]
-
-
-def repeated_starts(texts: list[bytes]) -> np.ndarray:
-    """For each byte of the joined texts, whether the window that starts there (and lies in one
-    text) is found at another place too. Texts have at least ``WINDOW`` bytes."""
-    parts = _strings(texts)
+    """Each text cut after every separator byte; separators make strings of 14 bytes on average."""
+    chosen = _common(b"".join(texts), 1 / 14)
+    if not chosen:
+        return [[t] for t in texts]
+    kind = b"".join(re.escape(bytes([b])) for b in chosen)
+    cut = re.compile(b"[^" + kind + b"]*[" + kind + b"]|[^" + kind + b"]+", re.S)
+    return [cut.findall(t) for t in texts]
+
+
+def _blocks(rows: list[tuple]) -> Iterator[tuple[list[tuple], list[list[bytes]]]]:
+    """Rows (anchor first, bytes last) and their strings, all shorter than a window. Anchors with
+    a longer string get a block of their own kind, with other separators; in the end all bytes of
+    a single anchor are separators."""
+    strings = _strings([r[-1] for r in rows])
+    odd = {r[0] for r, p in zip(rows, strings) if max(map(len, p)) >= WINDOW}
+    good = [(r, p) for r, p in zip(rows, strings) if r[0] not in odd]
+    rest = [r for r in rows if r[0] in odd]
+    if good:
+        yield [r for r, _ in good], [p for _, p in good]
+    if good and rest:
+        yield from _blocks(rest)
+    elif len(odd) == 1:
+        yield rest, [[t[k:k + 1] for k in range(len(t))] for *_, t in rest]
+    elif rest:
+        names = sorted(odd)
+        low = set(names[:len(names) // 2])
+        yield from _blocks([r for r in rest if r[0] in low])
+        yield from _blocks([r for r in rest if r[0] not in low])
+
+
+def repeated_starts(parts: list[list[bytes]]) -> np.ndarray:
+    """For each byte of the joined texts, given as strings, whether the window that starts there
+    (and lies in one text) is found at another place too. Texts have at least ``WINDOW`` bytes."""
+    texts = [b"".join(p) for p in parts]
     names = {s: k for k, s in enumerate(sorted({s for p in parts for s in p}), len(texts))}
     sequence: list[int] = []
     start, size_before, real = [], [], []
@@ -196,7 +184,7 @@ def repeated_starts(texts: list[bytes]) -> np.ndarray:
         unequal = rows[a] != rows[b]
         length = np.where(unequal.any(1), unequal.argmax(1), WINDOW)
         shared[k:k + 4096] = np.minimum(length, np.minimum(end[k - 1:k - 1 + len(b)] - a, end[k:k + 4096] - b))
-    prefix = _prefix(data)
+    prefix = prefix_sums(data)
     keys, places = [], []
     for ahead in range(1, int(before.max(initial=0)) + 1):
         # windows that start ``ahead`` bytes before a suffix: own bytes and class of the rest
@@ -205,7 +193,7 @@ def repeated_starts(texts: list[bytes]) -> np.ndarray:
             continue
         kind = np.cumsum(shared < WINDOW - ahead)[some].astype(_U)
         p = begin[some] - ahead
-        keys.append(_stir(_between(prefix, p, p + ahead) + kind * _U(0xD6E8FEB86659FD93)) + _U(ahead))
+        keys.append(stir(between(prefix, p, p + ahead) + kind * _U(0xD6E8FEB86659FD93)) + _U(ahead))
         places.append(p)
     out = np.zeros(len(data) - WINDOW, bool)
     if keys:
@@ -226,14 +214,14 @@ _RANGES = "_text_key binary, _from long, _to long"
 def _sort_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by anchor: whole anchors are gathered up to a block, then sorted. Gives the
     ranges of repeated window starts of snippets that were found once."""
-    def flush(rows):
-        texts = [r[4] for r in rows]
-        flags = repeated_starts(texts)
-        out, at = [], 0
-        for _, key, start, times, text in rows:
-            if times == 1:
-                out.extend((key, start + a, start + b) for a, b in _runs(flags[at:at + len(text) - WINDOW + 1]))
-            at += len(text)
+    def flush(held):
+        out = []
+        for rows, strings in _blocks(held):
+            flags, at = repeated_starts(strings), 0
+            for _, key, start, times, text in rows:
+                if times == 1:
+                    out.extend((key, start + a, start + b) for a, b in _runs(flags[at:at + len(text) - WINDOW + 1]))
+                at += len(text)
         keys, lows, highs = zip(*out) if out else ((), (), ())
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(lows, pa.int64()),
                                            pa.array(highs, pa.int64())], names=["_text_key", "_from", "_to"])

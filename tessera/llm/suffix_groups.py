@@ -10,15 +10,21 @@ given anew, and there is no recursion.
 
 from __future__ import annotations
 
+from array import array
 
-def suffix_array(symbols: list[int]) -> list[int]:
+#: Longer sequences are kept in packed arrays (a fifth of the memory, somewhat slower).
+PACKED = 100_000
+
+
+def suffix_array(symbols: list[int]) -> list[int] | array:
     """Order of the suffixes of a sequence whose last symbol is its only smallest one."""
     n = len(symbols)
     if n < 2:
         return list(range(n))
     # groups are ranges of ``order``, named by their first place
-    order = sorted(range(n), key=symbols.__getitem__)
-    place, group, stop = [0] * n, [0] * n, [0] * n
+    packed = (lambda x: array("q", x)) if n > PACKED else list
+    order = packed(sorted(range(n), key=symbols.__getitem__))
+    place, group, stop = packed([0]) * n, packed([0]) * n, packed([0]) * n
     begin = 0
     for k, s in enumerate(order):
         place[s] = k
@@ -27,13 +33,13 @@ def suffix_array(symbols: list[int]) -> list[int]:
             begin = k
         group[s] = begin
     stop[begin] = n
-    smaller, jump = [-1] * n, [-1] * n
+    smaller, jump = packed([-1]) * n, packed([-1]) * n
     high = n
     while high > 0:
         g = group[order[high - 1]]
         members = order[g:high]
         if len(members) > 1:
-            members.sort()
+            members = sorted(members)
         hits: dict[int, int] = {}
         for s in members:
             p = s - 1
@@ -72,8 +78,8 @@ def suffix_array(symbols: list[int]) -> list[int]:
                     group[p] = new
                 stop[new], stop[old] = end, new
         high = g
-    out, following, done = [-1] * n, list(range(n)), [False] * n
-    out[0], done[n - 1] = n - 1, True
+    out, following, done = packed([-1]) * n, packed(range(n)), bytearray(n)
+    out[0], done[n - 1] = n - 1, 1
     following[group[n - 1]] += 1
     for k in range(n):
         s = out[k] - 1
@@ -81,6 +87,6 @@ def suffix_array(symbols: list[int]) -> list[int]:
             g = group[s]
             out[following[g]] = s
             following[g] += 1
-            done[s] = True
+            done[s] = 1
             s = smaller[s]
     return out
