@@ -298,8 +298,8 @@ def check_roundtrip(stats: DataFrame, min_rate: float = 0.95) -> dict:
     """fail the job when nothing was checked or the round-trip rate is below ``min_rate``."""
     r = stats.first().asDict()
     if not r["roundtrip_checked"]:
-        raise RuntimeError("no sample lines for round-trip check")
+        raise RuntimeError("the sample for decoding is empty")
     if r["roundtrip_rate"] < min_rate:
-        raise RuntimeError(f"BPE round-trip match rate too low: {r['roundtrip_rate']:.3f} "
-                           f"({r['roundtrip_exact']}/{r['roundtrip_checked']})")
+        raise RuntimeError(f"share of exactly decoded lines {r['roundtrip_rate']:.3f} is below {min_rate} "
+                           f"({r['roundtrip_exact']} of {r['roundtrip_checked']} lines)")
     return r

@@ -95,5 +95,5 @@ def check_tokens(summary: DataFrame) -> list[dict]:
     """fail when an evaluated shard produced zero tokens (one row per shard comes back)."""
     rows = [r.asDict() for r in summary.collect()]
     if not rows or any(not r["val_tokens"] for r in rows):
-        raise RuntimeError("evaluation produced zero tokens")
+        raise RuntimeError("no tokens were evaluated")
     return rows

@@ -47,12 +47,12 @@ def finite(c: Column | str) -> Column:
 def check_fraction(train_frac: float) -> None:
     """F5."""
     if not 0.0 < train_frac < 1.0:
-        raise ValueError(f"train_frac must be in (0,1), got {train_frac}")
+        raise ValueError(f"the training share lies between 0 and 1, not at {train_frac}")
 
 
 def check_context(context: int) -> None:
     if context < 1:
-        raise ValueError(f"context_length must be >= 1, got {context}")
+        raise ValueError(f"a window holds one token or more, not {context}")
 
 
 def check_positive(name: str, v: int) -> None:

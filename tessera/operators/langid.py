@@ -1,8 +1,8 @@
 """Language profiles and the English gate as Spark jobs.
 
 The reference calls a detection library (not available here); we define our own model:
-character-trigram naive Bayes over the lower-cased first 5000 code points, add-one smoothing,
-uniform prior. Scores are computed only over trigrams present in a profile (inner join) plus a
+character-trigram naive Bayes, add-one smoothing, uniform prior. Profiles count the whole
+lower-cased texts; a document is detected, as in the reference, by its first 5000 code points. Scores are computed only over trigrams present in a profile (inner join) plus a
 per-language constant for everything else:
 
     score(doc, lang) = sum_g k_g * ln(c_lang(g) + 1) - n_doc * ln(N_lang + V)
@@ -23,11 +23,12 @@ LANG_MIN_SCORE = 0.9   # fixed: P(en) threshold of the reference gate
 GRAM = 3
 
 
-def trigrams(text: Column) -> Column:
-    """Overlapping character trigrams of the lower-cased probe prefix (empty when < 3 chars)."""
+def trigrams(text: Column, whole: bool = False) -> Column:
+    """Overlapping character trigrams of the lower-cased probe prefix, or of the whole text (empty
+    when < 3 chars)."""
     # One regex pass: a zero-width match at every position captures the next GRAM characters
     # (indexing a UTF-8 string by code point would make this quadratic in the prefix length).
-    t = F.lower(T.lang_prefix(text))
+    t = F.lower(text if whole else T.lang_prefix(text))
     return F.regexp_extract_all(t, F.lit("(?s)(?=(.{%d}))" % GRAM), 1)
 
 
@@ -40,13 +41,9 @@ def doc_grams(docs: DataFrame, key: str = "doc_id", text_col: str = "text",
     return g.groupBy(key, *(["lang"] if lang_col else []), "gram").agg(F.count(F.lit(1)).alias("k"))
 
 
-def profiles(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang",
-             grams: DataFrame | None = None) -> DataFrame:
-    """A10: ``(lang, gram, cnt)`` trigram counts per language (from per-document counts when
-    given, so a corpus is exploded once for training and scoring)."""
-    if grams is not None:
-        return grams.groupBy("lang", "gram").agg(F.sum("k").cast("bigint").alias("cnt"))
-    g = labelled.select(F.col(lang_col).alias("lang"), F.explode(trigrams(F.col(text_col))).alias("gram"))
+def profiles(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """A10: ``(lang, gram, cnt)`` trigram counts per language, over whole texts."""
+    g = labelled.select(F.col(lang_col).alias("lang"), F.explode(trigrams(F.col(text_col), whole=True)).alias("gram"))
     return g.groupBy("lang", "gram").agg(F.count(F.lit(1)).cast("bigint").alias("cnt"))
 
 

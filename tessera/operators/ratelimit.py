@@ -79,7 +79,7 @@ def sliding_window(events: DataFrame, key: str, ts_col: str, id_col: str, rate:
             .select(key, "segment", "_t", F.col(id_col).alias("_eid"))
             .repartition(key, "segment")
             .sortWithinPartitions(key, "segment", "_t", "_eid"))
-    dec = hard.mapInPandas(_scan_partitions(rate, key), "_eid long, accepted boolean")
+    dec = hard.mapInPandas(_scan_partitions(rate, key), f"_eid {events.schema[id_col].dataType.simpleString()}, accepted boolean")
     return events.join(easy.unionByName(dec).withColumnRenamed("_eid", id_col), id_col)
 
 

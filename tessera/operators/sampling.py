@@ -35,7 +35,7 @@ def mix_weights(meta: DataFrame, shard_list: list[str]) -> DataFrame:
     """
     spark = meta.sparkSession
     if not shard_list:
-        raise ValueError("shard_paths must be non-empty")
+        raise ValueError("a mixture names at least one shard")
     copies: dict[str, int] = {}
     first: dict[str, int] = {}
     for i, s in enumerate(shard_list):
@@ -43,6 +43,9 @@ def mix_weights(meta: DataFrame, shard_list: list[str]) -> DataFrame:
         first.setdefault(s, i)
     lst = spark.createDataFrame([(first[s], s, c) for s, c in copies.items()],
                                 "shard_rank int, shard string, copies int")
+    known = {r["shard"] for r in meta.select("shard").where(F.col("shard").isin(list(copies))).collect()}
+    if missing := sorted(set(copies) - known):
+        raise ValueError(f"the manifest has no shard {', '.join(missing)}")
     t = lst.join(meta.select("shard", "tokens"), "shard")
     t = t.withColumn("weight", (F.col("copies") * F.col("tokens")).cast("bigint"))
     w_all = Window.partitionBy(F.lit(1))                 # a handful of rows
@@ -96,8 +99,7 @@ def single_shard_samples(spark: SparkSession, meta_row: dict, context: int, seed
     filters.check_context(context)
     n = int(meta_row["tokens"])
     if n < context + 1:
-        raise ValueError(f"shard has {n} tokens; need at least {context + 1} "
-                         f"for context_length={context}")
+        raise ValueError(f"too few tokens for one window: {n}, window of {context + 1}")
     k = num_samples if num_samples is not None else max(1, n // (context + 1))
     idx = index_rows(spark, k)
     start = sample_starts(F.lit(n), context, F.lit(seed), F.lit(meta_row["shard"]))
@@ -129,8 +131,7 @@ def loader_samples(spark: SparkSession, meta_row: dict, context: int, batch_size
     filters.check_positive("epochs", epochs)
     n = int(meta_row["tokens"])
     if n < context + 1:
-        raise ValueError(f"shard has {n} tokens; need at least {context + 1} "
-                         f"for context_length={context}")
+        raise ValueError(f"too few tokens for one window: {n}, window of {context + 1}")
     per_epoch = max(1, n // (context + 1))
     full = (per_epoch // batch_size) * batch_size
     if full == 0:

@@ -329,10 +329,10 @@ def q_corpus_summary(spark, d):
                                    (F.octet_length("text") + 1).alias("tokens")))
 
 
-# --- J5: manifest upsert (older load: en+de, newer load: de+fr+es) ------------------------------
+# --- J5: manifest upsert (older load: all shards, newer load: all but the first by name) ------------------------------
 @query("manifest_upsert", _BYTE_DOCS_SQL + """,
-old AS (SELECT shard, sum(len(ids))::BIGINT AS tokens FROM b WHERE shard IN ('en', 'de') GROUP BY shard),
-new AS (SELECT shard, (sum(len(ids)) * 2)::BIGINT AS tokens FROM b WHERE shard IN ('de', 'fr', 'es') GROUP BY shard)
+old AS (SELECT shard, sum(len(ids))::BIGINT AS tokens FROM b GROUP BY shard),
+new AS (SELECT shard, (sum(len(ids)) * 2)::BIGINT AS tokens FROM b WHERE shard > (SELECT min(shard) FROM b) GROUP BY shard)
 SELECT shard, tokens, 'int32' AS dtype FROM old WHERE shard NOT IN (SELECT shard FROM new)
 UNION ALL SELECT shard, tokens, 'int32' AS dtype FROM new""")
 def q_manifest_upsert(spark, d):
@@ -341,8 +341,9 @@ def q_manifest_upsert(spark, d):
     b = docs.where(T.has_content("text")).select(
         F.col("lang").alias("shard"), (F.octet_length(T.canonical_text("text")) + 1).alias("n"))
     agg = lambda df: df.groupBy("shard").agg(F.sum("n").cast("bigint").alias("tokens"))
-    old = agg(b.where(F.col("shard").isin("en", "de"))).withColumn("dtype", F.lit(shards.DTYPE))
-    new = (agg(b.where(F.col("shard").isin("de", "fr", "es")))
+    old = agg(b).withColumn("dtype", F.lit(shards.DTYPE))
+    first = old.agg(F.min("shard")).first()[0]
+    new = (agg(b.where(F.col("shard") > first))
            .withColumn("tokens", F.col("tokens") * 2).withColumn("dtype", F.lit(shards.DTYPE)))
     return shards.upsert_meta(old, new)
 

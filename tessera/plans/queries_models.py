@@ -71,9 +71,11 @@ def q_bpe_shard_meta(spark, d):
 
 # --- A10 F3 -------------------------------------------------------------------------------------------
 _TRI_SQL = """
-WITH d AS (SELECT doc_id, lang, lower(substr(text, 1, 5000)) AS t FROM documents),
+WITH w AS (SELECT lang, lower(text) AS t FROM documents),
+wg AS (SELECT lang, substr(t, i::BIGINT, 3) AS gram FROM w, range(1, length(t) - 1) r(i) WHERE length(t) >= 3),
+d AS (SELECT doc_id, lang, lower(substr(text, 1, 5000)) AS t FROM documents),
 g AS (SELECT doc_id, lang, substr(t, i::BIGINT, 3) AS gram FROM d, range(1, length(t) - 1) r(i) WHERE length(t) >= 3),
-prof AS (SELECT lang, gram, count(*) AS cnt FROM g GROUP BY ALL)"""
+prof AS (SELECT lang, gram, count(*) AS cnt FROM wg GROUP BY ALL)"""
 
 
 @query("lang_profiles", _TRI_SQL + "\nSELECT lang, gram, cnt::BIGINT AS cnt FROM prof")
@@ -99,7 +101,7 @@ out AS (SELECT d.doc_id, po.pred_lang, pe.p_en, coalesce(pe.p_en >= {langid.LANG
 def _gate(spark, d):
     docs = tables.table(spark, d, "documents", "doc_id", "lang", "text")
     grams = materialize(langid.doc_grams(docs, lang_col="lang"), "doc_grams")
-    prof = materialize(langid.profiles(docs, grams=grams), "lang_profiles")
+    prof = materialize(langid.profiles(docs), "lang_profiles")
     return docs, langid.english(docs.select("doc_id", "text"), prof, grams=grams)
 
 

@@ -19,8 +19,9 @@ from tessera.plans.queries import _BYTE_DOCS_SQL, TRAIN_FRAC, _chunks, query
 EVAL_CTX = 256
 SAMPLE_CTX = 128
 SEED = 42
-MIX_LIST = ["en", "de", "fr", "es"]
-UPWEIGHT_LIST = ["en", "de", "de", "de", "fr"]
+# copies of a manifest's shards in a mixture list, in the order of their names, repeating
+MIX_COPIES = [1]
+UPWEIGHT_COPIES = [1, 3, 2]
 BIGRAM_CTX = 64
 EVAL_BATCH = 4
 EVAL_MAX_BATCHES = 5
@@ -81,15 +82,18 @@ def q_epoch_len(spark, d):
 
 
 # --- A9 U2 --------------------------------------------------------------------------------------
-def _mix_sql(lst: list[str]) -> str:
-    copies: dict[str, int] = {}
-    first: dict[str, int] = {}
-    for i, s in enumerate(lst):
-        copies[s] = copies.get(s, 0) + 1
-        first.setdefault(s, i)
-    rows = ", ".join(f"({first[s]}, '{s}', {c})" for s, c in copies.items())
+def _shard_list(meta, copies: list[int]) -> list[str]:
+    """A mixture list of all shards of the manifest (one row per shard), some of them repeated."""
+    names = sorted(r["shard"] for r in meta.select("shard").collect())
+    return [n for k, n in enumerate(names) for _ in range(copies[k % len(copies)])]
+
+
+def _mix_sql(copies: list[int]) -> str:
+    cycle = "[" + ", ".join(map(str, copies)) + "]"
     return _TOK_SQL + f""",
-l AS (SELECT * FROM (VALUES {rows}) AS t(shard_rank, shard, copies)),
+nm AS (SELECT shard, row_number() OVER (ORDER BY shard) - 1 AS k FROM m),
+cp AS (SELECT shard, {cycle}[k % {len(copies)} + 1] AS copies, k FROM nm),
+l AS (SELECT (sum(copies) OVER (ORDER BY k) - copies)::INTEGER AS shard_rank, shard, copies FROM cp),
 t AS (SELECT l.shard_rank, l.shard, l.copies, m.n AS tokens, (l.copies * m.n) AS weight FROM l JOIN m USING (shard)),
 cw AS (SELECT *, sum(weight) OVER () AS tot,
              sum(weight) OVER (ORDER BY shard_rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum,
@@ -103,16 +107,16 @@ SELECT shard_rank::INTEGER AS shard_rank, shard, copies::INTEGER AS copies, toke
        CASE WHEN shard_rank = last THEN 1.0 ELSE cum / tot END AS cum_hi FROM cw"""
 
 
-@query("mix_weights", _mix_sql(MIX_LIST) + _mix_select())
+@query("mix_weights", _mix_sql(MIX_COPIES) + _mix_select())
 def q_mix_weights(spark, d):
     _, meta = _meta(spark, d)
-    return SM.mix_weights(meta, MIX_LIST)
+    return SM.mix_weights(meta, _shard_list(meta, MIX_COPIES))
 
 
-@query("upweighted_mix", _mix_sql(UPWEIGHT_LIST) + _mix_select())
+@query("upweighted_mix", _mix_sql(UPWEIGHT_COPIES) + _mix_select())
 def q_upweighted_mix(spark, d):
     _, meta = _meta(spark, d)
-    return SM.mix_weights(meta, UPWEIGHT_LIST)
+    return SM.mix_weights(meta, _shard_list(meta, UPWEIGHT_COPIES))
 
 
 # --- M1 J3 --------------------------------------------------------------------------------------
@@ -144,7 +148,7 @@ def q_sample_windows(spark, d):
     return _window_sums(W.fetch(s, ch, SAMPLE_CTX + 1, shards.CHUNK_SIZE, key="i"))
 
 
-@query("sample_mix", _mix_sql(MIX_LIST) + f""",
+@query("sample_mix", _mix_sql(MIX_COPIES) + f""",
 tot AS (SELECT sum(n)::BIGINT AS n FROM m),
 idx AS (SELECT range AS i FROM tot, range(0, greatest(1, tot.n // {SAMPLE_CTX + 1}))),
 u AS (SELECT i, ({S.md5_int("'mix:" + str(SEED) + ":' || i::VARCHAR")})::DOUBLE / {float(2 ** 60)} AS u FROM idx),
@@ -158,7 +162,7 @@ s AS (SELECT i, shard,
 def q_sample_mix(spark, d):
     ch, meta = _meta(spark, d)
     total = int(meta.agg(F.sum("tokens")).first()[0])
-    wts = SM.mix_weights(meta, MIX_LIST)
+    wts = SM.mix_weights(meta, _shard_list(meta, MIX_COPIES))
     s = SM.mixture_samples(spark, wts, SAMPLE_CTX, SEED, max(1, total // (SAMPLE_CTX + 1)))
     return _window_sums(W.fetch(s, ch, SAMPLE_CTX + 1, shards.CHUNK_SIZE, key="i"))
 

@@ -6,7 +6,8 @@ kept documents get global ranks ``kept_so_far + local rank``, running token tota
 as that batch of ``batch_docs`` kept documents is complete. Token pieces are written with their
 shard offsets (``doc_tokens``) into a folder per epoch, overwritten if the epoch is replayed after
 a failure (idempotent); aligning them into chunks is a batch job afterwards. The counters are
-saved per epoch next to the checkpoint and restored when the query restarts from it.
+saved per epoch next to the checkpoint; each epoch starts from those of the epoch before it, so
+a replayed epoch counts its rows once.
 Progress (seen / kept / dropped / tokens) is published through ``observe`` (T3).
 """
 
@@ -43,12 +44,18 @@ class ProgressLog:
         self.rows.append({"epoch": epoch, **metrics})
 
 
-def _load_state(spark, state_dir: str) -> CapState:
-    try:
-        rows = spark.read.schema("epoch long, state string").json(state_dir) \
-            .orderBy(F.desc("epoch")).limit(1).collect()
-    except Exception:  # noqa: BLE001 - no saved state yet
-        rows = []
+def _load_state(spark, state_dir: str, before: int | None = None) -> CapState:
+    """Counters after the last saved epoch (below ``before``, if given); new ones if none is saved.
+
+    An epoch that runs again after a failure must not start from its own counters, which may have
+    been saved before Spark committed it. Only a folder that does not exist yet means "none"."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(state_dir)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return CapState()
+    saved = spark.read.schema("epoch long, state string").json(state_dir)
+    if before is not None:
+        saved = saved.where(F.col("epoch") < before)
+    rows = saved.orderBy(F.desc("epoch")).limit(1).collect()
     return CapState(**json.loads(rows[0]["state"])) if rows else CapState()
 
 
@@ -65,6 +72,7 @@ def stream_capped(stream: DataFrame, ord_col: str, passed: Column, ids: Column,
     src = stream.select(F.col(ord_col).alias("ord"), passed.alias("_pass"), ids.alias("ids"))
 
     def on_batch(bdf: DataFrame, epoch: int) -> None:
+        vars(state).update(asdict(_load_state(spark, state_dir, before=epoch)))
         if state.done:
             return
         obs = Observation(f"progress_{epoch}")

@@ -8,8 +8,10 @@ order across triggers is the source order (files in name order; watermark-bounde
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupStateTimeout
@@ -51,20 +53,21 @@ def _with_seconds(stream: DataFrame, ts_col: str) -> DataFrame:
     return stream.withColumn("_t", epoch_seconds(stream, ts_col))
 
 
+def _type(df: DataFrame, col: str) -> str:
+    return df.schema[col].dataType.simpleString()
+
+
 def quota(stream: DataFrame, key: str, ts_col: str, id_col: str, max_req: int = 60) -> DataFrame:
     s = _with_seconds(stream, ts_col).select(key, "_t", id_col)
 
     def admit(k, pdfs, state):
         df = pd.concat(list(pdfs), ignore_index=True).sort_values(["_t", id_col], kind="mergesort")
         n = state.get[0] if state.exists else 0
-        acc = []
-        for _ in range(len(df)):
-            acc.append(n < max_req)
-            n += 1
-        state.update((n,))
+        acc = n + np.arange(len(df)) < max_req
+        state.update((n + len(df),))
         yield pd.DataFrame({id_col: df[id_col].to_numpy(), key: k[0], "accepted": acc})
 
-    schema = f"{id_col} long, {key} long, accepted boolean"
+    schema = f"{id_col} {_type(stream, id_col)}, {key} {_type(stream, key)}, accepted boolean"
     return s.groupBy(key).applyInPandasWithState(admit, schema, "n long", "append",
                                                  GroupStateTimeout.NoTimeout)
 
@@ -74,19 +77,18 @@ def sliding(stream: DataFrame, key: str, ts_col: str, id_col: str, rate: int = 6
 
     def admit(k, pdfs, state):
         df = pd.concat(list(pdfs), ignore_index=True).sort_values(["_t", id_col], kind="mergesort")
-        win = list(state.get[0]) if state.exists else []
+        # times are in order, so only the last ``rate`` accepted ones matter
+        win = deque(state.get[0] if state.exists else [], maxlen=rate)
         acc = []
         for t in df["_t"].to_numpy():
-            win = [x for x in win if t - x < WINDOW_SECONDS]
-            if len(win) < rate:
+            ok = len(win) < rate or t - win[0] >= WINDOW_SECONDS
+            if ok:
                 win.append(float(t))
-                acc.append(True)
-            else:
-                acc.append(False)
-        state.update((win,))
+            acc.append(ok)
+        state.update((list(win),))
         yield pd.DataFrame({id_col: df[id_col].to_numpy(), key: k[0], "accepted": acc})
 
-    schema = f"{id_col} long, {key} long, accepted boolean"
+    schema = f"{id_col} {_type(stream, id_col)}, {key} {_type(stream, key)}, accepted boolean"
     return s.groupBy(key).applyInPandasWithState(admit, schema, "win array<double>", "append",
                                                  GroupStateTimeout.NoTimeout)
 
@@ -121,7 +123,7 @@ def diagnostics(stream: DataFrame, key: str, pos: str, token: str, entropy: str,
         state.update((ents, toks, poss))
         yield pd.DataFrame({key: k[0], pos: df[pos].to_numpy(), "avg_entropy": avg, "repeated": rep})
 
-    schema = f"{key} long, {pos} long, avg_entropy double, repeated boolean"
+    schema = f"{key} {_type(stream, key)}, {pos} {_type(stream, pos)}, avg_entropy double, repeated boolean"
     return s.groupBy(key).applyInPandasWithState(
         step, schema, "ents array<double>, toks array<long>, poss array<long>", "append",
         GroupStateTimeout.NoTimeout)
