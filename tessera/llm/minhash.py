@@ -275,7 +275,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        .mapInArrow(_alike(percent / 100), f"_u {kind}, _v {kind}, _same double"), "near-star")
     # full sets of all that a pair can name: members of buckets
     named = shared.select(F.col("_id").alias("_need")).distinct()
-    full = materialize(base.join(named, F.col("_id") == F.col("_need")).select("_id", "_text")
+    full = materialize(base.join(named.hint("merge"), F.col("_id") == F.col("_need")).select("_id", "_text")
                        .mapInArrow(_full_sets(width), f"_id {kind}, _set binary"), "near-full")
     # first the most similar hub of each document, then what is still apart
     nearest = materialize(star.groupBy("_v").agg(F.max(F.struct("_same", "_u")).alias("_h"))

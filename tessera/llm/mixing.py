@@ -133,6 +133,7 @@ def apply_mix(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> Data
     """``docs`` with each row as often as the mix takes it. Rows that share an id are taken the
     same number of times, the largest that one of them was given."""
     copies = mixed.groupBy(F.col(id_col).alias("_mix_id")).agg(F.max("copies").alias("_copies"))
-    joined = docs.join(copies, docs[id_col].eqNullSafe(copies["_mix_id"])).where(F.col("_copies") > 0)
+    # one plan at every size: the texts are shuffled even where the decisions could be broadcast
+    joined = docs.join(copies.hint("merge"), docs[id_col].eqNullSafe(copies["_mix_id"])).where(F.col("_copies") > 0)
     return joined.select(*[docs[c] for c in docs.columns],
                          F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")
