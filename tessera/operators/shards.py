@@ -37,17 +37,23 @@ PIECE_CHARS = 65536          # text piece length for byte-level tokenisation
 EOS_PIECE = 2 ** 31 - 1      # sorts after every real piece of a document
 
 
+def piece_offsets(pieces: DataFrame, ord_col: str = "ord", piece_col: str = "piece",
+                  n_buckets: int | None = None) -> DataFrame:
+    """``(shard, start, ids)``: ``start`` = ids of all earlier pieces of the shard by ``(ord, piece)``."""
+    d = pieces.withColumn("_n", F.size("ids").cast("bigint"))
+    offs = with_running_sums(d, [ord_col, piece_col], {"start": F.col("_n")}, partition_by=["shard"],
+                             exclusive=True, n_buckets=n_buckets,
+                             bucket_key=composite_key(ord_col, piece_col))
+    return offs.select("shard", "start", "ids")
+
+
 def pack_pieces(pieces: DataFrame, chunk_size: int = CHUNK_SIZE, ord_col: str = "ord",
                 piece_col: str = "piece", n_buckets: int | None = None) -> DataFrame:
     """W3 at piece level: ``pieces(shard, ord, piece, ids)`` — a document cut into pieces (text
     pieces, words, the EOS) — packed into aligned chunks. Offsets are running sums over
     ``(ord, piece)`` bucketed on a composite key, so no step holds a whole document: a document
     with a third of the corpus is spread over many buckets, and chunk groups hold <= chunk ids."""
-    d = pieces.withColumn("_n", F.size("ids").cast("bigint"))
-    offs = with_running_sums(d, [ord_col, piece_col], {"start": F.col("_n")}, partition_by=["shard"],
-                             exclusive=True, n_buckets=n_buckets,
-                             bucket_key=composite_key(ord_col, piece_col))
-    return to_chunks(offs.select("shard", "start", "ids"), chunk_size)
+    return to_chunks(piece_offsets(pieces, ord_col, piece_col, n_buckets), chunk_size)
 
 
 def to_chunks(pieces: DataFrame, chunk_size: int = CHUNK_SIZE, shard_col: str = "shard",

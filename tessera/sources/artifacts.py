@@ -27,37 +27,41 @@ def concat(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def ingest(source: DataFrame, out_dir: str, text_field: str = "text", ord_col: str | None = None,
+def ingest(source: DataFrame, out_dir: str, ord_col: str, text_field: str = "text",
            force: bool = False) -> DataFrame:
     """S1+S2+S4: one named corpus -> normalised one-document-per-line text; returns the manifest
-    row (path, lines, empty_skipped, bytes)."""
-    keep = [ord_col] if ord_col else []
-    docs = tables.corpus_scan(source, text_field, *keep)
-    if not ord_col:
-        docs = docs.withColumn("ord", F.monotonically_increasing_id())
-        ord_col = "ord"
+    row (path, lines, empty_skipped, bytes). ``ord_col`` gives the order of the lines: Spark splits
+    carry none of their own (for text files it is the ``ord`` of ``textfiles.read_lines``)."""
+    docs = tables.corpus_scan(source, text_field, ord_col)
     return textfiles.write_docs(docs, out_dir, "text", ord_col, force=force)
 
 
 def write_shards(chunks: DataFrame, path: str, force: bool = False, skip_existing: bool = False) -> None:
-    """Chunk table partitioned by shard, sorted by chunk id inside files (row-group pruning on
-    ``chunk_id`` for offset reads)."""
-    (chunks.repartition("shard").sortWithinPartitions("shard", "chunk_id")
+    """Chunk table partitioned by shard, in ranges of ``(shard, chunk_id)``: a shard of any size
+    is written by many tasks, and offset reads skip files and row groups by ``chunk_id``."""
+    (chunks.repartitionByRange("shard", "chunk_id").sortWithinPartitions("shard", "chunk_id")
      .write.mode(textfiles.save_mode(force, skip_existing)).partitionBy("shard").parquet(path))
 
 
 def append_tokens(chunks: DataFrame, meta: DataFrame, pieces: DataFrame,
                   chunk_size: int = shards.CHUNK_SIZE) -> DataFrame:
-    """Append ``pieces(shard, ord, ids)`` after the current end of their shard.
+    """Append ``pieces(shard, ord, ids)`` after the current end of their shard."""
+    return append_pieces(chunks, meta, pieces.withColumn("piece", F.lit(0)), chunk_size)
+
+
+def append_pieces(chunks: DataFrame, meta: DataFrame, pieces: DataFrame,
+                  chunk_size: int = shards.CHUNK_SIZE) -> DataFrame:
+    """S7 at piece level: append ``pieces(shard, ord, piece, ids)`` after the end of their shard.
 
     New pieces start at the shard's current token count (from ``meta``); only the shard's last,
     partial chunk is rebuilt together with the new pieces, full chunks are kept as they are."""
-    p = shards.pack_offsets(pieces.select("shard", "ord", "ids"))
-    p = p.join(meta.select("shard", F.col("tokens").alias("_base")), "shard", "left") \
+    ends = meta.select(F.col("shard").alias("_shard"), F.col("tokens").alias("_base"))
+    p = shards.piece_offsets(pieces).join(ends, F.col("shard").eqNullSafe(F.col("_shard")), "left") \
         .select("shard", (F.col("start") + F.coalesce("_base", F.lit(0))).alias("start"), "ids")
-    full = chunks.where(F.size("ids") == chunk_size)
+    cols = ["shard", "chunk_id", "start", "ids"]
+    full = chunks.where(F.size("ids") == chunk_size).select(*cols)
     partial = chunks.where(F.size("ids") < chunk_size).select("shard", "start", "ids")
-    return full.unionByName(shards.to_chunks(partial.unionByName(p), chunk_size))
+    return full.unionByName(shards.to_chunks(partial.unionByName(p), chunk_size).select(*cols))
 
 
 def save_meta(meta: DataFrame, path: str) -> None:

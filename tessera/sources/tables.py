@@ -12,27 +12,9 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give row-wise work at least one partition per core.
-
-    A scan yields one task per file split (Parquet: row group). A table stored as a few large row
-    groups would run every per-row expression (regexes, byte maps, n-grams) in a few tasks, so
-    when the scan has fewer partitions than the cluster's parallelism the rows are dealt out
-    round-robin first. Large inputs already have many splits and are left alone (no shuffle).
-    Set ``spark.tessera.spreadScans=false`` to never add this exchange.
-    """
-    spark = df.sparkSession
-    if spark.conf.get("spark.tessera.spreadScans", "true").lower() != "true":
-        return df
-    target = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
-
-
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread(df.select(*cols) if cols else df)
+    return df.select(*cols) if cols else df
 
 
 def corpus_scan(df: DataFrame, text_field: str = "text", *keep: str) -> DataFrame:
@@ -52,7 +34,8 @@ def documents(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
 
 def identified(df: DataFrame, id_cols: list[str], ordinal_col: str, text_field: str = "text"
                ) -> DataFrame:
-    """``doc_id = string(coalesce(id, dump, row index))``; null text -> ''."""
+    """``doc_id = string(coalesce(id, dump, row index))``; null text -> ''. Works on batch and
+    streaming tables alike; ``ordinal_col`` is the row index that the source recorded."""
     ids = [F.col(c).cast("string") for c in id_cols] + [F.col(ordinal_col).cast("string")]
     return df.select(F.coalesce(*ids).alias("doc_id"),
                      F.coalesce(F.col(text_field).cast("string"), F.lit("")).alias("text"))

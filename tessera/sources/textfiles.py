@@ -2,8 +2,8 @@
 
 Scan: ``spark.read.text`` decodes UTF-8 with U+FFFD for invalid bytes and splits on ``\\n``,
 ``\\r\\n`` and ``\\r``. Line order is (file order, byte offset inside the file); we record it as
-``ord`` from ``_metadata.file_path`` rank and ``_metadata.file_block_start`` plus the row's position
-inside its split, never from ``monotonically_increasing_id`` alone (Spark packs splits by size).
+``ord`` from ``_metadata.file_path``, ``_metadata.file_block_start`` and the row's position inside its
+split, never from ``monotonically_increasing_id`` alone (Spark packs splits by size).
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 
+
 def save_mode(force: bool = False, skip_existing: bool = False) -> str:
     """Refuse (default) / overwrite (force) / skip-if-exists."""
     if skip_existing:
@@ -21,13 +22,11 @@ def save_mode(force: bool = False, skip_existing: bool = False) -> str:
 
 
 def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """S3: ``(src_rank, file_path, ord, text)``; ``ord`` is a unique bigint in concatenation order.
+    """S3: ``(src_rank, file_path, ord, text)``; ``ord`` sorts in concatenation order and is unique.
 
-    ``paths`` order is the concatenation order. Inside a file, a line's key is
-    ``split start byte + line number inside the split``: every line holds at least one byte, so keys
-    of one split stay below the next split's start. Files get ranks from the (small) file listing;
-    ``ord = file_rank * 2^40 + key`` (files below 1 TiB). The line-number window is partitioned by
-    split, so it runs in parallel.
+    ``paths`` order is the concatenation order. ``ord`` is the struct ``(src_rank, file_path, block,
+    line)``: the split's first byte in its file and the line's number inside the split. Files may
+    be of any size and number. The line-number window is partitioned by split, so it runs in parallel.
     """
     frames = []
     for rank, p in enumerate(paths):
@@ -42,13 +41,8 @@ def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     for f in frames[1:]:
         out = out.unionByName(f)
     w = Window.partitionBy("src_rank", "file_path", "block").orderBy("_mid")
-    out = out.withColumn("_line", F.row_number().over(w))
-    files = out.select("src_rank", "file_path").distinct()
-    files = files.withColumn("_frank", F.row_number().over(
-        Window.partitionBy(F.lit(1)).orderBy("src_rank", "file_path")))   # one row per file
-    out = out.join(files, ["src_rank", "file_path"])      # AQE broadcasts the listing when small
-    ord_col = F.col("_frank") * F.lit(1 << 40) + F.col("block") + F.col("_line")
-    return out.select("src_rank", "file_path", ord_col.alias("ord"), "text")
+    key = F.struct("src_rank", "file_path", "block", F.row_number().over(w).alias("line"))
+    return out.select("src_rank", "file_path", key.alias("ord"), "text")
 
 
 def manifest_counts(lines: DataFrame, col: str = "line") -> DataFrame:

@@ -3,15 +3,17 @@
 Reader: a Python ``DataSource`` whose input partitions are byte ranges of whole chunks, so a large
 file is read by many tasks in parallel; each task memory-maps its range and emits
 ``(shard, chunk_id, start, ids)`` rows aligned on ``chunk_size`` tokens.
-Writer: each task writes its chunks straight into the one target file at byte offset
+Writer: each task writes its chunks straight into one hidden file beside the target at byte offset
 ``start * 4`` (positional writes), so the file is assembled in parallel, nothing passes through the
-driver, and a retried task rewrites the same bytes (idempotent).
+driver, and a retried task rewrites the same bytes (idempotent). The commit of the job renames it to
+the target, so a failed job leaves no target.
 Files must be on a filesystem every executor can open (shared mount).
 """
 
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,13 +66,15 @@ class _Commit(WriterCommitMessage):
 class _Writer(DataSourceWriter):
     def __init__(self, options: dict, overwrite: bool):
         self.target = options["path"]
+        folder, name = os.path.split(self.target)
+        self.partial = os.path.join(folder, f".{name}.{uuid.uuid4().hex}")
 
     def write(self, rows) -> _Commit:
         import numpy as np
         d = os.path.dirname(self.target)
         if d:
             os.makedirs(d, exist_ok=True)
-        fd = os.open(self.target, os.O_WRONLY | os.O_CREAT, 0o644)
+        fd = os.open(self.partial, os.O_WRONLY | os.O_CREAT, 0o644)
         n = 0
         try:
             for r in rows:
@@ -82,10 +86,11 @@ class _Writer(DataSourceWriter):
         return _Commit(n)
 
     def commit(self, messages) -> None:
-        return None
+        os.rename(self.partial, self.target)
 
     def abort(self, messages) -> None:
-        return None
+        if os.path.exists(self.partial):
+            os.remove(self.partial)
 
 
 class TokenBinSource(DataSource):
