@@ -1,24 +1,28 @@
 """Byte-level BPE as DataFrame jobs.
 
-Training works on the distinct-word table ``(word, cnt, sy)`` where ``sy`` is the word's current
-symbols joined by single spaces (space is not in the byte-level alphabet). A round:
-
-1. pair counts: adjacent symbol pairs weighted by word count (explode + partial/final hash agg);
-2. rank pairs exactly by (count desc, left id, right id) — ids come from a broadcast join with the
-   current vocabulary, whose size is bounded by ``vocab_size`` — and take the top ``top_pairs``;
-3. on the driver, accept pairs from the top while each shares no symbol with an accepted one,
-   stopping at the first conflict (a self pair ``(a, a)`` only as the last of the round);
-4. apply all accepted merges in one ``regexp_replace`` per word (symbol-disjoint pairs cannot
-   interact, so one pass equals applying them one after another).
-
-Why the batch is exact: a merge changes only the counts of pairs sharing a symbol with it, and a
-newly formed pair counts at most as much as a conflicting pair, which ranks below every accepted
-pair. Only the top list and the accepted merges reach the driver; the word table never does.
-Every ``checkpoint_every`` rounds the word table is written to the shared checkpoint folder.
+Training works on the distinct-word table ``(word, cnt, sy)`` where ``sy`` holds the ids of the
+word's current symbols joined by single spaces. A round:
+
+1. pair counts: adjacent symbol pairs weighted by word count. They are counted once; later rounds add
+   the differences of the words that hold a merged pair, so a round explodes and shuffles only these
+   words' pairs and the table of distinct pairs;
+2. take the top ``top_pairs`` pairs by (count desc, left id, right id);
+3. on the driver, accept pairs from the top, stopping at the first one whose left symbol is the right
+   symbol of an accepted pair or the reverse (so a self pair ``(a, a)`` is always the last), and after
+   a pair that spells a token which exists already;
+4. apply all accepted merges in one ``regexp_replace`` per word (no accepted pairs can overlap, so
+   one pass equals applying them one after another).
+
+Why the batch is exact: merging ``(a, b)`` lowers only the counts of pairs ``(x, a)`` and ``(b, y)``,
+and the pairs it forms, ``(x, ab)`` and ``(ab, y)``, count at most as much as these, which rank below
+every accepted pair; at equal counts the new id puts the formed pair last. Only the top list and the
+accepted merges reach the driver; the word table never does. Every ``checkpoint_every`` rounds the
+word and pair tables are written to the shared checkpoint folder.
 """
 
 from __future__ import annotations
 
+import heapq
 from dataclasses import dataclass
 
 import pandas as pd
@@ -69,31 +73,36 @@ def pair_counts(words: DataFrame, sy: str = "sy", cnt: str = "cnt") -> DataFrame
 class BpeModel:
     vocab: DataFrame        # (token string, id int)
     merges: DataFrame       # (rank int, left string, right string, id int)
-    words: DataFrame        # (word string, cnt bigint, sy string): final symbols per training word
+    words: DataFrame        # (word string, cnt bigint, sy string): final ids per training word
     vocab_size: int
     rounds: int
 
 
-def _escape_regex(s: str) -> str:
-    return "".join(ch if ch.isalnum() else "\\" + ch for ch in s)
+def _occurrences(pairs: list[tuple[int, int]]) -> str:
+    """Pattern of the space between two symbols (in space-padded symbols) that one of ``pairs`` joins."""
+    return "|".join(f"(?<= {a}) (?={b} )" for a, b in pairs)
 
 
-def _escape_replacement(s: str) -> str:
-    return s.replace("\\", "\\\\").replace("$", "\\$")
+def _padded(sy: Column) -> Column:
+    return F.concat(F.lit(" "), sy, F.lit(" "))
 
 
-def apply_merges(sy: Column, pairs: list[tuple[str, str]]) -> Column:
-    """Merge every occurrence of the given symbol-disjoint pairs, left to right."""
-    padded = F.concat(F.lit(" "), sy, F.lit(" "))
-    joins = [(a, b) for a, b in pairs if a != b]
-    selfs = [(a, b) for a, b in pairs if a == b]
-    if joins:
-        pat = "|".join(f"(?<= {_escape_regex(a)}) (?={_escape_regex(b)} )" for a, b in joins)
-        padded = F.regexp_replace(padded, pat, "")
-    for a, _ in selfs:
-        e = _escape_regex(a)
-        padded = F.regexp_replace(padded, f"(?<= ){e} {e}(?= )", _escape_replacement(a + a))
-    return F.trim(padded)
+def apply_merges(sy: Column, merges: list[tuple[int, int, int]]) -> Column:
+    """Replace every occurrence of ``left right`` by ``id``, left to right. Each merge is one
+    ``replace`` over symbols that carry a space on either side."""
+    out = F.concat(F.lit(" "), F.replace(sy, F.lit(" "), F.lit("  ")), F.lit(" "))
+    for a, b, new in merges:
+        out = F.replace(out, F.lit(f" {a}  {b} "), F.lit(f" {new} "))
+    return F.trim(F.replace(out, F.lit("  "), F.lit(" ")))
+
+
+def _pair_changes(words: DataFrame, merges: list[tuple[int, int, int]]) -> DataFrame:
+    """``(left, right, cnt)`` to add to the pair counts when ``merges`` are applied to ``words``."""
+    held = words.where(_padded(F.col("sy")).rlike(_occurrences([m[:2] for m in merges])))
+    both = held.select(F.explode(F.array(F.struct((-F.col("cnt")).alias("cnt"), F.col("sy").alias("sy")),
+                                         F.struct(F.col("cnt").alias("cnt"), apply_merges(F.col("sy"), merges).alias("sy"))))
+                       .alias("v"))
+    return pair_counts(both.select("v.cnt", "v.sy"))
 
 
 def _vocab_df(spark: SparkSession, tokens: list[str]) -> DataFrame:
@@ -109,46 +118,50 @@ def train(words: DataFrame, vocab_size: int, min_frequency: int = 2, max_merges:
     tokens = list(BL.SPECIAL_TOKENS) + sorted(BL.BYTE_CHARS, key=ord)
     ids = {t: i for i, t in enumerate(tokens)}
     merges: list[tuple[int, str, str, int]] = []
-    state = materialize(symbol_words(words.select("word", "cnt")), "bpe_words")
+    state = materialize(words.select("word", "cnt", F.array_join(BL.base_ids("word").cast("array<string>"), " ")
+                                     .alias("sy")), "bpe_words")
+    counts = materialize(pair_counts(state), "bpe_pairs")
     rounds = 0
+    kept: list[DataFrame] = []
     while len(ids) < vocab_size and (max_merges is None or len(merges) < max_merges):
-        pc = pair_counts(state).where(F.col("cnt") >= min_frequency)
-        voc = F.broadcast(_vocab_df(spark, tokens))
-        ranked = (pc.join(voc.withColumnRenamed("token", "left").withColumnRenamed("id", "lid"), "left")
-                  .join(voc.withColumnRenamed("token", "right").withColumnRenamed("id", "rid"), "right")
-                  .orderBy(F.desc("cnt"), "lid", "rid").limit(top_pairs))
-        top = ranked.select("left", "right", "cnt").collect()
-        if not top:
-            break
-        used: set[str] = set()
-        accepted: list[tuple[str, str]] = []
-        for row in top:
-            a, b = row["left"], row["right"]
-            if a in used or b in used:
+        left, right = F.col("left").cast("int"), F.col("right").cast("int")
+        top = (counts.where(F.col("cnt") >= min_frequency).orderBy(F.desc("cnt"), left, right)
+               .limit(top_pairs).select(left.alias("left"), right.alias("right")).collect())
+        lefts: set[int] = set()
+        rights: set[int] = set()
+        accepted: list[tuple[int, int, int]] = []
+        for a, b in top:
+            if a in rights or b in lefts or len(tokens) >= vocab_size or len(merges) == max_merges:
                 break
-            if len(ids) >= vocab_size or (max_merges is not None and len(merges) >= max_merges):
-                break
-            new = a + b
-            if new not in ids:
+            new = tokens[a] + tokens[b]
+            known = new in ids
+            if not known:
                 ids[new] = len(tokens)
                 tokens.append(new)
-            merges.append((len(merges), a, b, ids[new]))
-            accepted.append((a, b))
-            used.update((a, b))
-            if a == b:
+            merges.append((len(merges), tokens[a], tokens[b], ids[new]))
+            accepted.append((a, b, ids[new]))
+            if known or a == b:
                 break
+            lefts.add(a)
+            rights.add(b)
         if not accepted:
             break
         rounds += 1
-        prev = state
+        counts = (counts.unionByName(_pair_changes(state, accepted)).groupBy("left", "right")
+                  .agg(F.sum("cnt").cast("bigint").alias("cnt")).where("cnt > 0"))
         state = state.withColumn("sy", apply_merges(F.col("sy"), accepted))
         if rounds % checkpoint_every == 0:
-            state = materialize(state, "bpe_words")      # lineage cut in the shared folder
+            # lineage cut in the shared folder; the rounds between are kept by the executors
+            state, counts = materialize(state, "bpe_words"), materialize(counts, "bpe_pairs")
+            for old in kept:
+                old.unpersist()
+            kept = []
         else:
-            state = state.persist()                      # next round reads it, no recompute
-        if prev.storageLevel.useMemory or prev.storageLevel.useDisk:
-            prev.unpersist()
+            state, counts = state.persist(), counts.persist()
+            kept += [state, counts]
     state = materialize(state, "bpe_words")
+    for old in kept:
+        old.unpersist()
     vocab = _vocab_df(spark, tokens)
     mdf = spark.createDataFrame(merges, "rank int, left string, right string, id int")
     return BpeModel(vocab=vocab, merges=mdf, words=state, vocab_size=len(tokens), rounds=rounds)
@@ -174,12 +187,9 @@ def ensure_specials(vocab: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 # P8 / P9 / J4
 # ---------------------------------------------------------------------------
-def word_ids(model_words: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Per distinct word, its token ids (symbols looked up in the broadcast vocabulary)."""
-    ex = model_words.select("word", F.posexplode(F.split("sy", " ")).alias("pos", "token"))
-    j = ex.join(F.broadcast(vocab.select("token", "id")), "token")
-    return j.groupBy("word").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("wids"))
+def word_ids(model_words: DataFrame) -> DataFrame:
+    """Per distinct training word, its token ids."""
+    return model_words.select("word", F.split("sy", " ").cast("array<int>").alias("wids"))
 
 
 def encode(docs: DataFrame, model: BpeModel, key: str = "doc_id", text_col: str = "text",
@@ -205,8 +215,8 @@ def encode(docs: DataFrame, model: BpeModel, key: str = "doc_id", text_col: str
 def word_table(model: BpeModel, occurrences: DataFrame) -> DataFrame:
     """``(word, wids)`` for every distinct word of ``occurrences(word)``: training words from the
     model's table, the rest by replaying merges on the distinct unseen words only."""
-    wi = word_ids(model.words, model.vocab)
-    unseen = occurrences.select("word").join(wi.select("word"), "word", "left_anti").distinct()
+    wi = word_ids(model.words)
+    unseen = occurrences.select("word").distinct().join(wi.select("word"), "word", "left_anti")
     return wi.unionByName(encode_unseen(unseen, model))
 
 
@@ -224,28 +234,40 @@ def encode_pieces(docs: DataFrame, model: BpeModel, shard_col: str = "shard", or
     return t.unionByName(e)
 
 
+def _merge_by_rank(syms: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
+    """Merge the adjacent pair of lowest rank (leftmost first) until none has a rank; a heap over the
+    pairs keeps a word of n bytes at O(n log n)."""
+    after = list(range(1, len(syms) + 1))
+    prior = list(range(-1, len(syms) - 1))
+    heap = [(ranks[p], i, p) for i, p in enumerate(zip(syms, syms[1:])) if p in ranks]
+    heapq.heapify(heap)
+    while heap:
+        _, i, pair = heapq.heappop(heap)
+        j = after[i]
+        if j >= len(syms) or (syms[i], syms[j]) != pair:
+            continue  # one of the two was merged since
+        syms[i], syms[j] = syms[i] + syms[j], ""
+        after[i] = after[j]
+        if after[j] < len(syms):
+            prior[after[j]] = i
+        for a, b in ((prior[i], i), (i, after[i])):
+            if a >= 0 and b < len(syms) and (syms[a], syms[b]) in ranks:
+                heapq.heappush(heap, (ranks[syms[a], syms[b]], a, (syms[a], syms[b])))
+    return [t for t in syms if t]
+
+
 def encode_unseen(unseen_words: DataFrame, model: BpeModel) -> DataFrame:
     """Encode words outside the training table by replaying merges (pandas, per distinct word)."""
     merges = [(r["left"], r["right"], r["rank"]) for r in model.merges.orderBy("rank").collect()]
     vocab = {r["token"]: r["id"] for r in model.vocab.collect()}
     ranks = {(a, b): k for a, b, k in merges}
-    bl_map = {i: BL.BYTE_CHARS[i] for i in range(256)}
+    chars = [BL.BYTE_CHARS[i] for i in range(256)]
 
     def run(batches):
         for pdf in batches:
-            out = []
-            for w in pdf["word"]:
-                syms = [bl_map[b] for b in w.encode("utf-8")]
-                while len(syms) > 1:
-                    best = min(((ranks.get((syms[i], syms[i + 1]), None), i)
-                                for i in range(len(syms) - 1)
-                                if (syms[i], syms[i + 1]) in ranks), default=None)
-                    if best is None:
-                        break
-                    i = best[1]
-                    syms = syms[:i] + [syms[i] + syms[i + 1]] + syms[i + 2:]
-                out.append([vocab[s] for s in syms])
-            yield pd.DataFrame({"word": pdf["word"], "wids": out})
+            ids = [[vocab[t] for t in _merge_by_rank([chars[b] for b in w.encode("utf-8")], ranks)]
+                   for w in pdf["word"]]
+            yield pd.DataFrame({"word": pdf["word"], "wids": ids})
 
     return unseen_words.mapInPandas(run, "word string, wids array<int>")
 

@@ -9,14 +9,16 @@ from tessera.functions import text as T
 from tessera.operators import bpe, dedupe, langid, shards
 from tessera.operators.materialize import materialize
 from tessera.plans import corpus
-from tessera.plans.queries import TRAIN_FRAC, query
+from tessera.plans import sql as S
+from tessera.plans.queries import _CLEAN_DOCS, TRAIN_FRAC, query
 from tessera.plans.queries_windows import BIGRAM_CTX, EVAL_BATCH, EVAL_MAX_BATCHES, _bigram_sql, _meta
-from tessera.sources import tables
+from tessera.session import shared_dir
+from tessera.sources import artifacts, tables
 
 # ---------------------------------------------------------------------------
 # Fixed query parameters
 # ---------------------------------------------------------------------------
-VOCAB_SIZE = 300          # 260 byte-level base tokens + 40 merges
+VOCAB_SIZE = 340          # 260 byte-level base tokens + 80 merges; a parameter of bpe.train
 MIN_FREQUENCY = 2
 ROUNDTRIP_SAMPLES = 1000
 
@@ -25,15 +27,57 @@ def _model(spark, d):
     return corpus.bpe_model(spark, d, VOCAB_SIZE, MIN_FREQUENCY)
 
 
-# --- A6 S15 U4: no SQL oracle (iterative); checked against the tokenizers library in tests --------
-@query("bpe_merges")
+# --- A6 S15 U4 ----------------------------------------------------------------------------------------
+# One merge a recursion step. Symbols carry a space on either side, so replace() merges left to right.
+# Rows: w = word with its symbols, v = vocabulary, m = the merge of the step.
+_BASE_SQL = ", ".join(f"({i}, {S.q(t)})" for i, t in
+                      enumerate([*BL.SPECIAL_TOKENS, *sorted(BL.BYTE_CHARS, key=ord)]))
+_BPE_SQL = f"""
+WITH RECURSIVE c AS ({_CLEAN_DOCS}),
+k AS (SELECT doc_id, text FROM c WHERE text <> '' QUALIFY row_number() OVER (PARTITION BY sha1(text) ORDER BY doc_id) = 1),
+wc AS (SELECT word, count(*)::BIGINT AS cnt FROM (SELECT unnest({S.words('text')}) AS word FROM k) GROUP BY word),
+base(id, token) AS (VALUES {_BASE_SQL}),
+st(it, kind, word, cnt, sy, id) AS (
+  (SELECT 0, 'w', word, cnt,
+          list_aggregate(list_transform({S.byte_chars('word')}, lambda x: ' ' || x || ' '), 'string_agg', ''),
+          NULL::INTEGER FROM wc
+   UNION ALL SELECT 0, 'v', token, NULL, NULL, id FROM base)
+  UNION ALL
+  (WITH s AS (SELECT cnt, string_split(trim(sy), '  ') AS a FROM st WHERE kind = 'w' AND contains(sy, '  ')),
+   p AS (SELECT a[i] AS l, a[i + 1] AS r, sum(cnt) AS n
+         FROM (SELECT cnt, a, unnest(range(1, len(a))) AS i FROM s) GROUP BY ALL),
+   v AS (SELECT word, id FROM st WHERE kind = 'v'),
+   best AS (SELECT l, r FROM p JOIN v vl ON vl.word = l JOIN v vr ON vr.word = r
+            WHERE n >= {MIN_FREQUENCY} AND (SELECT count(*) FROM v) < {VOCAB_SIZE}
+            ORDER BY n DESC, vl.id, vr.id LIMIT 1)
+   SELECT st.it + 1, kind, word, cnt,
+          CASE WHEN kind = 'w' THEN replace(sy, ' ' || l || '  ' || r || ' ', ' ' || l || r || ' ') END, id
+   FROM st, best WHERE kind IN ('w', 'v')
+   UNION ALL SELECT (SELECT max(it) FROM st) + 1, 'v', l || r, NULL, NULL, (SELECT max(id) + 1 FROM v)::INTEGER
+   FROM best WHERE l || r NOT IN (SELECT word FROM v)
+   UNION ALL SELECT (SELECT max(it) FROM st) + 1, 'm', l, NULL, r, NULL FROM best)),
+voc AS (SELECT word AS token, id FROM st WHERE kind = 'v' AND it = (SELECT max(it) FROM st)),
+fin AS (SELECT word, string_split(trim(sy), '  ') AS sy FROM st WHERE kind = 'w' AND it = (SELECT max(it) FROM st)),
+wt AS (SELECT word, count(*) AS n, sum(id) AS sum_ids, any_value(bytes) AS bytes
+       FROM (SELECT word, array_to_string(sy, '') AS bytes, unnest(sy) AS token FROM fin) JOIN voc USING (token)
+       GROUP BY word),
+enc AS (SELECT doc_id, source, coalesce(sum(n), 0) + 1 AS n_tokens, coalesce(sum(sum_ids), 0) + {BL.EOS_ID} AS sum_ids
+        FROM (SELECT doc_id, source, unnest({S.words('text')}) AS word FROM c WHERE text <> '') JOIN wt USING (word)
+        GROUP BY doc_id, source)"""
+
+
+@query("bpe_merges", _BPE_SQL + """
+SELECT (it - 1)::INTEGER AS rank, word AS "left", sy AS "right", voc.id
+FROM st JOIN voc ON voc.token = word || sy WHERE kind = 'm'""")
 def q_bpe_merges(spark, d):
     return _model(spark, d).merges.select("rank", "left", "right", "id")
 
 
-@query("bpe_vocab")
+@query("bpe_vocab", _BPE_SQL + "\nSELECT token, id FROM voc")
 def q_bpe_vocab(spark, d):
-    return bpe.ensure_specials(_model(spark, d).vocab)
+    path = shared_dir(spark, "vocab")
+    artifacts.save_vocab(_model(spark, d), path)
+    return artifacts.load_vocab(spark, path)[0]
 
 
 # --- P8 -----------------------------------------------------------------------------------------------
@@ -42,7 +86,8 @@ def _clean_docs(spark, d):
     return docs.where(T.has_content("text")).select("doc_id", "source", T.canonical_text("text").alias("text"))
 
 
-@query("bpe_encode_lengths")
+@query("bpe_encode_lengths", _BPE_SQL + """
+SELECT doc_id, n_tokens::BIGINT AS n_tokens, sum_ids::BIGINT AS sum_ids FROM enc""")
 def q_bpe_encode_lengths(spark, d):
     # per-document totals from word-level pieces (partial aggregates): no document's id list is built
     m = _model(spark, d)
@@ -53,8 +98,15 @@ def q_bpe_encode_lengths(spark, d):
         F.sum(F.aggregate("ids", F.lit(0).cast("bigint"), lambda a, x: a + x)).cast("bigint").alias("sum_ids"))
 
 
-# --- A7 W9 P9 -----------------------------------------------------------------------------------------
-@query("bpe_roundtrip")
+# --- A7 W9 P9: a line decodes exactly when its tokens spell its bytes --------------------------------------
+@query("bpe_roundtrip", _BPE_SQL + f""",
+l AS (SELECT doc_id, text FROM k ORDER BY doc_id LIMIT {ROUNDTRIP_SAMPLES}),
+w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos
+      FROM (SELECT doc_id, {S.words('text')} AS ws FROM l)),
+dec AS (SELECT doc_id, string_agg(bytes, '' ORDER BY pos) AS bytes FROM w JOIN wt USING (word) GROUP BY doc_id)
+SELECT count(*)::BIGINT AS roundtrip_checked,
+       count(*) FILTER (WHERE dec.bytes = array_to_string({S.byte_chars('l.text')}, ''))::BIGINT AS roundtrip_exact,
+       roundtrip_exact / roundtrip_checked AS roundtrip_rate FROM l LEFT JOIN dec USING (doc_id)""")
 def q_bpe_roundtrip(spark, d):
     m = _model(spark, d)
     c = dedupe.first_per_digest(dedupe.clean(tables.documents(spark, d, "doc_id", "text", "ord")))
@@ -62,7 +114,8 @@ def q_bpe_roundtrip(spark, d):
 
 
 # --- L2 S14 A8 ----------------------------------------------------------------------------------------
-@query("bpe_shard_meta")
+@query("bpe_shard_meta", _BPE_SQL + """
+SELECT source AS shard, sum(n_tokens)::BIGINT AS tokens, 'int32' AS dtype FROM enc GROUP BY source""")
 def q_bpe_shard_meta(spark, d):
     docs = tables.documents(spark, d, "doc_id", "source", "text")
     ch = materialize(corpus.tokenize_sources(docs, _model(spark, d)), "bpe_chunks")
