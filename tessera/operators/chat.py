@@ -139,16 +139,24 @@ def request_records(conv: DataFrame, model: str = "tessera") -> DataFrame:
 
 
 def parse_request(js: Column) -> Column:
-    """Parsed request with defaults (temperature 0.8, stream false, stop [], 128 tokens)."""
+    """Parsed request with defaults (temperature 0.8, stream false, stop [], 128 tokens).
+
+    A default stands in for an absent property only: a property given as null stays null. ``valid`` is
+    false without messages or when the body is no JSON object."""
     r = F.from_json(js, REQUEST_SCHEMA)
+    given = F.coalesce(F.json_object_keys(js), F.array().cast("array<string>"))
+
+    def prop(name, default):
+        return F.when(F.array_contains(given, name), r[name]).otherwise(F.lit(default))
+
     return F.struct(
-        F.coalesce(r["model"], F.lit("")).alias("model"),
+        prop("model", "").alias("model"),
         F.coalesce(r["messages"], F.array()).alias("messages"),
-        F.coalesce(r["temperature"], F.lit(DEFAULT_TEMPERATURE)).alias("temperature"),
+        prop("temperature", DEFAULT_TEMPERATURE).alias("temperature"),
         r["top_p"].alias("top_p"), r["top_k"].alias("top_k"),
-        F.coalesce(r["stream"], F.lit(DEFAULT_STREAM)).alias("stream"),
+        prop("stream", DEFAULT_STREAM).alias("stream"),
         F.coalesce(r["stop"], F.array().cast("array<string>")).alias("stop"),
-        F.coalesce(r["max_completion_tokens"], F.lit(DEFAULT_MAX_TOKENS)).alias("max_tokens"),
+        prop("max_completion_tokens", DEFAULT_MAX_TOKENS).alias("max_tokens"),
         r["seed"].alias("seed"),
         (F.size(F.coalesce(r["messages"], F.array())) > 0).alias("valid"))
 

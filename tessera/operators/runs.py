@@ -66,9 +66,14 @@ def keep_last(artifacts: DataFrame, n: int, run: str = "run", step: str = "step"
     return artifacts.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= n).drop("_rk")
 
 
-def latest_status(metrics: DataFrame, run: str = "run", step: str = "step", loss: str = "loss") -> DataFrame:
-    """Last step and the loss logged at it, per run (partial aggregates)."""
-    return metrics.groupBy(run).agg(F.max(step).alias("last_step"), F.max_by(loss, step).alias("last_loss"))
+def latest_status(metrics: DataFrame, run: str = "run", step: str = "step", loss: str = "loss",
+                  order: str | None = None) -> DataFrame:
+    """The last step and the last loss that each run logged, apart, by ``order`` (the place in the
+    log; the step when none is given). A run that resumed from an earlier step shows its newest line.
+    Null values are passed over. Partial aggregates."""
+    at = F.col(order or step)
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), at))
+    return metrics.groupBy(run).agg(last(step).alias("last_step"), last(loss).alias("last_loss"))
 
 
 def throughput(metrics: DataFrame, tokens_per_step: int, run: str = "run", step: str = "step",

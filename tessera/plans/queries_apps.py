@@ -120,22 +120,39 @@ def q_chat_jsonl(spark, d):
 
 
 # --- P14 P20 ----------------------------------------------------------------------------------------------
+# Bodies by conv_id % 5: defaults, set values, explicit nulls, no messages, set values and one null
+_BODY_EXTRA = ['', ',"temperature":0.2,"max_completion_tokens":7', ',"temperature":null,"stream":true', '',
+               ',"stream":null,"max_completion_tokens":64,"stop":["x","y"]']
+_BODY_EMPTY = '{"model":"tessera","messages":[]}'
+_EXTRA_SQL = "CASE conv_id % 5 " + " ".join(f"WHEN {i} THEN {S.q(x)}" for i, x in enumerate(_BODY_EXTRA)) + " END"
+
+
 @query("request_parse", f"""
-WITH j AS (SELECT conv_id, to_json({{'model': 'tessera',
+WITH m AS (SELECT conv_id, to_json({{'model': 'tessera',
                          'messages': list({{'role': role, 'content': text}} ORDER BY turn)}})::VARCHAR AS js
-           FROM conversations GROUP BY conv_id)
+           FROM conversations GROUP BY conv_id),
+j AS (SELECT conv_id, CASE WHEN conv_id % 5 = 3 THEN {S.q(_BODY_EMPTY)}
+                           ELSE left(js, length(js) - 1) || {_EXTRA_SQL} || '}}' END AS js FROM m)
 SELECT conv_id, json_array_length(js, '$.messages')::INTEGER AS n_messages,
-       coalesce(json_extract(js, '$.temperature')::DOUBLE, {C.DEFAULT_TEMPERATURE}) AS temperature,
-       coalesce(json_extract(js, '$.stream')::BOOLEAN, false) AS stream,
-       coalesce(json_extract(js, '$.max_completion_tokens')::INTEGER, {C.DEFAULT_MAX_TOKENS}) AS max_tokens,
+       CASE WHEN json_type(js, '$.temperature') IS NULL THEN {C.DEFAULT_TEMPERATURE}::DOUBLE
+            ELSE json_extract_string(js, '$.temperature')::DOUBLE END AS temperature,
+       CASE WHEN json_type(js, '$.stream') IS NULL THEN false
+            ELSE json_extract_string(js, '$.stream')::BOOLEAN END AS stream,
+       CASE WHEN json_type(js, '$.max_completion_tokens') IS NULL THEN {C.DEFAULT_MAX_TOKENS}
+            ELSE json_extract_string(js, '$.max_completion_tokens')::INTEGER END AS max_tokens,
+       coalesce(json_array_length(js, '$.stop'), 0)::INTEGER AS n_stops,
        json_extract_string(js, '$.messages[#-1].role') AS last_role,
        json_array_length(js, '$.messages') > 0 AS valid
 FROM j""")
 def q_request_parse(spark, d):
-    r = C.request_records(_conv(spark, d)).select("conv_id", C.parse_request(F.col("json")).alias("r"))
+    extra = F.element_at(F.array(*[F.lit(x) for x in _BODY_EXTRA]), (F.col("conv_id") % 5 + 1).cast("int"))
+    full = F.concat(F.expr("left(json, length(json) - 1)"), extra, F.lit("}"))
+    body = F.when(F.col("conv_id") % 5 == 3, F.lit(_BODY_EMPTY)).otherwise(full)
+    r = C.request_records(_conv(spark, d)).select("conv_id", C.parse_request(body).alias("r"))
     return r.select("conv_id", F.size("r.messages").alias("n_messages"), F.col("r.temperature").alias("temperature"),
                     F.col("r.stream").alias("stream"), F.col("r.max_tokens").alias("max_tokens"),
-                    F.element_at("r.messages", -1)["role"].alias("last_role"), F.col("r.valid").alias("valid"))
+                    F.size("r.stop").alias("n_stops"),
+                    F.try_element_at("r.messages", F.lit(-1))["role"].alias("last_role"), F.col("r.valid").alias("valid"))
 
 
 # --- P12 ----------------------------------------------------------------------------------------------------

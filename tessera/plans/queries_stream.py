@@ -91,15 +91,19 @@ def q_stream_diagnostics(spark, d):
 
 # --- T7: heartbeat over run logs written from the events table ----------------------------------------
 @query("stream_heartbeat", f"""
-WITH l AS (SELECT event_type AS run, {A._LOG_LINE_SQL} AS line FROM events),
-p AS (SELECT run, regexp_extract_all(line, '{A.R.STEP_PATTERN}', 1)[-1]::BIGINT AS step,
+WITH l AS (SELECT event_type AS run, user_id, event_id, {A._LOG_LINE_SQL} AS line FROM events),
+p AS (SELECT run, user_id, event_id, regexp_extract_all(line, '{A.R.STEP_PATTERN}', 1)[-1]::BIGINT AS step,
              regexp_extract_all(line, '\\b{A.R.LOSS_PATTERN}', 1)[-1]::DOUBLE AS loss FROM l)
-SELECT 'run=' || run AS run, max(step)::BIGINT AS last_step, arg_max(loss, step) AS last_loss FROM p GROUP BY run""")
+SELECT 'run=' || run AS run, arg_max(step, (user_id, event_id))::BIGINT AS last_step,
+       arg_max(loss, (user_id, event_id)) AS last_loss FROM p GROUP BY run""")
 def q_stream_heartbeat(spark, d):
     ev = tables.table(spark, d, "events", "event_id", "ts", "event_type", "user_id", "value")
-    lines = A._log_lines(spark, d).join(ev.select("event_id", "event_type"), "event_id")
+    lines = A._log_lines(spark, d).join(ev.select("event_id", "event_type", "user_id"), "event_id")
     log_dir = shared_dir(spark, "logs")
-    lines.select(F.col("event_type").alias("run"), "line").write.partitionBy("run").text(log_dir)
+    # lines by user, then event: steps go back whenever the next user's lines begin, as in resumed runs
+    order = ("event_type", "user_id", "event_id")
+    ranged = lines.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged.select(F.col("event_type").alias("run"), "line").write.partitionBy("run").text(log_dir)
     out = heartbeat.heartbeat(spark, log_dir)
     return spark.read.parquet(out)
 

@@ -4,7 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from tessera.operators import bpe, shards
+from tessera.operators import bpe, chat, runs, shards
 from tessera.sources import artifacts, textfiles
 
 
@@ -83,3 +83,18 @@ def test_read_lines_order_across_files(spark, tmpdir_path):
         paths.append(p)
     rows = textfiles.read_lines(spark, paths).orderBy("ord").collect()
     assert [r.text for r in rows] == [f"{k}-{i}" for k in range(3) for i in range(50)]
+
+
+def test_latest_status_follows_the_log_not_the_step(spark):
+    rows = spark.createDataFrame([("a", 1, 10, 2.0), ("a", 2, 20, 1.0), ("a", 3, 15, None), ("a", 4, None, 1.5), ("b", 1, 3, 4.0)],
+                                 "run string, line int, step long, loss double")
+    got = {r.run: (r.last_step, r.last_loss) for r in runs.latest_status(rows, order="line").collect()}
+    assert got == {"a": (15, 1.5), "b": (3, 4.0)}
+
+
+def test_request_keeps_explicit_nulls(spark):
+    bodies = [(0, '{"messages":[{"role":"user","content":"x"}]}'), (1, '{"messages":[],"temperature":null,"stream":true}'),
+              (2, "not json")]
+    df = spark.createDataFrame(bodies, "i int, js string").select("i", chat.parse_request(F.col("js")).alias("r"))
+    got = {x.i: (x.r.temperature, x.r.stream, x.r.valid) for x in df.collect()}
+    assert got == {0: (0.8, False, True), 1: (None, True, False), 2: (0.8, False, False)}
