@@ -14,7 +14,8 @@ def table_stream(spark: SparkSession, path: str, max_files_per_trigger: int | No
     r = spark.readStream.schema(schema)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    if path.rstrip("/").endswith(".parquet") and "/" in path:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isFile():
         # a single-file table: stream its folder, restricted to that file name
         folder, name = path.rstrip("/").rsplit("/", 1)
         return r.option("pathGlobFilter", name).parquet(folder)
