@@ -205,12 +205,16 @@ class Vocabulary:
     def entry(self, chunk: str) -> tuple[int, str, str]:
         """Number of ids, ids joined by commas, decoded text of a chunk; kept if it is short."""
         got = self.older.get(chunk)
-        if got is None and chunk[-2:] not in self.bigrams and len(chunk) > 1:
-            a, b = (self.cache.get(c) or self.entry(c) for c in (chunk[:-1], chunk[-1]))
-            got = (a[0] + b[0], f"{a[1]},{b[1]}", a[2] + b[2])
-        elif got is None:
-            ids = self.encode_chunk(chunk)
-            got = (len(ids), ",".join([str(i) for i in ids]), self._plain(ids))
+        if got is None:
+            bigrams = self.bigrams
+            cuts = [k for k in range(1, len(chunk)) if chunk[k - 1:k + 1] not in bigrams]
+            if cuts:  # no merge crosses a cut, so the parts are encoded on their own
+                n, ids, plain = zip(*[self.cache.get(c) or self.entry(c) for c in
+                                      (chunk[a:b] for a, b in zip([0, *cuts], [*cuts, len(chunk)]))])
+                got = (sum(n), ",".join(ids), "".join(plain))
+            else:
+                own = self.encode_chunk(chunk)
+                got = (len(own), ",".join([str(i) for i in own]), self._plain(own))
         if len(chunk) <= CACHED_LENGTH:
             if len(self.cache) >= CACHE:
                 self.older, self.cache = self.cache, {}

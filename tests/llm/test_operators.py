@@ -132,6 +132,19 @@ def test_sentencepiece_strings():
         assert own.decode(some) == lib.decode(some)
 
 
+def test_sentencepiece_long_runs():
+    import sentencepiece
+
+    model = open(queries.piece_model(), "rb").read()
+    lib, rnd = sentencepiece.SentencePieceProcessor(model_proto=model), random.Random(2)
+    own = sentencepiece_bpe.Vocabulary(model)
+    for chars in ("0123456789", "\t", "漢字中文語言", "🙂🎉🚀", "กขคงจ", "かなカナ", "7", "0a漢🙂\tthe"):
+        run = "".join(rnd.choice(chars) for _ in range(5000))
+        for text in (run, f"some words {run} and more\n{run}"):
+            ids = lib.encode(text)
+            assert own.round_trip(text) == (len(ids), ",".join(map(str, ids)), lib.decode(ids))
+
+
 def brute_edits(rows):
     rows = sorted(((r[0], r[1] or "") for r in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode()))
     out = Counter()
