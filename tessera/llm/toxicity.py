@@ -1,10 +1,12 @@
 """6. Toxicity: noisy-channel deobfuscation, then a score of the restored text.
 
-Tokens that look disguised (leetspeak inside a word, a letter three times in a row, single letters
-with spaces between them) become a lattice of characters; a Viterbi search under a character
-trigram model picks the reading: a look-alike stands for a letter, a repetition or a separator may
-be dropped. The trigram model counts the characters of all documents (an alphabet of 64 codes, so
-at most 64^3 counters reach the driver however large the corpus is).
+Every token with a look-alike (0 for o) or a doubled letter, and every run of short letter groups of
+which one is a single character (s t u p i d, st u p id), becomes a lattice of characters; a Viterbi
+search under a character trigram model picks the reading: a look-alike stands for a letter, a
+repetition or a separator may be dropped. The reading is taken if it is likelier than the token as it
+stands, a disguise being a matter of one token in ``1 / exp(DISGUISED)``. The trigram model counts the
+characters of all documents (an alphabet of 64 codes, so at most 64^3 counters reach the driver however
+large the corpus is).
 
 Words and word beginnings that mark toxic documents are learned from at most ``FIT_DOCS`` labelled
 rows, in the order of a hash of their ids and never from held-out rows; of these at most
@@ -17,7 +19,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping, Sequence
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -33,19 +36,24 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "
         "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
 _LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(map(chr, range(0xDF, 0x100)))
 _CODE = {c: k for k, c in enumerate(_LETTERS, 1) if c != "\xf7"}
+_DIGIT, _SIGN = 60, 61
+_CODES = _CODE | {c: _DIGIT if c.isdigit() else _SIGN for c in LEET}
 _SIZE = 64
+DISGUISED = math.log(0.3)
 _CACHE = 300_000
-_SPACED = re.compile(r"(?:(?<=\s)|^)[^\s\w]?\w(?:[ .\-_*]\w){3,}(?=\W|$)")
-_MAYBE_SPACED = re.compile(r"\w[ .\-_*]\w[ .\-_*]\w[ .\-_*]\w")
-_INSIDE = re.compile(r"[0-9@$!|+][^\W\d_]")
+_ONE = "[0-9a-z\xdf-\xf6\xf8-\xff@$!|+]"
+_EDGE, _END = r"(?<![^\W_])(?<![@$!|+])", r"(?![^\W_]|[@$!|+])"
+_LONE = re.compile(_EDGE + _ONE + _END)
+_RUN = re.compile(rf"{_EDGE}(?:{_ONE}{{1,3}}[ .,\-_*/]{{1,3}})+{_ONE}{{1,3}}{_END}")
+_UNITS = re.compile(rf"{_ONE}+|[ .,\-_*/]+")
+_SUSPECT = re.compile(r"[0-9@$!|+]|([^\W\d_])\1")
 _LETTER = re.compile(r"[^\W\d_]")
-_TRIPLE = re.compile(r"([^\W\d_])\1\1")
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
 def _count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table = np.zeros(256, np.int64)
-    for c, k in _CODE.items():
+    for c, k in _CODES.items():
         table[ord(c)] = k
     sums = np.zeros(_SIZE ** 3, np.int64)
     for batch in batches:
@@ -57,7 +65,8 @@ def _count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def character_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """log P(c | a, b) over all texts as an array [a, b, c]; code 0 is anything but a letter."""
+    """log P(c | a, b) over all texts as an array [a, b, c]; all digits are one code, so are
+    all signs that look like letters; code 0 is anything else."""
     rows = (docs.select(text_col).mapInArrow(_count_trigrams, "_at long, _n long")
             .groupBy("_at").agg(F.sum("_n").alias("_n")).collect())
     counts = np.full(_SIZE ** 3, 0.1)
@@ -67,44 +76,73 @@ def character_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return np.log(counts / counts.sum(2, keepdims=True))
 
 
-def decode(token: str, logp: np.ndarray, separators: str = "") -> str:
-    """Most likely reading of a disguised token. A state is the last two codes that were emitted;
-    each observed character may be read as itself or a look-alike, or dropped if it repeats the
-    one before or is a separator."""
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for k, ch in enumerate(token):
-        options: list[tuple[str, float]] = []
-        if ch in separators:
-            options.append(("", 0.0))
+_FLAT: list = [None, []]
+
+
+def _flat(logp: np.ndarray) -> list[float]:
+    """The model as a list, which is read faster one by one; that of the last model is kept."""
+    if _FLAT[0] is not logp:
+        _FLAT[:] = logp, logp.ravel().tolist()
+    return _FLAT[1]
+
+
+#: Log probability of a character that stands for itself given its code, of a look-alike, of a repetition.
+_KEPT = [math.log(0.9)] * _DIGIT + [math.log(0.1), math.log(0.2)]
+_LOOKS, _REPEAT = math.log(0.7), math.log(0.2)
+#: How likely a separator is dropped in a disguised run: between groups, beside one or two single
+#: characters, at the edge of three or more, between single characters.
+_BETWEEN, _BESIDE, _EDGES, _SINGLE = 0.1, 0.5, 0.01, 0.97
+
+
+def decode(units: Sequence[str], logp: np.ndarray, dropped: Mapping[int, float] | None = None) -> str:
+    """Most likely reading of a token, which is the token itself unless another one is likelier by
+    more than a disguise is rare. A state is the last two codes that were emitted; each observed
+    character may be read as itself or a look-alike, or dropped if it repeats the one before.
+    ``dropped`` has the units that are separators, and how likely each is dropped in a disguise.
+    Readings are linked lists, so that long tokens take linear time."""
+    model, top, dropped = _flat(logp), _SIZE * _SIZE, dropped or {}
+    states: dict[int, tuple[float, tuple | None]] = {0: (DISGUISED, None)}
+    plain, at, before = 0.0, 0, ""
+    for k, ch in enumerate(units):
+        code = _CODES.get(ch, 0)
+        cost = 0.0 if k in dropped else _KEPT[code]
+        plain += cost + model[at * _SIZE + code]
+        at = (at * _SIZE + code) % top
+        drop = None
+        if k in dropped:
+            options, drop = [(ch, code, math.log(1 - dropped[k]))], math.log(dropped[k])
         else:
-            if ch in _CODE or ch not in LEET:
-                options.append((ch, math.log(0.9)))
-            else:
-                options.append((ch, math.log(0.0005)))  # one of many characters that share code 0
-            for letter in LEET.get(ch, ""):
-                options.append((letter, math.log(0.4)))
-            if k and token[k - 1] == ch:
-                options.append(("", math.log(0.5)))
-        new: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, text) in states.items():
-            for out, cost in options:
-                if out:
-                    c = _CODE.get(out, 0)
-                    to, value = (b, c), score + cost + float(logp[a, b, c])
-                else:
-                    to, value = (a, b), score + cost
+            options = [(ch, code, cost), *((c, _CODE[c], _LOOKS) for c in LEET.get(ch, ""))]
+            if ch == before and code:
+                drop = _REPEAT
+        before = ch
+        new: dict[int, tuple[float, tuple | None]] = {}
+        for state, (score, text) in states.items():
+            for out, c, price in options:
+                key = state * _SIZE + c
+                value, to = score + price + model[key], key % top
                 if to not in new or value > new[to][0]:
-                    new[to] = (value, text + out)
+                    new[to] = (value, (text, out))
+            if drop is not None and (state not in new or score + drop > new[state][0]):
+                new[state] = (score + drop, text)
         states = new
-    return max((score + float(logp[a, b, 0]), text) for (a, b), (score, text) in states.items())[1]
+    score, text = max(((score + model[state * _SIZE], text) for state, (score, text) in states.items()),
+                      key=lambda x: x[0])
+    if score <= plain + model[at * _SIZE]:
+        return "".join(units)
+    out = []
+    while text is not None:
+        text, ch = text
+        out.append(ch)
+    return "".join(reversed(out))
 
 
 def restore_token(token: str, logp: np.ndarray) -> str:
-    """A token of lower-case text, restored if it looks disguised."""
+    """A token of lower-case text, restored if that is the likelier reading."""
     core = token.strip(".,;:?\"'()[]#*%&<>")
-    bare = core.rstrip("$!|+") or core
-    if (_INSIDE.search(bare) and sum(map(len, _LETTER.findall(bare))) * 3 >= len(bare)) or _TRIPLE.search(core):
-        return decode(bare, logp)
+    if _SUSPECT.search(core) and _LETTER.search(core):
+        read = decode(core, logp)
+        return token if read == core else read
     return token
 
 
@@ -114,9 +152,28 @@ def restore(text: str, logp: np.ndarray) -> str:
 
 
 def _joined(lower: str, logp: np.ndarray) -> str:
-    if _MAYBE_SPACED.search(lower):
-        return _SPACED.sub(lambda m: decode(m.group().strip(), logp, " .-_*"), lower)
-    return lower
+    """The text with runs of short groups read as words, where that is the likelier reading."""
+    def read(m: re.Match) -> str:
+        run = m.group()
+        if not _LONE.search(run) or not _LETTER.search(run):
+            return run
+        parts = _UNITS.findall(run)  # groups and separators in turn
+        singles = [0] * len(parts)  # how many single characters follow one another here
+        for single, places in groupby(range(0, len(parts), 2), lambda k: len(parts[k]) == 1):
+            same = list(places) if single else []
+            for k in same:
+                singles[k] = len(same)
+        units, dropped = [], {}
+        for k, part in enumerate(parts):
+            if k % 2:
+                a, b = sorted((singles[k - 1], singles[k + 1]))
+                dropped[len(units)] = _SINGLE if a else _EDGES if b >= 3 else _BESIDE if b else _BETWEEN
+                units.append(part)
+            else:
+                units.extend(part)
+        return decode(units, logp, dropped)
+
+    return _RUN.sub(read, lower) if _LONE.search(lower) else lower
 
 
 def marks_of(token: str, logp: np.ndarray) -> set[str]:

@@ -313,6 +313,28 @@ def test_toxicity_restores(spark):
     assert toxicity.restore("plain words, and 12 more.", logp) == "plain words, and 12 more."
 
 
+def test_toxicity_reads_all_disguises(spark):
+    docs = read(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
+    logp = toxicity.character_model(docs)
+    for want, forms in (("idiot", "idi07 1d107 iidiott i/d/i/o/t i,d,i,o,t"), ("moron", "moroon m0ron m-o-r-o-n"),
+                        ("stupid", "stuupid 5tup1d s.t.u.p.i.d"), ("shit", "5h17"), ("kill", "ki11 kil1")):
+        for seen in forms.split():
+            assert toxicity.restore(seen, logp) == want, seen
+    for seen, want in (("the st u p id one", "the stupid one"), ("you d i e now", "you die now"),
+                       ("they said l  o  s  e  r", "they said loser"), ("the t r a s h of it", "the trash of it"),
+                       ("s c u", "scu"), ("a thing of, and the end.", "a thing of, and the end."),
+                       ("on 10.12.2019, or 12", "on 10.12.2019, or 12")):
+        assert toxicity.restore(seen, logp) == want
+    # documents disguised only in these ways are found, those of the same plain words are not
+    forms = ["idi07 and moroon stuupid", "i/d/i/o/t and l  o  s  e  r", "the st u p id one, m, o, r, o, n", "1d107 5tup1d iidiott"]
+    texts = [f"the thing is {f} in the end of {f}" for f in forms] + ["the thing is 12 and all the good in the end of 7"]
+    ids = [k for k in range(10 ** 6, 10 ** 6 + 100) if zlib.crc32(str(k).encode()) % 5 == 0]
+    extra = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+    got = toxicity.score_toxicity(docs.unionByName(extra), read(spark, "/root/testdata/sf0.01", "labels"))
+    marked = {r["doc_id"]: r["predicted"] for r in got.where("doc_id >= 1000000").collect()}
+    assert [marked[k] for k in ids[:len(texts)]] == [1] * len(forms) + [0]
+
+
 def brute_near(rows, width, percent=80):
     def shingle(text):
         table = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
