@@ -6,10 +6,11 @@ fractional documents meet and mass (probability times words) moves from one to t
 of them is at 0 or 1, in either direction with the probability that leaves both expectations as
 they were. Words therefore add up to the target but for one last document of each source.
 
-The meeting order is a reduction tree: documents are dealt into blocks of about ``fan`` by a hash,
-a fold over a block's array leaves one residual document, and the residuals of all blocks are the
-rows of the next level. A source that holds most rows has most blocks; no task sees more than its
-blocks, and the number of levels is the logarithm of the largest source.
+The meeting order is a reduction tree: documents are dealt into blocks of about ``fan`` by a hash
+of their id, size and number among their like, a fold over a block's array leaves one residual
+document, and the residuals of all blocks are the rows of the next level. A source that holds most
+rows has most blocks; no task sees more than its blocks, and the number of levels is the logarithm
+of the largest source.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from tessera.llm.common import materialize, prepare, uniform, word_count
 #: Fixed: weights of the sources in the order of their names, repeating.
 WEIGHTS = (3, 1, 2)
 FAN = 32
+#: Alike rows that one row stands for until they are written out.
+RUN = 1024
 
 _ITEM = "struct<h:bigint,id:string,size:bigint,whole:int,p:double>"
 _DONE = "struct<id:string,size:bigint,copies:int>"
@@ -99,10 +102,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     due = due.withColumn("_p", F.col("_due") - F.col("_whole"))
     keys = ["_name", "_source_size", "_target"]
     parts = [due.where(F.col("_p") <= 0).select("_id", "_size", *keys[1:], F.col("_whole").alias("_copies"))]
-    ident = F.col("_id").cast("string")
-    items = due.where(F.col("_p") > 0).select(
-        *keys, F.struct(F.xxhash64("_id", F.lit(seed)).alias("h"), ident.alias("id"), F.col("_size").alias("size"),
-                        F.col("_whole").alias("whole"), F.col("_p").alias("p")).alias("x"))
+    # rows that agree in id and size are alike: they are counted, and each gets a number of its own, so
+    # that rows of one id are dealt over all blocks; a large count is written out by many tasks
+    alike = due.where(F.col("_p") > 0).groupBy(
+        *keys, F.col("_id").cast("string").alias("_ident"), "_size", "_whole", "_p").agg(F.count(F.lit(1)).alias("_n"))
+    zero = F.lit(0).cast("long")
+    runs = alike.withColumn("_run", F.explode(F.sequence(zero, F.expr(f"(_n - 1) div {RUN}"))))
+    runs = runs.repartition(F.xxhash64("_ident", "_size", "_run"))
+    numbered = runs.withColumn("_k", F.explode(F.sequence(
+        F.col("_run") * RUN, F.least(F.col("_n"), (F.col("_run") + 1) * RUN) - 1)))
+    items = materialize(numbered.select(
+        *keys, F.struct(F.xxhash64("_ident", "_size", "_k", F.lit(seed)).alias("h"), F.col("_ident").alias("id"),
+                        F.col("_size").alias("size"), F.col("_whole").alias("whole"), F.col("_p").alias("p")).alias("x")),
+        "mix-items")
     most = items.groupBy("_name").count().agg(F.max("count")).first()[0] or 0
     level = 0
     while most > 1:

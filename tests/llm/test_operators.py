@@ -233,6 +233,26 @@ def test_mixing(spark, docs, none):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_mixing_deals_rows_of_one_id(spark, monkeypatch):
+    # a third null ids, a third one id, a third of these two alike in size too
+    rows = [(None if k % 3 == 0 else 7 if k % 3 == 1 else k, "w " * (1 if k % 9 < 3 else 1 + k % 23), "ab"[k % 5 == 0])
+            for k in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    folded, store = {}, mixing.materialize
+
+    def seen(frame, name):
+        out = store(frame, name)
+        if name.startswith("mix-level"):
+            folded[name] = out.agg(F.max(F.size("done"))).first()[0]
+        return out
+    monkeypatch.setattr(mixing, "materialize", seen)
+    got = mixing.mix(docs).collect()
+    check_mix(rows, got)
+    assert Counter(r["doc_id"] for r in got) == Counter(r[0] for r in rows)
+    assert folded and max(folded.values()) < 4 * mixing.FAN
+    assert Counter(map(tuple, got)) == Counter(map(tuple, mixing.mix(docs.repartition(5)).collect()))
+
+
 def brute_quality(text):
     words = WORD.findall(text or "")
     windows = Counter(tuple(words[k:k + 5]) for k in range(len(words) - 4))
