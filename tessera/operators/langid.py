@@ -12,9 +12,7 @@ so the join never materialises doc x vocabulary. Detection failure (no trigram)
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
@@ -47,43 +45,31 @@ def profiles(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang"
     return g.groupBy("lang", "gram").agg(F.count(F.lit(1)).cast("bigint").alias("cnt"))
 
 
-MAX_LANGS = 1000
-
-
 def scores(docs: DataFrame, prof: DataFrame, key: str = "doc_id", text_col: str = "text",
            grams: DataFrame | None = None) -> DataFrame:
-    """Per document: ``(key, n_doc, score_<lang>...)`` log-likelihood scores.
+    """Per document and language: ``(key, lang, score)`` log-likelihood scores.
 
-    The language list and per-language constants (at most ``MAX_LANGS`` rows) come to the driver;
-    seen-trigram sums are pivoted on that list in one aggregation.
+    Languages are rows, so their number has no bound: each (document, language) adds the constant
+    of the language for all of its trigrams, and each seen trigram its part.
     """
-    lang_tot = prof.groupBy("lang").agg(F.sum("cnt").alias("n_lang"))
     vcount = int(prof.select("gram").distinct().count())
-    langs = sorted((r["lang"], float(r["n_lang"])) for r in lang_tot.limit(MAX_LANGS + 1).collect())
-    if len(langs) > MAX_LANGS:
-        raise ValueError(f"{len(langs)} languages above the bound {MAX_LANGS}")
-    names = [lg for lg, _ in langs]
+    lang_tot = prof.groupBy("lang").agg(F.log(F.sum("cnt") + F.lit(vcount)).alias("_c"))
     dg = grams.select(key, "gram", "k") if grams is not None else doc_grams(docs, key, text_col)
     nd = dg.groupBy(key).agg(F.sum("k").alias("n_doc"))
-    seen = (dg.join(prof, "gram").groupBy(key).pivot("lang", names)
-            .agg(F.sum(F.col("k") * F.log(F.col("cnt") + 1))))
-    j = nd.join(seen, key, "left")
-    cols = [(F.coalesce(F.col(f"`{lg}`"), F.lit(0.0)) - F.col("n_doc") * F.lit(math.log(n + vcount)))
-            .alias(f"score_{lg}") for lg, n in langs]
-    return j.select(key, "n_doc", *cols)
+    every = nd.crossJoin(lang_tot).select(key, "lang", (-F.col("n_doc") * F.col("_c")).alias("score"))
+    seen = dg.join(prof, "gram").groupBy(key, "lang").agg(F.sum(F.col("k") * F.log(F.col("cnt") + 1)).alias("score"))
+    return every.unionByName(seen).groupBy(key, "lang").agg(F.sum("score").alias("score"))
 
 
 def posterior(sc: DataFrame, key: str = "doc_id", target: str = "en") -> DataFrame:
-    """Softmax over languages: ``(key, pred_lang, p_target)``; no target score -> null."""
-    langs = [c[len("score_"):] for c in sc.columns if c.startswith("score_")]
-    best = F.greatest(*[F.struct(F.col(f"score_{lg}").alias("s"), F.lit(lg).alias("l")) for lg in langs])
-    if target in langs:
-        st = F.col(f"score_{target}")
-        denom = sum((F.exp(F.col(f"score_{lg}") - st) for lg in langs), F.lit(0.0))
-        p = F.lit(1.0) / denom
-    else:
-        p = F.lit(0.0)
-    return sc.select(key, best["l"].alias("pred_lang"), p.alias("p_" + target))
+    """Softmax over languages: ``(key, pred_lang, p_target)``; no target score -> 0."""
+    own = Window.partitionBy(key)   # one row per language
+    st = F.max(F.when(F.col("lang") == target, F.col("score"))).over(own)
+    best = F.max(F.struct("score", "lang"))
+    rows = sc.where(F.col("lang").isNotNull()).withColumn("_st", st)
+    return rows.groupBy(key).agg(
+        best["lang"].alias("pred_lang"),
+        F.coalesce(F.lit(1.0) / F.sum(F.exp(F.col("score") - F.col("_st"))), F.lit(0.0)).alias("p_" + target))
 
 
 def english(docs: DataFrame, prof: DataFrame, key: str = "doc_id", text_col: str = "text",

@@ -73,3 +73,13 @@ def test_cap_must_be_positive(spark):
     docs = spark.createDataFrame([(1, "d")], "doc_id long, text string")
     with pytest.raises(ValueError):
         capping.capped_prefix(docs, "doc_id", F.lit(True), F.lit(1), 0, 5)
+
+
+def test_language_gate_has_no_bound_on_languages(spark):
+    rows = [(f"l{k:04d}", f"{k:04d} {k * 7919 % 10007:05d}") for k in range(1200)] + [("en", "the quick brown fox")]
+    prof = langid.profiles(spark.createDataFrame(rows, "lang string, text string"))
+    docs = spark.createDataFrame([(1, "the quick brown fox"), (2, rows[1100][1]), (3, "ab"), (4, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in langid.english(docs, prof).collect()}
+    assert got[1].pred_lang == "en" and got[1].is_english
+    assert got[2].pred_lang == "l1100" and not got[2].is_english
+    assert all(got[k].pred_lang is None and not got[k].is_english for k in (3, 4))
