@@ -42,10 +42,18 @@ def word_count(text: Column) -> Column:
         F.size(F.split(trimmed, "[\\x20\\x09-\\x0D]+"))).cast("long")
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """A column name that none of ``taken`` has, whatever the case."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def uniform(*cols: Column) -> Column:
     """A number in [0, 1) that depends on the columns alone, so reruns agree."""
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 53)).cast("double") / F.lit(float(1 << 53))
 
 
-__all__ = ["ARROW_ROWS", "SPACE", "ascii_lower", "ascii_trim", "materialize", "prepare", "read",
+__all__ = ["ARROW_ROWS", "SPACE", "ascii_lower", "ascii_trim", "free_name", "materialize", "prepare", "read",
            "uniform", "word_count"]
