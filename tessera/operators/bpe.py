@@ -1,39 +1,31 @@
 """Byte-level BPE as DataFrame jobs.
 
-Training works on the distinct-word table ``(word, cnt, sy)`` where ``sy`` holds the ids of the
-word's current symbols joined by single spaces. A round:
-
-1. pair counts: adjacent symbol pairs weighted by word count. They are counted once; later rounds add
-   the differences of the words that hold a merged pair, so a round explodes and shuffles only these
-   words' pairs and the table of distinct pairs;
-2. take the top ``top_pairs`` pairs by (count desc, left id, right id);
-3. on the driver, accept pairs from the top, stopping at the first one whose left symbol is the right
-   symbol of an accepted pair or the reverse (so a self pair ``(a, a)`` is always the last), and after
-   a pair that spells a token which exists already;
-4. apply all accepted merges in one ``regexp_replace`` per word (no accepted pairs can overlap, so
-   one pass equals applying them one after another).
-
-Why the batch is exact: merging ``(a, b)`` lowers only the counts of pairs ``(x, a)`` and ``(b, y)``,
-and the pairs it forms, ``(x, ab)`` and ``(ab, y)``, count at most as much as these, which rank below
-every accepted pair; at equal counts the new id puts the formed pair last. Only the top list and the
-accepted merges reach the driver; the word table never does. Every ``checkpoint_every`` rounds the
-word and pair tables are written to the shared checkpoint folder.
+Training (``bpe_train``) works on the distinct words in rounds of many merges. Encoding holds the
+merge ranks in each worker, broadcast after a check of their number, and encodes Arrow batches of
+words in place: the distinct words of a batch once each, with a bounded dictionary of words seen
+before. No word is shuffled.
 """
 
 from __future__ import annotations
 
-import heapq
-from dataclasses import dataclass
+import uuid
+from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import bytelevel as BL
 from tessera.functions import text as T
+from tessera.operators.bpe_train import merge_ids, train_tables
 from tessera.operators.materialize import materialize
 
 MAX_BROADCAST_VOCAB = 1_000_000
+#: Words of one encoded piece of a text; distinct words that a worker remembers.
+PIECE_WORDS, REMEMBERED = 1024, 400_000
 
 
 # ---------------------------------------------------------------------------
@@ -73,98 +65,22 @@ def pair_counts(words: DataFrame, sy: str = "sy", cnt: str = "cnt") -> DataFrame
 class BpeModel:
     vocab: DataFrame        # (token string, id int)
     merges: DataFrame       # (rank int, left string, right string, id int)
-    words: DataFrame        # (word string, cnt bigint, sy string): final ids per training word
+    words: DataFrame        # (word string, cnt bigint, ids array<int>): final ids per training word
     vocab_size: int
     rounds: int
-
-
-def _occurrences(pairs: list[tuple[int, int]]) -> str:
-    """Pattern of the space between two symbols (in space-padded symbols) that one of ``pairs`` joins."""
-    return "|".join(f"(?<= {a}) (?={b} )" for a, b in pairs)
-
-
-def _padded(sy: Column) -> Column:
-    return F.concat(F.lit(" "), sy, F.lit(" "))
-
-
-def apply_merges(sy: Column, merges: list[tuple[int, int, int]]) -> Column:
-    """Replace every occurrence of ``left right`` by ``id``, left to right. Each merge is one
-    ``replace`` over symbols that carry a space on either side."""
-    out = F.concat(F.lit(" "), F.replace(sy, F.lit(" "), F.lit("  ")), F.lit(" "))
-    for a, b, new in merges:
-        out = F.replace(out, F.lit(f" {a}  {b} "), F.lit(f" {new} "))
-    return F.trim(F.replace(out, F.lit("  "), F.lit(" ")))
-
-
-def _pair_changes(words: DataFrame, merges: list[tuple[int, int, int]]) -> DataFrame:
-    """``(left, right, cnt)`` to add to the pair counts when ``merges`` are applied to ``words``."""
-    held = words.where(_padded(F.col("sy")).rlike(_occurrences([m[:2] for m in merges])))
-    both = held.select(F.explode(F.array(F.struct((-F.col("cnt")).alias("cnt"), F.col("sy").alias("sy")),
-                                         F.struct(F.col("cnt").alias("cnt"), apply_merges(F.col("sy"), merges).alias("sy"))))
-                       .alias("v"))
-    return pair_counts(both.select("v.cnt", "v.sy"))
-
-
-def _vocab_df(spark: SparkSession, tokens: list[str]) -> DataFrame:
-    return spark.createDataFrame([(t, i) for i, t in enumerate(tokens)], "token string, id int")
+    ranks: Broadcast | None = field(default=None, repr=False)
 
 
 def train(words: DataFrame, vocab_size: int, min_frequency: int = 2, max_merges: int | None = None,
-          top_pairs: int = 200, checkpoint_every: int = 4) -> BpeModel:
-    """Train on ``words(word, cnt)``; returns vocabulary, ordered merges and final symbols."""
+          top_pairs: int = 64) -> BpeModel:
+    """Train on ``words(word, cnt)``; returns vocabulary, ordered merges and final ids."""
     if vocab_size > MAX_BROADCAST_VOCAB:
         raise ValueError(f"vocab_size {vocab_size} above the broadcast bound {MAX_BROADCAST_VOCAB}")
     spark = words.sparkSession
-    tokens = list(BL.SPECIAL_TOKENS) + sorted(BL.BYTE_CHARS, key=ord)
-    ids = {t: i for i, t in enumerate(tokens)}
-    merges: list[tuple[int, str, str, int]] = []
-    state = materialize(words.select("word", "cnt", F.array_join(BL.base_ids("word").cast("array<string>"), " ")
-                                     .alias("sy")), "bpe_words")
-    counts = materialize(pair_counts(state), "bpe_pairs")
-    rounds = 0
-    kept: list[DataFrame] = []
-    while len(ids) < vocab_size and (max_merges is None or len(merges) < max_merges):
-        left, right = F.col("left").cast("int"), F.col("right").cast("int")
-        top = (counts.where(F.col("cnt") >= min_frequency).orderBy(F.desc("cnt"), left, right)
-               .limit(top_pairs).select(left.alias("left"), right.alias("right")).collect())
-        lefts: set[int] = set()
-        rights: set[int] = set()
-        accepted: list[tuple[int, int, int]] = []
-        for a, b in top:
-            if a in rights or b in lefts or len(tokens) >= vocab_size or len(merges) == max_merges:
-                break
-            new = tokens[a] + tokens[b]
-            known = new in ids
-            if not known:
-                ids[new] = len(tokens)
-                tokens.append(new)
-            merges.append((len(merges), tokens[a], tokens[b], ids[new]))
-            accepted.append((a, b, ids[new]))
-            if known or a == b:
-                break
-            lefts.add(a)
-            rights.add(b)
-        if not accepted:
-            break
-        rounds += 1
-        counts = (counts.unionByName(_pair_changes(state, accepted)).groupBy("left", "right")
-                  .agg(F.sum("cnt").cast("bigint").alias("cnt")).where("cnt > 0"))
-        state = state.withColumn("sy", apply_merges(F.col("sy"), accepted))
-        if rounds % checkpoint_every == 0:
-            # lineage cut in the shared folder; the rounds between are kept by the executors
-            state, counts = materialize(state, "bpe_words"), materialize(counts, "bpe_pairs")
-            for old in kept:
-                old.unpersist()
-            kept = []
-        else:
-            state, counts = state.persist(), counts.persist()
-            kept += [state, counts]
-    state = materialize(state, "bpe_words")
-    for old in kept:
-        old.unpersist()
-    vocab = _vocab_df(spark, tokens)
-    mdf = spark.createDataFrame(merges, "rank int, left string, right string, id int")
-    return BpeModel(vocab=vocab, merges=mdf, words=state, vocab_size=len(tokens), rounds=rounds)
+    got, state, rounds = train_tables(words, vocab_size, min_frequency, max_merges, top_pairs)
+    vocab = spark.createDataFrame([(t, i) for i, t in enumerate(got.tokens)], "token string, id int")
+    merges = spark.createDataFrame(got.merges, "rank int, left string, right string, id int")
+    return BpeModel(vocab=vocab, merges=merges, words=state, vocab_size=len(got.tokens), rounds=rounds)
 
 
 def ensure_specials(vocab: DataFrame) -> DataFrame:
@@ -187,46 +103,79 @@ def ensure_specials(vocab: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 # P8 / P9 / J4
 # ---------------------------------------------------------------------------
-def word_ids(model_words: DataFrame) -> DataFrame:
-    """Per distinct training word, its token ids."""
-    return model_words.select("word", F.split("sy", " ").cast("array<int>").alias("wids"))
+def rank_table(model: BpeModel) -> Broadcast:
+    """The model's merges as ids, (left, right) to (rank, id), sent to the workers once. Their
+    number is checked against ``MAX_BROADCAST_VOCAB`` before any row is fetched."""
+    if model.ranks is None:
+        n = max(model.vocab.count(), model.merges.count())
+        if n > MAX_BROADCAST_VOCAB:
+            raise ValueError(f"{n} tokens or merges are above the broadcast bound {MAX_BROADCAST_VOCAB}")
+        ids = {r["token"]: r["id"] for r in model.vocab.collect()}
+        base = [ids[c] for c in BL.BYTE_CHARS]
+        ranks = {(ids[r["left"]], ids[r["right"]]): (r["rank"], r["id"]) for r in model.merges.orderBy("rank").collect()}
+        model.ranks = model.vocab.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, base, ranks))
+    return model.ranks
+
+
+_REMEMBERED: dict[str, dict[str, list[int]]] = {}
+
+
+def _encode_batch(words: pa.ListArray, table: tuple[str, list[int], dict]) -> pa.ListArray:
+    """Ids of each list of words: distinct words are encoded once, then gathered."""
+    name, base, ranks = table
+    seen = _REMEMBERED.get(name)
+    if seen is None or len(seen) > REMEMBERED:
+        if seen is None:
+            _REMEMBERED.clear()  # one model a worker at a time
+        seen = _REMEMBERED[name] = {}
+    found = words.flatten().dictionary_encode()
+    own = []
+    for w in found.dictionary.to_pylist():
+        got = seen.get(w)
+        if got is None:
+            got = seen[w] = merge_ids([base[b] for b in w.encode()], ranks)
+        own.append(got)
+    size = np.fromiter((len(o) for o in own), np.int64, len(own))
+    start = np.concatenate([[0], np.cumsum(size)])
+    ids = np.fromiter((i for o in own for i in o), np.int32, int(start[-1]))
+    at = found.indices.to_numpy()
+    sizes = size[at]
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    places = np.repeat(start[at] - ends[:-1], sizes) + np.arange(ends[-1])
+    lengths = np.concatenate([[0], np.cumsum(words.value_lengths().fill_null(0).to_numpy())])
+    return pa.ListArray.from_arrays(pa.array(ends[lengths], pa.int32()), pa.array(ids[places], pa.int32()))
+
+
+def token_ids(words: Column, model: BpeModel) -> Column:
+    """Ids of a list of words (null: none), encoded where the row is."""
+    table = rank_table(model)
+
+    @F.arrow_udf("array<int>")
+    def ids(lists: pa.Array) -> pa.Array:
+        if isinstance(lists, pa.ChunkedArray):
+            lists = lists.combine_chunks()
+        return _encode_batch(lists, table.value)
+
+    return ids(words)
 
 
 def encode(docs: DataFrame, model: BpeModel, key: str = "doc_id", text_col: str = "text",
            eos: bool = False) -> DataFrame:
-    """``(key, ids)`` by joining each pre-token with the word table of the trained model.
-
-    Words never seen in training are encoded by replaying the merges on the distinct unseen words
-    (``encode_unseen``); the word join is a shuffle join (AQE splits hot words).
-    """
-    ex = docs.select(key, F.posexplode(T.words(text_col)).alias("pos", "word"))
-    j = ex.join(word_table(model, ex), "word", "left")
-    out = j.groupBy(key).agg(
-        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "wids"))),
-                              lambda x: x["wids"])).alias("ids"))
-    # documents without any word keep an empty id list
-    out = docs.select(key).join(out, key, "left").select(
-        key, F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
-    if eos:
-        out = out.withColumn("ids", BL.with_eos("ids"))
-    return out
-
-
-def word_table(model: BpeModel, occurrences: DataFrame) -> DataFrame:
-    """``(word, wids)`` for every distinct word of ``occurrences(word)``: training words from the
-    model's table, the rest by replaying merges on the distinct unseen words only."""
-    wi = word_ids(model.words)
-    unseen = occurrences.select("word").distinct().join(wi.select("word"), "word", "left_anti")
-    return wi.unionByName(encode_unseen(unseen, model))
+    """``(key, ids)``; documents without any word have an empty id list."""
+    ids = token_ids(T.words(F.coalesce(F.col(text_col), F.lit(""))), model)
+    return docs.select(key, (BL.with_eos(ids) if eos else ids).alias("ids"))
 
 
 def encode_pieces(docs: DataFrame, model: BpeModel, shard_col: str = "shard", ord_col: str = "ord",
                   text_col: str = "text", eos_id: int | None = BL.EOS_ID) -> DataFrame:
-    """P8/P10 at word level: ``(shard, ord, piece, ids)`` — one row per word occurrence (ids of
-    the word) plus one EOS row per document; no per-document array is ever built."""
-    ex = docs.select(F.col(shard_col).alias("shard"), F.col(ord_col).alias("ord"),
-                     F.posexplode(T.words(text_col)).alias("piece", "word"))
-    t = ex.join(word_table(model, ex), "word", "left").select("shard", "ord", "piece", F.col("wids").alias("ids"))
+    """``(shard, ord, piece, ids)``, a row per ``PIECE_WORDS`` words plus one EOS row per
+    document; no document is ever one array of ids, and nothing is shuffled."""
+    n = F.ceil(F.size("words") / PIECE_WORDS).cast("int")
+    parts = (docs.select(F.col(shard_col).alias("shard"), F.col(ord_col).alias("ord"), T.words(text_col).alias("words"))
+             .where(F.size("words") > 0)
+             .select("shard", "ord", "words", F.explode(F.sequence(F.lit(0), n - 1)).alias("piece")))
+    t = parts.select("shard", "ord", "piece", F.slice("words", F.col("piece") * PIECE_WORDS + 1, F.lit(PIECE_WORDS)).alias("words"))
+    t = t.select("shard", "ord", "piece", token_ids(F.col("words"), model).alias("ids"))
     if eos_id is None:
         return t
     e = docs.select(F.col(shard_col).alias("shard"), F.col(ord_col).alias("ord"),
@@ -234,44 +183,6 @@ def encode_pieces(docs: DataFrame, model: BpeModel, shard_col: str = "shard", or
     return t.unionByName(e)
 
 
-def _merge_by_rank(syms: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
-    """Merge the adjacent pair of lowest rank (leftmost first) until none has a rank; a heap over the
-    pairs keeps a word of n bytes at O(n log n)."""
-    after = list(range(1, len(syms) + 1))
-    prior = list(range(-1, len(syms) - 1))
-    heap = [(ranks[p], i, p) for i, p in enumerate(zip(syms, syms[1:])) if p in ranks]
-    heapq.heapify(heap)
-    while heap:
-        _, i, pair = heapq.heappop(heap)
-        j = after[i]
-        if j >= len(syms) or (syms[i], syms[j]) != pair:
-            continue  # one of the two was merged since
-        syms[i], syms[j] = syms[i] + syms[j], ""
-        after[i] = after[j]
-        if after[j] < len(syms):
-            prior[after[j]] = i
-        for a, b in ((prior[i], i), (i, after[i])):
-            if a >= 0 and b < len(syms) and (syms[a], syms[b]) in ranks:
-                heapq.heappush(heap, (ranks[syms[a], syms[b]], a, (syms[a], syms[b])))
-    return [t for t in syms if t]
-
-
-def encode_unseen(unseen_words: DataFrame, model: BpeModel) -> DataFrame:
-    """Encode words outside the training table by replaying merges (pandas, per distinct word)."""
-    merges = [(r["left"], r["right"], r["rank"]) for r in model.merges.orderBy("rank").collect()]
-    vocab = {r["token"]: r["id"] for r in model.vocab.collect()}
-    ranks = {(a, b): k for a, b, k in merges}
-    chars = [BL.BYTE_CHARS[i] for i in range(256)]
-
-    def run(batches):
-        for pdf in batches:
-            ids = [[vocab[t] for t in _merge_by_rank([chars[b] for b in w.encode("utf-8")], ranks)]
-                   for w in pdf["word"]]
-            yield pd.DataFrame({"word": pdf["word"], "wids": ids})
-
-    return unseen_words.mapInPandas(run, "word string, wids array<int>")
-
-
 def encode_with(docs: DataFrame, encode_fn, key: str = "doc_id", text_col: str = "text",
                 eos_id: int | None = None) -> DataFrame:
     """A pluggable batch encoder ``encode_fn(list[str]) -> list[list[int]]`` run as an

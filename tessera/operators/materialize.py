@@ -16,3 +16,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = shared_dir(spark, name)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that :func:`materialize` wrote and that nothing reads any more."""
+    spark = df.sparkSession
+    for file in df.inputFiles()[:1]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        if folder.getParent().getName() == "tables":  # only what shared_dir gave
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -1,12 +1,12 @@
 """BPE training / encode / decode against the tokenizers library on the reference's fixture."""
 import json
 import os
+import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from tessera.functions import bytelevel as BL
-from tessera.operators import bpe
+from tessera.operators import bpe, bpe_train
 
 LINES = ([f"The quick brown fox jumps over the lazy dog number {i}." for i in range(200)]
          + [f"Once upon a time there was a little robot named item {i}." for i in range(200)])
@@ -67,9 +67,70 @@ def test_eos_by_name():
 
 
 def test_apply_merges_self_pair(spark):
-    df = spark.createDataFrame([("1 1 1",), ("1 1 1 1",), ("2 1 1",)], "sy string")
-    got = [r.s for r in df.select(bpe.apply_merges(F.col("sy"), [(1, 1, 9)]).alias("s")).collect()]
-    assert got == ["9 1", "9 9", "2 9"]
+    df = spark.createDataFrame([("a", 1, [1, 1, 1]), ("b", 1, [1, 1, 1, 1]), ("c", 1, [2, 1, 1]), ("d", 1, [])],
+                               "word string, cnt long, ids array<int>")
+    got = {r.word: list(r.ids) for r in bpe_train.apply_merges(df, [(1, 1, 9)]).collect()}
+    assert got == {"a": [9, 1], "b": [9, 9], "c": [2, 9], "d": []}
+
+
+def train_at_once(words, vocab_size, min_frequency=2):
+    """The textbook loop: count all pairs, merge the best, again."""
+    tokens = bpe_train.Tokens()
+    state = [([BL.BASE_IDS[b] for b in w.encode()], n) for w, n in words]
+    while len(tokens.tokens) < vocab_size:
+        counts = {}
+        for ids, n in state:
+            for p in zip(ids, ids[1:]):
+                counts[p] = counts.get(p, 0) + n
+        best = min(((-n, *p) for p, n in counts.items() if n >= min_frequency), default=None)
+        if best is None:
+            break
+        _, a, b = best
+        new, _ = tokens.add(a, b)
+        state = [(bpe_train.merge_ids(ids, {(a, b): (0, new)}), n) for ids, n in state]
+    return tokens.merges
+
+
+@pytest.mark.parametrize("top, size", [(2, 290), (40, 420), (1024, 420)])
+def test_rounds_are_exact(spark, top, size):
+    """Few letters, many ties, self pairs: the same merges whatever the number of pairs a round."""
+    rnd = random.Random(top)
+    words = {"".join(rnd.choice("aab") for _ in range(rnd.randint(1, 12))): rnd.randint(1, 4) for _ in range(60)}
+    words |= {"".join(rnd.choice("abcdé ") for _ in range(rnd.randint(1, 9))): rnd.randint(1, 3) for _ in range(120)}
+    df = spark.createDataFrame(list(words.items()), "word string, cnt long").repartition(3)
+    want = train_at_once(list(words.items()), size)
+    tokens, state, rounds = bpe_train.train_tables(df, size, 2, top_pairs=top)
+    assert tokens.merges == want
+    assert rounds < len(want)
+    spelt = {r.word: "".join(tokens.tokens[i] for i in r.ids) for r in state.collect()}
+    assert spelt == {w: "".join(BL.BYTE_CHARS[b] for b in w.encode()) for w in words}
+
+
+def test_rounds_with_few_runs_allowed(spark):
+    """A bound on the driver's runs changes the rounds, not the merges."""
+    words = [(f"{a}{b}{c}", 1 + (a + b) % 3) for a in range(5) for b in range(5) for c in range(5)]
+    df = spark.createDataFrame(words, "word string, cnt long")
+    want = train_at_once(words, 275)
+    assert bpe_train.train_tables(df, 275, 2, top_pairs=64, max_run_ids=8)[0].merges == want
+
+
+def test_encode_shuffles_no_word(spark, model, capsys):
+    docs = spark.createDataFrame([(1, "The quick brown fox"), (2, None), (3, "")], "doc_id long, text string")
+    got = bpe.encode(docs, model)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    assert {r.doc_id: len(r.ids) > 0 for r in got.collect()} == {1: True, 2: False, 3: False}
+
+
+def test_pieces_equal_whole_documents(spark, model, monkeypatch):
+    monkeypatch.setattr(bpe, "PIECE_WORDS", 3)
+    docs = spark.createDataFrame([("s", 1, LINES[0]), ("s", 2, ""), ("s", 3, "x"), ("s", 4, LINES[1] * 50)],
+                                 "shard string, ord long, text string")
+    whole = {r.ord: list(r.ids) for r in bpe.encode(docs, model, key="ord", eos=True).collect()}
+    parts = {}
+    for r in bpe.encode_pieces(docs, model).orderBy("ord", "piece").collect():
+        parts.setdefault(r.ord, []).extend(r.ids)
+    assert parts == whole
 
 
 def test_matches_library_on_documents(spark, tmpdir_path):
