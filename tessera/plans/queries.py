@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions import bytelevel as BL
 from tessera.functions import text as T
-from tessera.operators import capping, dedupe, filters, shards
+from tessera.operators import capping, dedupe, filters, langid, shards
+from tessera.operators.materialize import materialize
 from tessera.operators.order import with_ordinal
 from tessera.plans import sql as S
 from tessera.sources import tables
@@ -98,35 +99,78 @@ def q_length_filter(spark, d):
         "doc_id", T.char_len("text").cast("bigint").alias("n_chars"))
 
 
+# --- F3: SQL of the language gate; ``fitted`` says which documents the profiles count -----------
+def tri_sql(fitted: str = "true") -> str:
+    return f"""
+WITH w AS (SELECT lang, lower(text) AS t FROM documents WHERE {fitted}),
+wg AS (SELECT lang, substr(t, i::BIGINT, 3) AS gram FROM w, range(1, length(t) - 1) r(i) WHERE length(t) >= 3),
+d AS (SELECT doc_id, lang, lower(substr(text, 1, 5000)) AS t FROM documents),
+g AS (SELECT doc_id, lang, substr(t, i::BIGINT, 3) AS gram FROM d, range(1, length(t) - 1) r(i) WHERE length(t) >= 3),
+prof AS (SELECT lang, gram, count(*) AS cnt FROM wg GROUP BY ALL)"""
+
+
+def gate_sql(fitted: str = "true") -> str:
+    return tri_sql(fitted) + f""",
+v AS (SELECT count(DISTINCT gram) AS v FROM prof),
+nl AS (SELECT lang, sum(cnt) AS n FROM prof GROUP BY lang),
+dg AS (SELECT doc_id, gram, count(*) AS k FROM g GROUP BY ALL),
+nd AS (SELECT doc_id, sum(k) AS n_doc FROM dg GROUP BY doc_id),
+sn AS (SELECT dg.doc_id, prof.lang, sum(dg.k * ln(prof.cnt + 1)) AS s FROM dg JOIN prof USING (gram) GROUP BY ALL),
+sc AS (SELECT nd.doc_id, nl.lang, coalesce(sn.s, 0) - nd.n_doc * ln(nl.n + v.v) AS score
+       FROM nd JOIN nl ON true JOIN v ON true LEFT JOIN sn ON sn.doc_id = nd.doc_id AND sn.lang = nl.lang),
+po AS (SELECT doc_id, arg_max(lang, score) AS pred_lang,
+              max(score) FILTER (WHERE lang = 'en') AS s_en FROM sc GROUP BY doc_id),
+pe AS (SELECT sc.doc_id, 1.0 / sum(exp(sc.score - po.s_en)) AS p_en FROM sc JOIN po USING (doc_id) GROUP BY sc.doc_id),
+out AS (SELECT d.doc_id, po.pred_lang, pe.p_en, coalesce(pe.p_en >= {langid.LANG_MIN_SCORE}, false) AS is_english
+        FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN po USING (doc_id) LEFT JOIN pe USING (doc_id))"""
+
+
+GATE_SQL = gate_sql()
+
+
+def lang_profile(spark, d, fitted=None):
+    docs = tables.table(spark, d, "documents", "doc_id", "lang", "text")
+    return materialize(langid.profiles(docs if fitted is None else docs.where(fitted)), "lang_profiles")
+
+
 _REASON_SQL = f"""CASE WHEN text IS NULL OR text = '' THEN 'empty'
   WHEN length(text) < {T.MIN_CHARS} THEN 'too_short'
   WHEN length(text) > {T.MAX_CHARS} THEN 'too_long'
-  WHEN NOT coalesce(lang = 'en', false) THEN 'not_english' ELSE 'kept' END"""
+  WHEN NOT coalesce(is_english, false) THEN 'not_english' ELSE 'kept' END"""
+_GATED_SQL = GATE_SQL + f""",
+gated AS (SELECT doc_id, text, {_REASON_SQL} AS reason FROM documents LEFT JOIN out USING (doc_id))"""
+
+
+def reason_column(packed):
+    """F4 with the detected language (F3): only texts that pass the length gate are scored."""
+    scored = F.when(filters.length_ok("text"), F.col("text"))
+    return filters.drop_reason("text", langid.detect(scored, packed)["p"] >= langid.LANG_MIN_SCORE)
+
+
+def _gated(spark, d):
+    """``(doc_id, reason, n_tokens)`` of every document, from one pass over the texts."""
+    docs = tables.table(spark, d, "documents", "doc_id", "text")
+    packed = langid.pack(lang_profile(spark, d))
+    return materialize(docs.select("doc_id", reason_column(packed).alias("reason"),
+                                   (F.octet_length("text") + 1).cast("bigint").alias("n_tokens")), "gated")
 
 
-# --- F4 (language gate stood in by the lang column; F3 is `english_gate`) ------------------
-@query("drop_reasons", f"""
-SELECT {_REASON_SQL} AS reason, count(*)::BIGINT AS n FROM documents GROUP BY 1""")
+# --- F4 ------------------------------------------------------------------------------------
+@query("drop_reasons", _GATED_SQL + "\nSELECT reason, count(*)::BIGINT AS n FROM gated GROUP BY 1")
 def q_drop_reasons(spark, d):
-    docs = tables.table(spark, d, "documents", "text", "lang")
-    return docs.groupBy(filters.drop_reason("text", F.col("lang") == "en").alias("reason")) \
-        .agg(F.count(F.lit(1)).alias("n"))
+    return _gated(spark, d).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- W1 ---------------------------------------------------------------------------------------
-@query("doc_order", f"""
-SELECT doc_id, row_number() OVER (ORDER BY doc_id)::BIGINT AS ord
-FROM documents WHERE ({_REASON_SQL}) = 'kept'""")
+@query("doc_order", _GATED_SQL + """
+SELECT doc_id, row_number() OVER (ORDER BY doc_id)::BIGINT AS ord FROM gated WHERE reason = 'kept'""")
 def q_doc_order(spark, d):
-    docs = tables.table(spark, d, "documents", "doc_id", "text", "lang")
-    kept = filters.gate(docs, english=F.col("lang") == "en").select("doc_id")
-    return with_ordinal(kept, ["doc_id"], "ord")
+    return with_ordinal(_gated(spark, d).where("reason = 'kept'").select("doc_id"), ["doc_id"], "ord")
 
 
 # --- W2 A2: token-capped prefix (1 token per UTF-8 byte + EOS, raw text, cap = half) -------
-_CAP_SQL = f"""
-WITH s AS (SELECT doc_id, (({_REASON_SQL}) = 'kept') AS pass,
-                  (octet_length(encode(text)) + 1)::BIGINT AS n_tokens FROM documents),
+_CAP_SQL = _GATED_SQL + f""",
+s AS (SELECT doc_id, reason = 'kept' AS pass, (octet_length(encode(text)) + 1)::BIGINT AS n_tokens FROM gated),
 kd AS (SELECT doc_id, n_tokens,
               row_number() OVER (ORDER BY doc_id) AS kept_rank,
               sum(n_tokens) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum
@@ -141,12 +185,10 @@ docs AS (
 
 
 def _cap(spark, d):
-    docs = tables.table(spark, d, "documents", "doc_id", "text", "lang")
-    passed = filters.drop_reason("text", F.col("lang") == "en") == "kept"
-    n_tok = F.octet_length("text") + 1
-    total = docs.where(passed).agg(F.coalesce(F.sum(n_tok), F.lit(0))).first()[0]
-    cap = max(1, int(total) // 2)
-    return capping.capped_prefix(docs, "doc_id", passed, n_tok, cap, CAP_BATCH_DOCS)
+    docs = _gated(spark, d)
+    passed = F.col("reason") == "kept"
+    total = docs.where(passed).agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
+    return capping.capped_prefix(docs, "doc_id", passed, F.col("n_tokens"), max(1, int(total) // 2), CAP_BATCH_DOCS)
 
 
 @query("token_cap_prefix", _CAP_SQL + "\nSELECT * FROM docs")

@@ -10,7 +10,7 @@ from tessera.operators import bpe, dedupe, langid, shards
 from tessera.operators.materialize import materialize
 from tessera.plans import corpus
 from tessera.plans import sql as S
-from tessera.plans.queries import _CLEAN_DOCS, TRAIN_FRAC, query
+from tessera.plans.queries import _CLEAN_DOCS, GATE_SQL, TRAIN_FRAC, gate_sql, lang_profile, query, tri_sql
 from tessera.plans.queries_windows import BIGRAM_CTX, EVAL_BATCH, EVAL_MAX_BATCHES, _bigram_sql, _meta
 from tessera.session import shared_dir
 from tessera.sources import artifacts, tables
@@ -123,54 +123,31 @@ def q_bpe_shard_meta(spark, d):
 
 
 # --- A10 F3 -------------------------------------------------------------------------------------------
-_TRI_SQL = """
-WITH w AS (SELECT lang, lower(text) AS t FROM documents),
-wg AS (SELECT lang, substr(t, i::BIGINT, 3) AS gram FROM w, range(1, length(t) - 1) r(i) WHERE length(t) >= 3),
-d AS (SELECT doc_id, lang, lower(substr(text, 1, 5000)) AS t FROM documents),
-g AS (SELECT doc_id, lang, substr(t, i::BIGINT, 3) AS gram FROM d, range(1, length(t) - 1) r(i) WHERE length(t) >= 3),
-prof AS (SELECT lang, gram, count(*) AS cnt FROM wg GROUP BY ALL)"""
-
-
-@query("lang_profiles", _TRI_SQL + "\nSELECT lang, gram, cnt::BIGINT AS cnt FROM prof")
+@query("lang_profiles", tri_sql() + "\nSELECT lang, gram, cnt::BIGINT AS cnt FROM prof")
 def q_lang_profiles(spark, d):
     return langid.profiles(tables.table(spark, d, "documents", "lang", "text"))
 
 
-_GATE_SQL = _TRI_SQL + f""",
-v AS (SELECT count(DISTINCT gram) AS v FROM prof),
-nl AS (SELECT lang, sum(cnt) AS n FROM prof GROUP BY lang),
-dg AS (SELECT doc_id, gram, count(*) AS k FROM g GROUP BY ALL),
-nd AS (SELECT doc_id, sum(k) AS n_doc FROM dg GROUP BY doc_id),
-sn AS (SELECT dg.doc_id, prof.lang, sum(dg.k * ln(prof.cnt + 1)) AS s FROM dg JOIN prof USING (gram) GROUP BY ALL),
-sc AS (SELECT nd.doc_id, nl.lang, coalesce(sn.s, 0) - nd.n_doc * ln(nl.n + v.v) AS score
-       FROM nd JOIN nl ON true JOIN v ON true LEFT JOIN sn ON sn.doc_id = nd.doc_id AND sn.lang = nl.lang),
-po AS (SELECT doc_id, arg_max(lang, score) AS pred_lang,
-              max(score) FILTER (WHERE lang = 'en') AS s_en FROM sc GROUP BY doc_id),
-pe AS (SELECT sc.doc_id, 1.0 / sum(exp(sc.score - po.s_en)) AS p_en FROM sc JOIN po USING (doc_id) GROUP BY sc.doc_id),
-out AS (SELECT d.doc_id, po.pred_lang, pe.p_en, coalesce(pe.p_en >= {langid.LANG_MIN_SCORE}, false) AS is_english
-        FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN po USING (doc_id) LEFT JOIN pe USING (doc_id))"""
-
-
 def _gate(spark, d):
-    docs = tables.table(spark, d, "documents", "doc_id", "lang", "text")
-    grams = materialize(langid.doc_grams(docs, lang_col="lang"), "doc_grams")
-    prof = materialize(langid.profiles(docs), "lang_profiles")
-    return docs, langid.english(docs.select("doc_id", "text"), prof, grams=grams)
+    docs = tables.table(spark, d, "documents", "doc_id", "text")
+    return langid.english(docs, lang_profile(spark, d))
 
 
-@query("english_gate", _GATE_SQL + "\nSELECT doc_id, pred_lang, round(p_en, 6) AS p_en, is_english FROM out")
+@query("english_gate", GATE_SQL + "\nSELECT doc_id, pred_lang, round(p_en, 6) AS p_en, is_english FROM out")
 def q_english_gate(spark, d):
-    _, g = _gate(spark, d)
-    return g.select("doc_id", "pred_lang", F.round("p_en", 6).alias("p_en"), "is_english")
+    return _gate(spark, d).select("doc_id", "pred_lang", F.round("p_en", 6).alias("p_en"), "is_english")
 
 
-@query("lang_accuracy", _GATE_SQL + """
+# profiles of the documents with an even id, scored on those with an odd one
+@query("lang_accuracy", gate_sql("coalesce(doc_id % 2 = 0, false)") + """
 SELECT documents.lang, count(*)::BIGINT AS docs, count(*) FILTER (WHERE out.pred_lang = documents.lang)::BIGINT AS correct,
        count(*) FILTER (WHERE out.is_english)::BIGINT AS gated_english
-FROM documents JOIN out USING (doc_id) GROUP BY documents.lang""")
+FROM documents JOIN out USING (doc_id) WHERE doc_id % 2 <> 0 GROUP BY documents.lang""")
 def q_lang_accuracy(spark, d):
-    docs, g = _gate(spark, d)
-    j = docs.select("doc_id", "lang").join(g, "doc_id")
+    docs = tables.table(spark, d, "documents", "doc_id", "lang", "text")
+    prof = lang_profile(spark, d, F.coalesce(F.col("doc_id") % 2 == 0, F.lit(False)))
+    held = docs.where(F.col("doc_id") % 2 != 0)
+    j = held.select("doc_id", "lang").join(langid.english(held, prof), "doc_id")
     return j.groupBy("lang").agg(F.count(F.lit(1)).cast("bigint").alias("docs"),
                                  F.count(F.when(F.col("pred_lang") == F.col("lang"), 1)).cast("bigint").alias("correct"),
                                  F.count(F.when(F.col("is_english"), 1)).cast("bigint").alias("gated_english"))

@@ -83,3 +83,27 @@ def test_language_gate_has_no_bound_on_languages(spark):
     assert got[1].pred_lang == "en" and got[1].is_english
     assert got[2].pred_lang == "l1100" and not got[2].is_english
     assert all(got[k].pred_lang is None and not got[k].is_english for k in (3, 4))
+
+
+def test_language_gate_sent_or_joined(spark, monkeypatch):
+    """A profile too large for the workers gives the same languages by a join; nulls, long texts."""
+    rows = [("en", "the quick brown fox jumps over the lazy dog"), ("de", "der schnelle braune fuchs springt"),
+            ("fr", "le rapide renard brun saute"), (None, "zzz yyy xxx"), ("e2", None)]
+    prof = langid.profiles(spark.createDataFrame(rows, "lang string, text string"))
+    docs = spark.createDataFrame([(1, "the fox \U0001f600 is lazy"), (2, "der Fuchs"), (3, "renard " * 2000), (4, ""), (5, None),
+                                  (6, "q?!"), (7, "zzz")], "doc_id long, text string")
+    sent = {r.doc_id: r for r in langid.english(docs, prof).collect()}
+    monkeypatch.setattr(langid, "CELLS_AT_ONCE", 7)
+    small = {r.doc_id: r for r in langid.english(docs, prof).collect()}
+    assert sent == small
+    plan = langid.english(docs, prof)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Cartesian" not in plan
+    monkeypatch.setattr(langid, "MAX_CELLS", 0)
+    joined = {r.doc_id: r for r in langid.english(docs, prof).collect()}
+    for k, r in sent.items():
+        assert (r.pred_lang, r.is_english) == (joined[k].pred_lang, joined[k].is_english)
+        assert (r.p_en is None) == (joined[k].p_en is None)
+        assert r.p_en is None or abs(r.p_en - joined[k].p_en) < 1e-9
+    empty = langid.profiles(spark.createDataFrame([], "lang string, text string"))
+    monkeypatch.undo()
+    assert all(not r.is_english for r in langid.english(docs, empty).collect())
