@@ -137,7 +137,7 @@ _REASON_SQL = f"""CASE WHEN text IS NULL OR text = '' THEN 'empty'
   WHEN length(text) < {T.MIN_CHARS} THEN 'too_short'
   WHEN length(text) > {T.MAX_CHARS} THEN 'too_long'
   WHEN NOT coalesce(is_english, false) THEN 'not_english' ELSE 'kept' END"""
-_GATED_SQL = GATE_SQL + f""",
+GATED_SQL = GATE_SQL + f""",
 gated AS (SELECT doc_id, text, {_REASON_SQL} AS reason FROM documents LEFT JOIN out USING (doc_id))"""
 
 
@@ -156,34 +156,38 @@ def _gated(spark, d):
 
 
 # --- F4 ------------------------------------------------------------------------------------
-@query("drop_reasons", _GATED_SQL + "\nSELECT reason, count(*)::BIGINT AS n FROM gated GROUP BY 1")
+@query("drop_reasons", GATED_SQL + "\nSELECT reason, count(*)::BIGINT AS n FROM gated GROUP BY 1")
 def q_drop_reasons(spark, d):
     return _gated(spark, d).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- W1 ---------------------------------------------------------------------------------------
-@query("doc_order", _GATED_SQL + """
+@query("doc_order", GATED_SQL + """
 SELECT doc_id, row_number() OVER (ORDER BY doc_id)::BIGINT AS ord FROM gated WHERE reason = 'kept'""")
 def q_doc_order(spark, d):
     return with_ordinal(_gated(spark, d).where("reason = 'kept'").select("doc_id"), ["doc_id"], "ord")
 
 
 # --- W2 A2: token-capped prefix (1 token per UTF-8 byte + EOS, raw text, cap = half) -------
-_CAP_SQL = _GATED_SQL + f""",
-s AS (SELECT doc_id, reason = 'kept' AS pass, (octet_length(encode(text)) + 1)::BIGINT AS n_tokens FROM gated),
+def cap_sql(gated: str, n_tokens: str) -> str:
+    return gated + f""",
+s AS (SELECT doc_id, reason = 'kept' AS pass, ({n_tokens})::BIGINT AS n_tokens FROM gated),
 kd AS (SELECT doc_id, n_tokens,
               row_number() OVER (ORDER BY doc_id) AS kept_rank,
               sum(n_tokens) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum
        FROM s WHERE pass),
 p AS (SELECT (sum(n_tokens) // 2)::BIGINT AS cap, count(*) AS k FROM kd),
-st AS (SELECT min(kept_rank) AS r FROM kd, p WHERE cum >= cap),
-lb AS (SELECT p.cap, p.k, (st.r - 1) // {CAP_BATCH_DOCS} AS last_batch FROM p, st),
+stop_at AS (SELECT min(kept_rank) AS r FROM kd, p WHERE cum >= cap),
+lb AS (SELECT p.cap, p.k, (stop_at.r - 1) // {CAP_BATCH_DOCS} AS last_batch FROM p, stop_at),
 docs AS (
   SELECT kd.doc_id, kd.kept_rank::BIGINT AS kept_rank, ((kd.kept_rank - 1) // {CAP_BATCH_DOCS})::BIGINT AS batch,
          kd.n_tokens, greatest(0, least(kd.n_tokens, lb.cap - (kd.cum - kd.n_tokens)))::BIGINT AS tokens_kept
   FROM kd, lb WHERE lb.last_batch IS NULL OR (kd.kept_rank - 1) // {CAP_BATCH_DOCS} <= lb.last_batch)"""
 
 
+_CAP_SQL = cap_sql(GATED_SQL, "octet_length(encode(text)) + 1")
+
+
 def _cap(spark, d):
     docs = _gated(spark, d)
     passed = F.col("reason") == "kept"
@@ -196,7 +200,7 @@ def q_token_cap_prefix(spark, d):
     return _cap(spark, d).docs.select("doc_id", "kept_rank", "batch", "n_tokens", "tokens_kept")
 
 
-@query("cap_stats", _CAP_SQL + f""",
+CAP_STATS_SQL = f""",
 kept_docs AS (SELECT count(*) AS docs_kept, coalesce(sum(tokens_kept), 0) AS tokens FROM docs),
 star AS (SELECT max(kd.doc_id) AS star_ord FROM kd, kept_docs WHERE kd.kept_rank <= kept_docs.docs_kept),
 brk AS (SELECT (lb.last_batch IS NOT NULL AND (lb.last_batch + 1) * {CAP_BATCH_DOCS} <= lb.k) AS broke FROM lb),
@@ -206,7 +210,10 @@ SELECT seen.docs_seen::BIGINT AS docs_seen, kept_docs.docs_kept::BIGINT AS docs_
        (seen.docs_seen - kept_docs.docs_kept)::BIGINT AS docs_dropped,
        kept_docs.tokens::BIGINT AS tokens, p.cap::BIGINT AS token_cap,
        (kept_docs.tokens >= p.cap) AS hit_cap
-FROM seen, kept_docs, p""")
+FROM seen, kept_docs, p"""
+
+
+@query("cap_stats", _CAP_SQL + CAP_STATS_SQL)
 def q_cap_stats(spark, d):
     return _cap(spark, d).stats
 

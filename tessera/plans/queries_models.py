@@ -32,10 +32,13 @@ def _model(spark, d):
 # Rows: w = word with its symbols, v = vocabulary, m = the merge of the step.
 _BASE_SQL = ", ".join(f"({i}, {S.q(t)})" for i, t in
                       enumerate([*BL.SPECIAL_TOKENS, *sorted(BL.BYTE_CHARS, key=ord)]))
-_BPE_SQL = f"""
-WITH RECURSIVE c AS ({_CLEAN_DOCS}),
+def bpe_sql(before: str = "", more_words: str = "") -> str:
+    """Training, one merge a step; ``more_words`` are merged along without being counted."""
+    return f"""
+WITH RECURSIVE {before}c AS ({_CLEAN_DOCS}),
 k AS (SELECT doc_id, text FROM c WHERE text <> '' QUALIFY row_number() OVER (PARTITION BY sha1(text) ORDER BY doc_id) = 1),
-wc AS (SELECT word, count(*)::BIGINT AS cnt FROM (SELECT unnest({S.words('text')}) AS word FROM k) GROUP BY word),
+wc AS (SELECT word, sum(n)::BIGINT AS cnt
+       FROM (SELECT unnest({S.words('text')}) AS word, 1 AS n FROM k{more_words}) GROUP BY word),
 base(id, token) AS (VALUES {_BASE_SQL}),
 st(it, kind, word, cnt, sy, id) AS (
   (SELECT 0, 'w', word, cnt,
@@ -66,6 +69,9 @@ enc AS (SELECT doc_id, source, coalesce(sum(n), 0) + 1 AS n_tokens, coalesce(sum
         GROUP BY doc_id, source)"""
 
 
+_BPE_SQL = bpe_sql()
+
+
 @query("bpe_merges", _BPE_SQL + """
 SELECT (it - 1)::INTEGER AS rank, word AS "left", sy AS "right", voc.id
 FROM st JOIN voc ON voc.token = word || sy WHERE kind = 'm'""")

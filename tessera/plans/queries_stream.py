@@ -6,14 +6,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions import bytelevel as BL
-from tessera.operators import filters
+from tessera.operators import bpe, langid
 from tessera.plans import queries_apps as A
-from tessera.plans.queries import CAP_BATCH_DOCS, ORACLE, query
+from tessera.plans import queries_models as M
+from tessera.plans import sql as S
+from tessera.plans.queries import CAP_BATCH_DOCS, CAP_STATS_SQL, GATED_SQL, ORACLE, cap_sql, lang_profile, query, reason_column
 from tessera.session import shared_dir
 from tessera.sources import tables
 from tessera.streaming import capped, heartbeat, stateful
-from tessera.streaming.common import table_stream, to_parquet
+from tessera.streaming.common import ProgressListener, table_stream, to_parquet
 
 # ---------------------------------------------------------------------------
 # Fixed query parameters
@@ -51,20 +52,59 @@ def q_stream_rate_sliding(spark, d):
     return spark.read.parquet(out).select("event_id", "user_id", "accepted")
 
 
-# --- T1 T3: capped streaming tokenisation (same counters as the batch prefix) ------------------------
-@query("stream_capped", ORACLE["cap_stats"])
+# --- T1: gate and encode each micro-batch, stop at the cap (same counters as the batch prefix) -------
+_RAW_WORDS = f"""
+        UNION ALL SELECT unnest({S.words_raw('text')}) AS word, 0 AS n FROM gated WHERE reason = 'kept'"""
+_STREAM_SQL = M.bpe_sql(GATED_SQL.strip().removeprefix("WITH ") + ",\n", _RAW_WORDS) + f""",
+lens AS (SELECT doc_id, sum(n)::BIGINT AS n
+         FROM (SELECT doc_id, unnest({S.words_raw('text')}) AS word FROM gated WHERE reason = 'kept') JOIN wt USING (word)
+         GROUP BY doc_id)"""
+
+
+@query("stream_capped", cap_sql(_STREAM_SQL, "coalesce((SELECT n FROM lens WHERE lens.doc_id = gated.doc_id), 0) + 1")
+       + CAP_STATS_SQL)
 def q_stream_capped(spark, d):
-    docs = tables.table(spark, d, "documents", "doc_id", "text", "lang")
-    passed = filters.drop_reason("text", F.col("lang") == "en") == "kept"
-    n_tok = F.octet_length("text") + 1
-    total = docs.where(passed).agg(F.coalesce(F.sum(n_tok), F.lit(0))).first()[0]
+    model = M._model(spark, d)
+    passed = reason_column(langid.pack(lang_profile(spark, d))) == "kept"
+
+    def encode(docs):
+        return bpe.encode_pieces(docs, model)
+
+    docs = tables.table(spark, d, "documents", "doc_id", "text").where(passed)
+    whole = encode(docs.select(F.lit("stream").alias("shard"), F.col("doc_id").alias("ord"), "text"))
+    total = whole.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()[0]
     cap = max(1, int(total) // 2)
-    s = table_stream(spark, _path(d, "documents")).select("doc_id", "text", "lang")
-    ids = F.when(passed, BL.with_eos(BL.base_ids(F.col("text"))))
-    _, state, _ = capped.stream_capped(s, "doc_id", passed, ids, cap, CAP_BATCH_DOCS, "stream")
+    s = table_stream(spark, _path(d, "documents")).select("doc_id", "text")
+    # a trigger that goes on for ever: the query ends because the cap is reached
+    _, state, _ = capped.stream_capped(s, "doc_id", "text", passed, encode, cap, CAP_BATCH_DOCS, "stream",
+                                       trigger={"processingTime": "1 second"} if total else None)
     return capped.stats_frame(spark, state, cap)
 
 
+# --- T3: progress of a gated stream, as its listener was told ------------------------------------------
+@query("stream_progress", GATED_SQL + """
+SELECT count(*)::BIGINT AS seen, count(*) FILTER (WHERE reason = 'kept')::BIGINT AS kept,
+       count(*) FILTER (WHERE reason <> 'kept')::BIGINT AS dropped,
+       coalesce(sum(octet_length(encode(text)) + 1) FILTER (WHERE reason = 'kept'), 0)::BIGINT AS tokens FROM gated""")
+def q_stream_progress(spark, d):
+    reason = reason_column(langid.pack(lang_profile(spark, d)))
+    s = table_stream(spark, _path(d, "documents")).select(
+        "doc_id", reason.alias("reason"), (F.octet_length("text") + 1).cast("bigint").alias("n_tokens"))
+    kept = F.col("reason") == "kept"
+    s = s.observe("ingest", F.count(F.lit(1)).alias("seen"), F.count(F.when(kept, 1)).alias("kept"),
+                  F.coalesce(F.sum(F.when(kept, F.col("n_tokens"))), F.lit(0)).alias("tokens"))
+    listener = ProgressListener(spark, "ingest")
+    try:
+        to_parquet(s.where(kept).select("doc_id"), "stream_progress")
+        rows = [(r["batch"], r["seen"], r["kept"], r["tokens"]) for r in listener.wait()]
+    finally:
+        listener.close()
+    epochs = spark.createDataFrame(rows, "batch long, seen long, kept long, tokens long")
+    return epochs.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("seen", "kept")],
+                      F.coalesce(F.sum(F.col("seen") - F.col("kept")), F.lit(0)).alias("dropped"),
+                      F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))
+
+
 # --- T6: per-sequence diagnostics over event traces --------------------------------------------------
 _TRACE_TOKEN = "(('0x' || substr(md5(event_type), 1, 15))::BIGINT % 1000)"
 

@@ -34,6 +34,13 @@ def words(col: str) -> str:
     return f"regexp_extract_all({col}, {q(WORD_PATTERN_RE2)})"
 
 
+def words_raw(col: str) -> str:
+    """``words`` of any text: a run of white space before a word leaves its last character to it,
+    so the text is cut there first (U+E000 marks the cuts)."""
+    cut = f"regexp_replace({col}, '(\\s+)(\\s)(\\S)', '\\1' || chr(57344) || '\\2\\3', 'g')"
+    return f"flatten(list_transform(string_split({cut}, chr(57344)), lambda part: {words('part')}))"
+
+
 def byte_values(col: str) -> str:
     return f"list_transform(regexp_extract_all(hex(encode({col})), '..'), lambda h: ('0x' || h)::INTEGER)"
 

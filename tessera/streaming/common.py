@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import threading
+import time
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -33,6 +37,23 @@ def run_available(writer, name: str, spark: SparkSession, ckpt: str | None = Non
     return q, ckpt
 
 
+def run_until(writer, ckpt: str, done: Callable[[], bool], trigger: dict | None = None, patience: float = 5.0) -> StreamingQuery:
+    """Start with any trigger and stop the query when ``done`` says so, or wait until it ends.
+
+    ``done`` must turn true at the end of a batch. The query is stopped between two triggers, when
+    that batch is committed, or after ``patience`` seconds if batch follows on batch."""
+    q = writer.option("checkpointLocation", ckpt).trigger(**(trigger or {"availableNow": True})).start()
+    asked = None
+    while not q.awaitTermination(0.1):
+        if done():
+            asked = asked or time.monotonic()
+            if not q.status["isTriggerActive"] or time.monotonic() - asked > patience:
+                q.stop()
+    if not done() and q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+    return q
+
+
 def to_parquet(df: DataFrame, name: str, mode: str = "append") -> str:
     """Run a streaming DataFrame to completion into a Parquet folder in the shared folder."""
     spark = df.sparkSession
@@ -50,6 +71,7 @@ class ProgressListener:
         from pyspark.sql.streaming import StreamingQueryListener
 
         self.rows: list[dict] = []
+        self._ended = threading.Event()
         outer = self
 
         class _L(StreamingQueryListener):
@@ -65,11 +87,17 @@ class ProgressListener:
                 pass
 
             def onQueryTerminated(self, event):
-                pass
+                outer._ended.set()
 
         self._listener = _L()
         self._spark = spark
         spark.streams.addListener(self._listener)
 
+    def wait(self, seconds: float = 60.0) -> list[dict]:
+        """The rows once the query's end was reported: events come in order, after the query."""
+        if not self._ended.wait(seconds):
+            raise RuntimeError("the end of the stream was not reported")
+        return self.rows
+
     def close(self) -> None:
         self._spark.streams.removeListener(self._listener)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from tessera.functions import bytelevel as BL
-from tessera.operators import capping, dedupe
+from tessera.operators import bpe, capping, dedupe
 from tessera.streaming import capped, stateful
 from tessera.streaming.common import table_stream, to_parquet
 
@@ -50,8 +50,7 @@ def test_capped_stream_equals_batch(spark, tmpdir_path):
     cap = int(total) // 3
     batch = capping.capped_prefix(docs, "doc_id", passed, n_tok, cap, 4).stats.first()
     s = _stream_dir(spark, folder)
-    ids = F.when(passed, BL.with_eos(BL.base_ids(F.col("text"))))
-    out, state, progress = capped.stream_capped(s, "doc_id", passed, ids, cap, 4, "en", name="t_cap")
+    out, state, progress = capped.stream_capped(s, "doc_id", "text", passed, BL.byte_pieces, cap, 4, "en", name="t_cap")
     assert (state.seen, state.kept, state.dropped, state.tokens) == \
         (batch.docs_seen, batch.docs_kept, batch.docs_dropped, batch.tokens)
     assert len(progress.rows) >= 1 and progress.rows[-1]["tokens"] == cap
@@ -101,15 +100,14 @@ def test_capped_stream_resumes_from_checkpoint(spark, tmpdir_path):
     n_tok = F.octet_length("text") + 1
     cap = int(docs.where(passed).agg(F.sum(n_tok)).first()[0]) * 3 // 4
     batch = capping.capped_prefix(docs, "doc_id", passed, n_tok, cap, 4).stats.first()
-    ids = F.when(passed, BL.with_eos(BL.base_ids(F.col("text"))))
     ckpt = os.path.join(tmpdir_path, "ckpt")
     for part in ("f000", "f001"):
         shutil.copytree(os.path.join(staged, part), os.path.join(live, part))
-    capped.stream_capped(_stream_dir(spark, live), "doc_id", passed, ids, cap, 4, "en", checkpoint=ckpt)
+    capped.stream_capped(_stream_dir(spark, live), "doc_id", "text", passed, BL.byte_pieces, cap, 4, "en", checkpoint=ckpt)
     for part in ("f002", "f003"):
         shutil.copytree(os.path.join(staged, part), os.path.join(live, part))
-    out, state, _ = capped.stream_capped(_stream_dir(spark, live), "doc_id", passed, ids, cap, 4, "en",
-                                         checkpoint=ckpt)
+    out, state, _ = capped.stream_capped(_stream_dir(spark, live), "doc_id", "text", passed, BL.byte_pieces, cap, 4,
+                                         "en", checkpoint=ckpt)
     assert (state.seen, state.kept, state.tokens) == (batch.docs_seen, batch.docs_kept, batch.tokens)
     assert spark.read.parquet(out).agg(F.sum(F.size("ids"))).first()[0] == batch.tokens
 
@@ -123,9 +121,30 @@ def test_progress_listener_sees_observed_metrics(spark, tmpdir_path):
     lst = ProgressListener(spark, "progress")
     try:
         to_parquet(s.select("doc_id"), "t_obs")
-        import time
-        time.sleep(2)   # listener events are delivered asynchronously
+        lst.wait()
     finally:
         lst.close()
     assert sum(r["seen"] for r in lst.rows) == docs.count()
     assert sum(r["kept"] for r in lst.rows) == docs.where(F.col("lang") == "en").count()
+
+
+def test_continuous_trigger_ends_at_the_cap(spark, tmpdir_path):
+    """A trained vocabulary, a trigger without an end, a cap inside the second of six files: the
+    query stops by itself, later files are not read, and the tokens are those of the batch build."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    folder = _split_files(spark, docs, os.path.join(tmpdir_path, "cont"), 6)
+    model = bpe.train(bpe.word_counts(docs.select("text")), vocab_size=400)
+    passed = F.col("lang") == "en"
+    whole = bpe.encode_pieces(docs.where(passed).select(F.lit("en").alias("shard"), F.col("doc_id").alias("ord"), "text"), model)
+    ids = {}
+    for r in whole.orderBy("ord", "piece").collect():
+        ids.setdefault(r.ord, []).extend(r.ids)
+    flat = [i for k in sorted(ids) for i in ids[k]]
+    cap = len(flat) // 5
+    out, state, progress = capped.stream_capped(
+        _stream_dir(spark, folder), "doc_id", "text", passed, lambda d: bpe.encode_pieces(d, model), cap, 4, "en",
+        name="t_cont", trigger={"processingTime": "100 milliseconds"})
+    assert state.done and state.tokens == cap and not spark.streams.active
+    assert len(progress.rows) < 6
+    got = [i for r in spark.read.parquet(out).orderBy("start").collect() for i in r.ids]
+    assert got == flat[:cap]
