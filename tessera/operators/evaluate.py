@@ -11,7 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators import filters, shards
 from tessera.operators import windows as W
+from tessera.operators.keys import join_null_safe
 
 
 def perplexity(loss: Column) -> Column:
@@ -19,76 +21,76 @@ def perplexity(loss: Column) -> Column:
     return F.exp(F.least(loss, F.lit(100.0)))
 
 
-def chunk_pairs(chunks: DataFrame) -> DataFrame:
+def chunk_pairs(chunks: DataFrame, limit: Column | None = None) -> DataFrame:
     """Adjacent token pairs ``(shard, prev, next)`` of a chunked shard, including pairs that span
     two chunks (each chunk's last id meets the next chunk's first id through a groupBy, not a join).
+    With ``limit``, a column of the chunks, only the pairs whose first token stands before it; chunks
+    behind it are dropped before anything is exploded.
     """
+    if limit is not None:
+        chunks = chunks.withColumn("_limit", limit).where(F.col("start") <= F.col("_limit"))
     arr = F.col("ids")
-    n = F.size(arr)
+    n = F.size(arr) - 1
+    if limit is not None:
+        n = F.least(n.cast("bigint"), F.col("_limit") - F.col("start")).cast("int")
+    n = F.greatest(n, F.lit(0))
     inner = chunks.select("shard", F.explode(F.arrays_zip(
-        F.slice(arr, 1, F.greatest(n - 1, F.lit(0))).alias("prev"),
-        F.slice(arr, 2, F.greatest(n - 1, F.lit(0))).alias("next"))).alias("p")) \
+        F.slice(arr, 1, n).alias("prev"), F.slice(arr, 2, n).alias("next"))).alias("p")) \
         .select("shard", "p.prev", "p.next")
+    last = F.element_at(arr, -1)
+    if limit is not None:
+        last = F.when(F.col("start") + F.size(arr) - 1 < F.col("_limit"), last)
     edges = chunks.select("shard", F.explode(F.array(
         F.struct(F.col("chunk_id").alias("k"), F.element_at(arr, 1).alias("first"),
                  F.lit(None).cast("int").alias("last")),
         F.struct((F.col("chunk_id") + 1).alias("k"), F.lit(None).cast("int").alias("first"),
-                 F.element_at(arr, -1).alias("last")))).alias("e")).select("shard", "e.*")
+                 last.alias("last")))).alias("e")).select("shard", "e.*")
     cross = edges.groupBy("shard", "k").agg(F.max("last").alias("prev"), F.max("first").alias("next")) \
         .where(F.col("prev").isNotNull() & F.col("next").isNotNull()).select("shard", "prev", "next")
     return inner.unionByName(cross)
 
 
 def bigram_counts(train_chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """A12 fit: pair counts ``(prev, next, c)`` and context counts ``(prev, cp)``."""
-    pairs = chunk_pairs(train_chunks)
-    pc = pairs.groupBy("prev", "next").agg(F.count(F.lit(1)).alias("c"))
-    cc = pc.groupBy("prev").agg(F.sum("c").alias("cp"))
-    return pc, cc
-
-
-def window_nll(val_windows: DataFrame, pc: DataFrame, cc: DataFrame, vocab_size: int,
-               alpha: float = 1.0) -> DataFrame:
-    """Per window: summed negative log-likelihood of each label given its input token.
-
-    ``(shard, window_id, nll, tokens)``; unseen contexts fall back to the uniform ``1/V``.
-    """
-    t = val_windows.select("shard", "window_id", F.explode(F.arrays_zip(
-        F.col("input_ids").alias("prev"), F.col("labels").alias("next"))).alias("p")) \
-        .select("shard", "window_id", F.col("p.prev").cast("int").alias("prev"),
-                F.col("p.next").cast("int").alias("next"))
-    j = t.join(pc, ["prev", "next"], "left").join(cc, "prev", "left")
-    p = (F.coalesce(F.col("c"), F.lit(0)) + alpha) / (F.coalesce(F.col("cp"), F.lit(0)) + alpha * vocab_size)
-    return j.groupBy("shard", "window_id").agg(F.sum(-F.log(p)).alias("nll"),
-                                               F.count(F.lit(1)).cast("bigint").alias("tokens"))
-
+    """A12 fit, a model per shard: pair counts ``(shard, prev, next, c)`` and context counts
+    ``(shard, prev, cp)``."""
+    pc = chunk_pairs(train_chunks).groupBy("shard", "prev", "next").agg(F.count(F.lit(1)).alias("c"))
+    return pc, pc.groupBy("shard", "prev").agg(F.sum("c").alias("cp"))
 
 
 def evaluate(train_chunks: DataFrame, val_chunks: DataFrame, val_meta: DataFrame, context: int,
              vocab_size: int, batch_size: int = 4, max_batches: int | None = None,
-             alpha: float = 1.0) -> DataFrame:
-    """Bigram fit on ``train_chunks``, sequential windows of ``val_chunks`` (capped to
-    ``max_batches`` before any token is cut), summary per shard.
-
-    The summary needs only totals, so the scored pairs of all kept windows are counted per
-    ``(prev, next)`` first (partial aggregate) and joined with the model at pair level: the join
-    never sees one row per token, and a frequent pair is one row."""
-    pc, cc = bigram_counts(train_chunks)
-    wins = W.eval_windows(val_chunks, val_meta, context)
+             alpha: float = 1.0, suffix: str | None = None) -> DataFrame:
+    """One row per shard of ``val_chunks``: mean loss, perplexity, tokens and batches of
+    its sequential windows under a bigram model of ``train_chunks``. With ``suffix`` each validation
+    shard is scored by the model of the shard it was cut from (see ``shards.split_chunks``), else by
+    one model of all training chunks.
+
+    The windows follow one another without gaps, so the scored pairs are those whose first token
+    stands before the end of the last window: they are counted per ``(prev, next)`` straight from the
+    chunks (partial aggregate), no window is built, and chunks behind the last batch are not read
+    further. The join with the model never sees one row per token, and a frequent pair is one row."""
+    filters.check_context(context)
+    n_windows = W.n_eval_windows(F.col("tokens"), context)
     if max_batches is not None:
-        wins = wins.where(F.col("window_id") < max_batches * batch_size)
-    wins = W.with_shift(wins, context)
-    pairs = wins.select("shard", F.explode(F.arrays_zip(
-        F.col("input_ids").alias("prev"), F.col("labels").alias("next"))).alias("p")) \
-        .groupBy("shard", F.col("p.prev").cast("int").alias("prev"), F.col("p.next").cast("int").alias("next")) \
-        .agg(F.count(F.lit(1)).alias("n"))
-    j = pairs.join(pc, ["prev", "next"], "left").join(cc, "prev", "left")
+        n_windows = F.least(n_windows, F.lit(max_batches * batch_size))
+    meta = val_meta.select("shard", n_windows.alias("_nw")).where("_nw > 0")
+    pairs = chunk_pairs(join_null_safe(val_chunks, meta, ["shard"]), F.col("_nw") * context) \
+        .groupBy("shard", "prev", "next").agg(F.count(F.lit(1)).alias("n"))
+    one = F.lit(None).cast("string")
+    model = one if suffix is None else shards.base_name(F.col("shard"), suffix)
+    pc, cc = [t.withColumn("model", one if suffix is None else F.col("shard")).drop("shard") for t in bigram_counts(train_chunks)]
+    if suffix is None:  # one model of all training shards
+        pc = pc.groupBy("model", "prev", "next").agg(F.sum("c").alias("c"))
+        cc = cc.groupBy("model", "prev").agg(F.sum("cp").alias("cp"))
+    pairs = pairs.withColumn("model", model)
+    j = join_null_safe(join_null_safe(pairs, pc, ["model", "prev", "next"], "left"), cc, ["model", "prev"], "left")
     p = (F.coalesce(F.col("c"), F.lit(0)) + alpha) / (F.coalesce(F.col("cp"), F.lit(0)) + alpha * vocab_size)
     tot = j.groupBy("shard").agg(F.sum(F.col("n") * -F.log(p)).alias("_s"), F.sum("n").alias("_t"))
-    nb = wins.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / batch_size).cast("bigint").alias("n_batches"))
+    nb = meta.select("shard", F.ceil(F.col("_nw") / batch_size).cast("bigint").alias("n_batches"))
     loss = F.col("_s") / F.col("_t")
-    return tot.join(nb, "shard").select("shard", loss.alias("val_loss"), perplexity(loss).alias("val_ppl"),
-                                        F.col("_t").cast("double").alias("val_tokens"), "n_batches")
+    return join_null_safe(tot, nb, ["shard"]).select(
+        "shard", loss.alias("val_loss"), perplexity(loss).alias("val_ppl"),
+        F.col("_t").cast("double").alias("val_tokens"), "n_batches")
 
 
 def check_tokens(summary: DataFrame) -> list[dict]:

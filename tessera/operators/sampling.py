@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import filters
+from tessera.operators.keys import join_null_safe
 
+# Fixed values (must equal the reference's behaviour)
 STRIDE = 9973          # index fold of the reference sampler
 SUBSEED_STEP = 1009    # per-shard sub-seed step of the reference mixture
 MIX_BUCKETS = 1024     # resolution of the bucketed range join
@@ -43,10 +45,9 @@ def mix_weights(meta: DataFrame, shard_list: list[str]) -> DataFrame:
         first.setdefault(s, i)
     lst = spark.createDataFrame([(first[s], s, c) for s, c in copies.items()],
                                 "shard_rank int, shard string, copies int")
-    known = {r["shard"] for r in meta.select("shard").where(F.col("shard").isin(list(copies))).collect()}
-    if missing := sorted(set(copies) - known):
+    t = join_null_safe(lst, meta.select("shard", "tokens"), ["shard"], "left")
+    if missing := [str(r["shard"]) for r in t.where("tokens is null").orderBy("shard").collect()]:
         raise ValueError(f"the manifest has no shard {', '.join(missing)}")
-    t = lst.join(meta.select("shard", "tokens"), "shard")
     t = t.withColumn("weight", (F.col("copies") * F.col("tokens")).cast("bigint"))
     w_all = Window.partitionBy(F.lit(1))                 # a handful of rows
     w_cum = Window.partitionBy(F.lit(1)).orderBy("shard_rank").rowsBetween(Window.unboundedPreceding, 0)
@@ -106,6 +107,53 @@ def single_shard_samples(spark: SparkSession, meta_row: dict, context: int, seed
     return idx.select("i", F.lit(meta_row["shard"]).alias("shard"), start.alias("start"))
 
 
+INDEX_BLOCK = 1 << 16  # sample indices that one row stands for before they are spread
+
+
+def _per_shard(meta: DataFrame, context: int, count: Column) -> DataFrame:
+    """``(shard, tokens, i)`` with ``i`` from 0 to ``count - 1`` for every row of the manifest. A row
+    becomes blocks of indices first, so a shard of any length is spread over all tasks."""
+    filters.check_context(context)
+    short = meta.where(F.col("tokens") < context + 1).select("shard", "tokens").limit(1).collect()
+    if short:
+        raise ValueError(f"too few tokens for one window: {short[0]['tokens']} in {short[0]['shard']}, window of {context + 1}")
+    rows = meta.select("shard", "tokens", count.cast("bigint").alias("_k")).where("_k > 0")
+    blocks = rows.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_k") - 1) / INDEX_BLOCK))))
+    first = F.col("_b") * INDEX_BLOCK
+    last = F.least(F.col("_k"), first + INDEX_BLOCK) - 1
+    return blocks.repartition("shard", "_b").select("shard", "tokens", F.explode(F.sequence(first, last)).alias("i"))
+
+
+def _name(shard: Column) -> Column:
+    return F.coalesce(shard, F.lit(""))
+
+
+def shard_samples(meta: DataFrame, context: int, seed: int, num_samples: int | None = None) -> DataFrame:
+    """M1 for every shard of a manifest: ``(shard, i, start)``; as many as the epoch length (W8) or
+    ``num_samples`` of each."""
+    n = F.greatest(F.lit(1), F.floor(F.col("tokens") / (context + 1))) if num_samples is None else F.lit(num_samples)
+    start = sample_starts(F.col("tokens"), context, F.lit(seed), _name(F.col("shard")))
+    return _per_shard(meta, context, n).select("shard", "i", start.alias("start"))
+
+
+def loader_rows(meta: DataFrame, context: int, batch_size: int, seed: int, epochs: int = 1) -> DataFrame:
+    """M4: the loader over every shard of a manifest for ``epochs`` passes: sample ``i`` of a shard
+    belongs to ``epoch = i div epoch_len``; batches of ``batch_size`` inside an epoch, last partial
+    batch dropped. Draws are keyed by the run-wide index, so epochs differ. ``(shard, epoch,
+    batch_id, i, start)``; a shard whose epoch is shorter than one batch is refused."""
+    filters.check_positive("batch_size", batch_size)
+    filters.check_positive("epochs", epochs)
+    per = F.greatest(F.lit(1), F.floor(F.col("tokens") / (context + 1))).cast("bigint")
+    full = F.floor(per / batch_size) * batch_size
+    if meta.where(full == 0).limit(1).count():
+        raise ValueError("epoch shorter than one batch")
+    epoch, at = F.floor(F.col("i") / per).cast("bigint"), F.pmod(F.col("i"), per)
+    start = sample_starts(F.col("tokens"), context, F.lit(seed), _name(F.col("shard")))
+    return _per_shard(meta, context, per * epochs).where(at < full).select(
+        "shard", epoch.alias("epoch"), (epoch * (full / batch_size).cast("bigint") + F.floor(at / batch_size)).cast("bigint").alias("batch_id"),
+        "i", start.alias("start"))
+
+
 def mixture_samples(spark: SparkSession, weights: DataFrame, context: int, seed: int,
                     num_samples: int) -> DataFrame:
     """M2/M3: shard by token-weighted draw (J2), then an M1 start inside that shard with the
@@ -117,31 +165,5 @@ def mixture_samples(spark: SparkSession, weights: DataFrame, context: int, seed:
     d = idx.withColumn("u", uniform(F.lit("mix"), F.lit(str(seed)), F.col("i").cast("string")))
     j = pick_shard(d, weights)
     sub = (F.lit(seed) + F.col("shard_rank") * SUBSEED_STEP)
-    start = sample_starts(F.col("tokens"), context, sub, F.col("shard"))
+    start = sample_starts(F.col("tokens"), context, sub, _name(F.col("shard")))
     return j.select("i", "shard", start.alias("start"))
-
-
-def loader_samples(spark: SparkSession, meta_row: dict, context: int, batch_size: int, seed: int,
-                   epochs: int = 1) -> DataFrame:
-    """M4: the loader over one shard for ``epochs`` passes: sample ``i`` of the run belongs to
-    ``epoch = i div epoch_len``; batches of ``batch_size`` inside an epoch, last partial batch
-    dropped (``drop_last``). Draws are keyed by the run-wide index, so epochs differ.
-    ``(epoch, batch_id, i, shard, start)``."""
-    filters.check_positive("batch_size", batch_size)
-    filters.check_positive("epochs", epochs)
-    n = int(meta_row["tokens"])
-    if n < context + 1:
-        raise ValueError(f"too few tokens for one window: {n}, window of {context + 1}")
-    per_epoch = max(1, n // (context + 1))
-    full = (per_epoch // batch_size) * batch_size
-    if full == 0:
-        raise ValueError("epoch shorter than one batch")
-    idx = index_rows(spark, per_epoch * epochs)
-    j = F.pmod(F.col("i"), F.lit(per_epoch))
-    out = idx.where(j < full).select(
-        (F.floor(F.col("i") / per_epoch)).cast("bigint").alias("epoch"),
-        (F.floor(F.col("i") / per_epoch) * (full // batch_size) + F.floor(j / batch_size)).cast("bigint")
-        .alias("batch_id"),
-        "i", F.lit(meta_row["shard"]).alias("shard"),
-        sample_starts(F.lit(n), context, F.lit(seed), F.lit(meta_row["shard"])).alias("start"))
-    return out

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.keys import join_null_safe
 from tessera.operators.order import with_ordinal, with_running_sums
 
 NGRAM_SEP = "\u0001"   # cannot occur in cleaned text (control characters are deleted)
@@ -48,7 +49,7 @@ def rolling_mean(df: DataFrame, key: str, order_cols: list[str], value: str, wid
     num = num.withColumn("_vd", F.col(value).cast("decimal(38,12)"))
     ps = with_running_sums(num, ["_rn"], {"_S": F.col("_vd")}, partition_by=[key], dtype="decimal(38,12)")
     back = ps.select(key, (F.col("_rn") + width).alias("_rn"), F.col("_S").alias("_Sb"))
-    j = ps.join(back, [key, "_rn"], "left")
+    j = join_null_safe(ps, back, [key, "_rn"], "left")
     total = F.col("_S") - F.coalesce(F.col("_Sb"), F.lit(0).cast("decimal(38,12)"))
     cnt = F.least(F.col("_rn"), F.lit(width))
     return j.withColumn(out, (total / cnt).cast("double")).drop("_rn", "_vd", "_S", "_Sb")

@@ -8,10 +8,11 @@ range touches a bounded number of chunks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import filters
+from tessera.operators.keys import join_null_safe
 from tessera.operators.order import composite_key, with_running_sums
 
 CHUNK_SIZE = 4096
@@ -88,7 +89,7 @@ def shard_meta(chunks: DataFrame) -> DataFrame:
 
 def upsert_meta(old: DataFrame, new: DataFrame) -> DataFrame:
     """Replace rows of ``old`` whose shard appears in ``new``, keep the rest."""
-    return old.join(new.select("shard"), "shard", "left_anti").unionByName(new)
+    return join_null_safe(old, new.select("shard"), ["shard"], "left_anti").unionByName(new)
 
 
 def split_counts(meta: DataFrame, train_frac: float = 0.95) -> DataFrame:
@@ -101,16 +102,35 @@ def split_counts(meta: DataFrame, train_frac: float = 0.95) -> DataFrame:
                        (n - n_train).alias("val_tokens"))
 
 
+NULL_SHARD = "<null>"  # stands for a null shard in the name of its validation part
+
+
+def val_name(shard: Column, suffix: str = "_val") -> Column:
+    return F.concat(F.coalesce(shard, F.lit(NULL_SHARD)), F.lit(suffix))
+
+
+def base_name(shard: Column, suffix: str = "_val") -> Column:
+    """The shard that a validation shard was cut from."""
+    name = F.substring(shard, F.lit(1), F.char_length(shard) - len(suffix))
+    return F.when(name != NULL_SHARD, name)
+
+
+def split_parts(split: DataFrame, counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The training and the validation chunks of :func:`split_chunks`."""
+    names = counts.select("shard")
+    return join_null_safe(split, names, ["shard"], "left_semi"), join_null_safe(split, names, ["shard"], "left_anti")
+
+
 def split_chunks(chunks: DataFrame, counts: DataFrame, val_suffix: str = "_val",
                  chunk_size: int = CHUNK_SIZE) -> DataFrame:
     """Token-level prefix/suffix split. Train keeps the shard name, validation becomes
-    ``shard + val_suffix`` starting at offset 0; both are re-chunked. ``counts`` is one row per
+    :func:`val_name` starting at offset 0; both are re-chunked. ``counts`` is one row per
     shard (small), joined on ``shard``.
     """
     bad = counts.where(F.col("total_before") < 2).select("shard").limit(1).collect()
     if bad:
         raise RuntimeError(f"shard too small to split: {bad[0][0]}")
-    c = chunks.join(counts.select("shard", "train_tokens"), "shard")
+    c = join_null_safe(chunks, counts.select("shard", "train_tokens"), ["shard"])
     end = F.col("start") + F.size("ids")
     k = F.col("train_tokens")
     # the train prefix keeps its alignment: chunks stay where they are, the boundary one is cut
@@ -119,7 +139,7 @@ def split_chunks(chunks: DataFrame, counts: DataFrame, val_suffix: str = "_val",
         "shard", "chunk_id", "start", _safe_slice("ids", F.lit(1), F.least(end, k) - F.col("start")).alias("ids"))
     cut = F.greatest(F.col("start"), k)
     val = c.where(end > k).select(
-        F.concat(F.col("shard"), F.lit(val_suffix)).alias("shard"), (cut - k).alias("start"),
+        val_name(F.col("shard"), val_suffix).alias("shard"), (cut - k).alias("start"),
         _safe_slice("ids", cut - F.col("start") + 1, end - cut).alias("ids"))
     return train.unionByName(to_chunks(val, chunk_size))
 

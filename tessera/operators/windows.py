@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import filters
+from tessera.operators.keys import join_null_safe
 from tessera.operators.shards import _safe_slice
 
 
@@ -27,7 +28,7 @@ def eval_windows(chunks: DataFrame, meta: DataFrame, context: int) -> DataFrame:
     filters.check_context(context)
     ctx = context
     m = meta.select("shard", n_eval_windows(F.col("tokens"), ctx).alias("_nw"))
-    c = chunks.join(m, "shard")          # one row per shard on the right: broadcast by AQE
+    c = join_null_safe(chunks, m, ["shard"])  # one row per shard on the right: broadcast by AQE
     s = F.col("start")
     e = F.col("start") + F.size("ids")
     lo = F.greatest(F.lit(0).cast("bigint"), F.ceil(s / ctx).cast("bigint") - 1)
@@ -80,8 +81,7 @@ def fetch(windows: DataFrame, chunks: DataFrame, width: int, chunk_size: int,
     last = F.floor((F.col("start") + width - 1) / C).cast("bigint")
     need = windows.select(key, "shard", "start",
                           F.explode(F.sequence(first, last)).alias("chunk_id"))
-    j = need.join(chunks.select("shard", "chunk_id", F.col("start").alias("_cs"), "ids"),
-                  ["shard", "chunk_id"])
+    j = join_null_safe(need, chunks.select("shard", "chunk_id", F.col("start").alias("_cs"), "ids"), ["shard", "chunk_id"])
     lo = F.greatest(F.col("start"), F.col("_cs"))
     hi = F.least(F.col("start") + width, F.col("_cs") + F.size("ids"))
     pieces = j.select(key, "shard", "start", lo.alias("_lo"),

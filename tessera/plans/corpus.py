@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.operators import bpe, capping, dedupe, filters, shards
 from tessera.operators import windows as W
+from tessera.operators.keys import join_null_safe
 from tessera.operators.materialize import materialize
 from tessera.sources import tables
 
@@ -124,18 +125,18 @@ def build(spark: SparkSession, sf_dir: str, vocab_size: int = 300, split_shards:
 
 
 def diagnose(train_chunks: DataFrame, val_chunks: DataFrame, context: int, vocab_size: int,
-             batch_size: int = 4, max_batches: int = 50) -> DataFrame:
+             batch_size: int = 4, max_batches: int = 50, suffix: str | None = None) -> DataFrame:
     """L3: capped and full evaluation plus vocabulary usage of the validation shard, one JSON row
     per validation shard."""
     from tessera.operators import evaluate as EV
     vmeta = shards.shard_meta(val_chunks)
-    capped = EV.evaluate(train_chunks, val_chunks, vmeta, context, vocab_size, batch_size, max_batches)
-    full = EV.evaluate(train_chunks, val_chunks, vmeta, context, vocab_size, batch_size, None)
+    capped = EV.evaluate(train_chunks, val_chunks, vmeta, context, vocab_size, batch_size, max_batches, suffix=suffix)
+    full = EV.evaluate(train_chunks, val_chunks, vmeta, context, vocab_size, batch_size, None, suffix=suffix)
     usage = shards.vocab_usage(val_chunks, vocab_size)
-    j = (capped.select("shard", F.struct("val_loss", "val_ppl", "val_tokens").alias("capped"))
-         .join(full.select("shard", F.struct("val_loss", "val_ppl", "val_tokens").alias("full")), "shard")
-         .join(usage.select("shard", F.struct("vocab_size", "unique_ids", "coverage_pct", "min_id", "max_id")
-                            .alias("vocab_usage")), "shard"))
+    summary = F.struct("val_loss", "val_ppl", "val_tokens")
+    used = usage.select("shard", F.struct("vocab_size", "unique_ids", "coverage_pct", "min_id", "max_id").alias("vocab_usage"))
+    j = join_null_safe(capped.select("shard", summary.alias("capped")), full.select("shard", summary.alias("full")), ["shard"])
+    j = join_null_safe(j, used, ["shard"])
     return j.select("shard", "capped", "full", "vocab_usage",
                     F.to_json(F.struct("capped", "full", "vocab_usage")).alias("report"))
 

@@ -11,7 +11,7 @@ from tessera.operators.materialize import materialize
 from tessera.plans import corpus
 from tessera.plans import sql as S
 from tessera.plans.queries import _CLEAN_DOCS, GATE_SQL, TRAIN_FRAC, gate_sql, lang_profile, query, tri_sql
-from tessera.plans.queries_windows import BIGRAM_CTX, EVAL_BATCH, EVAL_MAX_BATCHES, _bigram_sql, _meta
+from tessera.plans.queries_windows import BIGRAM_CTX, EVAL_BATCH, EVAL_MAX_BATCHES, _bigram_sql, split_all
 from tessera.session import shared_dir
 from tessera.sources import artifacts, tables
 
@@ -165,9 +165,9 @@ def _usage_sql() -> str:
     return _TOK_SQL + f""",
 sp AS (SELECT shard, CASE WHEN n - greatest(1, floor(n * {TRAIN_FRAC})::BIGINT) < 1 THEN n - 1
                           ELSE greatest(1, floor(n * {TRAIN_FRAC})::BIGINT) END AS k FROM m),
-u AS (SELECT DISTINCT tok.id FROM tok JOIN sp USING (shard) WHERE tok.shard = 'en' AND tok.pos >= sp.k)
-SELECT 'en_val' AS shard, count(*)::BIGINT AS unique_ids,
-       round(count(*) / {BL.BASE_VOCAB_SIZE} * 100, 2) AS coverage_pct FROM u"""
+u AS (SELECT DISTINCT shard, tok.id FROM tok JOIN sp USING (shard) WHERE tok.pos >= sp.k)
+SELECT shard || '_val' AS shard, count(*)::BIGINT AS unique_ids,
+       round(count(*) / {BL.BASE_VOCAB_SIZE} * 100, 2) AS coverage_pct FROM u GROUP BY shard"""
 
 
 @query("shard_report", f"""
@@ -175,10 +175,8 @@ SELECT c.shard, c.val_loss AS capped_loss, c.val_tokens AS capped_tokens, f.val_
        f.val_tokens AS full_tokens, u.unique_ids, u.coverage_pct
 FROM ({_bigram_sql(EVAL_MAX_BATCHES)}) c JOIN ({_bigram_sql(None)}) f USING (shard) JOIN ({_usage_sql()}) u USING (shard)""")
 def q_shard_report(spark, d):
-    ch, meta = _meta(spark, d)
-    sp = materialize(shards.split_chunks(ch, shards.split_counts(meta, TRAIN_FRAC)), "split_chunks")
-    rep = corpus.diagnose(sp.where(F.col("shard") == "en"), sp.where(F.col("shard") == "en_val"),
-                          BIGRAM_CTX, BL.BASE_VOCAB_SIZE, EVAL_BATCH, EVAL_MAX_BATCHES)
+    train, val = split_all(spark, d)
+    rep = corpus.diagnose(train, val, BIGRAM_CTX, BL.BASE_VOCAB_SIZE, EVAL_BATCH, EVAL_MAX_BATCHES, suffix="_val")
     return rep.select("shard", F.round("capped.val_loss", 6).alias("capped_loss"),
                       F.col("capped.val_tokens").alias("capped_tokens"),
                       F.round("full.val_loss", 6).alias("full_loss"), F.col("full.val_tokens").alias("full_tokens"),

@@ -84,7 +84,7 @@ def q_epoch_len(spark, d):
 # --- A9 U2 --------------------------------------------------------------------------------------
 def _shard_list(meta, copies: list[int]) -> list[str]:
     """A mixture list of all shards of the manifest (one row per shard), some of them repeated."""
-    names = sorted(r["shard"] for r in meta.select("shard").collect())
+    names = sorted((r["shard"] for r in meta.select("shard").collect()), key=lambda n: (n is None, n or ""))  # null last
     return [n for k, n in enumerate(names) for _ in range(copies[k % len(copies)])]
 
 
@@ -127,6 +127,10 @@ def _window_sums(df):
                      F.element_at("w", -1).cast("bigint").alias("last_id"))
 
 
+_STARTS_SQL = f"""s AS (SELECT i, shard, n,
+             ((({S.md5_int(f"'{SEED}:' || shard || ':' || i::VARCHAR")}) % (n - {SAMPLE_CTX})) + i * {SM.STRIDE})
+               % (n - {SAMPLE_CTX}) AS start
+      FROM idx)"""
 _SAMPLE_AGG = f"""
 SELECT s.i::BIGINT AS i, s.shard, s.start::BIGINT AS start, count(*)::INTEGER AS n, sum(tok.id)::BIGINT AS sum_w,
        arg_min(tok.id, tok.pos)::BIGINT AS first_id, arg_max(tok.id, tok.pos)::BIGINT AS last_id
@@ -135,16 +139,11 @@ GROUP BY 1, 2, 3"""
 
 
 @query("sample_windows", _TOK_SQL + f""",
-one AS (SELECT n FROM m WHERE shard = 'en'),
-idx AS (SELECT range AS i FROM one, range(0, greatest(1, one.n // {SAMPLE_CTX + 1}))),
-s AS (SELECT i, 'en' AS shard,
-             ((({S.md5_int(f"'{SEED}:en:' || i::VARCHAR")}) % (one.n - {SAMPLE_CTX})) + i * {SM.STRIDE})
-               % (one.n - {SAMPLE_CTX}) AS start
-      FROM idx, one)""" + _SAMPLE_AGG)
+idx AS (SELECT m.shard, m.n, r.range AS i FROM m, range(0, greatest(1, m.n // {SAMPLE_CTX + 1})) r),
+{_STARTS_SQL}""" + _SAMPLE_AGG)
 def q_sample_windows(spark, d):
     ch, meta = _meta(spark, d)
-    row = meta.where(F.col("shard") == "en").first().asDict()
-    s = SM.single_shard_samples(spark, row, SAMPLE_CTX, SEED)
+    s = SM.shard_samples(meta, SAMPLE_CTX, SEED)
     return _window_sums(W.fetch(s, ch, SAMPLE_CTX + 1, shards.CHUNK_SIZE, key="i"))
 
 
@@ -167,21 +166,16 @@ def q_sample_mix(spark, d):
     return _window_sums(W.fetch(s, ch, SAMPLE_CTX + 1, shards.CHUNK_SIZE, key="i"))
 
 
-# --- M5 P18: one smoke batch ----------------------------------------------------------------------
+# --- M5 P18: one smoke batch of each shard ----------------------------------------------------------------------
 @query("smoke_batch", _TOK_SQL + f""",
-one AS (SELECT n FROM m WHERE shard = 'en'),
-idx AS (SELECT range AS i FROM range(0, {EVAL_BATCH})),
-s AS (SELECT i, 'en' AS shard,
-             ((({S.md5_int(f"'{SEED}:en:' || i::VARCHAR")}) % (one.n - {SAMPLE_CTX})) + i * {SM.STRIDE})
-               % (one.n - {SAMPLE_CTX}) AS start
-      FROM idx, one)
-SELECT i::BIGINT AS i, start::BIGINT AS start, true AS valid, {SAMPLE_CTX} AS n_input FROM s""")
+idx AS (SELECT m.shard, m.n, r.range AS i FROM m, range(0, {EVAL_BATCH}) r),
+{_STARTS_SQL}
+SELECT shard, i::BIGINT AS i, start::BIGINT AS start, true AS valid, {SAMPLE_CTX} AS n_input FROM s""")
 def q_smoke_batch(spark, d):
     ch, meta = _meta(spark, d)
-    row = meta.where(F.col("shard") == "en").first().asDict()
-    s = SM.single_shard_samples(spark, row, SAMPLE_CTX, SEED, num_samples=EVAL_BATCH)
+    s = SM.shard_samples(meta, SAMPLE_CTX, SEED, num_samples=EVAL_BATCH)
     w = W.with_shift(W.fetch(s, ch, SAMPLE_CTX + 1, shards.CHUNK_SIZE, key="i"), SAMPLE_CTX)
-    return w.select("i", "start", W.valid(SAMPLE_CTX).alias("valid"), F.size("input_ids").alias("n_input"))
+    return w.select("shard", "i", "start", W.valid(SAMPLE_CTX).alias("valid"), F.size("input_ids").alias("n_input"))
 
 
 # --- A12 A11 W7 P17 --------------------------------------------------------------------------------
@@ -190,30 +184,33 @@ def _bigram_sql(max_batches: int | None) -> str:
     return _TOK_SQL + f""",
 sp AS (SELECT shard, CASE WHEN n - greatest(1, floor(n * {TRAIN_FRAC})::BIGINT) < 1 THEN n - 1
                           ELSE greatest(1, floor(n * {TRAIN_FRAC})::BIGINT) END AS k FROM m),
-trn AS (SELECT tok.pos, tok.id FROM tok JOIN sp USING (shard) WHERE tok.shard = 'en' AND tok.pos < sp.k),
-tp AS (SELECT id AS prev, lead(id) OVER (ORDER BY pos) AS next FROM trn),
-pc AS (SELECT prev, next, count(*) AS c FROM tp WHERE next IS NOT NULL GROUP BY ALL),
-cc AS (SELECT prev, sum(c) AS cp FROM pc GROUP BY prev),
-val AS (SELECT tok.pos - sp.k AS vp, tok.id FROM tok JOIN sp USING (shard) WHERE tok.shard = 'en' AND tok.pos >= sp.k),
-nv AS (SELECT count(*) AS nv FROM val),
-nwin AS (SELECT CASE WHEN nv >= {BIGRAM_CTX + 1} THEN (nv - {BIGRAM_CTX + 1}) // {BIGRAM_CTX} + 1 ELSE 0 END AS nw FROM nv),
-vpairs AS (SELECT vp, id AS prev, lead(id) OVER (ORDER BY vp) AS next FROM val),
-scored AS (SELECT vp // {BIGRAM_CTX} AS window_id,
+trn AS (SELECT tok.shard, tok.pos, tok.id FROM tok JOIN sp USING (shard) WHERE tok.pos < sp.k),
+tp AS (SELECT shard, id AS prev, lead(id) OVER (PARTITION BY shard ORDER BY pos) AS next FROM trn),
+pc AS (SELECT shard, prev, next, count(*) AS c FROM tp WHERE next IS NOT NULL GROUP BY ALL),
+cc AS (SELECT shard, prev, sum(c) AS cp FROM pc GROUP BY ALL),
+val AS (SELECT tok.shard, tok.pos - sp.k AS vp, tok.id FROM tok JOIN sp USING (shard) WHERE tok.pos >= sp.k),
+nwin AS (SELECT shard, CASE WHEN count(*) >= {BIGRAM_CTX + 1} THEN (count(*) - {BIGRAM_CTX + 1}) // {BIGRAM_CTX} + 1 ELSE 0 END AS nw
+         FROM val GROUP BY shard),
+vpairs AS (SELECT shard, vp, id AS prev, lead(id) OVER (PARTITION BY shard ORDER BY vp) AS next FROM val),
+scored AS (SELECT shard, vp // {BIGRAM_CTX} AS window_id,
                   -ln((coalesce(pc.c, 0) + 1.0) / (coalesce(cc.cp, 0) + {float(BL.BASE_VOCAB_SIZE)})) AS nll
-           FROM vpairs LEFT JOIN pc USING (prev, next) LEFT JOIN cc USING (prev), nwin
+           FROM vpairs LEFT JOIN pc USING (shard, prev, next) LEFT JOIN cc USING (shard, prev) JOIN nwin USING (shard)
            WHERE vp < nwin.nw * {BIGRAM_CTX}{cap})
-SELECT 'en_val' AS shard, round(sum(nll) / count(*), 6) AS val_loss,
+SELECT shard || '_val' AS shard, round(sum(nll) / count(*), 6) AS val_loss,
        round(exp(least(sum(nll) / count(*), 100)), 6) AS val_ppl, count(*)::DOUBLE AS val_tokens,
-       count(DISTINCT window_id // {EVAL_BATCH})::BIGINT AS n_batches FROM scored"""
+       count(DISTINCT window_id // {EVAL_BATCH})::BIGINT AS n_batches FROM scored GROUP BY shard"""
 
 
-def _bigram(spark, d, max_batches):
+def split_all(spark, d):
+    """Training and validation chunks of every shard."""
     ch, meta = _meta(spark, d)
-    sp = materialize(shards.split_chunks(ch, shards.split_counts(meta, TRAIN_FRAC)), "split_chunks")
-    train = sp.where(F.col("shard") == "en")
-    val = sp.where(F.col("shard") == "en_val")
-    vmeta = shards.shard_meta(val)
-    r = EV.evaluate(train, val, vmeta, BIGRAM_CTX, BL.BASE_VOCAB_SIZE, EVAL_BATCH, max_batches)
+    counts = shards.split_counts(meta, TRAIN_FRAC)
+    return shards.split_parts(materialize(shards.split_chunks(ch, counts), "split_chunks"), counts)
+
+
+def _bigram(spark, d, max_batches):
+    train, val = split_all(spark, d)
+    r = EV.evaluate(train, val, shards.shard_meta(val), BIGRAM_CTX, BL.BASE_VOCAB_SIZE, EVAL_BATCH, max_batches, suffix="_val")
     return r.select("shard", F.round("val_loss", 6).alias("val_loss"), F.round("val_ppl", 6).alias("val_ppl"),
                     "val_tokens", "n_batches")
 
@@ -228,19 +225,18 @@ def q_eval_capped(spark, d):
     return _bigram(spark, d, EVAL_MAX_BATCHES)
 
 
-# --- M4: loader over one shard, two epochs, drop-last batches ------------------------------------
+# --- M4: loader over each shard, two epochs, drop-last batches -----------------------------------
 LOADER_EPOCHS = 2
 
 
 @query("loader_batches", _TOK_SQL + f""",
-one AS (SELECT n, greatest(1, n // {SAMPLE_CTX + 1}) AS per FROM m WHERE shard = 'en'),
-lim AS (SELECT n, per, (per // {EVAL_BATCH}) * {EVAL_BATCH} AS nfull FROM one),
-idx AS (SELECT range AS i FROM lim, range(0, lim.per * {LOADER_EPOCHS}))
+lim AS (SELECT shard, n, greatest(1, n // {SAMPLE_CTX + 1}) AS per FROM m),
+idx AS (SELECT lim.shard, lim.n, lim.per, (lim.per // {EVAL_BATCH}) * {EVAL_BATCH} AS nfull, r.range AS i
+        FROM lim, range(0, lim.per * {LOADER_EPOCHS}) r)
 SELECT (i // per)::BIGINT AS epoch, ((i // per) * (nfull // {EVAL_BATCH}) + (i % per) // {EVAL_BATCH})::BIGINT AS batch_id,
-       i::BIGINT AS i, 'en' AS shard,
-       ((({S.md5_int(f"'{SEED}:en:' || i::VARCHAR")}) % (n - {SAMPLE_CTX})) + i * {SM.STRIDE}) % (n - {SAMPLE_CTX}) AS start
-FROM idx, lim WHERE i % per < nfull""")
+       i::BIGINT AS i, shard,
+       ((({S.md5_int(f"'{SEED}:' || shard || ':' || i::VARCHAR")}) % (n - {SAMPLE_CTX})) + i * {SM.STRIDE}) % (n - {SAMPLE_CTX}) AS start
+FROM idx WHERE i % per < nfull""")
 def q_loader_batches(spark, d):
     _, meta = _meta(spark, d)
-    row = meta.where(F.col("shard") == "en").first().asDict()
-    return SM.loader_samples(spark, row, SAMPLE_CTX, EVAL_BATCH, SEED, LOADER_EPOCHS)
+    return SM.loader_rows(meta, SAMPLE_CTX, EVAL_BATCH, SEED, LOADER_EPOCHS)

@@ -1,12 +1,18 @@
 """Rows with null groups or null order values stay; ids may be text; replayed epochs count once."""
 
 import json
+import math
+import random
+from collections import Counter
 from dataclasses import asdict
 
 from pyspark.sql import functions as F
 
-from tessera.operators import order
+from tessera.operators import evaluate as EV
+from tessera.operators import order, sequences, shards
 from tessera.operators import sampling as SM
+from tessera.operators import windows as W
+from tessera.plans import corpus
 from tessera.streaming import capped
 
 
@@ -52,3 +58,64 @@ def test_listed_shard_must_exist(spark):
     assert SM.mix_weights(meta, ["a", "b", "b"]).count() == 2
     with pytest.raises(ValueError, match="no shard c"):
         SM.mix_weights(meta, ["a", "c"])
+
+
+def _named(rows, cols):
+    """Rows under a null key as they would be under the name that the twin table gives it."""
+    return sorted(tuple({None: "n", "<null>_val": "n_val"}.get(r[c], r[c]) if c == "shard" else
+                        tuple(r[c]) if isinstance(r[c], list) else r[c] for c in cols) for r in rows)
+
+
+def test_null_key_gives_what_a_named_key_gives(spark):
+    """Every keyed operator over shards null and ``a``, and over ``n`` and ``a`` with the same rows."""
+    def chunked(name):
+        rows = [(s, k, k * 16, [(k * 7 + j * (3 if s == "a" else 5)) % 11 for j in range(16)]) for s in (name, "a") for k in range(40)]
+        return spark.createDataFrame(rows, "shard string, chunk_id long, start long, ids array<int>")
+
+    def results(name):
+        ch = chunked(name)
+        meta = shards.shard_meta(ch)
+        counts = shards.split_counts(meta, 0.9)
+        split = shards.split_chunks(ch, counts, chunk_size=16)
+        train, val = shards.split_parts(split, counts)
+        samples = SM.shard_samples(meta, 8, 3)
+        weights = SM.mix_weights(meta, [name, "a", "a"])
+        mixed = SM.mixture_samples(spark, weights, 8, 3, 60)
+        new = spark.createDataFrame([(name, 1, "int32")], "shard string, tokens long, dtype string")
+        values = ch.select("shard", F.col("chunk_id").alias("o"), F.lit(1.5).alias("x"))
+        return {
+            "meta": meta, "counts": counts, "split": split, "train": train.select("shard", "ids"), "val": val.select("shard", "ids"),
+            "windows": W.eval_windows(ch, meta, 8), "epoch": shards.epoch_len(meta, 8), "usage": shards.vocab_usage(ch, 11),
+            "fetch": W.fetch(samples.select("shard", "i", F.lit(5).cast("long").alias("start")), ch, 9, 16, key="i"),
+            "samples": samples.select("shard", "i"), "loader": SM.loader_rows(meta, 8, 4, 3, 2).select("shard", "i", "batch_id"),
+            "weights": weights, "mixed": mixed.select("shard", "i"), "upsert": shards.upsert_meta(meta, new),
+            "rolling": sequences.rolling_mean(values, "shard", ["o"], "x", 4),
+            "evaluate": EV.evaluate(train, val, shards.shard_meta(val), 8, 11, 2, suffix="_val"),
+            "capped": EV.evaluate(train, val, shards.shard_meta(val), 8, 11, 2, 1, suffix="_val"),
+            "report": corpus.diagnose(train, val, 8, 11, 2, 1, suffix="_val").select("shard", "capped.val_tokens", "full.val_loss"),
+        }
+    null, named = results(None), results("n")
+    for k in null:
+        cols = null[k].columns
+        got, want = _named(null[k].collect(), cols), _named(named[k].collect(), cols)
+        assert len(got) == len(want) > 0, k
+        for g, w in zip(got, want):
+            assert all(abs(a - b) < 1e-9 if isinstance(a, float) else a == b for a, b in zip(g, w)), (k, g, w)
+    assert {r["rolling"] for r in null["rolling"].collect()} == {1.5}
+
+
+def test_evaluate_counts_the_pairs_of_its_windows(spark):
+    """Pairs straight from the chunks equal those of the windows, for limits inside and on chunk borders."""
+    rnd = random.Random(4)
+    rows = [("s", k, k * 16, [rnd.randrange(6) for _ in range(16 if k < 9 else 5)]) for k in range(10)]
+    ch = spark.createDataFrame(rows, "shard string, chunk_id long, start long, ids array<int>")
+    flat = [i for r in rows for i in r[3]]
+    pairs = Counter(zip(flat, flat[1:]))
+    first = Counter(flat[:-1])
+    for ctx, cap in ((8, None), (8, 1), (16, 2), (5, 3), (148, None)):
+        n = (len(flat) - ctx - 1) // ctx + 1
+        n = n if cap is None else min(n, cap * 2)
+        want = [-math.log((pairs[p] + 1) / (first[p[0]] + 6)) for p in list(zip(flat, flat[1:]))[:n * ctx]]
+        got = EV.evaluate(ch, ch, shards.shard_meta(ch), ctx, 6, 2, cap).first()
+        assert (got.val_tokens, got.n_batches) == (n * ctx, -(-n // 2))
+        assert abs(got.val_loss - sum(want) / len(want)) < 1e-9
