@@ -13,7 +13,7 @@ from tessera.plans import sql as S
 from tessera.plans.queries import CAP_BATCH_DOCS, CAP_STATS_SQL, GATED_SQL, ORACLE, cap_sql, lang_profile, query, reason_column
 from tessera.session import shared_dir
 from tessera.sources import tables
-from tessera.streaming import capped, heartbeat, stateful
+from tessera.streaming import capped, epochs, heartbeat, stateful
 from tessera.streaming.common import ProgressListener, table_stream, to_parquet
 
 # ---------------------------------------------------------------------------
@@ -33,16 +33,14 @@ def _path(d: str, t: str) -> str:
 def q_stream_dedupe(spark, d):
     s = table_stream(spark, _path(d, "documents")).select(
         "doc_id", "source", "text", F.col("doc_id").alias("ord"))
-    out = to_parquet(stateful.online_dedupe(s), "stream_dedupe")
-    return spark.read.parquet(out).select("doc_id", "source", "sha1", "text")
+    return spark.read.parquet(epochs.online_dedupe(s)).select("doc_id", "source", "sha1", "text")
 
 
 # --- T5 / T4 -------------------------------------------------------------------------------------------
 @query("stream_rate_quota", ORACLE["rate_quota"])
 def q_stream_rate_quota(spark, d):
     s = table_stream(spark, _path(d, "events")).select("event_id", "user_id", "ts")
-    out = to_parquet(stateful.quota(s, "user_id", "ts", "event_id", A.QUOTA), "stream_quota")
-    return spark.read.parquet(out).select("event_id", "user_id", "accepted")
+    return spark.read.parquet(epochs.quota(s, "user_id", "ts", "event_id", A.QUOTA)).select("event_id", "user_id", "accepted")
 
 
 @query("stream_rate_sliding", ORACLE["rate_sliding"])

@@ -1,53 +1,25 @@
-"""Keyed state with ``applyInPandasWithState``.
+"""Keyed state with ``applyInPandasWithState`` (D3 and T5 are in ``epochs``).
 
 A key's rows of one trigger may arrive in several pandas chunks; every function reads them all,
-orders them by the given sort key and scans once. State per key is bounded: a flag (D3), a counter
-(T5), at most ``rate`` timestamps (T4), the last 20 entropies and 64 tokens (T6). Within a key,
-order across triggers is the source order (files in name order; watermark-bounded for timeouts).
+orders them by the given sort key and scans once. State per key is bounded: at most ``rate``
+timestamps (T4), the last 20 entropies and 64 tokens (T6). Within a key, order across triggers is
+the source order (files in name order; watermark-bounded for timeouts).
 """
 
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from tessera.functions import text as T
 from tessera.functions.timecols import epoch_seconds
 from tessera.operators.ratelimit import WINDOW_SECONDS
 
 
 # ---------------------------------------------------------------------------
-# D3: online exact dedupe, earliest row (by ord) of an unseen digest survives
-# ---------------------------------------------------------------------------
-def online_dedupe(stream: DataFrame, text_col: str = "text", ord_col: str = "ord") -> DataFrame:
-    cols = [c for c in stream.columns if c != text_col]
-    s = stream.where(T.has_content(text_col)).select(*cols, T.canonical_text(text_col).alias(text_col))
-    s = s.withColumn("sha1", T.digest(text_col))
-    out_schema = s.schema
-
-    def first_seen(key, pdfs: Iterator[pd.DataFrame], state):
-        best = None
-        for pdf in pdfs:
-            if len(pdf):
-                row = pdf.loc[[pdf[ord_col].idxmin()]]
-                if best is None or row[ord_col].iloc[0] < best[ord_col].iloc[0]:
-                    best = row
-        if state.exists or best is None:
-            return
-        state.update((True,))
-        yield best
-
-    return s.groupBy("sha1").applyInPandasWithState(
-        first_seen, out_schema, "seen boolean", "append", GroupStateTimeout.NoTimeout)
-
-
-# ---------------------------------------------------------------------------
-# T5: fixed quota per key; T4: sliding-window admission per key
+# T4: sliding-window admission per key
 # ---------------------------------------------------------------------------
 def _with_seconds(stream: DataFrame, ts_col: str) -> DataFrame:
     return stream.withColumn("_t", epoch_seconds(stream, ts_col))
@@ -57,21 +29,6 @@ def _type(df: DataFrame, col: str) -> str:
     return df.schema[col].dataType.simpleString()
 
 
-def quota(stream: DataFrame, key: str, ts_col: str, id_col: str, max_req: int = 60) -> DataFrame:
-    s = _with_seconds(stream, ts_col).select(key, "_t", id_col)
-
-    def admit(k, pdfs, state):
-        df = pd.concat(list(pdfs), ignore_index=True).sort_values(["_t", id_col], kind="mergesort")
-        n = state.get[0] if state.exists else 0
-        acc = n + np.arange(len(df)) < max_req
-        state.update((n + len(df),))
-        yield pd.DataFrame({id_col: df[id_col].to_numpy(), key: k[0], "accepted": acc})
-
-    schema = f"{id_col} {_type(stream, id_col)}, {key} {_type(stream, key)}, accepted boolean"
-    return s.groupBy(key).applyInPandasWithState(admit, schema, "n long", "append",
-                                                 GroupStateTimeout.NoTimeout)
-
-
 def sliding(stream: DataFrame, key: str, ts_col: str, id_col: str, rate: int = 60) -> DataFrame:
     s = _with_seconds(stream, ts_col).select(key, "_t", id_col)
 

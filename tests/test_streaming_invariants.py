@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as E
 from tessera.functions import bytelevel as BL
 from tessera.operators import bpe, capping, dedupe
-from tessera.streaming import capped, stateful
+from tessera.streaming import capped, epochs
 from tessera.streaming.common import table_stream, to_parquet
 
 SF = "/root/testdata/sf0.001"
@@ -36,7 +36,7 @@ def test_online_dedupe_equals_batch(spark, tmpdir_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "source", "text")
     folder = _split_files(spark, docs, os.path.join(tmpdir_path, "docs"), 4)
     s = _stream_dir(spark, folder).withColumn("ord", F.col("doc_id"))
-    got = spark.read.parquet(to_parquet(stateful.online_dedupe(s), "t_dedupe"))
+    got = spark.read.parquet(epochs.online_dedupe(s))
     exp = dedupe.first_per_digest(dedupe.clean(docs.withColumn("ord", F.col("doc_id"))))
     assert sorted(r.doc_id for r in got.collect()) == sorted(r.doc_id for r in exp.collect())
 
@@ -61,7 +61,7 @@ def test_quota_stream_across_batches(spark, tmpdir_path):
     ev = spark.read.parquet(f"{SF}/events.parquet").select(F.col("event_id").alias("doc_id"), "user_id", "ts")
     folder = _split_files(spark, ev, os.path.join(tmpdir_path, "ev"), 3)
     s = _stream_dir(spark, folder)
-    got = spark.read.parquet(to_parquet(stateful.quota(s, "user_id", "ts", "doc_id", 5), "t_quota"))
+    got = spark.read.parquet(epochs.quota(s, "user_id", "ts", "doc_id", 5))
     acc = {r.doc_id: r.accepted for r in got.collect()}
     rows = ev.orderBy("user_id", "ts", "doc_id").collect()
     seen = {}
@@ -148,3 +148,32 @@ def test_continuous_trigger_ends_at_the_cap(spark, tmpdir_path):
     assert len(progress.rows) < 6
     got = [i for r in spark.read.parquet(out).orderBy("start").collect() for i in r.ids]
     assert got == flat[:cap]
+
+
+def test_dedupe_epoch_that_runs_again(spark, tmpdir_path):
+    """A commit that was lost: the epoch's rows are written over, none is kept twice or dropped."""
+    docs = spark.createDataFrame([(k, f"text {k % 7}", k) for k in range(20)], "doc_id long, text string, ord long")
+    folder = _split_files(spark, docs, os.path.join(tmpdir_path, "again"), 4)
+    ckpt = os.path.join(tmpdir_path, "ckpt")
+    epochs.online_dedupe(_stream_dir(spark, folder), checkpoint=ckpt)
+    os.remove(os.path.join(ckpt, "commits", "3"))
+    crc = os.path.join(ckpt, "commits", ".3.crc")
+    os.path.exists(crc) and os.remove(crc)
+    out = epochs.online_dedupe(_stream_dir(spark, folder), checkpoint=ckpt)
+    assert sorted(r.doc_id for r in spark.read.parquet(out).collect()) == list(range(7))
+
+
+def test_dedupe_horizon(spark, tmpdir_path):
+    docs = spark.createDataFrame([(k, "same" if k % 5 == 0 else f"t{k}", k) for k in range(20)], "doc_id long, text string, ord long")
+    folder = _split_files(spark, docs, os.path.join(tmpdir_path, "hor"), 4)
+    kept = spark.read.parquet(epochs.online_dedupe(_stream_dir(spark, folder), horizon=1)).where("text = 'same'")
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 10]  # epoch 1 sees epoch 0, epoch 2 sees a survivor-less epoch 1
+
+
+def test_quota_snapshots_and_null_key(spark, tmpdir_path, monkeypatch):
+    monkeypatch.setattr(epochs, "SNAPSHOT_EVERY", 2)
+    rows = [(k, None if k % 3 == 0 else k % 3, k) for k in range(60)]
+    ev = spark.createDataFrame(rows, "doc_id long, user long, s long").select("doc_id", "user", F.timestamp_seconds("s").alias("ts"))
+    folder = _split_files(spark, ev, os.path.join(tmpdir_path, "q"), 6)
+    got = {r.doc_id: r.accepted for r in spark.read.parquet(epochs.quota(_stream_dir(spark, folder), "user", "ts", "doc_id", 12)).collect()}
+    assert got == {k: k // 3 < 12 for k in range(60)}
