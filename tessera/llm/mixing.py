@@ -18,7 +18,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, prepare, uniform, word_count
+from tessera.llm.common import free_name, materialize, prepare, uniform, word_count
+from tessera.operators.order import with_ordinal
 
 #: Fixed: weights of the sources in the order of their names, repeating.
 WEIGHTS = (3, 1, 2)
@@ -141,11 +142,35 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
                       (F.col("_copies") * F.col("_size")).cast("long").alias("taken"))
 
 
-def apply_mix(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with each row as often as the mix takes it. Rows that share an id are taken the
-    same number of times, the largest that one of them was given."""
-    copies = mixed.groupBy(F.col(id_col).alias("_mix_id")).agg(F.max("copies").alias("_copies"))
+def apply_mix(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with each row as often as the mix takes it; all columns stay, whatever their names.
+
+    Rows that share an id (null is one) and were given different numbers of copies are told apart by
+    their size and dealt the copies of that size one by one, so the words taken are those that
+    :func:`mix` decided. Among rows of one id and size it makes no difference which gets which."""
+    spark = docs.sparkSession
+    taken = [*docs.columns, *mixed.columns]
+    mid, low, high, size, row, number, once, last = (free_name(n, taken) for n in (
+        "mix_id", "mix_low", "mix_high", "mix_size", "mix_row", "mix_number", "mix_copy", "mix_last"))
+    by_id = mixed.groupBy(F.col(id_col).alias(mid)).agg(F.min("copies").alias(low), F.max("copies").alias(high))
+    by_id = materialize(by_id, "mix-copies")
     # one plan at every size: the texts are shuffled even where the decisions could be broadcast
-    joined = docs.join(copies.hint("merge"), docs[id_col].eqNullSafe(copies["_mix_id"])).where(F.col("_copies") > 0)
-    return joined.select(*[docs[c] for c in docs.columns],
-                         F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")
+    joined = docs.join(by_id.hint("merge"), docs[id_col].eqNullSafe(by_id[mid]))
+    out = joined.where(F.col(low) == F.col(high)).select(*docs.columns, F.col(low).alias(number))
+    unlike = by_id.where(F.col(low) < F.col(high)).select(mid)
+    if not unlike.isEmpty():  # repeated ids only: nothing to deal otherwise
+        rows = docs.join(unlike.hint("merge"), docs[id_col].eqNullSafe(unlike[mid]), "left_semi")
+        rows = materialize(rows.select("*", word_count(F.col(text_col)).alias(size),
+                                       F.monotonically_increasing_id().alias(row)), "mix-unlike")
+        numbered = with_ordinal(rows, [row], number, partition_by=[id_col, size])
+        # per id and size, the places of the rows that get each number of copies
+        shares = mixed.join(unlike, mixed[id_col].eqNullSafe(unlike[mid]), "left_semi").groupBy(
+            F.col(id_col).alias(mid), F.col("size").alias(low), F.col("copies").alias(high)).agg(F.count(F.lit(1)).alias(once))
+        along = Window.partitionBy(mid, low).orderBy(high).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        shares = shares.withColumn(row, F.sum(once).over(along)).select(
+            mid, low, high, (F.col(row) - F.col(once)).alias(once), F.col(row).alias(last))
+        dealt = numbered.drop(row).join(shares, F.col(id_col).eqNullSafe(F.col(mid)) & (F.col(size) == F.col(low))
+                                        & (F.col(number) > F.col(once)) & (F.col(number) <= F.col(last)))
+        out = out.unionByName(dealt.select(*docs.columns, F.col(high).alias(number)))
+    out = out.where(F.col(number) > 0)
+    return out.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(number))).alias(once)).drop(once)

@@ -233,6 +233,23 @@ def test_mixing(spark, docs, none):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_apply_mix_takes_the_words_decided(spark):
+    """Null and repeated ids, alike sizes, extra columns with the names that a join may use."""
+    rows = [(None if k % 2 else 7 if k % 5 == 0 else k, "w " * (1 + k % 23), "ab"[k % 3 == 0], k, k, k, k) for k in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _copy int, _copies int, _mix_id int, mix_number int")
+    mixed = mixing.mix(docs)
+    out = mixing.apply_mix(docs, mixed)
+    assert out.columns == docs.columns
+    assert out.select(F.sum(F.size(F.split(F.trim("text"), " ")))).first()[0] == mixed.agg(F.sum("taken")).first()[0]
+    by_size = Counter((r["doc_id"], len(r["text"].split())) for r in out.collect())
+    want = Counter()
+    for r in mixed.collect():
+        want[r["doc_id"], r["size"]] += r["copies"]
+    assert by_size == Counter({k: n for k, n in want.items() if n})
+    kept = {r["_copy"]: r for r in out.collect()}
+    assert all((r["_copies"], r["_mix_id"], r["mix_number"]) == (k, k, k) for k, r in kept.items())
+
+
 def test_mixing_deals_rows_of_one_id(spark, monkeypatch):
     # a third null ids, a third one id, a third of these two alike in size too
     rows = [(None if k % 3 == 0 else 7 if k % 3 == 1 else k, "w " * (1 if k % 9 < 3 else 1 + k % 23), "ab"[k % 5 == 0])
