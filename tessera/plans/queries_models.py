@@ -19,6 +19,7 @@ from tessera.sources import artifacts, tables
 # Fixed query parameters
 # ---------------------------------------------------------------------------
 VOCAB_SIZE = 340          # 260 byte-level base tokens + 80 merges; a parameter of bpe.train
+FULL_VOCAB_SIZE = 32_000
 MIN_FREQUENCY = 2
 ROUNDTRIP_SAMPLES = 1000
 
@@ -79,6 +80,13 @@ def q_bpe_merges(spark, d):
     return _model(spark, d).merges.select("rank", "left", "right", "id")
 
 
+# the size that the reference trains; one merge a step is too slow in SQL, so there is none: the test
+# compares all merges with those of the tokenizers library
+@query("bpe_merges_32k")
+def q_bpe_merges_32k(spark, d):
+    return corpus.bpe_model(spark, d, FULL_VOCAB_SIZE, MIN_FREQUENCY).merges.select("rank", "left", "right", "id")
+
+
 @query("bpe_vocab", _BPE_SQL + "\nSELECT token, id FROM voc")
 def q_bpe_vocab(spark, d):
     path = shared_dir(spark, "vocab")

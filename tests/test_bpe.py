@@ -133,8 +133,10 @@ def test_pieces_equal_whole_documents(spark, model, monkeypatch):
     assert parts == whole
 
 
-def test_matches_library_on_documents(spark, tmpdir_path):
-    """Real multilingual text: deduplicated documents of the smallest test scale, 100 merges."""
+@pytest.mark.parametrize("size", [360, 32_000])
+def test_matches_library_on_documents(spark, tmpdir_path, size):
+    """Real multilingual text: deduplicated documents of the smallest test scale, 100 merges and all
+    that a vocabulary of 32,000 takes."""
     tokenizers = pytest.importorskip("tokenizers")
     from tessera.operators import dedupe
     from tessera.sources import tables
@@ -144,9 +146,9 @@ def test_matches_library_on_documents(spark, tmpdir_path):
     with open(p, "w", encoding="utf-8") as f:
         f.write("\n".join(r.text for r in kept) + "\n")
     tok = tokenizers.ByteLevelBPETokenizer()
-    tok.train(files=[p], vocab_size=360, min_frequency=2, special_tokens=BL.SPECIAL_TOKENS, show_progress=False)
+    tok.train(files=[p], vocab_size=size, min_frequency=2, special_tokens=BL.SPECIAL_TOKENS, show_progress=False)
     tok.save_model(tmpdir_path)
     ref = [tuple(x.split(" ")) for x in open(os.path.join(tmpdir_path, "merges.txt"), encoding="utf-8").read().splitlines()
            if x and not x.startswith("#version")]
-    m = bpe.train(bpe.word_counts(spark.createDataFrame([(r.text,) for r in kept], "text string")), vocab_size=360)
+    m = bpe.train(bpe.word_counts(spark.createDataFrame([(r.text,) for r in kept], "text string")), vocab_size=size)
     assert [(r.left, r.right) for r in m.merges.orderBy("rank").collect()] == ref
