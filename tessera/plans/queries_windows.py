@@ -131,11 +131,11 @@ _STARTS_SQL = f"""s AS (SELECT i, shard, n,
              ((({S.md5_int(f"'{SEED}:' || shard || ':' || i::VARCHAR")}) % (n - {SAMPLE_CTX})) + i * {SM.STRIDE})
                % (n - {SAMPLE_CTX}) AS start
       FROM idx)"""
-_SAMPLE_AGG = f"""
-SELECT s.i::BIGINT AS i, s.shard, s.start::BIGINT AS start, count(*)::INTEGER AS n, sum(tok.id)::BIGINT AS sum_w,
+_SAMPLE_AGG = f""",
+want AS (SELECT s.i, s.shard, s.start, (s.start + r.range)::BIGINT AS pos FROM s, range(0, {SAMPLE_CTX + 1}) r)
+SELECT want.i::BIGINT AS i, want.shard, want.start::BIGINT AS start, count(*)::INTEGER AS n, sum(tok.id)::BIGINT AS sum_w,
        arg_min(tok.id, tok.pos)::BIGINT AS first_id, arg_max(tok.id, tok.pos)::BIGINT AS last_id
-FROM s JOIN tok ON tok.shard = s.shard AND tok.pos >= s.start AND tok.pos < s.start + {SAMPLE_CTX + 1}
-GROUP BY 1, 2, 3"""
+FROM want JOIN tok ON tok.shard = want.shard AND tok.pos = want.pos GROUP BY 1, 2, 3"""
 
 
 @query("sample_windows", _TOK_SQL + f""",
