@@ -4,24 +4,29 @@ A linear-chain conditional random field labels each line of a text as content or
 (Viterbi decoding); a document stays if at least half of its words are in content lines. Fixed
 rules on the whole text (too few words, too many repeated five-word windows) reject first.
 
-The field is fitted on a bounded sample of labelled documents: at most ``FIT_DOCS`` of each
-class, in the order of a hash of their ids, with at most ``FIT_LINES`` lines each (a bound of the
-fit alone; whole texts are judged). Lines have no labels of their own, so a line takes its
-document's. Weights are a few numbers, so they go to the tasks in the function itself.
+The field is fitted on a bounded sample of labelled rows: at most ``FIT_DOCS`` documents of each
+class, in the order of a hash of their ids, cut into windows of ``WINDOW`` lines over their whole
+texts, and at most ``FIT_WINDOWS`` windows of each class, again by a hash. Lines have no labels of
+their own: they are hidden labels, decoded under the document's and fitted in turns. Weights are a
+few numbers, so they go to the tasks in the function itself.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import prepare
+from tessera.llm.common import free_name, materialize, prepare
 
-FIT_DOCS, FIT_LINES = 1000, 64
+FIT_DOCS, FIT_WINDOWS = 1000, 1500
+#: Lines of a window, and windows of a training sequence.
+WINDOW, CHAIN = 64, 3
 SYMBOLS = "#*$%&|<>"
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SYMBOL_WORD = re.compile(r"[^\x20\x09-\x0D]*[#*$%&|<>][^\x20\x09-\x0D]*")
@@ -85,21 +90,25 @@ def viterbi(emit: np.ndarray, move: np.ndarray) -> list[int]:
     return out[::-1]
 
 
-def fit_crf(sequences: list[np.ndarray], labels: list[int], steps: int = 200, rate: float = 0.3, l2: float = 1e-3
-            ) -> tuple[np.ndarray, np.ndarray]:
-    """Weights (2, features) and moves (2, 2) of greatest likelihood, by gradient steps; all lines
-    of a sequence carry its label. Expectations come from the forward and backward sums."""
+def _padded(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     n, most = len(sequences), max(map(len, sequences))
-    x = np.zeros((n, most, N_FEATURES))
-    on = np.zeros((n, most), bool)
+    x, on = np.zeros((n, most, N_FEATURES)), np.zeros((n, most), bool)
     for k, s in enumerate(sequences):
         x[k, :len(s)], on[k, :len(s)] = s, True
-    y = np.array(labels)
-    weight, move = np.zeros((2, N_FEATURES)), np.zeros((2, 2))
-    gold = np.zeros((2, N_FEATURES))
-    np.add.at(gold, y, x.sum(1))
-    gold_move = np.zeros((2, 2))
-    np.add.at(gold_move, (y, y), on.sum(1) - 1)
+    return x, on
+
+
+def fit_crf(sequences: list[np.ndarray], labels: list[np.ndarray], steps: int = 200, rate: float = 0.3,
+            l2: float = 1e-3, start: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (2, features) and moves (2, 2) of greatest likelihood for one label per line, by
+    gradient steps from ``start``. Expectations come from the forward and backward sums."""
+    x, on = _padded(sequences)
+    n, most = on.shape
+    weight, move = (np.zeros((2, N_FEATURES)), np.zeros((2, 2))) if start is None else start
+    gold, gold_move = np.zeros((2, N_FEATURES)), np.zeros((2, 2))
+    for s, y in zip(sequences, labels):
+        np.add.at(gold, y, s)
+        np.add.at(gold_move, (y[:-1], y[1:]), 1)
     total = on.sum()
     speed_w, speed_m = np.zeros_like(weight), np.zeros_like(move)
     lse = np.logaddexp.reduce
@@ -124,13 +133,38 @@ def fit_crf(sequences: list[np.ndarray], labels: list[int], steps: int = 200, ra
     return weight, move
 
 
+def hidden_labels(window: np.ndarray, label: int, model) -> np.ndarray:
+    """Line labels of a window under its document's label: the decoded ones where at least half of the
+    lines agree with the document, else the document's label on all lines."""
+    weight, move = model
+    path = np.array(viterbi(window @ weight.T, move))
+    return path if 2 * (path == label).sum() >= len(path) else np.full(len(window), label)
+
+
+def fit_lines(windows: list[np.ndarray], labels: list[int], rounds: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """A field over lines from windows of lines whose documents' labels are known.
+
+    Line labels are hidden. They start as the document's; each further round decodes them under that
+    label and fits again from where the last fit ended. ``CHAIN`` windows in a row make one training
+    sequence, so that the field sees labels change, as they do where boilerplate meets content."""
+    y = [np.full(len(w), v) for w, v in zip(windows, labels)]
+
+    def chained(parts: list[np.ndarray]) -> list[np.ndarray]:
+        return [np.concatenate(parts[k:k + CHAIN]) for k in range(0, len(parts), CHAIN)]
+    model = fit_crf(chained(windows), chained(y))
+    for _ in range(rounds):
+        y = [hidden_labels(w, v, model) for w, v in zip(windows, labels)]
+        model = fit_crf(chained(windows), chained(y), steps=60, start=model)
+    return model
+
+
 def _split(text: str | None) -> tuple[list[str], list[list[str]]]:
     lines = (text or "").split("\n")
     return lines, [_WORD.findall(x) for x in lines]
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-        label_col: str = "quality", fit_docs: int = FIT_DOCS, fit_lines: int = FIT_LINES):
+        label_col: str = "quality", fit_docs: int = FIT_DOCS, fit_windows: int = FIT_WINDOWS):
     """The model, or None if the labels lack one of the classes (then every line is content)."""
     named = labels.select(F.col("doc_id").alias("_label_id"), F.col(label_col).cast("int").alias("_label"))
     picked = None
@@ -139,20 +173,28 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 .orderBy(F.xxhash64("_label_id"), "_label_id").limit(fit_docs))
         picked = some if picked is None else picked.unionByName(some)
 
-    @F.pandas_udf("array<array<double>>")
-    def features(texts: pd.Series) -> pd.Series:
-        def one(text):
-            lines, words = _split(text)
-            return line_features(lines[:fit_lines], words[:fit_lines]).tolist()
-        return texts.map(one)
-
-    rows = (docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-            .join(F.broadcast(picked), F.col("_id") == F.col("_label_id"))
-            .select("_id", "_label", features("_text").alias("_x")).collect())
-    rows.sort(key=lambda r: (r["_id"], r["_label"], r["_x"]))
+    def windows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for key, label, text in zip(frame["_id"], frame["_label"], frame["_text"]):
+                x = line_features(*_split(text))
+                at = range(0, len(x), WINDOW)
+                yield pd.DataFrame({"_id": [str(key)] * len(at), "_label": [label] * len(at), "_window": list(at),
+                                    "_x": [x[k:k + WINDOW].ravel().tolist() for k in at]})
+
+    every = (docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+             .join(F.broadcast(picked), F.col("_id") == F.col("_label_id")).select("_id", "_label", "_text")
+             .mapInPandas(windows, "_id string, _label int, _window long, _x array<double>"))
+    every = materialize(every, "quality-windows")
+    rows = []
+    for label in (0, 1):
+        rows += (every.where(F.col("_label") == label)
+                 .orderBy(F.xxhash64("_id", "_window"), "_id", "_window", "_x").limit(fit_windows).collect())
     if {r["_label"] for r in rows} != {0, 1}:
         return None
-    return fit_crf([np.array(r["_x"]) for r in rows], [r["_label"] for r in rows])
+    # windows of both classes meet in the order of a hash
+    rows.sort(key=lambda r: (zlib.crc32(f"{r['_id']}:{r['_window']}".encode()), r["_id"], r["_window"], r["_label"],
+                             r["_x"]))
+    return fit_lines([np.array(r["_x"]).reshape(-1, N_FEATURES) for r in rows], [r["_label"] for r in rows])
 
 
 def judge_text(text: str | None, model) -> tuple:
@@ -194,5 +236,6 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def verdict(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([judge_text(t, model) for t in texts], columns=list(_COLUMNS))
 
-    rest = [c for c in docs.columns if c not in _COLUMNS]
-    return docs.select(*rest, verdict(F.col(text_col)).alias("_v")).select(*rest, "_v.*")
+    rest = [c for c in docs.columns if c.lower() not in _COLUMNS]
+    v = free_name("_v", docs.columns)
+    return docs.select(*rest, verdict(F.col(text_col)).alias(v)).select(*rest, f"{v}.*")

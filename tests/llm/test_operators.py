@@ -326,6 +326,22 @@ def test_quality_verdicts(spark):
     assert kept[1] > 0.97 and kept[0] < 0.3
 
 
+def test_quality_spliced(spark):
+    """A good text with a block of another's junk lines: the share of content follows the block."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = read(spark, sf, "documents").select("doc_id", "text"), read(spark, sf, "labels")
+    rows = sorted(docs.join(labels, "doc_id").collect())
+    good = [r for r in rows if r["quality"] == 1 and 5 < r["text"].count("\n") < 60][:25]
+    bad = [r for r in rows if r["quality"] == 0][:25]
+    mixed = [(k, g["text"] + "\n" + b["text"], len(WORD.findall(g["text"])) / len(WORD.findall(g["text"] + "\n" + b["text"])))
+             for k, (g, b) in enumerate(zip(good, bad))]
+    known = docs.where(~F.col("doc_id").isin([r["doc_id"] for r in good + bad]))  # the fit sees none of them
+    model = quality.fit(known, labels)
+    shares = [quality.judge_text(text, model)[-1] for _, text, _ in mixed]
+    assert sum(0 < s < 1 for s in shares) > 0.6 * len(mixed)
+    assert sum(abs(s - w) < 0.15 for s, (_, _, w) in zip(shares, mixed)) > 0.6 * len(mixed)
+
+
 def test_toxicity(spark, docs, none):
     sf = "/root/testdata/sf0.1"
     out = queries.op6_toxicity(spark, sf)
