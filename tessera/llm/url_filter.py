@@ -5,8 +5,8 @@ split into words by a Viterbi search over a unigram model, and a multinomial nai
 scores the words of the host and of the path. The unigram model counts the words of all pages;
 naive Bayes learns from the urls that the rules judge.
 
-Neither model is held in one process. The substrings of the distinct host labels are joined with
-the word counts, so a label meets just the words that it can hold, and the token weights are
+Neither model is held in one process. The short substrings of the distinct host labels are joined
+with the word counts, so a label meets just the words that it can hold, and the token weights are
 joined with the tokens of the distinct hosts and of the distinct path shapes (numbers are one
 token), never with all pages.
 """
@@ -25,7 +25,10 @@ from tessera.llm.common import ascii_lower, materialize, prepare
 #: Fixed: (host, path, verdict).
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"),
          ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-MAX_WORD = 20
+#: Words up to this length are joined whole; longer ones by their first characters, so that a label
+#: gives a fixed number of join keys for each of its characters.
+SEED = 20
+_CUT_ROWS = 50_000
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -48,19 +51,24 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
-def segment(label: str, logp: dict[str, float], total: float, max_word: int = MAX_WORD) -> list[str]:
-    """Most likely split of a label into words. A piece that is no known word costs
-    ``1 / (total * 10^length)``, so unknown runs stay together when nothing fits."""
+def segment(label: str, logp: dict[str, float], total: float) -> list[str]:
+    """Most likely split of a label into words of any length. A piece that is no known word costs
+    ``1 / (total * 10^length)``, so unknown runs stay together when nothing fits. That cost is linear
+    in the length: the best start of an unknown piece is kept as one running maximum."""
+    lengths = sorted({len(w) for w in logp})
+    base, step = -math.log(total), math.log(10.0)
     best: list[tuple[float, int]] = [(0.0, 0)]
+    run = (0.0, 0)  # largest best[start] + start * step, with its start
     for end in range(1, len(label) + 1):
-        options = []
-        for start in range(max(0, end - max_word), end):
-            w = label[start:end]
-            cost = logp.get(w)
-            if cost is None:
-                cost = -math.log(total) - len(w) * math.log(10.0)
-            options.append((best[start][0] + cost, start))
-        best.append(max(options))
+        here = (run[0] - end * step + base, run[1])
+        for n in lengths:
+            if n > end:
+                break
+            cost = logp.get(label[end - n:end])
+            if cost is not None:
+                here = max(here, (best[end - n][0] + cost, end - n))
+        best.append(here)
+        run = max(run, (here[0] + end * step, end))
     out, end = [], len(label)
     while end:
         start = best[end][1]
@@ -80,14 +88,30 @@ def _segment_groups(total: float):
     return run
 
 
+def _cuts(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Distinct substrings of up to ``SEED`` characters of each label, under the label's key."""
+    for frame in rows:
+        keys, cuts = [], []
+        for key, label in zip(frame["_lid"], frame["_label"]):
+            for n in range(1, min(SEED, len(label)) + 1):
+                found = {label[k:k + n] for k in range(len(label) - n + 1)}
+                cuts += found
+                keys += [key] * len(found)
+                if len(cuts) >= _CUT_ROWS:
+                    yield pd.DataFrame({"_lid": keys, "_cut": cuts})
+                    keys, cuts = [], []
+        yield pd.DataFrame({"_lid": keys, "_cut": cuts})
+
+
 def host_words(labels: DataFrame, words: DataFrame, total: float) -> DataFrame:
-    """(_label, _pieces) for distinct labels, given (_word, _n) of the corpus."""
-    cuts = labels.select("_label", F.explode(F.expr(
-        f"flatten(transform(sequence(1, length(_label)), i -> transform(sequence(1, "
-        f"least({MAX_WORD}, length(_label) - i + 1)), n -> substring(_label, i, n))))")).alias("_word")).distinct()
-    known = (cuts.join(words, "_word").groupBy("_label")
+    """(_label, _pieces) for distinct labels, given (_word, _n) of the corpus. A word longer than
+    ``SEED`` meets the labels that hold its first ``SEED`` characters; the search tells whether they
+    hold all of it. Work is linear in a label's length."""
+    named = labels.select(F.unhex(F.md5("_label")).alias("_lid"), "_label")
+    cuts = named.mapInPandas(_cuts, "_lid binary, _cut string")
+    known = (cuts.join(words.withColumn("_cut", F.substring("_word", 1, SEED)), "_cut").groupBy("_lid")
              .agg(F.collect_list("_word").alias("_words"), F.collect_list("_n").alias("_counts")))
-    both = labels.join(known, "_label", "left")
+    both = named.join(known, "_lid", "left").select("_label", "_words", "_counts")
     return both.mapInPandas(_segment_groups(total), "_label string, _pieces array<string>")
 
 
@@ -118,7 +142,7 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     # unigram model over the words of all pages
     text = F.regexp_replace(F.lower(F.coalesce(F.col(html_col), F.lit(""))), "<[^>]*>", " ")
     words = (pages.select(F.explode(F.split(text, "[^\\p{L}]+")).alias("_word"))
-             .where((F.col("_word") != "") & (F.char_length("_word") <= MAX_WORD))
+             .where(F.col("_word") != "")
              .groupBy("_word").agg(F.count(F.lit(1)).alias("_n")))
     words = materialize(words, "url-words")
     total = float(words.agg(F.sum("_n")).first()[0] or 1)
