@@ -519,6 +519,7 @@ def check_shards(rows, got, shards=16):
 def test_sharding(spark, docs, none):
     check_shards(ROWS, sharding.shard(docs).collect())
     check_shards(ROWS, sharding.shard(docs, slot_rows=1).collect())
+    check_shards(ROWS, sharding.shard(docs, block_groups=4).collect())
     out = queries.op9_sharding(spark, SF)
     check_shards(texts_of(spark), out.collect())
     assert Counter(map(tuple, out.collect())) == Counter(map(tuple, queries.op9_sharding(spark, SF).collect()))
@@ -527,6 +528,30 @@ def test_sharding(spark, docs, none):
     assert sharding.schedule(few, 2) == {"0": 0, "1": 1, "2": 1, "3": 0, "4": 1, "5": 0}
 
 
+def test_sharding_is_lpt(spark):
+    """One block: the plain schedule of all groups. Many blocks: shards as near as the smallest groups allow."""
+    rnd = random.Random(8)
+    rows = [(k, "w" * int(rnd.paretovariate(1.2)) + str(k % 700)) for k in range(3000)] + [(None, "same")] * 40
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    sizes = Counter()
+    for _, text in rows:
+        sizes[text] += len(text) + 1
+    for blocks in (1 << 16, 100):
+        got = sharding.shard(frame, block_groups=blocks, slot_rows=5).collect()
+        check_shards(rows, got)
+        load = Counter()
+        for r in got:
+            load[r["shard"]] += r["size"]
+        if blocks > len(sizes):
+            plain = sharding.schedule([(n, t) for t, n in sizes.items()], 16)
+            want = Counter()
+            for t, n in sizes.items():
+                want[plain[t]] += n
+            assert sorted(load.values()) == sorted(want.values())
+        elif max(sizes.values()) < sum(sizes.values()) / 16:
+            assert max(load.values()) - min(load.values()) <= 16
+
+
 def brute_url(url):
     at = (url or "").find("://")
     rest = url[at + 3:] if at >= 0 else ""
@@ -554,21 +579,87 @@ def test_url_filter(spark):
     assert url_filter.judge_urls(frame.limit(0)).count() == 0
 
 
+def plain_segment(label, logp, total):
+    """Every cut at every end."""
+    import math
+
+    best = [(0.0, [])]
+    for end in range(1, len(label) + 1):
+        best.append(max(((best[start][0] + logp.get(label[start:end], -math.log(total) - (end - start) * math.log(10.0)),
+                          best[start][1] + [label[start:end]]) for start in range(end)), key=lambda x: x[0]))
+    return best[-1]
+
+
 def test_url_segmentation():
     import math
+    import time
 
     logp = {w: math.log(n / 100) for w, n in (("the", 30), ("ring", 10), ("thering", 1), ("in", 20), ("g", 5))}
     assert url_filter.segment("thering", logp, 100.0) == ["the", "ring"]
     assert url_filter.segment("", logp, 100.0) == []
     assert url_filter.segment("zzq", logp, 100.0) == ["zzq"]
+    assert url_filter.segment("z" * 50, logp, 100.0) == ["z" * 50]
+    rnd = random.Random(4)
+    for _ in range(300):
+        words = {"".join(rnd.choice("abc") for _ in range(rnd.choice([1, 2, 3, 5, 25]))): rnd.randint(1, 9) for _ in range(8)}
+        total = float(sum(words.values()) + 3)
+        logp = {w: math.log(n / total) for w, n in words.items()}
+        label = "".join(rnd.choice([*words, "a", "b", "d"]) for _ in range(rnd.randint(0, 8)))
+        got = url_filter.segment(label, logp, total)
+        cost = sum(logp.get(w, -math.log(total) - len(w) * math.log(10.0)) for w in got)
+        assert "".join(got) == label and abs(cost - plain_segment(label, logp, total)[0]) < 1e-9
+    start = time.time()
+    assert "".join(url_filter.segment("abcd" * 25_000, logp, 100.0)) == "abcd" * 25_000
+    assert time.time() - start < 20
+
+
+def plain_scores(rows):
+    """Scores by host and path with dictionaries: rows are (url, html)."""
+    import math
+
+    import regex
+
+    words = Counter(w for _, html in rows for w in regex.split(r"[^\p{L}]+", re.sub("<[^>]*>", " ", (html or "").lower())) if w)
+    total = float(sum(words.values()) or 1)
+    logp = {w: math.log(n / total) for w, n in words.items()}
+
+    def tokens(host, path):
+        out = [("h:" + w) for label in regex.split(r"[^\p{L}]+", host) if label for w in plain_segment(label, logp, total)[1]]
+        plain = re.sub("[0-9]+", " 0 ", re.sub("[0-9]+", "0", path).lower())
+        return out + ["p:" + w for w in regex.split(r"[^\p{L}0]+", plain) if w]
+    memo = {}
+    parts = [brute_url(u)[:3] for u, _ in rows]
+    verdicts = {f"{h}{p}": v for h, p, v in url_filter.RULES}
+    block, allow, seen = Counter(), Counter(), Counter()
+    for host, path, rule in parts:
+        t = memo.setdefault((host, path), tokens(host, path))
+        if rule:
+            seen[verdicts[rule]] += 1
+            (block if verdicts[rule] == "block" else allow).update(t)
+    vocabulary = set(block) | set(allow)
+    size = len(vocabulary) or 1
+    n_block, n_allow = sum(block.values()), sum(allow.values())
+
+    def score(host, path):
+        out = math.log((seen["block"] + 1) / (seen["allow"] + 1))
+        return out + sum(math.log((block[t] + 1) / (n_block + size)) - math.log((allow[t] + 1) / (n_allow + size))
+                         for t in memo[host, path] if t in vocabulary)
+    return {(host, path): score(host, path) for host, path, _ in parts}
 
 
 def test_url_scores(spark):
     """Weights and scores against a plain version."""
     import math
 
-    out = url_filter.judge_urls(read(spark, SF, "pages"))
+    pages = read(spark, SF, "pages")
+    out = url_filter.judge_urls(pages)
     rows = out.collect()
+    want = plain_scores([(r["url"], r["html"]) for r in pages.collect()])
+    assert all(abs(r["score"] - want[r["host"], r["path"]]) < 1e-6 for r in rows)
+    long = "word" * 8
+    odd = [(1, f"http://x{long}y.{'ab' * 20_000}.org/de/", f"<p>{long} ab</p>"), (2, "http://a.net/x", long), (3, "http://x.org/fr/b", "x y")]
+    got = url_filter.judge_urls(spark.createDataFrame(odd, "page_id long, url string, html string")).collect()
+    assert len(got) == 3 and {r["page_id"]: r["verdict"] for r in got}[2] == "block"
     judged = [r for r in rows if r["rule"]]
     assert judged and len(rows) > len(judged)
     blocked = sum(r["verdict"] == "block" for r in judged)
