@@ -1,4 +1,5 @@
-"""Conversation tables -> prompt contexts and request records.
+"""Conversation tables -> prompt contexts,
+request and response records.
 
 ``conversations(conv_id, turn, role, text)`` with roles system / user / assistant.
 Message order inside a conversation is ``turn``. Per-conversation running sums go through the
@@ -161,6 +162,76 @@ def parse_request(js: Column) -> Column:
         (F.size(F.coalesce(r["messages"], F.array())) > 0).alias("valid"))
 
 
+LEGACY_SCHEMA = ("prompt string, temperature double, top_p double, top_k int, stream boolean, stop array<string>, "
+                 "max_tokens int, seed bigint")
+
+
+def parse_legacy(js: Column) -> Column:
+    """P14, single-prompt form: ``prompt`` and ``max_tokens`` in place of messages, with its own defaults
+    (empty prompt, 128 tokens). As in :func:`parse_request`, a property given as null stays null."""
+    r = F.from_json(js, LEGACY_SCHEMA)
+    given = F.coalesce(F.json_object_keys(js), F.array().cast("array<string>"))
+
+    def prop(name, default):
+        return F.when(F.array_contains(given, name), r[name]).otherwise(F.lit(default))
+
+    return F.struct(
+        prop("prompt", "").alias("prompt"), prop("temperature", DEFAULT_TEMPERATURE).alias("temperature"),
+        r["top_p"].alias("top_p"), r["top_k"].alias("top_k"), prop("stream", DEFAULT_STREAM).alias("stream"),
+        F.coalesce(r["stop"], F.array().cast("array<string>")).alias("stop"),
+        prop("max_tokens", DEFAULT_MAX_TOKENS).alias("max_tokens"), r["seed"].alias("seed"))
+
+
+def reject_reason(js: Column) -> Column:
+    """Why a chat request body is refused, null if it is accepted. The body is read without a schema
+    (``VARIANT``), so absent, null, empty and malformed stay apart. A null body counts as malformed."""
+    body = F.try_parse_json(js)
+    messages = F.try_variant_get(body, "$.messages", "variant")
+    kind = F.schema_of_variant(messages)
+    return (F.when(body.isNull(), "malformed body")
+            .when(~F.startswith(F.schema_of_variant(body), F.lit("OBJECT")), "not an object")
+            .when(messages.isNull() | F.is_variant_null(messages), "no messages")
+            .when(~F.startswith(kind, F.lit("ARRAY")), "messages not a list")
+            .when(F.try_variant_get(messages, "$[0]", "variant").isNull(), "no messages")
+            .when(F.exists(F.try_variant_get(messages, "$", "array<variant>"),
+                           lambda m: F.try_variant_get(m, "$.role", "string").isNull()), "message without a role"))
+
+
+def rejects(requests: DataFrame, js: str = "json") -> DataFrame:
+    """The rows whose body is refused, with the column ``reason``."""
+    return requests.withColumn("reason", reject_reason(F.col(js))).where("reason is not null")
+
+
+def single_turn_context(prompt: Column, system: Column) -> Column:
+    """P13, single turn: a system line only where there is a system text, the prompt, the cue."""
+    line = F.when(F.coalesce(system, F.lit("")) != "", _line(F.lit(SYSTEM_MARKER), system))
+    return F.concat_ws(TURN_SEP, line, _line(F.lit(USER_MARKER), prompt), F.lit(ASSISTANT_MARKER))
+
+
+def response_records(conv: DataFrame, model: str = "tessera", created: int = 0, token_len=T.word_count) -> DataFrame:
+    """One chat-completion response JSON per conversation with an assistant message.
+
+    The last assistant message is the reply; ``usage`` counts ``token_len`` over the messages before it
+    and over the reply. Ids and times come from the row and the parameter, so reruns agree."""
+    replies = conv.where(F.col("role") == "assistant").groupBy(F.col("conv_id").alias("_conv")).agg(
+        F.max(F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))).alias("_reply"))
+    said = (conv.join(replies, F.col("conv_id") == F.col("_conv"), "inner")
+            .groupBy("conv_id").agg(
+                F.first("_reply.text").alias("_text"),
+                F.coalesce(F.sum(F.when(F.col("turn") < F.col("_reply.turn"),
+                                        token_len(F.coalesce("text", F.lit(""))))), F.lit(0)).cast("bigint").alias("_asked")))
+    done = token_len(F.col("_text")).cast("bigint")
+    choice = F.struct(F.lit(0).alias("index"),
+                      F.struct(F.lit("assistant").alias("role"), F.col("_text").alias("content")).alias("message"),
+                      F.col("_text").alias("text"), F.lit("stop").alias("finish_reason"))
+    return said.select("conv_id", F.to_json(F.struct(
+        F.concat(F.lit("chatcmpl-"), F.col("conv_id").cast("string")).alias("id"),
+        F.lit("chat.completion").alias("object"), F.lit(created).cast("bigint").alias("created"), F.lit(model).alias("model"),
+        F.array(choice).alias("choices"),
+        F.struct(F.col("_asked").alias("prompt_tokens"), done.alias("completion_tokens"),
+                 (F.col("_asked") + done).alias("total_tokens")).alias("usage"))).alias("json"))
+
+
 def fit_context(ids: Column, max_ctx: int, max_new: int) -> tuple[Column, Column]:
     """Keep the last ``max_ctx-1`` ids when the prompt is too long; new-token budget."""
     n = F.size(ids)

@@ -8,7 +8,7 @@ shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.timecols import epoch_micros
@@ -22,6 +22,8 @@ STEP_PATTERN = r"step[= ]+([0-9]+)"
 # The reference's loss pattern is unanchored (it also matches "val_loss="); ours requires a word
 # boundary by default. Pass anchored=False for the reference behaviour.
 LOSS_PATTERN = r"loss[= ]+([0-9.eE+-]+)"
+# Names of step checkpoints.
+ARTIFACT_PATTERN = r"step_([0-9]+)\.pt"
 
 
 def last_match(line: Column, pattern: str) -> Column:
@@ -66,6 +68,37 @@ def keep_last(artifacts: DataFrame, n: int, run: str = "run", step: str = "step"
     return artifacts.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= n).drop("_rk")
 
 
+def listed_artifacts(spark: SparkSession, path_glob: str, pattern: str = ARTIFACT_PATTERN) -> DataFrame:
+    """(folder, name, step, bytes) of the stored artefacts under a glob of their part files. Only the
+    listing is read, no content. An artefact is a file or a folder of part files whose name matches the
+    whole pattern (its first group is the step); everything else is ignored."""
+    whole = "^(.*?)([^/=]*)(?:/part-[^/]*)?$"
+    files = spark.read.format("binaryFile").load(path_glob).select(
+        F.regexp_extract("path", whole, 1).alias("folder"), F.regexp_extract("path", whole, 2).alias("name"), "length")
+    named = files.withColumn("step", F.regexp_extract("name", f"^(?:{pattern})$", 1).try_cast("bigint"))
+    return (named.where("step is not null").groupBy("folder", "name", "step")
+            .agg(F.sum("length").cast("bigint").alias("bytes")))
+
+
+def prune_plan(artifacts: DataFrame, n: int, run: str = "folder", step: str = "step") -> DataFrame:
+    """W15, first phase: every artefact with ``keep`` (the last ``n`` of its run; none for ``n <= 0``)."""
+    w = Window.partitionBy(run).orderBy(F.desc(step))
+    keep = (F.row_number().over(w) <= n) if n > 0 else F.lit(False)
+    return artifacts.withColumn("keep", keep)
+
+
+def apply_prune(plan: DataFrame) -> int:
+    """W15, second phase: delete what a stored plan doesn't keep, through the file system that holds it.
+    An artefact that is gone already is passed over, so the phase can run again. Returns the deletions.
+    The plan must not be computed from the listing while that changes: store it first."""
+    spark = plan.sparkSession
+    conf, jvm, done = spark._jsc.hadoopConfiguration(), spark._jvm, 0
+    for row in plan.where("not keep").select(F.concat("folder", "name").alias("path")).toLocalIterator():
+        path = jvm.org.apache.hadoop.fs.Path(row["path"])
+        done += bool(path.getFileSystem(conf).delete(path, True))
+    return done
+
+
 def latest_status(metrics: DataFrame, run: str = "run", step: str = "step", loss: str = "loss",
                   order: str | None = None) -> DataFrame:
     """The last step and the last loss that each run logged, apart, by ``order`` (the place in the

@@ -10,8 +10,10 @@ from tessera.operators import ratelimit as RL
 from tessera.operators import runs as R
 from tessera.operators import scores as SC
 from tessera.operators import sequences as SQ
+from tessera.operators.materialize import materialize
 from tessera.plans import sql as S
 from tessera.plans.queries import _CLEAN_DOCS, query
+from tessera.session import shared_dir
 from tessera.sources import tables
 
 # ---------------------------------------------------------------------------
@@ -155,6 +157,96 @@ def q_request_parse(spark, d):
                     F.try_element_at("r.messages", F.lit(-1))["role"].alias("last_role"), F.col("r.valid").alias("valid"))
 
 
+# Single-prompt bodies by conv_id % 5: defaults, set values, nulls, no prompt, a seed
+_LEGACY_EXTRA = ['', ',"temperature":0.3,"max_tokens":9', ',"temperature":null,"stream":true,"stop":["a","b"]', '',
+                 ',"seed":7,"max_tokens":null']
+_LEGACY_BARE = '{"max_tokens":5}'
+_LEGACY_SQL = "CASE conv_id % 5 " + " ".join(f"WHEN {i} THEN {S.q(x)}" for i, x in enumerate(_LEGACY_EXTRA)) + " END"
+
+
+@query("legacy_parse", f"""
+WITH p AS (SELECT conv_id, coalesce(arg_max(text, turn) FILTER (WHERE role = 'user'), '') AS prompt
+           FROM conversations GROUP BY conv_id),
+j AS (SELECT conv_id, CASE WHEN conv_id % 5 = 3 THEN {S.q(_LEGACY_BARE)} ELSE
+             rtrim(to_json({{'prompt': prompt}})::VARCHAR, '}}') || {_LEGACY_SQL} || '}}' END AS js FROM p)
+SELECT conv_id, CASE WHEN json_type(js, '$.prompt') IS NULL THEN '' ELSE json_extract_string(js, '$.prompt') END AS prompt,
+       CASE WHEN json_type(js, '$.temperature') IS NULL THEN {C.DEFAULT_TEMPERATURE}::DOUBLE
+            ELSE json_extract_string(js, '$.temperature')::DOUBLE END AS temperature,
+       CASE WHEN json_type(js, '$.stream') IS NULL THEN false
+            ELSE json_extract_string(js, '$.stream')::BOOLEAN END AS stream,
+       CASE WHEN json_type(js, '$.max_tokens') IS NULL THEN {C.DEFAULT_MAX_TOKENS}
+            ELSE json_extract_string(js, '$.max_tokens')::INTEGER END AS max_tokens,
+       coalesce(json_array_length(js, '$.stop'), 0)::INTEGER AS n_stops,
+       json_extract_string(js, '$.seed')::BIGINT AS seed
+FROM j""")
+def q_legacy_parse(spark, d):
+    prompts = _conv(spark, d).groupBy("conv_id").agg(
+        F.coalesce(F.max_by("text", F.when(F.col("role") == "user", F.col("turn"))), F.lit("")).alias("prompt"))
+    js = F.to_json(F.struct("prompt"))
+    extra = F.element_at(F.array(*[F.lit(x) for x in _LEGACY_EXTRA]), (F.col("conv_id") % 5 + 1).cast("int"))
+    body = F.when(F.col("conv_id") % 5 == 3, F.lit(_LEGACY_BARE)).otherwise(
+        F.concat(F.substring(js, F.lit(1), F.length(js) - 1), extra, F.lit("}")))
+    r = prompts.select("conv_id", C.parse_legacy(body).alias("r"))
+    return r.select("conv_id", "r.prompt", "r.temperature", "r.stream", "r.max_tokens",
+                    F.size("r.stop").alias("n_stops"), "r.seed")
+
+
+# Faults by conv_id % 8: none, absent, null, empty, cut off, text for a list, a list for the body, no role
+_FAULTS = {1: '{"model":"m"}', 2: '{"messages":null}', 3: '{"messages":[]}', 5: '{"messages":"text"}',
+           7: '{"messages":[{"role":"user","content":"x"},{"content":"y"}]}'}
+_FAULT_SQL = " ".join(f"WHEN {k} THEN {S.q(x)}" for k, x in _FAULTS.items())
+
+
+@query("request_rejects", f"""
+WITH m AS (SELECT conv_id, to_json({{'model': 'tessera',
+                         'messages': list({{'role': role, 'content': text}} ORDER BY turn)}})::VARCHAR AS js
+           FROM conversations GROUP BY conv_id),
+b AS (SELECT conv_id, CASE conv_id % 8 {_FAULT_SQL} WHEN 4 THEN left(js, length(js) - 1)
+                                       WHEN 6 THEN '[' || js || ']' ELSE js END AS js FROM m),
+v AS (SELECT conv_id, json_valid(js) AS ok, CASE WHEN json_valid(js) THEN js ELSE '{{}}' END AS js FROM b),
+r AS (SELECT conv_id, CASE WHEN NOT ok THEN 'malformed body' WHEN json_type(js) <> 'OBJECT' THEN 'not an object'
+                           WHEN coalesce(json_type(js, '$.messages'), 'NULL') = 'NULL' THEN 'no messages'
+                           WHEN json_type(js, '$.messages') <> 'ARRAY' THEN 'messages not a list'
+                           WHEN json_array_length(js, '$.messages') = 0 THEN 'no messages'
+                           WHEN len(json_extract(js, '$.messages[*].role')) < json_array_length(js, '$.messages')
+                           THEN 'message without a role' END AS reason FROM v)
+SELECT conv_id, reason FROM r WHERE reason IS NOT NULL""")
+def q_request_rejects(spark, d):
+    body = F.when(F.col("conv_id") % 8 == 4, F.expr("left(json, length(json) - 1)"))
+    body = body.when(F.col("conv_id") % 8 == 6, F.concat(F.lit("["), F.col("json"), F.lit("]")))
+    for k, x in _FAULTS.items():
+        body = body.when(F.col("conv_id") % 8 == k, F.lit(x))
+    bodies = C.request_records(_conv(spark, d)).select("conv_id", body.otherwise(F.col("json")).alias("json"))
+    return C.rejects(bodies).select("conv_id", "reason")
+
+
+# --- S16 responses, P13 single turn ------------------------------------------------------------------------
+@query("response_jsonl", f"""
+WITH a AS (SELECT conv_id, max(turn) AS at, coalesce(arg_max(coalesce(text, ''), turn), '') AS text
+           FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
+u AS (SELECT a.conv_id, a.text, {_wc('a.text')} AS done,
+             coalesce(sum({_wc("coalesce(c.text, '')")}) FILTER (WHERE c.turn < a.at), 0)::BIGINT AS asked
+      FROM a JOIN conversations c ON c.conv_id = a.conv_id GROUP BY a.conv_id, a.text)
+SELECT conv_id, to_json({{'id': 'chatcmpl-' || conv_id, 'object': 'chat.completion', 'created': 0, 'model': 'tessera',
+    'choices': [{{'index': 0, 'message': {{'role': 'assistant', 'content': text}}, 'text': text, 'finish_reason': 'stop'}}],
+    'usage': {{'prompt_tokens': asked, 'completion_tokens': done, 'total_tokens': asked + done}}}})::VARCHAR AS json
+FROM u""")
+def q_response_jsonl(spark, d):
+    return C.response_records(_conv(spark, d))
+
+
+@query("single_turn_context", """
+WITH s AS (SELECT conv_id, arg_min(text, turn) AS system FROM conversations WHERE role = 'system' GROUP BY conv_id)
+SELECT c.conv_id, c.turn, CASE WHEN coalesce(s.system, '') <> '' THEN 'System: ' || s.system || chr(10) ELSE '' END
+       || 'User: ' || coalesce(c.text, '') || chr(10) || 'Assistant:' AS context
+FROM conversations c LEFT JOIN s USING (conv_id) WHERE c.role = 'user'""")
+def q_single_turn_context(spark, d):
+    conv = _conv(spark, d)
+    system = conv.where(F.col("role") == "system").groupBy("conv_id").agg(F.min_by("text", "turn").alias("system"))
+    users = conv.where(F.col("role") == "user").join(system, "conv_id", "left")
+    return users.select("conv_id", "turn", C.single_turn_context(F.col("text"), F.col("system")).alias("context"))
+
+
 # --- P12 ----------------------------------------------------------------------------------------------------
 def _stop_sql() -> str:
     arms = []
@@ -363,6 +455,26 @@ def q_retention(spark, d):
     return R.keep_last(_metrics(spark, d).select("run", "step"), KEEP_LAST)
 
 
+# Artefacts at a twentieth of the longest run's steps, stored as folders, one step a run under a foreign name
+@query("retention_listing", _METRICS_SQL + f""",
+every AS (SELECT greatest(max(step) // 20, 1) AS k FROM mt),
+saved AS (SELECT run, step FROM mt, every WHERE step % k = 0 AND step <> k)
+SELECT run, step::BIGINT AS step FROM saved
+QUALIFY row_number() OVER (PARTITION BY run ORDER BY step DESC) <= {KEEP_LAST}""")
+def q_retention_listing(spark, d):
+    steps = _metrics(spark, d).select("run", "step")
+    top = steps.agg(F.max("step")).first()[0] or 0
+    k = max(top // 20, 1)
+    name = F.when(F.col("step") == k, "notes.txt").otherwise(F.concat(F.lit("step_"), F.col("step"), F.lit(".pt")))
+    path = shared_dir(spark, "saved")
+    (steps.where(F.col("step") % k == 0).select("run", name.alias("name"), F.col("step").cast("string").alias("value"))
+     .repartition("run", "name").write.partitionBy("run", "name").text(path))
+    listing = R.listed_artifacts(spark, f"{path}/run=*/name=*/part-*")
+    R.apply_prune(materialize(R.prune_plan(listing, KEEP_LAST), "prune"))
+    left = R.listed_artifacts(spark, f"{path}/run=*/name=*/part-*")
+    return left.select(F.regexp_extract("folder", "run=([^/]*)/", 1).alias("run"), "step")
+
+
 @query("latest_status", _METRICS_SQL + """
 SELECT run, max(step)::BIGINT AS last_step, arg_max(loss, step) AS last_loss FROM mt GROUP BY run""")
 def q_latest_status(spark, d):

@@ -98,3 +98,56 @@ def test_request_keeps_explicit_nulls(spark):
     df = spark.createDataFrame(bodies, "i int, js string").select("i", chat.parse_request(F.col("js")).alias("r"))
     got = {x.i: (x.r.temperature, x.r.stream, x.r.valid) for x in df.collect()}
     assert got == {0: (0.8, False, True), 1: (None, True, False), 2: (0.8, False, False)}
+
+
+def test_legacy_request(spark):
+    bodies = [(0, '{"prompt":"hi"}'), (1, '{"prompt":null,"max_tokens":null,"stop":["a"]}'), (2, '{"max_tokens":3,"seed":9}'),
+              (3, "not json"), (4, None)]
+    df = spark.createDataFrame(bodies, "i int, js string").select("i", chat.parse_legacy(F.col("js")).alias("r"))
+    got = {x.i: (x.r.prompt, x.r.max_tokens, x.r.stop, x.r.seed) for x in df.collect()}
+    assert got == {0: ("hi", 128, [], None), 1: (None, None, ["a"], None), 2: ("", 3, [], 9), 3: ("", 128, [], None),
+                   4: ("", 128, [], None)}
+
+
+def test_request_rejects(spark):
+    bodies = {'{"messages":[{"role":"user","content":"x"}]}': None, "{": "malformed body", None: "malformed body",
+              "[1]": "not an object", "3": "not an object", "{}": "no messages", '{"messages":null}': "no messages",
+              '{"messages":[]}': "no messages", '{"messages":"x"}': "messages not a list",
+              '{"messages":{"role":"user"}}': "messages not a list",
+              '{"messages":[{"role":"user"},{"content":"x"}]}': "message without a role", '{"messages":[4]}': "message without a role"}
+    df = spark.createDataFrame([(b,) for b in bodies], "json string")
+    got = {r["json"]: r["reason"] for r in chat.rejects(df).collect()}
+    assert got == {b: reason for b, reason in bodies.items() if reason}
+
+
+def test_single_turn_and_responses(spark):
+    one = spark.createDataFrame([("hi", "be kind"), ("hi", None), (None, "")], "p string, s string")
+    got = [r[0] for r in one.select(chat.single_turn_context(F.col("p"), F.col("s"))).collect()]
+    assert got == ["System: be kind\nUser: hi\nAssistant:", "User: hi\nAssistant:", "User: \nAssistant:"]
+    conv = spark.createDataFrame([(1, 0, "user", "a b"), (1, 1, "assistant", "c"), (1, 2, "user", None), (1, 3, "assistant", "d e f"),
+                                  (1, 4, "user", "later"), (2, 0, "user", "no reply"), (3, 0, "assistant", None)],
+                                 "conv_id long, turn int, role string, text string")
+    out = {r["conv_id"]: json.loads(r["json"]) for r in chat.response_records(conv).collect()}
+    assert set(out) == {1, 3}
+    assert out[1]["choices"][0]["message"] == {"role": "assistant", "content": "d e f"}
+    assert out[1]["usage"] == {"prompt_tokens": 3, "completion_tokens": 3, "total_tokens": 6}
+    assert out[3]["usage"]["total_tokens"] == 0 and out[3]["choices"][0]["text"] == ""
+
+
+def test_retention_over_a_listing(spark, tmpdir_path):
+    names = ["step_5.pt", "step_40.pt", "step_300.pt", "step_7.pt.tmp", "best.pt", "step_x.pt", "my_step_9.pt"]
+    rows = [(run, n, "x" * k) for run in ("a", "b") for k, n in enumerate(names, 1)]
+    spark.createDataFrame(rows, "run string, name string, value string").write.partitionBy("run", "name").text(tmpdir_path + "/r")
+    glob = tmpdir_path + "/r/run=*/name=*/part-*"
+
+    def steps():
+        return sorted((r["folder"][-7:-6], r["step"]) for r in runs.listed_artifacts(spark, glob).collect())
+    assert steps() == [(r, s) for r in "ab" for s in (5, 40, 300)]
+    for n, left in ((2, [40, 300]), (2, [40, 300]), (0, [])):
+        plan = runs.prune_plan(runs.listed_artifacts(spark, glob), n)
+        plan = spark.createDataFrame(plan.collect(), plan.schema)
+        assert sum(not r["keep"] for r in plan.collect()) == runs.apply_prune(plan)
+        assert steps() == [(r, s) for r in "ab" for s in left]
+        assert runs.apply_prune(plan) == 0
+    others = spark.read.format("binaryFile").load(glob).select("path").count()
+    assert others == 2 * 4
