@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import free_name, materialize, prepare
 
 FIT_DOCS, FIT_WINDOWS = 1000, 1500
-#: Lines of a window, and windows of a training sequence.
-WINDOW, CHAIN = 64, 3
+#: Lines of a window, and lines of a training sequence.
+WINDOW, CHAIN = 64, 64
 SYMBOLS = "#*$%&|<>"
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SYMBOL_WORD = re.compile(r"[^\x20\x09-\x0D]*[#*$%&|<>][^\x20\x09-\x0D]*")
@@ -90,44 +90,43 @@ def viterbi(emit: np.ndarray, move: np.ndarray) -> list[int]:
     return out[::-1]
 
 
-def _padded(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    n, most = len(sequences), max(map(len, sequences))
-    x, on = np.zeros((n, most, N_FEATURES)), np.zeros((n, most), bool)
-    for k, s in enumerate(sequences):
-        x[k, :len(s)], on[k, :len(s)] = s, True
-    return x, on
-
-
-def fit_crf(sequences: list[np.ndarray], labels: list[np.ndarray], steps: int = 200, rate: float = 0.3,
-            l2: float = 1e-3, start: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Weights (2, features) and moves (2, 2) of greatest likelihood for one label per line, by
-    gradient steps from ``start``. Expectations come from the forward and backward sums."""
-    x, on = _padded(sequences)
-    n, most = on.shape
+def expectations(emit: np.ndarray, move: np.ndarray, on: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probability of each label of each line, and expected number of each move, for emission scores
+    (lines, sequences, 2); ``on`` marks the lines that a sequence has. Sums are scaled at every line."""
+    most, n, _ = emit.shape
+    e, m = np.exp(emit - emit.max(2, keepdims=True)), np.exp(move - move.max())
+    ahead, behind = np.empty((most, n, 2)), np.ones((most, n, 2))
+    ahead[0] = e[0] / e[0].sum(1, keepdims=True)
+    for t in range(1, most):
+        new = (ahead[t - 1] @ m) * e[t]
+        ahead[t] = np.where(on[t, :, None], new / new.sum(1, keepdims=True), ahead[t - 1])
+    for t in range(most - 2, -1, -1):
+        new = (e[t + 1] * behind[t + 1]) @ m.T
+        behind[t] = np.where(on[t + 1, :, None], new / new.sum(1, keepdims=True), 1)
+    each = ahead * behind
+    each *= (on / each.sum(2))[..., None]
+    both = ahead[:-1, :, :, None] * m * (e[1:] * behind[1:])[:, :, None, :]
+    return each, (both * (on[1:] / both.sum((2, 3)))[..., None, None]).sum((0, 1))
+
+
+def fit_crf(x: np.ndarray, y: np.ndarray, steps: int = 200, rate: float = 0.3, l2: float = 1e-3,
+            start: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (2, features) and moves (2, 2) of greatest likelihood for lines in a row with one label
+    each, by gradient steps from ``start``. The row is cut into training sequences of ``CHAIN`` lines."""
+    n = -(-len(x) // CHAIN)
+    full, gold_y = np.zeros((n * CHAIN, N_FEATURES)), np.zeros(n * CHAIN, int)
+    full[:len(x)], gold_y[:len(x)] = x, y
+    full, gold_y = full.reshape(n, CHAIN, -1).swapaxes(0, 1), gold_y.reshape(n, CHAIN).T
+    on = (np.arange(n * CHAIN) < len(x)).reshape(n, CHAIN).T
     weight, move = (np.zeros((2, N_FEATURES)), np.zeros((2, 2))) if start is None else start
     gold, gold_move = np.zeros((2, N_FEATURES)), np.zeros((2, 2))
-    for s, y in zip(sequences, labels):
-        np.add.at(gold, y, s)
-        np.add.at(gold_move, (y[:-1], y[1:]), 1)
-    total = on.sum()
+    np.add.at(gold, y, x)
+    np.add.at(gold_move, (gold_y[:-1][on[1:]], gold_y[1:][on[1:]]), 1)
     speed_w, speed_m = np.zeros_like(weight), np.zeros_like(move)
-    lse = np.logaddexp.reduce
     for _ in range(steps):
-        emit = x @ weight.T
-        ahead, behind = np.zeros((n, most, 2)), np.zeros((n, most, 2))
-        ahead[:, 0] = emit[:, 0]
-        for t in range(1, most):
-            new = lse(ahead[:, t - 1, :, None] + move, axis=1) + emit[:, t]
-            ahead[:, t] = np.where(on[:, t, None], new, ahead[:, t - 1])
-        z = lse(ahead[:, -1], axis=1)
-        for t in range(most - 2, -1, -1):
-            new = lse(move + (emit[:, t + 1] + behind[:, t + 1])[:, None, :], axis=2)
-            behind[:, t] = np.where(on[:, t + 1, None], new, 0)
-        each = np.exp(ahead + behind - z[:, None, None]) * on[..., None]
-        both = np.exp(ahead[:, :-1, :, None] + move + (emit + behind)[:, 1:, None, :] - z[:, None, None, None])
-        both = (both * on[:, 1:, None, None]).sum((0, 1))
-        grad_w = (gold - np.einsum("ntl,ntf->lf", each, x)) / total - l2 * weight
-        grad_m = (gold_move - both) / total - l2 * move
+        each, both = expectations(full @ weight.T, move, on)
+        grad_w = (gold - each.reshape(-1, 2).T @ full.reshape(-1, N_FEATURES)) / len(x) - l2 * weight
+        grad_m = (gold_move - both) / len(x) - l2 * move
         speed_w, speed_m = 0.9 * speed_w + grad_w, 0.9 * speed_m + grad_m
         weight, move = weight + rate * speed_w, move + rate * speed_m
     return weight, move
@@ -145,16 +144,13 @@ def fit_lines(windows: list[np.ndarray], labels: list[int], rounds: int = 2) ->
     """A field over lines from windows of lines whose documents' labels are known.
 
     Line labels are hidden. They start as the document's; each further round decodes them under that
-    label and fits again from where the last fit ended. ``CHAIN`` windows in a row make one training
-    sequence, so that the field sees labels change, as they do where boilerplate meets content."""
-    y = [np.full(len(w), v) for w, v in zip(windows, labels)]
-
-    def chained(parts: list[np.ndarray]) -> list[np.ndarray]:
-        return [np.concatenate(parts[k:k + CHAIN]) for k in range(0, len(parts), CHAIN)]
-    model = fit_crf(chained(windows), chained(y))
+    label and fits again from where the last fit ended. The windows are set in a row, so that the field
+    sees labels change, as they do where boilerplate meets content."""
+    x = np.concatenate(windows)
+    model = fit_crf(x, np.repeat(labels, [len(w) for w in windows]))
     for _ in range(rounds):
-        y = [hidden_labels(w, v, model) for w, v in zip(windows, labels)]
-        model = fit_crf(chained(windows), chained(y), steps=60, start=model)
+        y = np.concatenate([hidden_labels(w, v, model) for w, v in zip(windows, labels)])
+        model = fit_crf(x, y, steps=60, start=model)
     return model
 
 

@@ -314,8 +314,19 @@ def test_crf_paths():
 
         def score(path):
             return sum(emit[k, y] for k, y in enumerate(path)) + sum(move[a, b] for a, b in zip(path, path[1:]))
-        best = max(itertools.product((0, 1), repeat=n), key=score)
-        assert tuple(quality.viterbi(emit, move)) == best
+        paths = list(itertools.product((0, 1), repeat=n))
+        assert tuple(quality.viterbi(emit, move)) == max(paths, key=score)
+        # the same sequence, once whole and once with lines that it doesn't have
+        odds = np.exp([score(p) for p in paths])
+        odds /= odds.sum()
+        want = np.array([[sum(o for o, p in zip(odds, paths) if p[k] == y) for y in (0, 1)] for k in range(n)])
+        moves = [[sum(o * sum(p[k:k + 2] == (a, b) for k in range(n - 1)) for o, p in zip(odds, paths)) for b in (0, 1)] for a in (0, 1)]
+        twice = np.concatenate([np.stack([emit, emit], 1), rnd.normal(size=(3, 2, 2))])
+        on = np.ones((n + 3, 2), bool)
+        on[n:] = False
+        each, both = quality.expectations(twice, move, on)
+        assert np.allclose(each[:n, 0], want) and np.allclose(each[:n, 1], want) and not each[n:].any()
+        assert np.allclose(both, 2 * np.array(moves))
 
 
 def test_quality_verdicts(spark):
