@@ -7,34 +7,44 @@ tokens (the reference's own check is always true once ``n`` tokens exist).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.keys import join_null_safe
 from tessera.operators.order import with_ordinal, with_running_sums
 
-NGRAM_SEP = "\u0001"   # cannot occur in cleaned text (control characters are deleted)
+def _repeats(tokens, n: int, repeat_window: int):
+    """For each complete n-gram, whether it is a repeat: n-grams are numbered, then each one's places
+    are compared with the place before."""
+    if tokens is None:
+        return None
+    codes = pd.factorize(np.asarray(tokens, dtype=object))[0].astype(np.int64) + 1
+    m = len(codes) - n + 1
+    if m < 1:
+        return np.zeros(0, bool)
+    grams = codes[:m]
+    for k in range(1, n):
+        grams = pd.factorize(grams * (len(codes) + 1) + codes[k:k + m])[0].astype(np.int64)
+    order = np.argsort(grams, kind="stable")
+    out = np.zeros(m, bool)
+    out[order[1:]] = (grams[order[1:]] == grams[order[:-1]]) & (np.diff(order) <= repeat_window - n)
+    return out
 
 
 def ngram_repeats(seqs: DataFrame, key: str, tokens: str, n: int = 3, repeat_window: int = 64) -> DataFrame:
     """Per sequence position: ``(key, pos, repeated)`` for every complete n-gram.
 
     The earlier occurrence must start at or after ``pos + n - repeat_window`` (inside the last
-    ``repeat_window`` tokens ending at the current token). Window partitions are
-    ``(sequence, n-gram)``, bounded by the sequence length.
+    ``repeat_window`` tokens ending at the current token). A sequence is one row, so its n-grams are
+    compared where the row is, without a shuffle; a null token equals a null token.
     """
-    # n shifted slices zipped: every n-gram is built in one linear pass over the array (an
-    # exploded row never carries the whole sequence, and no lambda refers back to it)
-    t = F.col(tokens).cast("array<string>")
-    m = F.greatest(F.size(t) - (n - 1), F.lit(0))
-    shifted = [F.slice(t, k + 1, m).alias(f"g{k}") for k in range(n)]
-    grams = F.transform(F.arrays_zip(*shifted),
-                        lambda z: F.array_join(F.array(*[z[f"g{k}"] for k in range(n)]), NGRAM_SEP))
-    ng = seqs.select(key, F.posexplode(grams).alias("pos", "ng"))
-    w = Window.partitionBy(key, "ng").orderBy("pos")
-    prev = F.lag("pos").over(w)
-    return ng.select(key, "pos", F.coalesce(F.col("pos") - prev <= repeat_window - n, F.lit(False))
-                     .alias("repeated"))
+    @F.pandas_udf("array<boolean>")
+    def repeated(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda t: _repeats(t, n, repeat_window))
+
+    return seqs.select(key, F.posexplode(repeated(F.col(tokens).cast("array<string>"))).alias("pos", "repeated"))
 
 
 def rolling_mean(df: DataFrame, key: str, order_cols: list[str], value: str, width: int = 20,

@@ -46,36 +46,14 @@ def eval_windows(chunks: DataFrame, meta: DataFrame, context: int) -> DataFrame:
                     F.flatten(F.transform("_ps", lambda x: x["_p"])).alias("w"))
 
 
-def sub_chunks(chunks: DataFrame, chunk_size: int, sub_size: int) -> DataFrame:
-    """Cut aligned chunks into aligned sub-chunks of ``sub_size`` (a divisor of ``chunk_size``):
-    a narrow explode, no shuffle."""
-    k = chunk_size // sub_size
-    ex = chunks.select("shard", "chunk_id", "ids", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("_j"))
-    ex = ex.where(F.size("ids") > F.col("_j") * sub_size)
-    return ex.select("shard", (F.col("chunk_id") * k + F.col("_j")).alias("chunk_id"),
-                     ((F.col("chunk_id") * k + F.col("_j")) * sub_size).alias("start"),
-                     _safe_slice("ids", F.col("_j") * sub_size + 1, F.lit(sub_size)).alias("ids"))
-
-
-def fetch_granularity(width: int, chunk_size: int) -> int:
-    """Smallest power of two >= ``width`` that divides ``chunk_size`` (else ``chunk_size``)."""
-    g = 1
-    while g < width:
-        g *= 2
-    return g if g < chunk_size and chunk_size % g == 0 else chunk_size
-
-
 def fetch(windows: DataFrame, chunks: DataFrame, width: int, chunk_size: int,
           key: str = "window_id") -> DataFrame:
     """Tokens ``[start, start+width)`` of every ``(key, shard, start)`` row.
 
-    When windows are much narrower than storage chunks, chunks are first cut into sub-chunks of
-    about the window width, so a join match carries ~width ids instead of a whole chunk.
+    Stored chunks are joined as they are and sliced behind the join, in the same stage, so no chunk is
+    taken apart that no window needs; a few windows are broadcast by AQE and the chunks stay where
+    they are.
     """
-    g = fetch_granularity(width, chunk_size)
-    if g < chunk_size:
-        chunks = sub_chunks(chunks, chunk_size, g)
-        chunk_size = g
     C = chunk_size
     first = F.floor(F.col("start") / C).cast("bigint")
     last = F.floor((F.col("start") + width - 1) / C).cast("bigint")

@@ -61,12 +61,13 @@ class BuildResult:
     stats: dict[str, dict] = field(default_factory=dict)
 
 
-def build(spark: SparkSession, sf_dir: str, vocab_size: int = 300, split_shards: tuple[str, ...] = ("en",),
+def build(spark: SparkSession, sf_dir: str, vocab_size: int = 300, split_shards: tuple[str, ...] | None = ("en",),
           train_frac: float = 0.95, token_cap: int | None = None, batch_docs: int = 50,
           smoke_context: int = 128, smoke_batch: int = 4, seed: int = 42,
           steps: tuple[str, ...] = ("clean_dedupe", "bpe", "tokenize", "split", "stream_cap", "verify")
           ) -> BuildResult:
-    """L1: run the selected steps in order; each step's metrics row is collected (one row)."""
+    """L1: run the selected steps in order; each step's metrics row is collected (one row).
+    ``split_shards`` None splits every shard."""
     from tessera.operators import sampling as SM
     out = BuildResult()
     docs = tables.documents(spark, sf_dir, "doc_id", "source", "lang", "text", "ord")
@@ -91,9 +92,10 @@ def build(spark: SparkSession, sf_dir: str, vocab_size: int = 300, split_shards:
         out.tables["shard_meta"] = meta
     if "split" in steps and chunks is not None:
         meta = out.tables["shard_meta"]
-        counts = shards.split_counts(meta.where(F.col("shard").isin(*split_shards)), train_frac)
-        parts = shards.split_chunks(chunks.where(F.col("shard").isin(*split_shards)), counts)
-        rest = chunks.where(~F.col("shard").isin(*split_shards))
+        chosen = F.lit(True) if split_shards is None else F.coalesce(F.col("shard").isin(*split_shards), F.lit(False))
+        counts = shards.split_counts(meta.where(chosen), train_frac)
+        parts = shards.split_chunks(chunks.where(chosen), counts)
+        rest = chunks.where(~chosen)
         chunks = materialize(rest.unionByName(parts), "token_chunks_split")
         out.tables["token_chunks"] = chunks
         out.tables["shard_meta"] = shards.upsert_meta(meta, shards.shard_meta(parts))

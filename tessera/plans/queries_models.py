@@ -136,6 +136,18 @@ def q_bpe_shard_meta(spark, d):
     return shards.shard_meta(ch)
 
 
+# --- L1 F6: the whole build, manifest after every shard's split -----------------------------------------
+@query("corpus_build", _BPE_SQL + f""",
+n AS (SELECT source AS shard, sum(n_tokens)::BIGINT AS n FROM enc GROUP BY source),
+t AS (SELECT shard, n, least(greatest(1, floor(n * {TRAIN_FRAC})::BIGINT), n - 1) AS train FROM n)
+SELECT shard, train AS tokens, 'int32' AS dtype FROM t
+UNION ALL SELECT coalesce(shard, '{shards.NULL_SHARD}') || '_val', n - train, 'int32' FROM t""")
+def q_corpus_build(spark, d):
+    built = corpus.build(spark, d, VOCAB_SIZE, split_shards=None, train_frac=TRAIN_FRAC,
+                         steps=("clean_dedupe", "bpe", "tokenize", "split", "verify"))
+    return built.tables["shard_meta"]
+
+
 # --- A10 F3 -------------------------------------------------------------------------------------------
 @query("lang_profiles", tri_sql() + "\nSELECT lang, gram, cnt::BIGINT AS cnt FROM prof")
 def q_lang_profiles(spark, d):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import bytelevel as BL
 from tessera.functions import text as T
 from tessera.operators import shards
+from tessera.operators.keys import join_null_safe
 from tessera.operators.order import with_ordinal
 from tessera.plans import sql as S
 from tessera.plans.queries import _BYTE_DOCS_SQL, _PACK_SQL, CHUNK, _chunks, query
@@ -96,19 +97,21 @@ def q_shard_append(spark, d):
     return _chunk_rows(artifacts.append_pieces(stored, shards.shard_meta(stored), pieces.where(F.col("ord") >= mid), CHUNK))
 
 
-# --- S8 S9 S11 P15: one .bin file a shard, read back; tokens from the size of the file ----------------------
+# --- S8 S9 S11 P15: the .bin parts of each shard, read back; tokens from the size of the file ----------------------
 @query("bin_roundtrip", _CHUNK_ROWS_SQL + """,
 m AS (SELECT shard, sum(n_tokens)::BIGINT AS file_tokens FROM pk GROUP BY shard)
 SELECT ch.*, m.file_tokens FROM ch JOIN m USING (shard)""")
 def q_bin_roundtrip(spark, d):
     chunks = _chunks(spark, d)
-    folder = shared_dir(spark, "bin").removeprefix("file:")
-    paths = {r["shard"]: f"{folder}/{r['shard']}.bin" for r in chunks.select("shard").distinct().collect()}
+    folder = shared_dir(spark, "bin")
+    names = [r["shard"] for r in chunks.select("shard").distinct().orderBy("shard").collect()]
+    paths = {shard: f"{folder}/{k}.bin" for k, shard in enumerate(names)}
     for shard, path in paths.items():
-        tokenbin.write_bin(chunks.where(F.col("shard") == shard), path)
-    stored = artifacts.concat([tokenbin.read_bin(spark, p, s, CHUNK) for s, p in sorted(paths.items())])
+        tokenbin.write_parts(chunks.where(F.col("shard").eqNullSafe(shard)), path)
+    stored = artifacts.concat([tokenbin.read_bin(spark, p, None, CHUNK).withColumn("shard", F.lit(s).cast("string"))
+                               for s, p in paths.items()])
     meta = tokenbin.meta_from_files(spark, paths).select("shard", F.col("tokens").alias("file_tokens"))
-    return _chunk_rows(stored).join(meta, "shard")
+    return join_null_safe(_chunk_rows(stored), meta, ["shard"])
 
 
 # --- S10: manifest saved and loaded ---------------------------------------------------------------------

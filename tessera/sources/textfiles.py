@@ -8,10 +8,14 @@ split, never from ``monotonically_increasing_id`` alone (Spark packs splits by s
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.sources import files as files_by_uri
 
 
 def save_mode(force: bool = False, skip_existing: bool = False) -> str:
@@ -79,6 +83,16 @@ def write_docs(docs: DataFrame, out_dir: str, text_col: str = "text", ord_col: s
 
 
 def file_checksums(spark: SparkSession, path_glob: str) -> DataFrame:
-    """SHA-256 and byte size per file (``binaryFile`` source)."""
-    return (spark.read.format("binaryFile").load(path_glob)
-            .select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")))
+    """SHA-256 and byte size per file. Files are listed by Spark (names and lengths only) and
+    read in blocks of 1 MB, one task a file at most, so they may be of any size."""
+    files = spark.read.format("binaryFile").load(path_glob).select("path", F.col("length").alias("bytes"))
+    return files.repartition("path").mapInPandas(_digests, "path string, bytes long, sha256 string")
+
+
+def _digests(frames):
+    for frame in frames:
+        for path, size in zip(frame["path"], frame["bytes"]):
+            digest = hashlib.sha256()
+            for block in files_by_uri.blocks(path):
+                digest.update(block)
+            yield pd.DataFrame([(path, size, digest.hexdigest())], columns=["path", "bytes", "sha256"])

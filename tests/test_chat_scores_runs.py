@@ -1,12 +1,14 @@
 """Chat layout, stop strings, logit filters, retention, rate limits (reference expectations)."""
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import chat as C
 from tessera.operators import ratelimit as RL
 from tessera.operators import runs as R
 from tessera.operators import scores as SC
+from tessera.operators import sequences as SQ
 
 
 def _conv(spark, rows):
@@ -109,6 +111,32 @@ def test_sliding_window_matches_python(spark):
         assert [got[e] for e, _ in ev] == exp
 
 
+@pytest.mark.parametrize("step,rate", [([0.25], 20), ([0.0, 0.5, 7.0, 59.0], 3), ([1.0, 2.0, 20.0], 1)])
+def test_busy_key_in_chunks(spark, step, rate):
+    """One key without gaps, in chunks of 16 events: saturated bursts that never fall into step as well."""
+    rnd, t, times = random.Random(5), 0.0, []
+    for _ in range(900):
+        t += rnd.choice(step)
+        times.append(t)
+    rows = [(k, None, x) for k, x in enumerate(times)] + [(k + 900, 1, x) for k, x in enumerate(times[:70])] + [(2000, 1, None)]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, t double").withColumn("ts", F.timestamp_seconds("t"))
+    out = RL.sliding_window(df, "user_id", "ts", "event_id", rate, chunk_rows=16)
+    got = {r.event_id: r.accepted for r in out.collect()}
+    assert [got[k] for k in range(900)] == RL.sliding_window_reference(times, rate)
+    assert [got[k + 900] for k in range(70)] == RL.sliding_window_reference(times[:70], rate)
+    assert got[2000] is False and len(got) == len(rows)
+
+
+def test_ngram_repeats(spark):
+    rnd = random.Random(2)
+    rows = [(k, [rnd.choice(["a", "b", None, "c"]) for _ in range(n)]) for k, n in enumerate([0, 1, 2, 3, 40, 300])] + [(9, None)]
+    out = SQ.ngram_repeats(spark.createDataFrame(rows, "k long, w array<string>"), "k", "w", 3, 16)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    want = {(k, i, any(w[j:j + 3] == w[i:i + 3] for j in range(max(0, i - 13), i)))
+            for k, w in rows if w for i in range(len(w) - 2)}
+    assert {tuple(r) for r in out.collect()} == want
+
+
 def test_fit_context_keeps_tail_and_budget(spark):
     df = spark.createDataFrame([(list(range(10)),), (list(range(3)),)], "ids array<int>")
     kept, budget = C.fit_context(F.col("ids"), 5, 4)

@@ -1,4 +1,5 @@
 """Shards, split, windows, mixtures and evaluation (reference expectations)."""
+import hashlib
 import os
 
 import pytest
@@ -8,7 +9,7 @@ from tessera.operators import evaluate as EV
 from tessera.operators import sampling as SM
 from tessera.operators import shards
 from tessera.operators import windows as W
-from tessera.sources import tokenbin
+from tessera.sources import textfiles, tokenbin
 
 
 def _stream(spark, shard, ids, chunk=7):
@@ -114,6 +115,37 @@ def test_eval_windows_count(spark):
     assert [r.start for r in w] == [0, 6, 12, 18] and all(list(r.w) == list(range(r.start, r.start + 7)) for r in w)
 
 
+def test_bin_parts(spark, tmpdir_path):
+    ch = _stream(spark, "s", list(range(1000)), chunk=64)
+    target = "file:" + os.path.join(tmpdir_path, "a b", "s.bin")
+    tokenbin.write_parts(ch.repartition(3), target)
+    with pytest.raises(FileExistsError):
+        tokenbin.write_parts(ch, target)
+    for size in (64, 48, 5000):  # other chunks than those written as well
+        assert _flat(tokenbin.read_bin(spark, target, chunk_size=size), "s") == list(range(1000))
+    m = tokenbin.meta_from_files(spark, {"s": target, "missing": target + ".nope"}).collect()
+    assert [(r.shard, r.tokens) for r in m] == [("s", 1000)]
+    folder = target.removeprefix("file:")
+    parts = sorted(x for x in os.listdir(folder) if x.startswith("part-") and x.endswith(".bin"))
+    flat = b"".join(open(os.path.join(folder, x), "rb").read() for x in parts)
+    assert flat == b"".join(k.to_bytes(4, "little") for k in range(1000))
+    empty = target + ".empty"
+    tokenbin.write_parts(ch.where("false"), empty)
+    assert tokenbin.read_bin(spark, empty).count() == 0
+
+
+def test_checksum_of_a_file_beyond_one_row(spark, tmpdir_path):
+    path, size = os.path.join(tmpdir_path, "large file.bin"), (1 << 31) + 5
+    with open(path, "wb") as f:
+        f.truncate(size)
+    digest = hashlib.sha256()
+    for _ in range(size >> 20):
+        digest.update(bytes(1 << 20))
+    digest.update(bytes(size % (1 << 20)))
+    row = textfiles.file_checksums(spark, path).first()
+    assert (row["bytes"], row["sha256"]) == (size, digest.hexdigest())
+
+
 def test_bin_roundtrip(spark, tmpdir_path):
     ch = _stream(spark, "s", list(range(1000)), chunk=64)
     target = os.path.join(tmpdir_path, "s.bin")
