@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACE, ascii_lower, ascii_trim, materialize, prepare
+from tessera.llm.common import SPACE, ascii_lower, ascii_trim, free_name, materialize, prepare
 
 _TABLE = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -69,12 +69,14 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         over = counted.where(F.col("_n") >= min_docs)
     over = materialize(over.select(F.col("_key").alias("_over"), F.col("_first._doc").alias("_first")),
                        "line-keys")
+    doc, dropped, parts = (free_name(x, docs.columns) for x in ("_gone_doc", "_gone", "_r"))
     gone = (lines.join(over, F.col("_key") == F.col("_over"))
             .where(~F.col("_doc").eqNullSafe(F.col("_first")))
-            .groupBy(F.col("_doc").alias("_gone_doc"))
-            .agg(F.collect_set("_key").alias("_gone")))
-    joined = docs.join(gone, docs[id_col].eqNullSafe(gone["_gone_doc"]), "left")
+            .groupBy(F.col("_doc").alias(doc))
+            .agg(F.collect_set("_key").alias(dropped)))
+    joined = docs.join(gone, docs[id_col].eqNullSafe(gone[doc]), "left")
     reassemble = F.pandas_udf(_reassemble, "n_lines long, n_dropped long, kept string")
-    out = joined.withColumn("_r", reassemble(F.col(text_col), F.col("_gone")))
+    out = joined.withColumn(parts, reassemble(F.col(text_col), F.col(dropped)))
     rest = [c for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
-    return out.select(*rest, F.col("_r.kept").alias(text_col), "_r.n_lines", "_r.n_dropped")
+    return out.select(*rest, F.col(parts)["kept"].alias(text_col), F.col(parts)["n_lines"].alias("n_lines"),
+                      F.col(parts)["n_dropped"].alias("n_dropped"))

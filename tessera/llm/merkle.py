@@ -24,14 +24,16 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import prepare
+from tessera.operators.order import with_bucket
 
 _PIECE = re.compile(r"[^.,;:!?|]{1,64}[.,;:!?|\s]*|[.,;:!?|]+")
 SECTION = 8
+#: Bytes of text a task walks, and the most tasks that are cut for it (beyond, a task walks more).
+RANGE_BYTES, MAX_PARTS = 64 << 20, 16384
 _hash = xxhash.xxh64_hexdigest
 
 
@@ -175,27 +177,25 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of each text and of its edited text, and their likeness (see the contract of
-    ``op3``). Null ids come first; rows with equal ids follow each other in the order of their
+    ``op3``). Ids may be numbers, times or texts (ordered by their bytes). Null ids come first; rows with equal ids follow each other in the order of their
     texts, so repeated rows are each other's successors. A single row is its own successor. An
     empty table gives an empty table. Other columns are not read.
     """
     spark = docs.sparkSession
     prepare(spark)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     base = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     kind = base.schema["_id"].dataType.simpleString()
-    # ranges of ids: cut points are one number per range
-    ids = docs.select(F.col(id_col).cast("double").alias("_key")).where("_key is not null")
-    n = 4 * parts
-    cuts = sorted(set(ids.approxQuantile("_key", [k / n for k in range(1, n)], 1 / (4 * n)))) or [0.0]
-    place = (Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="_key", outputCol="_range", handleInvalid="keep")
-             .transform(base.withColumn("_key", F.coalesce(F.col("_id").cast("double"), F.lit(-math.inf)))))
+    # ranges of ids, more of them for more text: cut points are one number per range
+    size = base.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism,
+                min(MAX_PARTS, math.ceil(size / RANGE_BYTES)))
+    place = with_bucket(base, "_id", 4 * parts).withColumnRenamed("_bkt", "_range")
     ordered = (place.select("_range", "_id", "_text").repartition(parts, "_range")
                .sortWithinPartitions("_range", "_id", "_text"))
     columns = (f"_id {kind}, n_chars long, edited_sha256 string, fingerprint string, "
                "edited_fingerprint string, near_edited double, near_next double")
     inner = ordered.mapInArrow(_pairs, columns)
-    edges = ordered.mapInArrow(_edges, f"_range double, _id {kind}, _text string, _edge int")
+    edges = ordered.mapInArrow(_edges, f"_range int, _id {kind}, _text string, _edge int")
     lasts = edges.where("_edge = 1").select("_range", "_id", "_text")
     firsts = edges.where("_edge = 0").select(F.col("_range").alias("_next"), F.col("_text").alias("_after"))
     following = Window.orderBy("_range")  # one row per range

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import prepare
+from tessera.llm.common import free_name, prepare
 
 SPACE = "▁"
 CACHE, CACHED_LENGTH = 200_000, 32
@@ -309,4 +309,5 @@ def digest(docs: DataFrame, model_path: str, text_col: str = "text") -> DataFram
         return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     rest = [c for c in docs.columns if c not in ("n_tokens", "ids_sha256", "decoded_sha256")]
-    return docs.select(*rest, both(F.col(text_col)).alias("_d")).select(*rest, "_d.*")
+    made = free_name("_d", docs.columns)
+    return docs.select(*rest, both(F.col(text_col)).alias(made)).select(*rest, f"{made}.*")

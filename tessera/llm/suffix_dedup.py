@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, prepare
+from tessera.llm.common import free_name, materialize, prepare
 from tessera.llm.rolling import between, prefix_sums, stir
 from tessera.llm.suffix_groups import suffix_array
 
@@ -327,11 +327,11 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", max_kinds: int = MAX
     """
     spark = docs.sparkSession
     prepare(spark)
+    key, cut, found, made = (free_name(x, docs.columns) for x in ("_text_key", "_cut_key", "_ranges", "_r"))
     ranges = repeats(docs, text_col, max_kinds)
-    ranges = ranges.groupBy(F.col("_text_key").alias("_cut_key")).agg(
-        F.collect_set(F.struct("_from", "_to")).alias("_ranges"))
+    ranges = ranges.groupBy(F.col("_text_key").alias(cut)).agg(F.collect_set(F.struct("_from", "_to")).alias(found))
     rest = [c for c in docs.columns if c not in ("n_bytes", "n_removed", "n_spans", "kept")]
-    keyed = docs.withColumn("_text_key", F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))))
+    keyed = docs.withColumn(key, F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))))
     remove = F.pandas_udf(_remove, "n_bytes long, n_removed long, n_spans long, kept binary")
-    out = keyed.join(ranges, F.col("_text_key") == F.col("_cut_key"), "left")
-    return out.select(*rest, remove(F.col(text_col), F.col("_ranges")).alias("_r")).select(*rest, "_r.*")
+    out = keyed.join(ranges, F.col(key) == F.col(cut), "left")
+    return out.select(*rest, remove(F.col(text_col), F.col(found)).alias(made)).select(*rest, f"{made}.*")

@@ -167,6 +167,27 @@ def test_fingerprints(spark, docs, none):
     assert of[65] == merkle.fingerprint(ROWS[8][1]) == of[ROWS[8][0]]
 
 
+def test_fingerprints_of_text_ids(spark):
+    rows = [(None if k % 9 == 0 else f"urn:é{k % 30}", f"text {k}. " * (k % 5)) for k in range(60)]
+    got = merkle.edit_report(spark.createDataFrame(rows, "doc_id string, text string").repartition(4))
+    assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"], r["near_edited"],
+                    r["near_next"]) for r in got.collect()) == brute_edits(rows)
+
+
+def test_clashing_columns(spark):
+    """Columns that have the names of an operator's own come back as they were."""
+    rows = [(1, "a line of text\n" + "x" * 300, *"pqrstuv"), (2, "A line of text \nother\n" + "x" * 300, *"pqrstuv"), (None, None, *"pqrstuv")]
+    names = ["_gone", "_gone_doc", "_r", "_d", "_ranges", "_text_key", "_cut_key"]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    lines = line_dedup.line_dedup(frame)
+    assert {(r["doc_id"], r["n_lines"], r["n_dropped"]) for r in lines.collect()} == {(1, 2, 0), (2, 3, 2), (None, 1, 0)}
+    tokens = sentencepiece_bpe.digest(frame, queries.piece_model())
+    spans = suffix_dedup.remove_repeats(frame)
+    assert {(r["doc_id"], r["n_spans"]) for r in spans.collect()} == {(1, 1), (2, 1), (None, 0)}
+    for out in (lines, tokens, spans):
+        assert all([r[n] for n in names] == list("pqrstuv") for r in out.collect())
+
+
 def test_merkle_locates_edits():
     a = "\n".join(f"line {k}, with some words. And more" for k in range(40))
     b = a.replace("line 19,", "row 19,")
