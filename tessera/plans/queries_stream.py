@@ -121,9 +121,7 @@ def q_stream_diagnostics(spark, d):
         F.col("user_id").alias("seq_id"), F.col("event_id").alias("pos"),
         F.pmod(F.conv(F.substring(F.md5("event_type"), 1, 15), 16, 10).cast("bigint"), F.lit(1000)).alias("tok"),
         F.col("value").alias("entropy"))
-    out = to_parquet(stateful.diagnostics(s, "seq_id", "pos", "tok", "entropy", N_GRAM, ROLL, REPEAT_WINDOW),
-                     "stream_diag")
-    r = spark.read.parquet(out)
+    r = spark.read.parquet(epochs.diagnostics(s, "seq_id", "pos", "tok", "entropy", N_GRAM, ROLL, REPEAT_WINDOW))
     return r.select("seq_id", "pos", F.round("avg_entropy", 6).alias("avg_entropy"), "repeated")
 
 

@@ -1,8 +1,8 @@
-"""Keyed state with ``applyInPandasWithState`` (D3 and T5 are in ``epochs``).
+"""T4: keyed state with ``applyInPandasWithState`` (D3, T5 and T6 are in ``epochs``).
 
 A key's rows of one trigger may arrive in several pandas chunks; every function reads them all,
 orders them by the given sort key and scans once. State per key is bounded: at most ``rate``
-timestamps (T4), the last 20 entropies and 64 tokens (T6). Within a key, order across triggers is
+timestamps. Within a key, order across triggers is
 the source order (files in name order; watermark-bounded for timeouts).
 """
 
@@ -48,39 +48,3 @@ def sliding(stream: DataFrame, key: str, ts_col: str, id_col: str, rate: int = 6
     schema = f"{id_col} {_type(stream, id_col)}, {key} {_type(stream, key)}, accepted boolean"
     return s.groupBy(key).applyInPandasWithState(admit, schema, "win array<double>", "append",
                                                  GroupStateTimeout.NoTimeout)
-
-
-# ---------------------------------------------------------------------------
-# Per-sequence diagnostics (rolling entropy, repeated n-gram)
-# ---------------------------------------------------------------------------
-def diagnostics(stream: DataFrame, key: str, pos: str, token: str, entropy: str,
-                n_gram: int = 3, entropy_window: int = 20, repeat_window: int = 64) -> DataFrame:
-    s = stream.select(key, pos, token, entropy)
-
-    def step(k, pdfs, state):
-        df = pd.concat(list(pdfs), ignore_index=True).sort_values(pos, kind="mergesort")
-        if state.exists:
-            ents, toks, poss = list(state.get[0]), list(state.get[1]), list(state.get[2])
-        else:
-            ents, toks, poss = [], [], []
-        avg, rep = [], []
-        for p, t, e in zip(df[pos].to_numpy(), df[token].to_numpy(), df[entropy].to_numpy()):
-            ents = (ents + [float(e)])[-entropy_window:]
-            toks = (toks + [int(t)])[-repeat_window:]
-            poss = (poss + [int(p)])[-repeat_window:]
-            avg.append(sum(ents) / len(ents))
-            hit = False
-            if len(toks) >= n_gram:
-                newest = toks[-n_gram:]
-                for j in range(len(toks) - n_gram):
-                    if toks[j:j + n_gram] == newest:
-                        hit = True
-                        break
-            rep.append(hit)
-        state.update((ents, toks, poss))
-        yield pd.DataFrame({key: k[0], pos: df[pos].to_numpy(), "avg_entropy": avg, "repeated": rep})
-
-    schema = f"{key} {_type(stream, key)}, {pos} {_type(stream, pos)}, avg_entropy double, repeated boolean"
-    return s.groupBy(key).applyInPandasWithState(
-        step, schema, "ents array<double>, toks array<long>, poss array<long>", "append",
-        GroupStateTimeout.NoTimeout)

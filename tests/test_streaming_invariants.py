@@ -1,6 +1,7 @@
 """Streams over several files (several micro-batches) equal their batch twins; results do not
 depend on the number of shuffle partitions; the driver contract holds."""
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -177,3 +178,28 @@ def test_quota_snapshots_and_null_key(spark, tmpdir_path, monkeypatch):
     folder = _split_files(spark, ev, os.path.join(tmpdir_path, "q"), 6)
     got = {r.doc_id: r.accepted for r in spark.read.parquet(epochs.quota(_stream_dir(spark, folder), "user", "ts", "doc_id", 12)).collect()}
     assert got == {k: k // 3 < 12 for k in range(60)}
+
+
+def test_diagnostics_over_epochs_and_blocks(spark, tmpdir_path):
+    """Sequences that go on over several epochs, one of them null and longer than a block."""
+    import random
+    rnd, rows = random.Random(4), []
+    for key, n in ((None, 400), ("a", 150), ("b", 2)):
+        rows += [(key, k, rnd.randrange(3), rnd.random()) for k in range(n)]
+    rows.sort(key=lambda r: r[1])
+    df = spark.createDataFrame(rows, "seq string, pos long, tok long, ent double")
+    for k in range(4):  # a quarter of each sequence in each file
+        df.where(F.floor(F.col("pos") / 100) == k).coalesce(1).write.mode("append").parquet(tmpdir_path + "/in")
+        time.sleep(0.05)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", "1").parquet(tmpdir_path + "/in")
+    out = epochs.diagnostics(stream, "seq", "pos", "tok", "ent", 3, 20, 64, block_rows=50)
+    got = {(r.seq, r.pos): (round(r.avg_entropy, 9), r.repeated) for r in spark.read.parquet(out).collect()}
+    want = {}
+    for key in (None, "a", "b"):
+        toks, ents = [r[2] for r in rows if r[0] == key], [r[3] for r in rows if r[0] == key]
+        for i in range(len(toks)):
+            mean = sum(ents[max(0, i - 19):i + 1]) / min(20, i + 1)
+            window = toks[max(0, i - 63):i + 1]
+            hit = any(window[j:j + 3] == window[-3:] for j in range(len(window) - 3))
+            want[key, i] = (round(mean, 9), hit)
+    assert got == want
