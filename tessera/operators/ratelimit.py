@@ -136,8 +136,8 @@ def sliding_window(events: DataFrame, key: str, ts_col: str, id_col: str, rate:
     """T4: adds ``accepted``. ``id_col`` is unique and breaks timestamp ties; events without a time
     are refused and count for nothing, and a null key is a key like others.
 
-    Segments with fewer than ``rate`` events are accepted whole without leaving the JVM. The others
-    are cut into chunks of ``chunk_rows`` events (numbered without a window over the segment), and
+    Segments with fewer than ``rate`` events are accepted whole without leaving the JVM. Those with more
+    than ``chunk_rows`` are cut into chunks of so many (numbered without a window over the segment), and
     chunks, not keys, are the unit of work: a key with a third of all events lies in many tasks."""
     e = events.withColumn("_t", epoch_seconds(events, ts_col))
     seg = _segments(e.where("_t is not null"), key, "_t", ["_t", id_col])
@@ -145,13 +145,19 @@ def sliding_window(events: DataFrame, key: str, ts_col: str, id_col: str, rate:
     counts = seg.groupBy("_seg").agg(F.count(F.lit(1)).alias("_n"))
     seg = materialize(seg.join(counts, "_seg"), "rate-segments")
     easy = seg.where(F.col("_n") < rate).select("_eid", F.lit(True).alias("accepted"))
-    hard = with_ordinal(seg.where(F.col("_n") >= rate), ["_t", "_eid"], "_k", partition_by=["_seg"])
-    hard = materialize(hard.select("_seg", F.expr(f"(_k - 1) div {chunk_rows}").alias("_chunk"), "_t", "_eid"), "rate-hard")
-    leads = materialize(_settle(hard, rate), "rate-settled")
-    at = F.struct("_seg", "_span").alias("_at")
-    rows = hard.join(leads.select("_seg", "_width").distinct(), "_seg").withColumn("_span", F.expr("_chunk div _width"))
-    dec = _spans(rows.select(at, "_t", "_eid"), leads.select(at, "_carry")).mapInArrow(
-        _scan(rate, True), f"_eid {events.schema[id_col].dataType.simpleString()}, accepted boolean")
+    at, whole = F.struct("_seg", "_span").alias("_at"), F.lit(0).cast("long").alias("_span")
+    middle = seg.where((F.col("_n") >= rate) & (F.col("_n") <= chunk_rows)).select("_seg", whole, "_t", "_eid")
+    rows = middle.select(at, "_t", "_eid")
+    leads = middle.select(at, F.array().cast("array<double>").alias("_carry")).distinct()
+    long = seg.where((F.col("_n") >= rate) & (F.col("_n") > chunk_rows))
+    if long.take(1):
+        hard = with_ordinal(long, ["_t", "_eid"], "_k", partition_by=["_seg"])
+        hard = materialize(hard.select("_seg", F.expr(f"(_k - 1) div {chunk_rows}").alias("_chunk"), "_t", "_eid"), "rate-hard")
+        cut = materialize(_settle(hard, rate), "rate-settled")
+        spans = hard.join(cut.select("_seg", "_width").distinct(), "_seg").withColumn("_span", F.expr("_chunk div _width"))
+        rows = rows.unionByName(spans.select(at, "_t", "_eid"))
+        leads = leads.unionByName(cut.select(at, "_carry"))
+    dec = _spans(rows, leads).mapInArrow(_scan(rate, True), f"_eid {events.schema[id_col].dataType.simpleString()}, accepted boolean")
     late = e.where("_t is null").select(F.col(id_col).alias("_eid"), F.lit(False).alias("accepted"))
     return events.join(easy.unionByName(dec).unionByName(late).withColumnRenamed("_eid", id_col), id_col)
 
