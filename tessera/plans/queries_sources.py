@@ -88,7 +88,7 @@ def _chunk_rows(chunks):
 def q_shard_append(spark, d):
     docs = tables.documents(spark, d, "doc_id", "lang", "text").where(T.has_content("text"))
     mid = docs.agg(F.expr("(max(doc_id) + 1) div 2")).first()[0]
-    pieces = BL.byte_pieces(
+    pieces = BL.raw_pieces(
         docs.select(F.col("lang").alias("shard"), F.col("doc_id").alias("ord"), T.canonical_text("text").alias("text")),
         piece_chars=shards.PIECE_CHARS, eos_piece=shards.EOS_PIECE)
     path = shared_dir(spark, "shards")

@@ -66,6 +66,32 @@ def test_piece_packing_spreads_one_huge_document(spark):
     assert b.select("_bkt").distinct().count() > 4
 
 
+def _shuffled(spark, before: set[str]) -> list[str]:
+    """Tables written under the shared folder since ``before``."""
+    import os
+    base = spark.sparkContext.getCheckpointDir().removeprefix("file:") + "/tables"
+    return sorted(set(os.listdir(base)) - before) if os.path.isdir(base) else []
+
+
+def test_byte_shards_are_packed_from_bytes_read_once(spark):
+    from tessera.functions import bytelevel as BL
+    rows = [(None if k % 5 == 0 else f"l{k % 3}", k, "é" * (k % 7) + "ab " * (k % 40) + "x" * (300 if k % 11 == 0 else 0)) for k in range(300)]
+    docs = spark.createDataFrame(rows, "shard string, ord long, text string")
+    before = set(_shuffled(spark, set()))
+    raw = BL.raw_pieces(docs, piece_chars=100)
+    assert "ids" not in raw.columns
+    got = {(r.shard, r.chunk_id): (r.start, r.ids) for r in shards.pack_pieces(raw, 64, n_buckets=16).collect()}
+    plain: dict = {}
+    for shard, _, text in sorted(rows, key=lambda r: r[1]):
+        plain.setdefault(shard, []).extend([BL.BASE_IDS[b] for b in text.encode()] + [BL.EOS_ID])
+    exp = {(s, k): (k * 64, ids[k * 64:k * 64 + 64]) for s, ids in plain.items() for k in range(-(-len(ids) // 64))}
+    assert got == exp
+    edges = [t for t in _shuffled(spark, before) if t.startswith("chunk_edges")]  # only parts of chunks are grouped
+    assert len(edges) == 1
+    same = shards.pack_pieces(BL.byte_pieces(docs, piece_chars=100), 64, n_buckets=16)
+    assert {(r.shard, r.chunk_id): (r.start, r.ids) for r in same.collect()} == exp
+
+
 def test_word_level_tokenisation_equals_document_encode(spark):
     from tessera.functions import text as T
     docs = tables.documents(spark, SF, "doc_id", "source", "text")
