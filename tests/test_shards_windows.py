@@ -157,3 +157,27 @@ def test_bin_roundtrip(spark, tmpdir_path):
     assert _flat(back, "s") == list(range(1000))
     m = tokenbin.meta_from_files(spark, {"s": target, "missing": target + ".nope"}).collect()
     assert [(r.shard, r.tokens) for r in m] == [("s", 1000)]
+
+
+def _exchanges_of_ids(df) -> list[str]:
+    """The shuffles of the plan that hold whole chunks."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [x for x in plan.split("\n") if "Exchange hashpartitioning(coalesce(shard" in x]
+
+
+def test_a_split_does_not_shuffle_the_chunks_by_shard(spark):
+    from tessera.operators.materialize import materialize
+    ch = materialize(spark.createDataFrame([(s, k, k * 8, list(range(k, k + 8))) for s in ("a", "b") for k in range(50)],
+                                           "shard string, chunk_id long, start long, ids array<int>"), "t_split")
+    size, conf = "spark.sql.autoBroadcastJoinThreshold", spark.conf
+    old = conf.get(size)
+    conf.set(size, "1")  # as with tables above the threshold: an aggregate is estimated by its input's size
+    try:
+        counts = shards.split_counts(shards.shard_meta(ch), 0.9)
+        split = shards.split_chunks(ch, counts, chunk_size=8)
+        assert not _exchanges_of_ids(split)
+        train, val = shards.split_parts(split, counts)
+        assert not _exchanges_of_ids(train) and not _exchanges_of_ids(val)
+        assert {r.shard: r.tokens for r in shards.shard_meta(val).collect()} == {"a_val": 40, "b_val": 40}
+    finally:
+        conf.set(size, old)
