@@ -181,3 +181,22 @@ def test_a_split_does_not_shuffle_the_chunks_by_shard(spark):
         assert {r.shard: r.tokens for r in shards.shard_meta(val).collect()} == {"a_val": 40, "b_val": 40}
     finally:
         conf.set(size, old)
+
+
+def test_many_windows_are_never_broadcast_and_are_sliced_from_one_row(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    from tessera.operators import sampling as SM
+    from tessera.operators.materialize import materialize
+    ids = {s: [(7 * k + len(s or "")) % 251 for k in range(3000)] for s in ("a", None)}
+    ch = materialize(shards.to_chunks(spark.createDataFrame([(s, 0, v) for s, v in ids.items()],
+                                                            "shard string, start bigint, ids array<int>"), 16), "t_fetch")
+    meta = materialize(shards.shard_meta(ch), "t_meta")
+    monkeypatch.setattr(W, "FEW_WINDOWS", 10)
+    for width in (1, 9, 17, 50):  # in one chunk, over two, over several
+        s = SM.shard_samples(meta, width, 42).withColumn("start", F.least(F.col("start"), F.lit(3000 - width)))
+        got = W.fetch(s, ch, width, 16, key="i")
+        rows = got.collect()
+        assert len(rows) == 2 * (3000 // (width + 1))
+        assert all(r.w == ids[r.shard][r.start:r.start + width] for r in rows)
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "strategy=broadcast" not in plan and "strategy=merge" in plan
