@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import filters, shards
 from tessera.operators import windows as W
-from tessera.operators.keys import join_null_safe
+from tessera.operators.keys import join_null_safe, small
 
 
 def perplexity(loss: Column) -> Column:
@@ -59,9 +59,10 @@ def bigram_counts(train_chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def evaluate(train_chunks: DataFrame, val_chunks: DataFrame, val_meta: DataFrame, context: int,
              vocab_size: int, batch_size: int = 4, max_batches: int | None = None,
-             alpha: float = 1.0, suffix: str | None = None) -> DataFrame:
+             alpha: float = 1.0, suffix: str | None = None,
+             fitted: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """One row per shard of ``val_chunks``: mean loss, perplexity, tokens and batches of
-    its sequential windows under a bigram model of ``train_chunks``. With ``suffix`` each validation
+    its sequential windows under a bigram model of ``train_chunks`` (or its counts ``fitted``). With ``suffix`` each validation
     shard is scored by the model of the shard it was cut from (see ``shards.split_chunks``), else by
     one model of all training chunks.
 
@@ -73,12 +74,12 @@ def evaluate(train_chunks: DataFrame, val_chunks: DataFrame, val_meta: DataFrame
     n_windows = W.n_eval_windows(F.col("tokens"), context)
     if max_batches is not None:
         n_windows = F.least(n_windows, F.lit(max_batches * batch_size))
-    meta = val_meta.select("shard", n_windows.alias("_nw")).where("_nw > 0")
+    meta = small(val_meta.select("shard", n_windows.alias("_nw")).where("_nw > 0"), "val_windows")
     pairs = chunk_pairs(join_null_safe(val_chunks, meta, ["shard"]), F.col("_nw") * context) \
         .groupBy("shard", "prev", "next").agg(F.count(F.lit(1)).alias("n"))
     one = F.lit(None).cast("string")
     model = one if suffix is None else shards.base_name(F.col("shard"), suffix)
-    pc, cc = [t.withColumn("model", one if suffix is None else F.col("shard")).drop("shard") for t in bigram_counts(train_chunks)]
+    pc, cc = [t.withColumn("model", one if suffix is None else F.col("shard")).drop("shard") for t in fitted or bigram_counts(train_chunks)]
     if suffix is None:  # one model of all training shards
         pc = pc.groupBy("model", "prev", "next").agg(F.sum("c").alias("c"))
         cc = cc.groupBy("model", "prev").agg(F.sum("cp").alias("cp"))

@@ -109,3 +109,18 @@ def test_encode_lengths_query_equals_document_encode(spark):
     got = {r.doc_id: (r.n_tokens, r.sum_ids) for r in registry.QUERIES["bpe_encode_lengths"](spark, SF).collect()}
     enc = bpe.encode(_clean_docs(spark, SF).select("doc_id", "text"), _model(spark, SF), eos=True)
     assert got == {r.doc_id: (len(r.ids), sum(r.ids)) for r in enc.collect()}
+
+
+def test_diagnose_counts_the_training_pairs_once(spark, monkeypatch):
+    from tessera.operators import evaluate as EV
+    calls, counts = [], EV.bigram_counts
+    monkeypatch.setattr(EV, "bigram_counts", lambda chunks: calls.append(1) or counts(chunks))
+    ids = [(3 * k * k) % 50 for k in range(600)]
+    ch = shards.to_chunks(spark.createDataFrame([("a", 0, ids), (None, 0, ids[::-1])], "shard string, start bigint, ids array<int>"), 16)
+    n = shards.split_counts(shards.shard_meta(ch), 0.7)
+    train, val = shards.split_parts(shards.split_chunks(ch, n, chunk_size=16), n)
+    got = {r.shard: (r.capped, r.full) for r in corpus.diagnose(train, val, 8, 260, 2, 3, suffix="_val").collect()}
+    assert len(calls) == 1 and len(got) == 2
+    for k, batches in enumerate((3, None)):
+        for r in EV.evaluate(train, val, shards.shard_meta(val), 8, 260, 2, batches, suffix="_val").collect():
+            assert got[r.shard][k].val_loss == pytest.approx(r.val_loss) and got[r.shard][k].val_tokens == r.val_tokens
