@@ -107,3 +107,17 @@ def test_language_gate_sent_or_joined(spark, monkeypatch):
     empty = langid.profiles(spark.createDataFrame([], "lang string, text string"))
     monkeypatch.undo()
     assert all(not r.is_english for r in langid.english(docs, empty).collect())
+
+
+def test_profiles_are_counted_before_any_trigram_is_a_row(spark, monkeypatch):
+    from collections import Counter
+    from tessera.operators import langid
+    texts = [("en", "The cat, THE cat"), ("en", "ab"), ("en", None), ("de", "\U0001f600\U0001f600x\u00c4\ue000\uffff end"), (None, "the cat"), ("de", "")]
+    docs = spark.createDataFrame(texts, "lang string, text string")
+    exp = Counter((lang, t.lower()[k:k + 3]) for lang, t in texts if t for k in range(len(t) - 2))
+    for at_once in (5, 1 << 22):
+        monkeypatch.setattr(langid, "GRAMS_AT_ONCE", at_once)
+        prof = langid.profiles(docs)
+        assert {(r.lang, r.gram): r.cnt for r in prof.collect()} == exp
+    assert prof.columns == ["lang", "gram", "cnt"]
+    assert "explode" not in prof._jdf.queryExecution().optimizedPlan().toString()
