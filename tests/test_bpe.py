@@ -152,3 +152,15 @@ def test_matches_library_on_documents(spark, tmpdir_path, size):
            if x and not x.startswith("#version")]
     m = bpe.train(bpe.word_counts(spark.createDataFrame([(r.text,) for r in kept], "text string")), vocab_size=size)
     assert [(r.left, r.right) for r in m.merges.orderBy("rank").collect()] == ref
+
+
+def test_words_are_encoded_a_few_rows_at_a_time(spark, monkeypatch):
+    import pyarrow as pa
+    model = bpe.train(bpe.word_counts(spark.createDataFrame([("the line and the lines",)], "text string")), 266, 1)
+    table, sizes, one = bpe.rank_table(model).value, [], bpe._encode_batch
+    lists = pa.array([["ab", " the"] * (k % 5) if k % 7 else None for k in range(1000)], pa.list_(pa.string()))
+    whole = one(lists, table).to_pylist()
+    monkeypatch.setattr(bpe, "_encode_batch", lambda some, t: sizes.append(len(some)) or one(some, t))
+    assert bpe.encode_lists(lists, table).to_pylist() == whole
+    assert max(sizes) <= bpe.ROWS_AT_ONCE < 1000
+    assert bpe.encode_lists(lists[:0], table).to_pylist() == []
