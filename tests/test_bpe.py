@@ -154,6 +154,21 @@ def test_matches_library_on_documents(spark, tmpdir_path, size):
     assert [(r.left, r.right) for r in m.merges.orderBy("rank").collect()] == ref
 
 
+def test_a_roundtrip_computes_its_lines_once(spark):
+    model = bpe.train(bpe.word_counts(spark.createDataFrame([("the line and the lines",)], "text string")), 266, 1)
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    lines = spark.createDataFrame([(k, f"line {k}") for k in range(40)], "ord long, text string").mapInArrow(count, "ord long, text string")
+    r = bpe.roundtrip(lines, model, 1000).first()
+    assert (r.roundtrip_checked, r.roundtrip_exact) == (40, 40)
+    assert seen.value == 40
+
+
 def test_words_are_encoded_a_few_rows_at_a_time(spark, monkeypatch):
     import pyarrow as pa
     model = bpe.train(bpe.word_counts(spark.createDataFrame([("the line and the lines",)], "text string")), 266, 1)
