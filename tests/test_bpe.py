@@ -179,3 +179,15 @@ def test_words_are_encoded_a_few_rows_at_a_time(spark, monkeypatch):
     assert bpe.encode_lists(lists, table).to_pylist() == whole
     assert max(sizes) <= bpe.ROWS_AT_ONCE < 1000
     assert bpe.encode_lists(lists[:0], table).to_pylist() == []
+
+
+def test_pieces_and_their_eos_come_from_one_pass(spark, monkeypatch):
+    model = bpe.train(bpe.word_counts(spark.createDataFrame([("the line and the lines",)], "text string")), 266, 1)
+    monkeypatch.setattr(bpe, "PIECE_WORDS", 2)
+    texts = ["the line and", "", "the", "a b c d"]
+    docs = spark.createDataFrame([("s", k, t) for k, t in enumerate(texts)], "shard string, ord long, text string")
+    rows = bpe.encode_pieces(docs, model).orderBy("ord", "piece").collect()
+    whole = {r.doc_id: r.ids for r in bpe.encode(docs.withColumnRenamed("ord", "doc_id"), model, eos=True).collect()}
+    for k in range(len(texts)):
+        assert [i for r in rows if r.ord == k for i in r.ids] == whole[k]
+    assert "Union" not in bpe.encode_pieces(docs, model)._jdf.queryExecution().optimizedPlan().toString()
