@@ -61,3 +61,16 @@ def test_canonical_equals_reference_composition(spark):
     df = spark.createDataFrame([(i, s) for i, s in enumerate(samples)], "i int, t string")
     got = {r.i: r.c for r in df.select("i", T.canonical_text("t").alias("c")).collect()}
     assert all(got[i] == ref(s) for i, s in enumerate(samples))
+
+
+def test_first_lines_are_the_first_survivors(spark):
+    rows = [(k if k % 9 else None, f"  line {k % 17} " if k % 4 else " ") for k in range(60)] + [(5, "line 5"), (5, "line 5"), (7, "other")]
+    docs = spark.createDataFrame(rows, "ord long, text string")
+    every = dedupe.first_per_digest(dedupe.clean(docs)).orderBy("ord").collect()
+    for n in (1, 3, 100):
+        got = dedupe.first_lines(docs, n)
+        kept = sorted(got.collect(), key=lambda r: (r.ord, r.text))
+        if n in (1, 3):
+            assert [r.ord for r in kept] == [r.ord for r in every[:n]]
+        else:
+            assert sorted((r.ord, r.text) for r in kept) == sorted((r.ord, r.text) for r in every)
